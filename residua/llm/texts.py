@@ -53,3 +53,31 @@ def by_batch(df: DataFrame, columns: list[str], work: Callable[[pd.DataFrame], p
 
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return df.select(*columns).mapInPandas(run, schema)
+
+
+def append(df: DataFrame, inputs: list[str], work: Callable[..., list[list]], fields: list[tuple[str, str]], drop: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with new columns that Python makes from the columns ``inputs``; the others pass through as Arrow, untouched.
+
+    ``work`` gets a list per input column and returns a list per field (name, type); the names must be new ones.
+    """
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    made = [T.StructField(name, T._parse_datatype_string(kind)) for name, kind in fields]
+    rest = [c for c in df.columns if c not in drop]
+    places, left = [df.columns.index(c) for c in inputs], [df.columns.index(c) for c in rest]
+    schema = T.StructType([*(df.schema[k] for k in left), *made])
+    kinds = [to_arrow_type(f.dataType) for f in made]
+    names = schema.names
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, BATCH_ROWS):
+                c = b.slice(at, BATCH_ROWS)
+                got = work(*(c.column(k).to_pylist() for k in places))
+                arrays = [pa.array(v, type=kind) for v, kind in zip(got, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(c.column(k) for k in left), *arrays], names=names)
+
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return df.mapInArrow(run, schema)
