@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import op5, op6, op7, op8
+from . import op5, op6, op7, op8, op10
 
-MODULES = (op5, op6, op7, op8)
+MODULES = (op5, op6, op7, op8, op10)
 
 
 def queries() -> dict:
