@@ -67,3 +67,22 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFr
     cold = right.filter(F.col(weight) <= limit)
     marks = F.broadcast(hot.select(key))
     return left.join(F.broadcast(hot), key).unionByName(left.join(marks, key, "left_anti").join(cold, key))
+
+
+def crc_part(column: Column, parts: int) -> Column:
+    """crc32 of the value as text, mod ``parts``; null as an empty text."""
+    return F.pmod(F.crc32(F.coalesce(column.cast("string"), F.lit(""))), F.lit(parts))
+
+
+def bounded_sample(df: DataFrame, by: str, key: str, most: int) -> DataFrame:
+    """About ``most`` rows for each value of ``by`` (all, where there are fewer), chosen by a hash of ``key`` and so the same on each run.
+
+    Values of ``by`` are classes to learn: few.  No class gives more than twice ``most`` rows.
+    """
+    counts = {r["v"]: r["n"] for r in df.groupBy(col(by).alias("v")).agg(F.count("*").alias("n")).collect() if r["v"] is not None}
+    u = F.conv(F.substring(F.md5(F.coalesce(col(key).cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long") / F.lit(float(2**32))
+    out = None
+    for v, n in sorted(counts.items()):
+        part = df.filter((col(by) == F.lit(v)) & (u < F.lit(min(1.0, most / n)))).limit(2 * most)
+        out = part if out is None else out.unionByName(part)
+    return df.limit(0) if out is None else out
