@@ -12,18 +12,19 @@ from __future__ import annotations
 
 import re
 from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
 from .common import col
-from .texts import by_batch, sha256
+from .texts import by_batch, sha256, slices
 
 SPACE = "▁"
 NONE = np.iinfo(np.int32).max
 #: Words whose pieces are remembered by a worker; beyond it the memory starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 #: Longer words are also cut between characters that are adjacent in no piece.
 LONG_WORD = 256
 
@@ -34,7 +35,7 @@ class Vocabulary:
     def __init__(self, pieces: list[str], scores: list[float], byte_ids: dict[int, int], control: set[int], unknown: int, eos: int, dummy_prefix: bool, unknown_surface: str):
         self.pieces, self.scores, self.byte_ids, self.control = pieces, scores, byte_ids, control
         self.unknown, self.eos, self.dummy_prefix, self.unknown_surface = unknown, eos, dummy_prefix, unknown_surface
-        self.memory: dict[str, tuple[str, tuple[int, ...]]] = {}
+        self.memory: dict[str, tuple[int, ...]] = {}
 
     @classmethod
     def read(cls, path: str) -> Vocabulary:
@@ -82,6 +83,44 @@ class Vocabulary:
         keys, merged = (np.array(x) for x in zip(*sorted(found), strict=True))
         return keys.astype(np.int64), merged.astype(np.int32)
 
+    @cached_property
+    def table(self) -> tuple[np.ndarray, np.ndarray, int]:
+        """The pairs in an open-addressing hash table: keys (-1: free), merged pieces, and the longest probe."""
+        keys, merged = self.pairs
+        size = 1 << (4 * len(keys)).bit_length()
+        slots, values, rest, step = np.full(size, -1, dtype=np.int64), np.full(size, len(self.pieces), dtype=np.int32), np.arange(len(keys)), 0
+        while len(rest):
+            at = self._slot(keys[rest], size, step)
+            new = rest[slots[at] == -1]
+            slots[self._slot(keys[new], size, step)] = keys[new]  # of keys with one slot the last stays
+            placed = slots[at] == keys[rest]
+            values[at[placed]] = merged[rest[placed]]
+            rest, step = rest[~placed], step + 1
+        return slots, values, step
+
+    @staticmethod
+    def _slot(keys: np.ndarray, size: int, step: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) + step * (step + 1) // 2) & (size - 1)
+
+    def pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """What each pair of symbols merges into; the number of pieces if nothing."""
+        slots, values, steps = self.table
+        key = left.astype(np.int64) << 32 | right
+        at = self._slot(key, len(slots), 0)
+        out = values[at]
+        rest = np.flatnonzero(slots[at] != key)
+        out[rest] = len(self.pieces)
+        rest = rest[slots[at[rest]] != -1]
+        for step in range(1, steps):
+            if not len(rest):
+                break
+            at = self._slot(key[rest], len(slots), step)
+            here = slots[at] == key[rest]
+            out[rest[here]] = values[at[here]]
+            rest = rest[~here & (slots[at] != -1)]
+        return out
+
     @cached_property
     def one_by_one(self) -> np.ndarray:
         """Pieces that are half of a pair with a rank no worse than their own."""
@@ -102,6 +141,10 @@ class Vocabulary:
     def adjacent(self) -> set[str]:
         return {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
 
+    @cached_property
+    def numerals(self) -> list[str]:
+        return [str(i) for i in range(len(self.pieces))]
+
     @cached_property
     def surfaces(self) -> list[bytes]:
         out = [p.replace(SPACE, " ").encode() for p in self.pieces]
@@ -114,50 +157,58 @@ class Vocabulary:
         """The ids of each word."""
         lens = np.array([len(w) for w in words], dtype=np.int64)
         symbols = self.symbol_of[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
-        word = np.repeat(np.arange(len(words)), lens)
-        keys, pieces = self.pairs
+        word = np.repeat(np.arange(len(words), dtype=np.int32), lens)
+        nothing = len(self.pieces)
+        # found[k]: what the pair of symbols k and k + 1 merges into
+        last = np.r_[word[1:] != word[:-1], True]
+        found = np.full(len(symbols), nothing, dtype=np.int32)
+        at = np.flatnonzero(~last)
+        found[at] = self.pair(symbols[at], symbols[at + 1])
         done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(symbols):
-            first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+            first = np.flatnonzero(np.r_[True, last[:-1]])
             sizes = np.diff(np.r_[first, len(word)])
-            pair = symbols[:-1].astype(np.int64) << 32 | symbols[1:]
-            at = np.searchsorted(keys, pair)
-            at[at == len(keys)] = 0
-            found = np.full(len(symbols), len(self.pieces), dtype=np.int32)
-            found[:-1] = np.where((keys[at] == pair) & (word[1:] == word[:-1]), pieces[at], len(self.pieces))
             rank = self.rank_of[found]
             best = np.minimum.reduceat(rank, first)
-            open_ = np.repeat(best != NONE, sizes)
-            if not open_.all():
+            more = best != NONE
+            if not more.all():
+                open_ = np.repeat(more, sizes)
                 done.append((word[~open_], symbols[~open_]))
-                if not open_.any():
+                symbols, word, found, rank, last = symbols[open_], word[open_], found[open_], rank[open_], last[open_]
+                sizes, best = sizes[more], best[more]
+                first = np.cumsum(sizes) - sizes
+                if not len(symbols):
                     break
-                symbols, word, found, rank = symbols[open_], word[open_], found[open_], rank[open_]
-                sizes, best = sizes[best != NONE], best[best != NONE]
-                first = np.r_[0, np.cumsum(sizes)[:-1]]
             hit = rank == np.repeat(best, sizes)
-            place = np.arange(len(hit))
-            begin = np.maximum.accumulate(np.where(hit & ~np.r_[False, hit[:-1]], place, 0))
-            hit &= (place - begin) % 2 == 0  # of overlapping pairs the leftmost, then every second
-            leftmost = np.minimum.reduceat(np.where(hit, place, len(hit)), first)
-            single = self.one_by_one[found[leftmost]]
+            place = np.flatnonzero(hit)
+            run = np.r_[True, place[1:] != place[:-1] + 1]
+            order = np.arange(len(place))
+            place = place[(order - np.maximum.accumulate(np.where(run, order, 0))) % 2 == 0]  # of overlapping pairs the leftmost, then every second
+            single = self.one_by_one[found[place]]
             if single.any():
-                hit &= ~np.repeat(single, sizes) | (place == np.repeat(leftmost, sizes))
-            symbols = np.where(hit, found, symbols)
-            keep = ~np.r_[False, hit[:-1]]
-            symbols, word = symbols[keep], word[keep]
+                of = word[place]
+                place = place[~single | np.r_[True, of[1:] != of[:-1]]]
+            symbols[place] = found[place]
+            keep = np.ones(len(symbols), dtype=bool)
+            keep[place + 1] = False
+            last[place] = last[place + 1]
+            moved = place - np.arange(len(place))
+            symbols, word, found, last = symbols[keep], word[keep], found[keep], last[keep]
+            at = np.r_[moved, moved[moved > 0] - 1]
+            inner = at[~last[at]]
+            found[at[last[at]]] = nothing
+            found[inner] = self.pair(symbols[inner], symbols[inner + 1])
         if not done:
             return [() for _ in words]
         word, symbols = (np.concatenate(x) for x in zip(*done, strict=True))
         order = np.argsort(word, kind="stable")
-        ends = np.searchsorted(word[order], np.arange(len(words) + 1))
-        flat, v = symbols[order].tolist(), len(self.pieces)
-        out = []
-        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-            ids = flat[a:b]
-            if any(i >= v for i in ids):
-                ids = [j for i in ids for j in ([i] if i < v else [self.byte_ids[x] for x in chr(i - v).encode("utf-8", "surrogatepass")])]
-            out.append(tuple(ids))
+        ends = np.searchsorted(word[order], np.arange(len(words) + 1)).tolist()
+        symbols, v = symbols[order], len(self.pieces)
+        strange = set(word[order][symbols >= v].tolist())
+        flat = symbols.tolist()
+        out = [tuple(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        for k in strange:
+            out[k] = tuple(j for i in out[k] for j in ([i] if i < v else [self.byte_ids[x] for x in chr(i - v).encode("utf-8", "surrogatepass")]))
         return out
 
     def split_long(self, word: str) -> list[str]:
@@ -178,17 +229,16 @@ class Vocabulary:
         if len(self.memory) + len(new) > REMEMBERED:
             self.memory.clear()
             new = list(words)
-        for w, ids in zip(new, self.merged(new), strict=True):
-            self.memory[w] = " ".join(map(str, ids)), ids
+        self.memory.update(zip(new, self.merged(new), strict=True))
 
     def encode(self, text: str | None, eos: bool = True) -> list[int]:
         words = self.words(text or "")
         self.learn(set(words))
-        return [i for w in words for i in self.memory[w][1]] + [self.eos] * eos
+        return [i for w in words for i in self.memory[w]] + [self.eos] * eos
 
     def decode(self, ids) -> bytes:
         """The text in UTF-8: pieces joined, a space for each space symbol, without the one put before the text; invalid byte runs become U+FFFD for each byte."""
-        ids = [i for i in ids if i not in self.control]
+        ids = [i for i in ids if i not in self.control] if not self.control.isdisjoint(ids) else ids
         data = b"".join(map(self.surfaces.__getitem__, ids))
         try:
             data.decode()
@@ -206,16 +256,16 @@ def roundtrip(docs: DataFrame, vocabulary: Vocabulary, id_col="doc_id", text_col
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def work(x: pd.DataFrame) -> pd.DataFrame:
-        v = shared.value
-        out = []
-        for text in x["text"]:
-            words = v.words(text or "")
-            v.learn(set(words))
-            known = [v.memory[w] for w in words]
-            line = " ".join([*(k[0] for k in known), str(v.eos)])
-            tokens = [i for k in known for i in k[1]] + [v.eos]
-            decoded = v.decode(tokens)
-            out.append((len(tokens), sha256(line.encode()), sha256(decoded), *((tokens, decoded.decode()) if ids else ())))
+        v, out = shared.value, []
+        texts = x["text"].tolist()
+        for a, b in slices([t or "" for t in texts]):
+            split = [v.words(t or "") for t in texts[a:b]]
+            v.learn(set().union(*split))
+            for words in split:
+                tokens = [*chain.from_iterable(map(v.memory.__getitem__, words)), v.eos]
+                line = " ".join(map(v.numerals.__getitem__, tokens))
+                decoded = v.decode(tokens)
+                out.append((len(tokens), sha256(line.encode()), sha256(decoded), *((tokens, decoded.decode()) if ids else ())))
         names = ["n_tokens", "ids_sha256", "decoded_sha256", *(["token_ids", "decoded"] if ids else [])]
         return pd.concat([x[["id"]], pd.DataFrame(out, columns=names)], axis=1)
 
