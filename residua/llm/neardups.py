@@ -4,11 +4,12 @@ Nodes are different shingle sets, named by a 64-bit hash, so copies cost nothing
 of many universal hash functions over its shingles; ``banding`` picks so many rows and bands that a pair at the
 threshold shares a band but for one in a million.  Nodes that share a band share a bucket.
 
-Round 1 compares every node with the smallest node of one of its buckets, and links those that hold.  Only connectedness
-counts, so a bucket whose nodes are by now in one component is settled.  Round 2 takes the others whole: nodes of the
-bucket's main component stay where they are, in blocks; those of other components go to all blocks, so every pair of
-nodes in different components meets once.  In both rounds signatures sieve the pairs, and what is left is confirmed on
-the full sets: a pair's smaller node is sent to as many slices as its partners fill, and one set at a time is held.
+Round 1 compares every node with one node: that of the centers of its buckets with the likest signature.  Only
+connectedness counts, so a bucket whose nodes are by now in one component is settled.  Round 2 takes the others whole:
+nodes of the bucket's main component stay, in blocks; those of other components are guests of all blocks where a
+signature allows a link with one of their own, so every pair of nodes in different components is looked at.  Links are
+confirmed on the full sets: a block's sets form an inverted index, and guests come one by one.  So a group of n near
+copies sends about n sets, and of nodes that are linked with none one set per block, never a pair of texts each.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ from .texts import LOWER, append, encode, slices
 MOST_HASHES, MISS = 192, 1e-6
 #: Signature bytes agree by chance in 1 of 256; the sieve lets pass what is this much under the threshold.
 MARGIN = 0.16
-BLOCK, SLICE_ROWS = 256, 4096
+BLOCK, SLICE_ROWS = 512, 4096
+#: How many nodes of a group the buckets of the group have as centers, about.
+CENTERS = 6
 #: Texts of pairs are picked by a broadcast of at most so many rows of 40 bytes, by a shuffled join beyond.
 BROADCAST_ROWS = 400_000
 NO_ID = -(2**63)
@@ -170,32 +173,41 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 class Links:
-    """Confirms pairs of nodes: 100 * common >= percent * union of their whole sets."""
+    """Confirms links of nodes on their whole sets: 100 * common >= percent * union."""
 
     def __init__(self, docs: DataFrame, nodes: DataFrame, size: int, percent: int):
         self.docs, self.nodes, self.size, self.percent = docs, nodes, size, percent
 
-    def sieved(self, pairs: DataFrame) -> DataFrame:
-        """u, v of the pairs whose sizes and signatures allow a link; u is the node with many partners."""
+    def nearest(self, pairs: DataFrame) -> DataFrame:
+        """u, v: for each v of ``pairs`` the u with the likest signature, if sizes and signatures allow a link."""
         n = self.nodes
         weight = pairs.groupBy("u").agg(F.count("*").alias("w"))
         left = pairs.join(n.select(F.col("node").alias("v"), F.col("n").alias("n_v"), F.col("signature").alias("s_v")), "v")
         right = weight.join(n.select(F.col("node").alias("u"), F.col("n").alias("n_u"), F.col("signature").alias("s_u")), "u")
         both = join_hot(left, right, "u", "w").filter(100 * F.least("n_u", "n_v") >= self.percent * F.greatest("n_u", "n_v"))
-        least = self.percent / 100 - MARGIN
 
         def work(a: list, b: list) -> list[list]:
-            return [[bool((np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)).mean() >= least) for x, y in zip(a, b, strict=True)]]
+            return [[int(np.count_nonzero(np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8))) for x, y in zip(a, b, strict=True)]]
 
-        return append(both.select("u", "v", "s_u", "s_v"), ["s_u", "s_v"], work, [("near", "boolean")], drop=("s_u", "s_v")).filter("near").select("u", "v")
+        equal = append(both.select("u", "v", "s_u", "s_v", F.length("s_u").alias("all")), ["s_u", "s_v"], work, [("equal", "int")], drop=("s_u", "s_v"))
+        equal = equal.filter(F.col("equal") >= F.col("all") * (self.percent / 100 - MARGIN))
+        return equal.groupBy("v").agg(F.max_by("u", F.struct("equal", "u")).alias("u")).select("u", "v")
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """u, v of the linked ones among ``pairs`` (different pairs, u < v)."""
-        pairs = cut(pairs)
+    def stars(self, pairs: DataFrame) -> DataFrame:
+        """The linked ones among the pairs u, v: each u meets its partners in slices."""
         sides = pairs.groupBy("u").agg(F.count("*").alias("w")).withColumn("slices", F.ceil(F.col("w") / BLOCK).cast("int"))
-        members = join_hot(pairs, sides, "u", "w").select(F.col("v").alias("node"), F.col("u").alias("center"), F.pmod(F.hash("v"), F.col("slices")).cast("int").alias("slice"), F.lit(1).alias("role"))
-        centers = sides.select(F.col("u").alias("node"), F.col("u").alias("center"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(0).alias("role"))
-        wanted = cut(members.unionByName(centers).join(self.nodes.select("node", F.coalesce("rep", F.lit(NO_ID)).alias("key")), "node"))
+        place = lambda u, k: F.concat(F.lit("star:"), u.cast("string"), F.lit(":"), k.cast("string")).alias("place")
+        guests = join_hot(pairs, sides, "u", "w").select(F.col("v").alias("node"), place(F.col("u"), F.pmod(F.hash("v"), F.col("slices"))), F.lit(1).alias("role"))
+        hosts = sides.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select(F.col("u").alias("node"), place(F.col("u"), F.col("slice")), F.lit(0).alias("role"))
+        return self.confirmed(hosts.unionByName(guests))
+
+    def confirmed(self, meetings: DataFrame) -> DataFrame:
+        """u, v: links that connect what meets at a place, as far as links of its guests (role 1) with its hosts (role 0) do.
+
+        A place holds its hosts' sets, about BLOCK, and gets guests one by one; links within what is already connected
+        are left out, so there are fewer than nodes.  Hosts of places named ``main`` are connected beforehand.
+        """
+        wanted = cut(meetings.join(self.nodes.select("node", F.coalesce("rep", F.lit(NO_ID)).alias("key")), "node"))
         small = wanted.count() <= BROADCAST_ROWS
         rows = self.docs.select(F.coalesce("id", F.lit(NO_ID)).alias("key"), "body").join(F.broadcast(wanted) if small else wanted, "key").drop("key")
         size, percent = self.size, self.percent
@@ -206,57 +218,127 @@ class Links:
             return [[known[t].tobytes() if names[t] == n else None for t, n in zip(texts, nodes, strict=True)]]  # a repeated id has other texts too
 
         full = append(rows, ["body", "node"], sets, [("shingles", "binary")], drop=("body",)).filter("shingles is not null")
-        dealt = full.repartition("center", "slice").sortWithinPartitions("center", "slice", "role")
+        dealt = full.repartition("place").sortWithinPartitions("place", "role", "node")
 
-        def compare(batches):
+        def meet(batches):
             import pyarrow as pa
 
-            center, held = None, None
+            name, place = None, None
             for b in batches:
                 u, v = [], []
-                for c, role, node, data in zip(*(b.column(k).to_pylist() for k in ("center", "role", "node", "shingles")), strict=True):
-                    own = np.frombuffer(data, dtype=np.uint64)
+                for p, role, node, data in zip(*(b.column(k).to_pylist() for k in ("place", "role", "node", "shingles")), strict=True):
+                    if p != name:
+                        name, place = p, Place(percent, p.startswith("main:"))
                     if role == 0:
-                        center, held = c, own
-                    elif center == c:
-                        common = len(held) + len(own) - len(np.union1d(held, own))
-                        if 100 * common >= percent * (len(held) + len(own) - common):
-                            u.append(c)
+                        place.add(node, np.frombuffer(data, dtype=np.uint64))
+                    else:
+                        for host in place.links(node, np.frombuffer(data, dtype=np.uint64)):
+                            u.append(host)
                             v.append(node)
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-        return dealt.mapInArrow(compare, "u bigint, v bigint").distinct()
+        return dealt.mapInArrow(meet, "u bigint, v bigint")
+
+
+class Place:
+    """Hosts' sets as an inverted index, and which nodes are connected here."""
+
+    def __init__(self, percent: int, one: bool):
+        self.percent, self.one, self.hosts, self.sets, self.parent = percent, one, [], [], {}
+        self.keys = None
+
+    def add(self, node: int, shingles: np.ndarray) -> None:
+        if node not in self.parent:
+            self.hosts.append(node)
+            self.sets.append(shingles)
+            self.parent[node] = self.hosts[0] if self.one else node
+
+    def root(self, node: int) -> int:
+        while self.parent[node] != node:
+            self.parent[node] = node = self.parent[self.parent[node]]
+        return node
+
+    def links(self, node: int, shingles: np.ndarray) -> list[int]:
+        """Hosts that the guest connects with anew; it counts as connected with them from now on."""
+        if self.keys is None:
+            flat = np.concatenate(self.sets) if self.sets else np.empty(0, np.uint64)
+            order = np.argsort(flat, kind="stable")
+            owner = np.repeat(np.arange(len(self.sets)), [len(s) for s in self.sets])
+            self.owner = owner[order]
+            self.keys, first = np.unique(flat[order], return_index=True)
+            self.first = np.r_[first, len(flat)]
+            self.sizes = np.array([len(s) for s in self.sets], dtype=np.int64)
+            self.sets = []
+        if not len(self.keys):
+            return []
+        at = np.searchsorted(self.keys, shingles)
+        at[at == len(self.keys)] = 0
+        at = at[self.keys[at] == shingles]
+        lens = self.first[at + 1] - self.first[at]
+        spots = np.repeat(self.first[at] - np.r_[0, np.cumsum(lens)[:-1]], lens) + np.arange(lens.sum()) if len(at) else np.empty(0, np.int64)
+        common = np.bincount(self.owner[spots], minlength=len(self.hosts))
+        out = []
+        self.parent.setdefault(node, node)
+        for k in np.flatnonzero(100 * common >= self.percent * (self.sizes + len(shingles) - common)).tolist():
+            a, b = self.root(self.hosts[k]), self.root(node)
+            if a != b:
+                self.parent[b] = a
+                out.append(self.hosts[k])
+        return out
+
+
+def equal_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many columns each row of a equals each row of b; fewer than 256 columns."""
+    out = np.zeros((len(a), len(b)), dtype=np.uint8)
+    for x, y in zip(np.ascontiguousarray(a.T), np.ascontiguousarray(b.T), strict=True):
+        out += x[:, None] == y[None, :]
+    return out
 
 
 def _rest(members: DataFrame, found: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """u, v (u < v): all pairs of a bucket in different components whose sizes and signatures allow a link."""
+    """node, place, role: where the nodes of unsettled buckets meet those of other components.
+
+    Hosts are nodes with a guest whose sizes and signatures allow a link.  Those of a bucket's main component meet
+    guests in that component's blocks, the same in all buckets; others in blocks of their bucket's main component.
+    """
+    sizes = found.groupBy("component").agg(F.count("*").alias("nodes"))
     x = members.select("band", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     by = x.groupBy("band", "component").agg(F.count("*").alias("c"))
     open_ = by.groupBy("band").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("all"), F.count("*").alias("parts")).filter("parts > 1")
-    open_ = cut(open_.select("band", "main", "all", F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("most")) / SLICE_ROWS).cast("int").alias("slices")))
+    open_ = open_.join(sizes.withColumnRenamed("component", "main"), "main", "left")
+    others = F.col("all") - F.col("most")
+    power = lambda c: F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(1.0), c / BLOCK)))).cast("int")
+    open_ = cut(open_.select("band", "main", "all", F.ceil(F.col("all") / SLICE_ROWS).cast("int").alias("blocks"), power(others / (SLICE_ROWS / BLOCK)).alias("slices"), power(F.coalesce("nodes", F.lit(1))).alias("k0"), power(others).alias("k1")))
     x = join_hot(x, open_, "band", "all").join(nodes.select("node", "n", "signature"), "node")
-    block, part = F.pmod(F.hash("node"), F.col("blocks")).cast("int"), F.pmod(F.hash("node", F.lit(1)), F.col("slices")).cast("int")
+    h = F.hash("node")
+    own = F.col("component") == F.col("main")
+    host = F.when(own, F.concat_ws(":", F.lit("main"), "main", "k0", F.pmod(h, F.col("k0")))).otherwise(F.concat_ws(":", F.lit("rest"), "main", "k1", F.pmod(h, F.col("k1"))))
+    x = x.withColumns({"host": host, "block": F.pmod(F.hash("node", F.lit(1)), F.col("blocks")), "part": F.pmod(F.hash("node", F.lit(2)), F.col("slices"))})
     span = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
-    keep = ["band", "node", "component", "n", "signature"]
-    stay = x.select(*keep, block.alias("block"), F.explode(span("slices")).alias("slice"), F.lit(0).alias("role"))
-    go = x.filter("component <> main").select(*keep, F.explode(span("blocks")).alias("block"), part.alias("slice"), F.lit(1).alias("role"))
+    keep = ["band", "node", "component", "n", "signature", "host"]
+    stay = x.select(*keep, "block", F.explode(span("slices")).alias("slice"), "slices", F.lit(0).alias("role"))
+    go = x.filter(~own).select(*keep, F.explode(span("blocks")).alias("block"), F.col("part").alias("slice"), "slices", F.lit(1).alias("role"))
     least = percent / 100 - MARGIN
 
     def meet(g: pd.DataFrame) -> pd.DataFrame:
         a, b = (g[g["role"] == r].drop_duplicates("node") for r in (0, 1))
-        u, v = [], []
+        out: set[tuple] = set()
         if len(a) and len(b):
+            tail = f":{g['slices'].iloc[0]}:{g['slice'].iloc[0]}"
             sa, sb = (np.frombuffer(b"".join(x["signature"]), dtype=np.uint8).reshape(len(x), -1) for x in (a, b))
             (na, ca, ia), (nb, cb, ib) = ([x[c].to_numpy() for c in ("n", "component", "node")] for x in (a, b))
-            for k in range(len(b)):
-                ok = (ca != cb[k]) & (100 * np.minimum(na, nb[k]) >= percent * np.maximum(na, nb[k]))
-                at = np.flatnonzero(ok)
-                at = at[(sa[at] == sb[k]).mean(axis=1) >= least]
-                u += np.minimum(ia[at], ib[k]).tolist()
-                v += np.maximum(ia[at], ib[k]).tolist()
-        return pd.DataFrame({"u": np.array(u, dtype=np.int64), "v": np.array(v, dtype=np.int64)})
+            hosts = a["host"].to_numpy()
+            for k in range(0, len(b), 64):
+                s = slice(k, k + 64)
+                ok = (ca[:, None] != cb[None, s]) & (100 * np.minimum(na[:, None], nb[None, s]) >= percent * np.maximum(na[:, None], nb[None, s]))
+                ok &= equal_bytes(sa, sb[s]) >= least * sa.shape[1]
+                i, j = np.nonzero(ok)
+                out.update(zip(ia[i].tolist(), hosts[i].tolist(), [0] * len(i), strict=True))
+                out.update(zip(ib[s][j].tolist(), hosts[i].tolist(), [1] * len(i), strict=True))
+            return pd.DataFrame([(n, p + tail, r) for n, p, r in out], columns=["node", "place", "role"])
+        return pd.DataFrame({"node": np.empty(0, np.int64), "place": np.empty(0, object), "role": np.empty(0, np.int32)})
 
-    return stay.unionByName(go).groupBy("band", "block", "slice").applyInPandas(meet, "u bigint, v bigint").distinct()
+    return stay.unionByName(go).groupBy("band", "block", "slice").applyInPandas(meet, "node bigint, place string, role int").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
@@ -274,14 +356,13 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle_w
     every = written(signed(docs, shingle_words, Hasher(rows, bands)), "signed")
     nodes = written(every.filter("n > 0").groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "nodes")
     spread = nodes.select("node", F.explode("bands").alias("band"))
-    buckets = spread.groupBy("band").agg(F.min("node").alias("center"), F.count("*").alias("c")).filter("c > 1")
+    pick = F.struct(F.xxhash64("node", F.pmod("band", F.lit(CENTERS))).alias("h"), "node")
+    buckets = spread.groupBy("band").agg(F.min(pick).alias("center"), F.count("*").alias("c")).filter("c > 1").select("band", F.col("center.node").alias("center"), "c")
     members = written(join_hot(spread, cut(buckets), "band", "c").select("band", "node", "center"), "members")
     links = Links(docs, nodes, shingle_words, percent)
-    first = members.filter("node <> center").groupBy(F.col("node").alias("v")).agg(F.min("center").alias("u")).select("u", "v")
-    edges = cut(links.confirmed(links.sieved(first)))
-    found = cut(components(edges))
-    rest = _rest(members, found, nodes, percent).join(first, ["u", "v"], "left_anti")
-    more = cut(links.confirmed(rest))
+    near = links.nearest(members.filter("node <> center").select(F.col("center").alias("u"), F.col("node").alias("v")).distinct())
+    found = cut(components(links.stars(cut(near))))
+    more = cut(links.confirmed(_rest(members, found, nodes, percent)))
     stars = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
     found = components(stars.unionByName(more)) if more.take(1) else found
     named = cut(nodes.select("node", "rep", "copies").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
