@@ -138,7 +138,7 @@ def identify(docs: DataFrame, model: Model, text_col="text") -> tuple[DataFrame,
         m = shared.value
         names, scores, accepted = [UNKNOWN] * len(texts), [0.0] * len(texts), [False] * len(texts)
         use = [k for k, t in enumerate(texts) if t and m.classes and LETTER.search(t)]
-        for k, p in zip(use, m.probabilities([encode(texts[k].lower()) for k in use]), strict=True):
+        for k, p in zip(use, m.probabilities([encode(texts[k].lower()) for k in use]) if use else (), strict=True):
             best = int(p.argmax())
             names[k], scores[k], accepted[k] = m.classes[best], float(p[best]), bool(p[best] >= m.least)
         return [names, scores, accepted]
