@@ -14,13 +14,24 @@ from pyspark.sql import functions as F
 from ..functions.columns import strict_double, strict_int
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are computed once a row, however many expressions and lambdas use them after."""
+    names = list(columns)
+    made = F.struct(*(columns[n].alias(n) for n in names))
+    return df.withColumn("_once", F.explode(F.array(made))).select("*", *(F.col(f"_once.{n}").alias(n) for n in names)).drop("_once")
+
+
 def atoms_of(lines: Column) -> Column:
-    """residue -> point of the CA atoms among the lines of a chunk; of equal residues the last counts, malformed lines do not."""
-    own = F.filter(lines, lambda v: v.startswith("ATOM") & v.contains(" CA ") & (F.octet_length(v) >= 54))
+    """residue, k (line), x, y, z of the CA atoms among the lines, by residue and line; malformed lines don't count."""
     field = lambda v, a, n: F.substring(v, a, n)
-    parsed = F.transform(own, lambda v, k: F.struct(strict_int(field(v, 23, 4)).alias("residue"), k.alias("k"), strict_double(field(v, 31, 8)).alias("x"), strict_double(field(v, 39, 8)).alias("y"), strict_double(field(v, 47, 8)).alias("z")))
-    good = F.array_sort(F.filter(parsed, lambda a: a["residue"].isNotNull() & a["x"].isNotNull() & a["y"].isNotNull() & a["z"].isNotNull()))
-    last = F.filter(good, lambda a, k: (k == F.size(good) - 1) | (F.get(good, k + 1)["residue"] != a["residue"]))
+    own = F.filter(F.transform(lines, lambda v, k: F.struct(v.alias("v"), k.alias("k"))), lambda a: a["v"].startswith("ATOM") & a["v"].contains(" CA ") & (F.octet_length(a["v"]) >= 54))
+    parsed = F.transform(own, lambda a: F.struct(strict_int(field(a["v"], 23, 4)).alias("residue"), a["k"].alias("k"), strict_double(field(a["v"], 31, 8)).alias("x"), strict_double(field(a["v"], 39, 8)).alias("y"), strict_double(field(a["v"], 47, 8)).alias("z")))
+    return F.array_sort(F.filter(parsed, lambda a: a["residue"].isNotNull() & a["x"].isNotNull() & a["y"].isNotNull() & a["z"].isNotNull()))
+
+
+def points_of(atoms: Column) -> Column:
+    """residue -> point; of equal residues, which lie together, the last counts."""
+    last = F.filter(atoms, lambda a, k: (k == F.size(atoms) - 1) | (F.get(atoms, k + 1)["residue"] != a["residue"]))
     return F.map_from_entries(F.transform(last, lambda a: F.struct(a["residue"], F.struct(a["x"].alias("x"), a["y"].alias("y"), a["z"].alias("z")))))
 
 
@@ -35,15 +46,13 @@ def read_pdb(spark: SparkSession, path: str | list[str], max_frames: int | None
     meta = [F.col("_metadata.file_path").alias("traj_id"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("k")]
     raw = spark.read.option("lineSep", "\nMODEL").text(path).select("value", *meta)
     first = F.row_number().over(W.partitionBy("traj_id").orderBy("at", "k")) == 1
-    whole = F.split("value", "\r?\n")
-    has_model = F.when(F.col("value").startswith("MODEL"), True)  # only a file's first chunk keeps the word
-    head = F.when(has_model, F.get(whole, F.lit(0))).otherwise(F.concat(F.lit("MODEL"), F.get(whole, F.lit(0))))
-    cut = F.array_position(F.transform(whole, lambda v: v.startswith("ENDMDL")), True)
-    body = F.when(cut > 0, F.slice(whole, F.lit(1), (cut - 1).cast("int"))).otherwise(whole)
-    rest = F.slice(body, F.lit(2), F.greatest(F.lit(0), F.size(body) - 1))  # without the MODEL line
-    number = F.regexp_extract(head, r"^\S+\s+(\S+)", 1)
-    chunks = raw.select("traj_id", "at", "k", has_model.alias("named"), number.alias("number"), head.alias("head"), (cut > 0).alias("closed"), atoms_of(rest).alias("inside"), atoms_of(whole).alias("everything"))
-    index = chunks.select("traj_id", "at", "k", "named", "number", "head", "closed", (F.size("inside") > 0).alias("some"), (F.size("everything") > 0).alias("any"))
+    chunks = once(raw, lines=F.split("value", "\r?\n"), named=F.when(F.col("value").startswith("MODEL"), True))  # only a file's first chunk keeps the word
+    chunks = chunks.withColumn("head", F.when(F.col("named"), F.get("lines", F.lit(0))).otherwise(F.concat(F.lit("MODEL"), F.get("lines", F.lit(0))))).drop("value")
+    chunks = once(chunks, atoms=atoms_of(F.col("lines")), end=F.array_position(F.transform("lines", lambda v: v.startswith("ENDMDL")), True))
+    inside = F.filter("atoms", lambda a: (a["k"] > 0) & ((F.col("end") == 0) | (a["k"] < F.col("end") - 1)))
+    chunks = once(chunks.drop("lines"), inside=inside, number=F.regexp_extract("head", r"^\S+\s+(\S+)", 1))
+    chunks = chunks.withColumn("closed", F.col("end") > 0)
+    index = chunks.select("traj_id", "at", "k", "named", "number", "head", "closed", (F.size("inside") > 0).alias("some"), (F.size("atoms") > 0).alias("any"))
     per_file = W.partitionBy("traj_id")
     index = index.withColumn("opening", first & F.col("named").isNull())
     index = index.withColumns({"models": F.count(F.when(~F.col("opening"), 1)).over(per_file), "last": F.row_number().over(per_file.orderBy(F.col("at").desc(), F.col("k").desc())) == 1})
@@ -60,4 +69,5 @@ def read_pdb(spark: SparkSession, path: str | list[str], max_frames: int | None
     index = index.withColumn("final", F.row_number().over(by_number.orderBy(F.col("at").desc(), F.col("k").desc())) == 1).filter("final")
     own = index.select("traj_id", "at", "k", "frame", lone.alias("lone"))
     x = chunks.join(own, ["traj_id", "at", "k"])
-    return x.select("traj_id", "frame", F.when(F.col("lone"), F.col("everything")).otherwise(F.col("inside")).alias("coords"))
+    x = once(x, own=F.when(F.col("lone"), F.col("atoms")).otherwise(F.col("inside")))
+    return x.select("traj_id", "frame", points_of(F.col("own")).alias("coords"))
