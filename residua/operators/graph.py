@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
+
 #: The eight cells around a cell.
 AROUND = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]
 
@@ -56,6 +58,7 @@ def components(cells: DataFrame) -> DataFrame:
         rows = [(*own[m], c + 1) for c, members in enumerate(_components(own)) for m in members]
         return pd.DataFrame(rows, columns=["i", "j", "component"]).assign(map_id=g["map_id"].iloc[0])[["map_id", "i", "j", "component"]]
 
+    ship(cells.sparkSession)
     kind = cells.schema["map_id"].dataType.simpleString()
     return cells.groupBy("map_id").applyInPandas(run, f"map_id {kind}, i int, j int, component int")
 
@@ -147,6 +150,7 @@ def cluster_contacts(contacts: DataFrame, clusters: int = 10, min_size: int = 5)
         number = {own[m]: k for k, c in enumerate(split_to(own, large, clusters), 1) for m in c} if large else {}
         return g.assign(cluster=np.array([number.get(c, 0) for c in zip(g["i"], g["j"], strict=True)], dtype=np.int32))
 
+    ship(contacts.sparkSession)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in contacts.schema if f.name != "cluster")
     return contacts.drop("cluster").groupBy("map_id").applyInPandas(run, f"{schema}, cluster int")
 

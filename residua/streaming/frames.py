@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.columns import distance, is_formed
+from ..functions.shipping import ship
 
 #: Contacts that are put into the plan as literals at most.
 LITERAL_CONTACTS = 5_000
@@ -59,5 +60,6 @@ def stream_windows(fill: DataFrame, window_size: int) -> DataFrame:
         state.update((widx, count, first, json.dumps(total)))
         yield pd.DataFrame(out, columns=["traj_id", "widx", "frame", "cluster", "value"])
 
+    ship(fill.sparkSession)
     return fill.select("traj_id", "frame", "clusters").groupBy("traj_id").applyInPandasWithState(
         update, "traj_id string, widx bigint, frame int, cluster int, value double", "widx bigint, count bigint, first int, sums string", "append", "NoTimeout")
