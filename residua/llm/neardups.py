@@ -17,7 +17,6 @@ from __future__ import annotations
 from math import ceil, log
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -289,6 +288,8 @@ class Place:
 
 def equal_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """In how many columns each row of a equals each row of b; fewer than 256 columns."""
+    if len(a) * len(b) <= 256:
+        return np.count_nonzero(a[:, None, :] == b[None, :, :], axis=2)
     out = np.zeros((len(a), len(b)), dtype=np.uint8)
     for x, y in zip(np.ascontiguousarray(a.T), np.ascontiguousarray(b.T), strict=True):
         out += x[:, None] == y[None, :]
@@ -320,25 +321,49 @@ def _rest(members: DataFrame, found: DataFrame, nodes: DataFrame, percent: int)
     go = x.filter(~own).select(*keep, F.explode(span("blocks")).alias("block"), F.col("part").alias("slice"), "slices", F.lit(1).alias("role"))
     least = percent / 100 - MARGIN
 
-    def meet(g: pd.DataFrame) -> pd.DataFrame:
-        a, b = (g[g["role"] == r].drop_duplicates("node") for r in (0, 1))
-        out: set[tuple] = set()
-        if len(a) and len(b):
-            tail = f":{g['slices'].iloc[0]}:{g['slice'].iloc[0]}"
-            sa, sb = (np.frombuffer(b"".join(x["signature"]), dtype=np.uint8).reshape(len(x), -1) for x in (a, b))
-            (na, ca, ia), (nb, cb, ib) = ([x[c].to_numpy() for c in ("n", "component", "node")] for x in (a, b))
-            hosts = a["host"].to_numpy()
-            for k in range(0, len(b), 64):
-                s = slice(k, k + 64)
-                ok = (ca[:, None] != cb[None, s]) & (100 * np.minimum(na[:, None], nb[None, s]) >= percent * np.maximum(na[:, None], nb[None, s]))
-                ok &= equal_bytes(sa, sb[s]) >= least * sa.shape[1]
-                i, j = np.nonzero(ok)
-                out.update(zip(ia[i].tolist(), hosts[i].tolist(), [0] * len(i), strict=True))
-                out.update(zip(ib[s][j].tolist(), hosts[i].tolist(), [1] * len(i), strict=True))
-            return pd.DataFrame([(n, p + tail, r) for n, p, r in out], columns=["node", "place", "role"])
-        return pd.DataFrame({"node": np.empty(0, np.int64), "place": np.empty(0, object), "role": np.empty(0, np.int32)})
-
-    return stay.unionByName(go).groupBy("band", "block", "slice").applyInPandas(meet, "node bigint, place string, role int").distinct()
+    def meet(rows) -> set[tuple]:
+        """Hosts and guests of one band, block and slice that may be linked."""
+        roles = rows.column("role").to_numpy()
+        first, hosts = int((roles == 0).sum()), rows.column("host").to_pylist()
+        if not 0 < first < len(roles):
+            return set()
+        node, component, n = (rows.column(c).to_numpy() for c in ("node", "component", "n"))
+        signature = np.frombuffer(b"".join(rows.column("signature").to_pylist()), dtype=np.uint8).reshape(len(roles), -1)
+        tail, out = f":{rows.column('slices')[0]}:{rows.column('slice')[0]}", set()
+        for k in range(first, len(roles), 64):
+            g = slice(k, k + 64)
+            ok = (component[:first, None] != component[None, g]) & (100 * np.minimum(n[:first, None], n[None, g]) >= percent * np.maximum(n[:first, None], n[None, g]))
+            if ok.any():
+                ok &= equal_bytes(signature[:first], signature[g]) >= least * signature.shape[1]
+            for i, j in zip(*(x.tolist() for x in np.nonzero(ok)), strict=True):
+                out |= {(int(node[i]), hosts[i] + tail, 0), (int(node[k + j]), hosts[i] + tail, 1)}
+        return out
+
+    def run(batches):
+        import pyarrow as pa
+
+        keys, held, found = ["band", "block", "slice"], [], set()
+        for b in batches:
+            at = np.stack([b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in keys])
+            cuts = [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                if s == e:
+                    continue
+                if held and held[0][0] != tuple(at[:, s].tolist()):
+                    found |= meet(pa.Table.from_batches([x for _, x in held]))
+                    held = []
+                held.append((tuple(at[:, s].tolist()), b.slice(s, e - s)))
+            yield answer(pa, found)
+            found = set()
+        if held:
+            yield answer(pa, meet(pa.Table.from_batches([x for _, x in held])))
+
+    def answer(pa, rows: set[tuple]):
+        columns = [list(c) for c in zip(*rows, strict=True)] if rows else [[], [], []]
+        return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int32()), strict=True)], names=["node", "place", "role"])
+
+    dealt = stay.unionByName(go).repartition("band", "block", "slice").sortWithinPartitions("band", "block", "slice", "role")
+    return dealt.mapInArrow(run, "node bigint, place string, role int").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
