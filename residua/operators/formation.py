@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import distance, is_formed
+from ..functions.columns import distance, is_formed, once
 
 #: Contact maps up to this size are broadcast to the frames; larger ones are joined by residue.
 BROADCAST_CONTACTS = 50_000
@@ -28,8 +28,11 @@ def evaluated(frames: DataFrame, contacts: DataFrame, cutoff: float = 1.2, broad
     """
     c = contacts.select("ord", "i", "j", "r", "cluster")
     if c.limit(broadcast_contacts + 1).count() <= broadcast_contacts:
-        x = frames.join(F.broadcast(c), F.lit(True), "left")
-        d = distance(F.try_element_at("coords", "i"), F.try_element_at("coords", "j"))
+        low, high = F.array_min(F.map_keys("coords")), F.array_max(F.map_keys("coords"))
+        x = once(frames, low=low, places=F.transform(F.sequence(low, high), lambda r: F.try_element_at("coords", r)))  # by residue, so that contacts needn't search
+        x = x.select("traj_id", "frame", "low", "places").join(F.broadcast(c), F.lit(True), "left")
+        x = x.withColumns({"a": F.get("places", F.col("i") - F.col("low")), "b": F.get("places", F.col("j") - F.col("low"))})
+        d = distance(F.col("a"), F.col("b"))
         return x.select("traj_id", "frame", "ord", "i", "j", "cluster", is_formed(d, F.col("r"), cutoff).alias("formed"))
     points = unpack(frames).select("traj_id", "frame", "residue", F.struct("x", "y", "z").alias("p"))
     a = points.select("traj_id", "frame", F.col("residue").alias("i"), F.col("p").alias("a")).join(c, "i")

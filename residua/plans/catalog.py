@@ -137,7 +137,7 @@ def _stream(spark, sf_dir):
 
 def _pipeline(spark, sf_dir):
     a = analyze(inputs.frames(spark, sf_dir), inputs.contacts(spark, sf_dir), smooth_window=SMOOTH, window_size=WINDOW, cutoff=CUTOFF)
-    return a.summary.groupBy("cluster").agg(F.count("*").alias("windows"), F.count_if(F.col("value") >= CUTOFF).alias("formed"), F.min("frame").alias("first")).join(a.order.select("cluster", "rank"), "cluster", "left")
+    return a.summary.groupBy("cluster").agg(F.count("*").alias("windows"), F.count_if(F.col("value") >= CUTOFF).alias("formed"), F.min("frame").alias("first")).join(a.order.select("cluster", "rank"), "cluster", "left").na.fill(0, "rank")
 
 
 def _no_id(df: DataFrame) -> DataFrame:
@@ -178,7 +178,7 @@ def queries() -> dict:
         "contact_map_points": lambda s, d: views.contact_map_points(clustered(s, d)),
         "contact_map_stats": lambda s, d: views.contact_map_stats(clustered(s, d)),
         "cluster_distribution": lambda s, d: views.cluster_distribution(clustered(s, d)),
-        "trajectory_series": lambda s, d: _no_id(views.trajectory_series(formation.frame_q(evaluated(s, d)), fill(s, d).withColumn("value", F.col("n") / F.col("size")))),
+        "trajectory_series": lambda s, d: _no_id(views.trajectory_series(formation.frame_q(evaluated(s, d)), fill(s, d).withColumn("value", F.col("n") / F.col("size")))).na.fill(-1, "cluster"),
         "read_stats": lambda s, d: formation.read_stats(results(s, d)),
         "animation_points": lambda s, d: _no_id(views.animation_points(results(s, d), inputs.contacts(s, d))),
         "animation_titles": lambda s, d: _no_id(views.animation_titles(results(s, d))),
@@ -229,7 +229,7 @@ def oracle_sql() -> dict:
         "contact_map_points": f"{CLUSTERED} select j as x, i as y, cluster from contacts where i < j",
         "contact_map_stats": f"{CLUSTERED} select count(*) as total, count(*) filter (where cluster <> 0) as clustered, count(*) filter (where cluster = 0) as unassigned, count(*) filter (where i < j) as below_diagonal, count(distinct case when cluster <> 0 then cluster end) as clusters, max(greatest(i, j)) as max_residue from contacts",
         "cluster_distribution": f"{CLUSTERED} select cluster, count(*) as size from contacts group by cluster",
-        "trajectory_series": f"{atoms} select frame, 'q' as panel, cast(null as int) as cluster, 'line' as kind, q as value from q union all select frame, 'cluster', cluster, 'line', cast(n as double) / cast(size as double) from fill",
+        "trajectory_series": f"{atoms} select frame, 'q' as panel, cast(-1 as int) as cluster, 'line' as kind, q as value from q union all select frame, 'cluster', cluster, 'line', cast(n as double) / cast(size as double) from fill",
         "read_stats": f"{atoms} select count(*) as frames, min(q) as min_q, max(q) as max_q, cast(sum(contacts) as double) / count(*) as mean_contacts from q",
         "animation_points": f"{atoms} select frame, cluster, greatest(i, j) as x, least(i, j) as y from hit",
         "animation_titles": f"{atoms} select frame, 'Frame ' || frame || ' | Contacts: ' || contacts || ' | Q: ' || format('{{:.3f}}', q) as title from q",
@@ -237,5 +237,5 @@ def oracle_sql() -> dict:
         "number_text": "select l_orderkey, l_linenumber, regexp_replace(cast(cast(l_quantity as double) / 64 as varchar), '\\.0$', '') as text from lineitem",
         "map_literal_roundtrip": f"{atoms}, parts as (select frame, cluster, cast(n as double) / cast(size as double) as value from fill), texts as (select frame, '{{' || string_agg(cluster || ': ' || regexp_replace(cast(value as varchar), '\\.0$', ''), ', ' order by cluster) || '}}' as text from parts group by frame) select p.frame, t.text, p.cluster, p.value from parts p join texts t on t.frame = p.frame",
         "stream_fill": f"{atoms} select f.frame, q.contacts, q.q, f.cluster, f.n, f.size from fill f join q on q.frame = f.frame",
-        "pipeline_summary": f"{binned}, ranked as ({order}) select w.cluster, count(*) as windows, count(*) filter (where w.value >= cast(0.62 as double)) as formed, min(w.frame) as first, max(r.rank) as rank from win w left join ranked r on r.cluster = w.cluster group by w.cluster",
+        "pipeline_summary": f"{binned}, ranked as ({order}) select w.cluster, count(*) as windows, count(*) filter (where w.value >= cast(0.62 as double)) as formed, min(w.frame) as first, coalesce(max(r.rank), 0) as rank from win w left join ranked r on r.cluster = w.cluster group by w.cluster",
     }

@@ -20,19 +20,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+def frames(spark: SparkSession, sf_dir: str, only: str = "true") -> DataFrame:
     """``embeddings`` as a trajectory: frame vec_id + 1, residue k at elements 3k - 2 to 3k."""
-    at = lambda n: F.get("embedding", F.lit(n)).cast("double")
-    points = F.array(*(F.struct(at(3 * k).alias("x"), at(3 * k + 1).alias("y"), at(3 * k + 2).alias("z")) for k in range(RESIDUES)))
-    coords = F.map_from_arrays(F.array(*map(F.lit, range(1, RESIDUES + 1))), points)
-    return table(spark, sf_dir, "embeddings").select(F.lit("embeddings").alias("traj_id"), (F.col("vec_id") + 1).cast("int").alias("frame"), coords.alias("coords"))
+    at = lambda n: F.get("embedding", n).cast("double")
+    points = F.transform(F.sequence(F.lit(0), F.lit(RESIDUES - 1)), lambda k: F.struct(at(3 * k).alias("x"), at(3 * k + 1).alias("y"), at(3 * k + 2).alias("z")))
+    coords = F.map_from_arrays(F.sequence(F.lit(1), F.lit(RESIDUES)), points)
+    return table(spark, sf_dir, "embeddings").filter(only).select(F.lit("embeddings").alias("traj_id"), (F.col("vec_id") + 1).cast("int").alias("frame"), coords.alias("coords"))
 
 
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Native contacts of frame 1: residues at least three apart, r their distance, cluster (i + j) mod 5."""
     from ..operators.formation import unpack
 
-    one = unpack(frames(spark, sf_dir).filter("frame = 1")).select("residue", F.struct("x", "y", "z").alias("p"))
+    one = unpack(frames(spark, sf_dir, "vec_id = 0")).select("residue", F.struct("x", "y", "z").alias("p"))
     a, b = one.select(F.col("residue").alias("i"), F.col("p").alias("a")), one.select(F.col("residue").alias("j"), F.col("p").alias("b"))
     x = a.join(F.broadcast(b), F.col("j") >= F.col("i") + 3)  # 21 rows
     return x.select((F.col("i") * 1000 + F.col("j")).cast("bigint").alias("ord"), "i", "j", distance(F.col("a"), F.col("b")).alias("r"), ((F.col("i") + F.col("j")) % CLUSTERS).cast("int").alias("cluster"))

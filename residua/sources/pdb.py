@@ -11,14 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.columns import strict_double, strict_int
-
-
-def once(df: DataFrame, **columns: Column) -> DataFrame:
-    """``df`` with columns that are computed once a row, however many expressions and lambdas use them after."""
-    names = list(columns)
-    made = F.struct(*(columns[n].alias(n) for n in names))
-    return df.withColumn("_once", F.explode(F.array(made))).select("*", *(F.col(f"_once.{n}").alias(n) for n in names)).drop("_once")
+from ..functions.columns import once, strict_double, strict_int
 
 
 def atoms_of(lines: Column) -> Column:
