@@ -55,13 +55,15 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, total: int | None = None) -> DataFrame:
     """Inner join of ``left`` with ``right``, which has one row per key and in ``weight`` the number of left rows with it.
 
     Keys with over 1/HOT_SHARE of the left rows are fewer than HOT_SHARE, so that part of ``right`` has a proven
-    bound and is broadcast; the others go through an ordinary shuffled join and are small by definition.
+    bound and is broadcast; the others go through an ordinary shuffled join and are small by definition.  ``total`` is
+    the sum of the weights, if known.
     """
-    total = right.agg(F.coalesce(F.sum(weight), F.lit(0)).alias("t")).first()["t"]
+    if total is None:
+        total = right.agg(F.coalesce(F.sum(weight), F.lit(0)).alias("t")).first()["t"]
     limit = max(1000, total // HOT_SHARE)
     hot = right.filter(F.col(weight) > limit)
     cold = right.filter(F.col(weight) <= limit)

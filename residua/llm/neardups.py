@@ -20,13 +20,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, cut, fresh, join_hot, written
+from .common import col, fresh, join_hot, written
 from .texts import LOWER, append, encode, slices
 
 MOST_HASHES, MISS = 192, 1e-6
 #: Signature bytes agree by chance in 1 of 256; the sieve lets pass what is this much under the threshold.
 MARGIN = 0.16
 BLOCK, SLICE_ROWS = 512, 4096
+#: Edges of a partition in the rounds of the stars.
+EDGES = 500_000
 #: How many nodes of a group the buckets of the group have as centers, about.
 CENTERS = 6
 #: Texts of pairs are picked by a broadcast of at most so many rows of 40 bytes, by a shuffled join beyond.
@@ -35,6 +37,11 @@ NO_ID = -(2**63)
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """A table in the shared folder: its small files are read together, so what follows has few tasks where there is little."""
+    return written(df, "links")
+
+
 def banding(threshold: float, most: int = MOST_HASHES, miss: float = MISS) -> tuple[int, int]:
     """Rows a band and bands: most rows, so that a pair at the threshold is missed with at most this probability."""
     for rows in range(12, 0, -1):
@@ -151,9 +158,9 @@ def signed(docs: DataFrame, size: int, hasher: Hasher) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) of every node that has an edge u, v: alternating large-star and small-star."""
 
-    def stars(e: DataFrame, key_side: DataFrame) -> DataFrame:
+    def stars(e: DataFrame, key_side: DataFrame, total: int) -> DataFrame:
         least = key_side.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("w"))
-        return join_hot(e, least, "u", "w")
+        return join_hot(e, least, "u", "w", total)
 
     def state(e: DataFrame) -> tuple:
         r = e.agg(F.count("*").alias("n"), F.sum(F.shiftright(F.xxhash64("u", "v"), 16)).alias("s")).first()
@@ -161,12 +168,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     e = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     last, now = None, state(e)
+    parts = 1 + now[0] // EDGES  # there are never more than twice the edges, so few files each round
+    e = e.coalesce(parts)
     while now != last:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = stars(both.filter("v > u"), both).select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
-        large = cut(large)
-        small = stars(large, large)
-        e = cut(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct())
+        large = stars(both.filter("v > u"), both, 2 * now[0]).select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        large = cut(large.coalesce(parts))
+        small = stars(large, large, now[0])
+        e = cut(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct().coalesce(parts))
         last, now = now, state(e)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
