@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import col
-from .texts import append, encode, sha256
+from .texts import append, encode, ready, sha256
 
 WINDOW = RUN = 64
 MIN_WINS = 16
@@ -244,5 +244,5 @@ def fingerprints(docs: DataFrame, id_col="doc_id", text_col="text", ranges: int
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
         return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in FIELDS.split(", ")])
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 256)
+    ready(docs)
     return followed(docs, id_col, text_col, ranges).drop("code").mapInArrow(run, FIELDS).withColumnRenamed("id", id_col)

@@ -9,6 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..functions.shipping import ship
+
 #: Rows of a table that Python gets at once; texts of one batch are then worked on in slices of SLICE bytes.
 BATCH_ROWS = 256
 SLICE = 1 << 20
@@ -43,6 +45,12 @@ def joined(blobs: list[bytes], gap: int = 0) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer((b"\xff" * gap).join([*blobs, b""]) if gap else b"".join(blobs), dtype=np.uint8), ends
 
 
+def ready(df: DataFrame) -> None:
+    """Python workers have the package and get BATCH_ROWS rows at once, however long their texts are."""
+    ship(df.sparkSession)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def by_batch(df: DataFrame, columns: list[str], work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """``work`` on every Arrow batch of these columns of ``df``."""
 
@@ -51,7 +59,7 @@ def by_batch(df: DataFrame, columns: list[str], work: Callable[[pd.DataFrame], p
             for at in range(0, len(x), BATCH_ROWS):
                 yield work(x.iloc[at : at + BATCH_ROWS].reset_index(drop=True))
 
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    ready(df)
     return df.select(*columns).mapInPandas(run, schema)
 
 
@@ -79,5 +87,5 @@ def append(df: DataFrame, inputs: list[str], work: Callable[..., list[list]], fi
                 arrays = [pa.array(v, type=kind) for v, kind in zip(got, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(c.column(k) for k in left), *arrays], names=names)
 
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    ready(df)
     return df.mapInArrow(run, schema)
