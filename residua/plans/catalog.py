@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import binary, list_text, map_text, native_distance, number_text, parse_list, parse_map
 from ..operators import formation, graph, ordering, series, views
 from ..sources.pdb import read_pdb
+from ..sources.tables import read_contacts, read_contacts_raw, read_parsed, read_smoothed, read_summary
 from ..streaming.frames import stream_fill
 from . import inputs
 from .pipeline import analyze
@@ -130,6 +131,41 @@ def _roundtrip_list(spark, sf_dir):
     return x.select("frame", F.inline(parse_list(F.col("text"))))
 
 
+def _csv(df: DataFrame) -> str:
+    """``df`` as CSV with header in a new folder; its path."""
+    path = inputs.new_folder(df.sparkSession, "csv")
+    df.write.option("header", True).option("escape", '"').csv(path)
+    return path
+
+
+def _parsed_csv(spark, sf_dir):
+    x = results(spark, sf_dir).select("frame", "contacts", number_text(F.col("q")).alias("q"), list_text(F.col("contact_list")).alias("contact_list"), map_text(F.col("clusters_filling")).alias("clusters_filling"))
+    back = read_parsed(spark, _csv(x))
+    return back.select("frame", "contacts", "q", F.size("contact_list").alias("listed"), F.explode("clusters_filling").alias("cluster", "value"))
+
+
+def _summary_csv(spark, sf_dir):
+    x = series.wide(_summary(spark, sf_dir, CUTOFF), ["frame"], list(range(inputs.CLUSTERS)))
+    return ordering.formation_order(ordering.with_index(read_summary(spark, _csv(x.coalesce(1))))).select("rank", "cluster")
+
+
+def _smoothed_csv(spark, sf_dir):
+    x = series.wide(series.smooth(fill(spark, sf_dir), SMOOTH), ["frame"], list(range(inputs.CLUSTERS)), "_smooth")
+    x = x.join(series.smooth_q(formation.frame_q(evaluated(spark, sf_dir)), SMOOTH).select("frame", "q_smooth"), "frame")
+    return read_smoothed(spark, _csv(x)).select("frame", "q_smooth", "cluster", "value")
+
+
+def _contacts_csv(spark, sf_dir):
+    x = read_contacts(spark, _csv(inputs.contacts(spark, sf_dir).select("i", "j", number_text(F.col("r")).alias("r"), "cluster")))
+    return x.select("i", "j", "r", "cluster")
+
+
+def _contacts_raw(spark, sf_dir):
+    path = inputs.new_folder(spark, "cont")
+    inputs.table(spark, sf_dir, "part").select(F.concat_ws(" ", "p_partkey", F.col("p_partkey") + 3, "p_size", F.col("p_retailprice").cast("string"))).write.text(path)
+    return read_contacts_raw(spark, path).select("i", "j", "r")
+
+
 def _stream(spark, sf_dir):
     x = stream_fill(inputs.frames(spark, sf_dir), inputs.contacts(spark, sf_dir).collect())
     return x.select("frame", "contacts", "q", F.inline("clusters"))
@@ -185,6 +221,11 @@ def queries() -> dict:
         "map_literal_roundtrip": _roundtrip_map,
         "contact_list_roundtrip": _roundtrip_list,
         "number_text": lambda s, d: inputs.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", number_text(F.col("l_quantity").cast("double") / F.lit(64.0)).alias("text")),
+        "parsed_csv": _parsed_csv,
+        "summary_csv": _summary_csv,
+        "smoothed_csv": _smoothed_csv,
+        "contacts_csv": _contacts_csv,
+        "contacts_raw": _contacts_raw,
         "stream_fill": _stream,
         "pipeline_summary": _pipeline,
     }
@@ -236,6 +277,11 @@ def oracle_sql() -> dict:
         "contact_list_roundtrip": f"{atoms} select frame, i, j from hit",
         "number_text": "select l_orderkey, l_linenumber, regexp_replace(cast(cast(l_quantity as double) / 64 as varchar), '\\.0$', '') as text from lineitem",
         "map_literal_roundtrip": f"{atoms}, parts as (select frame, cluster, cast(n as double) / cast(size as double) as value from fill), texts as (select frame, '{{' || string_agg(cluster || ': ' || regexp_replace(cast(value as varchar), '\\.0$', ''), ', ' order by cluster) || '}}' as text from parts group by frame) select p.frame, t.text, p.cluster, p.value from parts p join texts t on t.frame = p.frame",
+        "parsed_csv": f"{atoms} select f.frame, q.contacts, q.q, cast(q.contacts as int) as listed, f.cluster, cast(f.n as double) / cast(f.size as double) as value from fill f join q on q.frame = f.frame",
+        "summary_csv": f"{binned} select rank, cluster from ({order}) t",
+        "smoothed_csv": f"{atoms}, qs as (select frame, cast(sum(contacts) over w as double) / (total * count(*) over w) as q_smooth from q window w as (order by frame rows between 50 preceding and 50 following)), fs as (select frame, cluster, cast(sum(n) over {over} as double) / (size * count(*) over {over}) as value from fill) select fs.frame, q_smooth, cluster, value from fs join qs on qs.frame = fs.frame",
+        "contacts_csv": f"{atoms} select i, j, r, cluster from contacts",
+        "contacts_raw": "select cast(p_partkey as int) as i, cast(p_partkey + 3 as int) as j, 10 * sqrt(cast(1.2 as double) * (cast(p_retailprice as double) / cast(p_size as double))) as r from part",
         "stream_fill": f"{atoms} select f.frame, q.contacts, q.q, f.cluster, f.n, f.size from fill f join q on q.frame = f.frame",
         "pipeline_summary": f"{binned}, ranked as ({order}) select w.cluster, count(*) as windows, count(*) filter (where w.value >= cast(0.62 as double)) as formed, min(w.frame) as first, coalesce(max(r.rank), 0) as rank from win w left join ranked r on r.cluster = w.cluster group by w.cluster",
     }

@@ -53,9 +53,15 @@ def events_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select(F.col("user_id").alias("traj_id"), frame.cast("int").alias("frame"), kind.cast("int").alias("cluster"), F.floor(F.col("value") * 100).cast("bigint").alias("n"), F.lit(100).cast("bigint").alias("size"))
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A path in the folder that all executors share; in tests one of our own."""
+    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="residua-")
+    return f"{shared}/{label}-{uuid.uuid4().hex}"
+
+
 def pdb_text(spark: SparkSession, sf_dir: str, files: int | None = None) -> str:
     """The trajectory as PDB files in a new folder, a model per row; its path."""
-    path = f"{spark.sparkContext.getCheckpointDir() or spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='residua-')}/pdb-{uuid.uuid4().hex}"
+    path = new_folder(spark, "pdb")
     x = frames(spark, sf_dir).select("frame", F.map_entries("coords").alias("points"))
     atom = F.transform("points", lambda p: F.format_string("ATOM  %5d  CA  ALA A%4d    %8.3f%8.3f%8.3f  1.00  0.00           C", p["key"], p["key"], p["value"]["x"], p["value"]["y"], p["value"]["z"]))
     lines = x.select("frame", F.concat(F.format_string("MODEL     %4d\n", "frame"), F.array_join(atom, "\n"), F.lit("\nENDMDL")).alias("value"))
