@@ -15,7 +15,7 @@ from __future__ import annotations
 import base64
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import col
@@ -168,6 +168,14 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return min(1.0, total / float(own.sum()))
 
 
+def apart(spark: SparkSession, n: int) -> list[int]:
+    """n numbers of which Spark's hash partitioning into n deals each to a partition of its own."""
+    numbers = spark.range(n * (16 + 2 * n.bit_length()), numPartitions=1).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("p"))
+    own = {r["p"]: r["id"] for r in numbers.groupBy("p").agg(F.min("id").alias("id")).collect()}
+    spare = iter(range(-1, -n - 1, -1))  # a partition that no number has found gets another's neighbour
+    return [own[p] if p in own else next(spare) for p in range(n)]
+
+
 def followed(docs: DataFrame, id_col="doc_id", text_col="text", ranges: int | None = None) -> DataFrame:
     """part, extra, id, body: all rows, dealt to id ranges, and per range once more, as ``extra``, the row that comes after its last.
 
@@ -183,19 +191,20 @@ def followed(docs: DataFrame, id_col="doc_id", text_col="text", ranges: int | No
     code = F.xxhash64("body").alias("code")
     tops = append(rows.select("id", code), ["id"], part, [("part", "bigint")]).groupBy("part").agg(F.max(F.struct("id", "code")).alias("top"))
     found = sorted((r["part"], r["top"]["id"], r["top"]["code"]) for r in tops.collect())  # one row per range
+    name = apart(docs.sparkSession, n + 1)  # parts are 0 (null ids) to n
     needed: dict[tuple, list[int]] = {}
     for k, (p, _, _) in enumerate(found):
         _, i, c = found[k - 1]  # the next lower range; for the lowest the highest
-        needed.setdefault((i, c), []).append(p)
+        needed.setdefault((i, c), []).append(name[p])
 
     def parts(ids: list, codes: list) -> list[list]:
-        own = part(ids)[0]
+        own = [name[p] for p in part(ids)[0]]
         return [own, [needed.get((i, c), []) for i, c in zip(ids, codes, strict=True)]]
 
     x = append(rows.select("id", "body", code), ["id", "code"], parts, [("part", "bigint"), ("more", "array<bigint>")])
     x = x.withColumn("to", F.explode(F.concat(F.array(F.struct("part", F.lit(False).alias("extra"))), F.transform("more", lambda p: F.struct(p.alias("part"), F.lit(True).alias("extra"))))))
     x = x.select("to.part", "to.extra", "id", "code", "body")
-    return x.repartition(n, "part").sortWithinPartitions("part", "extra", F.col("id").desc_nulls_last(), F.col("code").desc())
+    return x.repartition(n + 1, "part").sortWithinPartitions("part", "extra", F.col("id").desc_nulls_last(), F.col("code").desc())
 
 
 FIELDS = "id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

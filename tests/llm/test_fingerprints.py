@@ -55,10 +55,10 @@ def test_likeness():
 def test_operator(spark, ranges):
     rng = random.Random(5)
     prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(n))
-    rows = [(k * 3, prose(rng.choice([0, 1, 30, 200]))) for k in range(40)] + [(200, None), (201, ""), (202, "é漢😀" * 40), (203, "z" * 300_000)]
+    rows = [(k * 3, prose(rng.choice([0, 1, 30, 200]))) for k in range(40)] + [(200, None), (201, ""), (202, "é漢😀" * 40), (203, "z" * 300_000), (None, prose(90))]
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id bigint, text string, fingerprint string").repartition(4)
     got = {r["doc_id"]: r for r in m.fingerprints(docs, ranges=ranges).collect()}
-    order = sorted(rows, key=lambda r: -r[0])
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
     assert len(got) == len(rows)
     for k, (i, t) in enumerate(order):
         t, after = t or "", order[(k + 1) % len(order)][1] or ""
