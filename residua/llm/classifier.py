@@ -207,8 +207,8 @@ def spread(data: bytes, pieces: int = PIECES) -> bytes:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="quality", per_class: int = PER_CLASS) -> Network:
-    """Learn from the rows of ``docs`` whose id has a label; at most 2 * per_class * PIECES chunks of a label reach the driver."""
-    kinds = labels.select(col(id_col).alias("id"), col(label_col).cast("int").alias("label")).filter("label in (0, 1)").dropDuplicates(["id"])
+    """Learn from the rows of ``docs`` whose id has a label (the larger of several); at most 2 * per_class * PIECES chunks of a label reach the driver."""
+    kinds = labels.select(col(id_col).alias("id"), col(label_col).cast("int").alias("label")).filter("label in (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
     shares = {r["label"]: r["count"] for r in kinds.groupBy("label").count().collect()}
     chosen = bounded_sample(kinds, "label", "id", per_class)
     x = docs.filter(col(text_col).isNotNull()).select(col(id_col).alias("id"), col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # at most 4 * per_class rows
