@@ -409,7 +409,11 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle_w
 
 
 def deduplicated(docs: DataFrame, id_col="doc_id", text_col="text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, with its columns, that near_duplicates keeps; of rows with a kept id that repeat it with other texts all stay."""
+    """The rows of ``docs``, with its columns, whose id near_duplicates keeps.
+
+    An id is a document: rows that repeat a kept id all stay, rows of an id go if any of them isn't kept, and rows
+    without an id, which can't be told apart, stay.
+    """
     key = fresh(docs, "kept_id")[0]
     gone = near_duplicates(docs, id_col, text_col, shingle_words, percent).filter("not kept").select(F.col(id_col).alias(key)).distinct()
     return docs.join(gone, col(id_col) == F.col(key), "left_anti")
