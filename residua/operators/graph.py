@@ -64,24 +64,36 @@ def components(cells: DataFrame) -> DataFrame:
 
 
 def components_wide(cells: DataFrame) -> DataFrame:
-    """map_id, i, j, root_i, root_j: each cell's smallest reachable cell, by joins that propagate minima and jump to the roots' roots.
+    """map_id, i, j, root_i, root_j: each cell's smallest reachable cell, by joins alone.
 
-    Lineage is cut each round by a checkpoint in the session's checkpoint folder.
+    Rounds hang every cell's larger neighbours on its smallest one, then its smaller ones, until all edges lead to
+    roots; the number of rounds grows with the logarithm of a component's size.  Lineage is cut each round by a
+    checkpoint in the session's checkpoint folder.
     """
     spark = cells.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         import tempfile
 
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="residua-"))
-    edges = adjacency_edges(cells).select("map_id", F.struct("i", "j").alias("a"), F.struct(F.col("i2").alias("i"), F.col("j2").alias("j")).alias("b")).checkpoint()
-    x = cells.select("map_id", F.struct("i", "j").alias("a")).distinct().withColumn("root", F.col("a")).checkpoint()
-    while True:
-        near = edges.join(x.select("map_id", F.col("a").alias("b"), F.col("root").alias("r")), ["map_id", "b"]).groupBy("map_id", "a").agg(F.min("r").alias("r"))
-        y = x.join(near, ["map_id", "a"], "left").select("map_id", "a", F.least("root", F.coalesce("r", "root")).alias("root"), F.col("root").alias("old"))
-        y = y.join(y.select("map_id", F.col("a").alias("root"), F.col("root").alias("jump")), ["map_id", "root"]).select("map_id", "a", "jump", "old").checkpoint()
-        x = y.select("map_id", "a", F.col("jump").alias("root"))
-        if not y.filter("jump <> old").take(1):
-            return x.select("map_id", "a.i", "a.j", F.col("root.i").alias("root_i"), F.col("root.j").alias("root_j"))
+    key = ["map_id", "a"]
+    e = adjacency_edges(cells).select("map_id", F.struct("i", "j").alias("a"), F.struct(F.col("i2").alias("i"), F.col("j2").alias("j")).alias("b")).filter("a > b").checkpoint()
+    last, now = None, _state(e)
+    parts = 1 + now[0] // 500_000
+    while now != last:
+        e = e.coalesce(parts)
+        both = e.unionByName(e.select("map_id", F.col("b").alias("a"), F.col("a").alias("b")))
+        large = both.filter("b > a").join(both.groupBy(*key).agg(F.min("b").alias("m")), key).select("map_id", F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
+        large = large.coalesce(parts).checkpoint()
+        small = large.join(large.groupBy(*key).agg(F.min("b").alias("m")), key)
+        e = small.filter("b <> m").select("map_id", F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("map_id", "a", F.col("m").alias("b"))).distinct().coalesce(parts).checkpoint()
+        last, now = now, _state(e)
+    x = cells.select("map_id", F.struct("i", "j").alias("a")).distinct().join(e, key, "left").withColumn("root", F.coalesce("b", "a"))
+    return x.select("map_id", "a.i", "a.j", F.col("root.i").alias("root_i"), F.col("root.j").alias("root_j"))
+
+
+def _state(edges: DataFrame) -> tuple:
+    r = edges.agg(F.count("*").alias("n"), F.sum(F.shiftright(F.xxhash64("map_id", "a", "b"), 16)).alias("s")).first()
+    return r["n"], r["s"]
 
 
 def two_means(points: np.ndarray, starts: int = 10, seed: int = 42) -> np.ndarray:
