@@ -51,6 +51,17 @@ def ready(df: DataFrame) -> None:
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
+def give_back() -> None:
+    """What a task has freed goes back to the machine: the worker lives on, and others need the memory."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        trim(0)
+
+
 def by_batch(df: DataFrame, columns: list[str], work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """``work`` on every Arrow batch of these columns of ``df``."""
 
@@ -58,6 +69,7 @@ def by_batch(df: DataFrame, columns: list[str], work: Callable[[pd.DataFrame], p
         for x in batches:
             for at in range(0, len(x), BATCH_ROWS):
                 yield work(x.iloc[at : at + BATCH_ROWS].reset_index(drop=True))
+        give_back()
 
     ready(df)
     return df.select(*columns).mapInPandas(run, schema)
@@ -86,6 +98,7 @@ def append(df: DataFrame, inputs: list[str], work: Callable[..., list[list]], fi
                 got = work(*(c.column(k).to_pylist() for k in places))
                 arrays = [pa.array(v, type=kind) for v, kind in zip(got, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(c.column(k) for k in left), *arrays], names=names)
+        give_back()
 
     ready(df)
     return df.mapInArrow(run, schema)
