@@ -1,15 +1,22 @@
 """Quality rules with risk-controlled cutoffs.
 
-A rule rejects texts whose measure exceeds a cutoff.  Cutoffs come from labelled texts: per stratum and rule, cutoffs of
-a fixed grid are tested from the loosest on, each by an exact binomial test of "the rule rejects more than its part of
-``alpha`` of the good texts".  The rejected sets are nested, so testing in this fixed order and stopping at the first
-failure needs no correction along the grid; over strata and rules Bonferroni's correction shares out ``delta``.
-With probability 1 - delta no stratum loses more than ``alpha`` of its good texts.  Strata with too few labels for any
-guarantee get no cutoff.
+A rule rejects texts whose measure exceeds a cutoff.  Cutoffs come from labelled texts: of n good texts of a stratum, k
+may lie at or beyond its cutoffs, the largest k for which an exact binomial test rejects "more than ``alpha`` of the good
+texts are beyond".  The k places go round the rules, passing those that are down to zero, and a rule with j of them has
+its j-th largest good measure as its cutoff.  These are the sequentially determined blocks of Tukey and Fraser, whose
+share of all good texts depends on k and n only; so the whole ``alpha`` is spent on what the rules of a stratum reject
+together, without a correction over rules or cutoffs.  Strata share out ``delta`` by Bonferroni's correction.
+
+Strata with too few labels for a test of their own (for the defaults, 299 good texts for one test, 437 for four) have the
+cutoffs of one pooled stratum: all such strata together or, if that is still too small, all strata together; so have
+strata without labels.  With probability 1 - delta neither the pool nor any other stratum loses more than ``alpha`` of
+its good texts; of one pooled stratum alone nothing is promised.  A stratum with few places has cutoffs for the first
+rules only.  With too few labels altogether there are no cutoffs.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from math import lgamma, log, log1p
 
 import numpy as np
@@ -95,19 +102,31 @@ def at_most(k: int, n: int, p: float) -> float:
     return float(min(1.0, np.exp(np.array(terms) - top).sum() * np.exp(top)))
 
 
+def places(n: int, alpha: float, delta: float) -> int:
+    """How many of ``n`` good texts may lie at or beyond cutoffs that reject less than ``alpha``, but for a probability of ``delta``."""
+    return bisect_right(range(min(n, int(2 * n * alpha) + 50)), delta, key=lambda k: at_most(k, n, alpha))
+
+
+def cutoffs(good: dict[str, np.ndarray], k: int) -> dict[str, int]:
+    """By rule, the cell above which it rejects, ``k`` places shared out over the rules; ``good`` counts the same good texts per cell for each."""
+    beyond = {r: np.cumsum(c[::-1])[::-1] for r, c in good.items()}  # texts in a cell or above
+    most = {r: int(b[1]) + 1 for r, b in beyond.items()}  # the place that is in cell 0
+    own = dict.fromkeys(good, 0)
+    while k > 0 and (open_ := [r for r in good if own[r] < most[r]]):
+        step = max(1, min(k // len(open_), *(most[r] - own[r] for r in open_)))
+        for r in open_[:k]:
+            own[r] += step
+            k -= step
+    return {r: int(np.flatnonzero(beyond[r] >= j)[-1]) for r, j in own.items() if j}
+
+
 def cutoff(good: np.ndarray, alpha: float, delta: float) -> int | None:
     """The strictest cell g such that rejecting cells above g is safe; ``good`` counts the good texts per cell. None: not even rejecting none is shown to be."""
-    n, best, rejected = int(good.sum()), None, 0
-    for g in range(len(good) - 1, -1, -1):
-        if at_most(rejected, n, alpha) > delta:
-            break
-        best = g
-        rejected += int(good[g])
-    return best
+    return cutoffs({"": good}, places(int(good.sum()), alpha, delta)).get("")
 
 
-def fit(measured_docs: DataFrame, names: dict, labels: DataFrame, id_col="doc_id", stratum_col="lang", label_col="quality", alpha: float = ALPHA, delta: float = DELTA) -> dict[str, dict[str, float]]:
-    """Cutoffs by stratum and rule, from all labelled texts; copies of a text count once.
+def fit(measured_docs: DataFrame, names: dict, labels: DataFrame, id_col="doc_id", stratum_col="lang", label_col="quality", alpha: float = ALPHA, delta: float = DELTA) -> dict[str | None, dict[str, int]]:
+    """Cutoffs by stratum and rule, from all labelled texts; copies of a text count once.  None: those of all other strata.
 
     What reaches the driver is a histogram of GRID + 1 cells per stratum and rule.
     """
@@ -118,15 +137,18 @@ def fit(measured_docs: DataFrame, names: dict, labels: DataFrame, id_col="doc_id
     long = x.select("stratum", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).alias("cell")) for r in kinds))).alias("v")).groupBy("stratum", "v.rule", "v.cell").count()
     found: dict = {}
     for r in long.collect():
-        found.setdefault(r["stratum"], {}).setdefault(r["rule"], np.zeros(GRID + 1, dtype=np.int64))[r["cell"]] += r["count"]
-    tests = max(1, len(found) * len(kinds))
-    out: dict[str, dict[str, float]] = {}
-    for s, by_rule in found.items():
-        for r, good in by_rule.items():
-            g = cutoff(good, alpha / len(kinds), delta / tests)
-            if g is not None and g < GRID:
-                out.setdefault(s, {})[r] = g
-    return out
+        found.setdefault(r["stratum"], {k: np.zeros(GRID + 1, dtype=np.int64) for k in kinds})[r["rule"]][r["cell"]] += r["count"]
+    size = {s: int(good[kinds[0]].sum()) for s, good in found.items()}
+    by_size = sorted(size, key=lambda s: (-size[s], s))
+    k = 0  # strata with cutoffs of their own, chosen by their sizes alone; one more test is the pool's
+    while k < len(by_size) and places(size[by_size[k]], alpha, delta / (k + 2)):
+        k += 1
+    pool = by_size[k:]
+    if not places(sum(size[s] for s in pool), alpha, delta / (k + 1)):
+        pool = by_size
+    sets: dict = {s: found[s] for s in by_size[:k]}
+    sets[None] = {r: sum((found[s][r] for s in pool), np.zeros(GRID + 1, dtype=np.int64)) for r in kinds}
+    return {s: cutoffs(good, places(int(good[kinds[0]].sum()), alpha, delta / (k + 1))) for s, good in sets.items()}
 
 
 def verdicts(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", stratum_col="lang", label_col="quality", alpha: float = ALPHA, delta: float = DELTA) -> tuple[DataFrame, dict]:
@@ -138,13 +160,15 @@ def verdicts(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text
     small = docs.select(*dict.fromkeys([id_col, stratum_col, text_col]))
     x, names = measured(small, text_col)
     x = written(x.drop(text_col), "measures")
-    cutoffs = fit(x, names, labels, id_col, stratum_col, label_col, alpha, delta)
+    found = fit(x, names, labels, id_col, stratum_col, label_col, alpha, delta)
     stratum = F.coalesce(col(stratum_col).cast("string"), F.lit(""))
     fails = []
     for r, v in rules(names).items():
-        cells = {s: c[r] for s, c in cutoffs.items() if r in c}
-        if cells:  # a stratum here has enough labels for a guarantee, so there are few of them
-            limit = F.element_at(F.create_map(*(F.lit(y) for p in cells.items() for y in p)), stratum)
+        cells = {s: c.get(r, GRID) for s, c in found.items()}
+        if min(cells.values()) < GRID:
+            limit = F.lit(cells.pop(None))
+            if cells:  # a stratum here has enough labels for a guarantee, so there are few of them
+                limit = F.coalesce(F.element_at(F.create_map(*(F.lit(y) for p in cells.items() for y in p)), stratum), limit)
             fails.append(F.when(F.floor(v * GRID) > limit, F.lit(r)))
     more = dict(zip(n := ["base_failed", "failed_rules", "kept"], fresh(x, *n), strict=True))
     n_words, repeats = col(names["n_words"]), col(names["n_repeat_words"])

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from residua.llm.rules import at_most, cutoff, measure, verdicts
+from residua.llm.rules import at_most, cutoff, cutoffs, measure, places, verdicts
 from tests.llm import brute
 
 
@@ -64,3 +64,36 @@ def test_operator(spark):
     assert verdicts(docs.limit(0), labels)[0].count() == 0
     y, names = verdicts(docs.filter("doc_id between 2990 and 3010"), labels.limit(0))
     assert y.filter(names["kept"]).count() == 21  # nothing is guaranteed, so nothing goes
+
+
+def test_places():
+    assert [places(n, 0.01, 0.05 / t) for n, t in ((298, 1), (299, 1), (436, 4), (437, 4))] == [0, 1, 0, 1]
+    for n, alpha, delta in ((2000, 0.01, 0.05), (800, 0.05, 0.1), (50, 0.5, 0.9), (3, 0.9, 0.9), (0, 0.01, 0.05)):
+        assert places(n, alpha, delta) == sum(at_most(k, n, alpha) <= delta for k in range(n))
+    good = {"a": np.array([100, 0, 0]), "b": np.array([90, 7, 3]), "c": np.array([50, 30, 20])}
+    assert [cutoffs(good, k) for k in (0, 1, 3, 12, 1000)] == [{}, {"a": 0}, {"a": 0, "b": 2, "c": 2}, {"a": 0, "b": 1, "c": 2}, {"a": 0, "b": 0, "c": 0}]
+
+
+def test_rules_together_keep_their_promise():
+    rng, broken, found = np.random.default_rng(7), 0, 0
+    combos = rng.integers(0, 11, (400, 3)) * (rng.random((400, 3)) < 0.2)
+    p = rng.dirichlet(np.full(400, 0.5))
+    for _ in range(300):
+        own = np.repeat(combos, rng.multinomial(800, p), axis=0)
+        cells = cutoffs({r: np.bincount(own[:, r], minlength=11) for r in range(3)}, places(800, 0.05, 0.1))
+        found += len(cells)
+        broken += p[(combos > np.array([cells.get(r, 10) for r in range(3)])).any(axis=1)].sum() > 0.05
+    assert found == 900 and broken / 300 <= 0.1 + 3 * (0.1 * 0.9 / 300) ** 0.5
+
+
+def test_strata_with_few_labels(spark):
+    rng = random.Random(9)
+    clean = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(60))
+    rows = [(k, clean(), lang) for k, lang in enumerate(["en"] * 500 + ["es"] * 40)]
+    rows += [(1000 + k, clean().replace(" ", " ## "), lang) for k, lang in enumerate(["en", "es", "fr", None])] + [(2000, clean(), "fr")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i, *_ in rows if i < 1000], "doc_id bigint, quality int")
+    x, names = verdicts(docs, labels)
+    got = {r["doc_id"]: (r[names["kept"]], r[names["failed_rules"]]) for r in x.collect()}
+    assert all(got[1000 + k] == (False, "symbols") for k in range(4)), got
+    assert got[2000] == (True, "") and sum(not kept for i, (kept, _) in got.items() if i < 1000) <= 5
