@@ -85,21 +85,18 @@ def _lzw(pixels: bytes, bits: int = 4) -> bytes:
     return bytes(out)
 
 
-def animation(points: DataFrame, frames: DataFrame, size: int, path: str, interval: int = 50, most: int = 1000) -> str:
-    """A GIF with an image per frame, of at most the first ``most`` frames: a film of more can't be watched, its data are in the views."""
+def animation(points: DataFrame, frames: DataFrame, size: int, path: str, interval: int = 50) -> str:
+    """A GIF with an image per frame, of all frames; they come one after the other, so only one is held at a time."""
     cell = max(1, 400 // (size + 1))
     side = cell * (size + 1)
-    chosen = [r["frame"] for r in frames.orderBy("frame").limit(most).collect()]
-    by: dict[int, list] = {}
-    for r in points.join(F.broadcast(frames.orderBy("frame").limit(most)), "frame", "left_semi").orderBy("frame").toLocalIterator():
-        by.setdefault(r["frame"], []).append((r["x"], r["y"], r["cluster"]))
+    drawn = frames.join(points.groupBy("frame").agg(F.collect_list(F.struct("x", "y", "cluster")).alias("points")), "frame", "left").orderBy("frame")
     palette = b"\xff\xff\xff" + b"".join(bytes.fromhex(c[1:]) for c in COLOURS) + bytes(3 * (16 - 1 - len(COLOURS)))
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     with open(path, "wb") as f:
         f.write(b"GIF89a" + struct.pack("<HHBBB", side, side, 0xF3, 0, 0) + palette + b"\x21\xff\x0bNETSCAPE2.0\x03\x01\x00\x00\x00")
-        for frame in chosen:
+        for r in drawn.toLocalIterator():
             image = bytearray(side * side)
-            for x, y, c in by.get(frame, ()):
+            for x, y, c in r["points"] or ():
                 index = 1 if c == 0 else 2 + (c - 1) % 10
                 for row in range(side - y * cell - cell, side - y * cell):
                     image[row * side + x * cell : row * side + x * cell + cell] = bytes([index]) * cell

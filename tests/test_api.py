@@ -75,3 +75,19 @@ def test_registered_queries(spark):
 
     assert entry.entry(spark).count() == 500
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_animation_has_all_frames(spark, tmp_path):
+    from residua.plans import figures
+
+    frames = spark.range(1, 1204).selectExpr("cast(id as int) as frame").repartition(5)
+    points = spark.createDataFrame([(1, 200, 100, 0), (1203, 200, 100, 0), (1203, 3, 1, 2)], "frame int, x int, y int, cluster int")
+    data, at, images = open(figures.animation(points, frames, 200, str(tmp_path / "a.gif")), "rb").read(), 13 + 3 * 16, []
+    while data[at] != 0x3B:
+        start, at = at, at + {0x21: 2, 0x2C: 11}[data[at]]
+        while data[at]:
+            at += data[at] + 1
+        at += 1
+        images += [data[start:at]] * (data[start] == 0x2C)
+    assert len(images) == 1203 and at == len(data) - 1
+    assert len({images[0], images[1], images[-1]}) == 3 and set(images[1:-1]) == {images[1]}
