@@ -1,6 +1,8 @@
 """License scans by an exact set-similarity join of text blocks with license templates.
 
-Blocks are runs of 2 * HALF consecutive words, one from every HALF-th word on, so every passage of HALF + 1 words lies in one.
+Blocks are runs of 2 * half consecutive words, one from every half-th word on, so every passage of half + 1 words lies in one.
+half is HALF for templates of up to HALF + 1 words and twice that, four times that and so on for longer ones, so that
+each template's words lie in one block wherever they are; templates of one half are joined together.
 A block matches a template of distinct words T if it has at least o = ceil(threshold * |T|) of them.  The template words
 are ordered by how many documents have them, rarest first, over all documents.  A match must have one of the first
 |T| - o + 1 words of T (prefix filter), at least o template words (length filter), and after the first common word, in
@@ -50,13 +52,21 @@ def words_of(text: str | None) -> list[bytes]:
     return encode(text).translate(WORDS).split()
 
 
+def half_of(template: str) -> int:
+    half, n = HALF, len(words_of(template))
+    while half + 1 < n:
+        half *= 2
+    return half
+
+
 @dataclass
 class Join:
-    """The template side of the join: word sets as ranks in the global order, required overlaps, and an index of the prefixes."""
+    """The template side of the join: word sets as ranks in the global order, required overlaps, an index of the prefixes, and half of a block."""
 
     rank: dict[bytes, int]
     sets: list[tuple[str, frozenset[int], int]]
     prefix: dict[int, list[tuple[int, int]]]
+    half: int = HALF
 
     @classmethod
     def build(cls, templates: list[tuple[str, str]], counts: dict[bytes, int], threshold: float) -> Join:
@@ -68,7 +78,7 @@ class Join:
         for k, (_, s, need) in enumerate(sets):
             for i, r in enumerate(sorted(s)[: len(s) - need + 1]):
                 prefix.setdefault(r, []).append((k, i))
-        return cls(rank, sets, prefix)
+        return cls(rank, sets, prefix, max((half_of(t) for _, t in templates), default=HALF))
 
     def matches(self, block: set[int]) -> list[tuple[int, float]]:
         """Templates that the block, as a set of ranks, contains to the threshold, and how much of them."""
@@ -93,16 +103,24 @@ class Join:
             return []
         halves: dict[int, set[int]] = {}
         for p, r in at:
-            halves.setdefault(p // HALF, set()).add(r)
+            halves.setdefault(p // self.half, set()).add(r)
         out = []
-        for h in sorted({h for x in halves for h in (x - 1, x) if h >= 0 or len(words) <= HALF}):
+        for h in sorted({h for x in halves for h in (x - 1, x) if h >= 0 or len(words) <= self.half}):
             best: dict[str, float] = {}
             for k, c in self.matches(halves.get(h, set()) | halves.get(h + 1, set())):
                 best[self.sets[k][0]] = max(c, best.get(self.sets[k][0], 0.0))
-            out += [(label, max(0, h) * HALF, min(len(words), (h + 2) * HALF), c) for label, c in sorted(best.items())]
+            out += [(label, max(0, h) * self.half, min(len(words), (h + 2) * self.half), c) for label, c in sorted(best.items())]
         return out
 
 
+def joins(templates: list[tuple[str, str]], counts: dict[bytes, int], threshold: float) -> list[Join]:
+    """A join for the templates of each half."""
+    by: dict[int, list] = {}
+    for label, t in templates:
+        by.setdefault(half_of(t), []).append((label, t))
+    return [Join.build(own, counts, threshold) for _, own in sorted(by.items())]
+
+
 def places(words: list[bytes], phrases: dict[str, str] = PHRASES) -> list[tuple[int, str]]:
     """First word and label of every place of a phrase."""
     split = {tuple(p.encode().split()): label for p, label in phrases.items()}
@@ -130,18 +148,18 @@ def scan_licenses(docs: DataFrame, text_col="text", templates: list[tuple[str, s
 
     Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased.  Base: all places of PHRASES, the
     smallest and largest first word among them, and their labels.  spans: label, first word, end word and containment of
-    every matching block.  labels: base labels and those of spans.  score: the largest containment, 1 for a phrase, 0
+    every matching block, shorter blocks first.  labels: base labels and those of spans.  score: the largest containment, 1 for a phrase, 0
     for nothing.  Null texts are empty ones, without words or labels; repeated rows give repeated results.
     """
     templates = TEMPLATES if templates is None else templates
     counts = document_counts(docs, {w for _, t in templates for w in words_of(t)}, text_col) if templates else {}
-    join = Join.build(templates, counts, threshold)
+    sides = joins(templates, counts, threshold)
 
     def work(texts: list) -> list[list]:
         out = []
         for t in texts:
             words = words_of(t)
-            base, spans = places(words), join.scan(words)
+            base, spans = places(words), [s for j in sides for s in j.scan(words)]
             own = sorted({label for _, label in base})
             score = max([1.0 if base else 0.0, *(c for *_, c in spans)])
             out.append((len(words), len(base), min((k for k, _ in base), default=None), max((k for k, _ in base), default=None), ",".join(own), ",".join(sorted({*own, *(s[0] for s in spans)})), score,

@@ -52,3 +52,12 @@ def test_operator(spark):
     assert row(5)[5] == "" and got[5][n["score"]] == 0
     assert m.scan_licenses(docs.limit(0))[0].count() == 0
     assert m.scan_licenses(docs, templates=[])[0].filter(f"`{n['n_base']}` > 0").count() == 4
+
+
+def test_long_templates(spark):
+    templates = [(f"l{n}", " ".join(f"w{n}x{k}" for k in range(n))) for n in (49, 50, 97, 98, 200, 1000)] + [("short", "a b c")]
+    texts = ["y " * before + t + " y" * 300 for _, t in templates for before in (0, 30, 47, 48, 95, 150, 383)]
+    texts += ["y " * 70 + " ".join(w for k, w in enumerate(templates[4][1].split()) if k % 5) + " y" * 70, "a" + " y" * 200 + " b c"]
+    x, n = m.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), templates=templates)
+    got = [r[n["labels"]] for r in x.orderBy("doc_id").collect()]
+    assert got == [label for label, _ in templates for _ in range(7)] + ["l200", ""]
