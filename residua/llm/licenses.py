@@ -6,7 +6,9 @@ each template's words lie in one block wherever they are; templates of one half
 A block matches a template of distinct words T if it has at least o = ceil(threshold * |T|) of them.  The template words
 are ordered by how many documents have them, rarest first, over all documents.  A match must have one of the first
 |T| - o + 1 words of T (prefix filter), at least o template words (length filter), and after the first common word, in
-this order, enough words must follow on both sides (positional filter).  What is left is compared whole.
+this order, enough words must follow on both sides (positional filter).  What is left is compared whole.  Of a template
+of fewer than SHORT distinct words a block must also have all words that no template of another label has, since the
+threshold alone would let another license's name pass for it.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from .texts import append, by_batch, encode
 
 HALF = 48
 THRESHOLD = 0.8
+SHORT = 10
 
 #: Phrases whose every place counts, with their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -59,17 +62,25 @@ def half_of(template: str) -> int:
     return half
 
 
+def marks_of(label: str, template: str, known: list[tuple[str, str]]) -> set[bytes]:
+    """The words of a short template that no template of another label has."""
+    own = set(words_of(template))
+    return own.difference(*(words_of(t) for other, t in known if other != label)) if known and len(own) < SHORT else set()
+
+
 @dataclass
 class Join:
-    """The template side of the join: word sets as ranks in the global order, required overlaps, an index of the prefixes, and half of a block."""
+    """The template side of the join: word sets as ranks in the global order, required overlaps, an index of the prefixes, half of a block, and words that must not lack."""
 
     rank: dict[bytes, int]
     sets: list[tuple[str, frozenset[int], int]]
     prefix: dict[int, list[tuple[int, int]]]
-    half: int = HALF
+    half: int
+    marks: list[frozenset[int]]
 
     @classmethod
-    def build(cls, templates: list[tuple[str, str]], counts: dict[bytes, int], threshold: float) -> Join:
+    def build(cls, templates: list[tuple[str, str]], counts: dict[bytes, int], threshold: float, known: list[tuple[str, str]] = ()) -> Join:
+        """``known``: the templates that short ones must be told from."""
         vocabulary = {w for _, t in templates for w in words_of(t)}
         rank = {w: k for k, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
         sets = [(label, frozenset(rank[w] for w in words_of(t))) for label, t in templates]
@@ -78,7 +89,8 @@ class Join:
         for k, (_, s, need) in enumerate(sets):
             for i, r in enumerate(sorted(s)[: len(s) - need + 1]):
                 prefix.setdefault(r, []).append((k, i))
-        return cls(rank, sets, prefix, max((half_of(t) for _, t in templates), default=HALF))
+        marks = [frozenset(rank[w] for w in marks_of(label, t, known)) for label, t in templates]
+        return cls(rank, sets, prefix, max((half_of(t) for _, t in templates), default=HALF), marks)
 
     def matches(self, block: set[int]) -> list[tuple[int, float]]:
         """Templates that the block, as a set of ranks, contains to the threshold, and how much of them."""
@@ -92,7 +104,7 @@ class Join:
                 if len(own) < need or 1 + min(len(s) - i - 1, len(own) - j - 1) < need:
                     continue
                 common = len(s & block)
-                if common >= need:
+                if common >= need and self.marks[k] <= block:
                     out.append((k, common / len(s)))
         return out
 
@@ -118,7 +130,7 @@ def joins(templates: list[tuple[str, str]], counts: dict[bytes, int], threshold:
     by: dict[int, list] = {}
     for label, t in templates:
         by.setdefault(half_of(t), []).append((label, t))
-    return [Join.build(own, counts, threshold) for _, own in sorted(by.items())]
+    return [Join.build(own, counts, threshold, templates) for _, own in sorted(by.items())]
 
 
 def places(words: list[bytes], phrases: dict[str, str] = PHRASES) -> list[tuple[int, str]]:

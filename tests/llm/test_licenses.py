@@ -61,3 +61,10 @@ def test_long_templates(spark):
     x, n = m.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), templates=templates)
     got = [r[n["labels"]] for r in x.orderBy("doc_id").collect()]
     assert got == [label for label, _ in templates for _ in range(7)] + ["l200", ""]
+
+
+def test_short_templates_need_their_own_words(spark):
+    texts = ["Released under the Apache License", "Licensed under the Mozilla Public License, Version 2.0", "Licensed under CC BY-SA 4.0", "Released under MIT License", "licensed under the Apache License, version 2", "Licensed CC BY-NC 4.0"]
+    x, n = m.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    assert [r[n["labels"]] for r in x.orderBy("doc_id").collect()] == ["apache", "", "cc-by", "mit", "apache", "cc-by,cc-by-nc"]
+    assert [m.marks_of(label, t, m.TEMPLATES) for label, t in m.TEMPLATES if len(set(m.words_of(t))) < m.SHORT] == [{b"apache"}, {b"cc", b"nc"}, {b"mit"}]
