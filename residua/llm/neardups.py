@@ -385,8 +385,14 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle_w
     different texts are classed by their texts.  A null id is linked like others but never the smallest; where no row
     of a component has an id, component_id is null and all its rows are kept.
     """
+    rows = docs.select(col(id_col).alias("id"), col(text_col).alias("body"))
+    return _classed(rows, shingle_words, percent).withColumnRenamed("id", id_col)
+
+
+def _classed(docs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """id, n_shingles, component_id, kept of the rows of ``docs`` (id, body and other columns, which come last)."""
+    more = [c for c in docs.columns if c not in ("id", "body")]
     rows, bands = banding(percent / 100)
-    docs = docs.select(col(id_col).alias("id"), col(text_col).alias("body"))
     every = written(signed(docs, shingle_words, Hasher(rows, bands)), "signed")
     nodes = written(every.filter("n > 0").groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "nodes")
     spread = nodes.select("node", F.explode("bands").alias("band"))
@@ -396,24 +402,25 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle_w
     links = Links(docs, nodes, shingle_words, percent)
     near = links.nearest(members.filter("node <> center").select(F.col("center").alias("u"), F.col("node").alias("v")).distinct())
     found = cut(components(links.stars(cut(near))))
-    more = cut(links.confirmed(_rest(members, found, nodes, percent)))
+    rest = cut(links.confirmed(_rest(members, found, nodes, percent)))
     stars = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
-    found = components(stars.unionByName(more)) if more.take(1) else found
+    found = components(stars.unionByName(rest)) if rest.take(1) else found
     named = cut(nodes.select("node", "rep", "copies").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("w"))
     named = join_hot(named, least, "component", "w").select("node", "copies", "component_id")
-    out = join_hot(every.filter("n > 0").select("id", "n", "node"), named, "node", "copies").select("id", "n", "component_id")
-    out = out.unionByName(every.filter("n = 0").select("id", "n", F.col("id").alias("component_id")))
+    out = join_hot(every.filter("n > 0").select("id", "n", "node", *more), named, "node", "copies").select("id", "n", "component_id", *more)
+    out = out.unionByName(every.filter("n = 0").select("id", "n", F.col("id").alias("component_id"), *more))
     kept = F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull())
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
+    return out.select("id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"), *more)
 
 
 def deduplicated(docs: DataFrame, id_col="doc_id", text_col="text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, with its columns, whose id near_duplicates keeps.
+    """The rows of ``docs``, with its columns, that near_duplicates keeps.
 
-    An id is a document: rows that repeat a kept id all stay, rows of an id go if any of them isn't kept, and rows
-    without an id, which can't be told apart, stay.
+    Rows that repeat a kept id and its text all stay; of rows of one id with different texts those go that aren't kept,
+    so of each group a document stays.  Rows without an id, which can't be told apart, stay.
     """
-    key = fresh(docs, "kept_id")[0]
-    gone = near_duplicates(docs, id_col, text_col, shingle_words, percent).filter("not kept").select(F.col(id_col).alias(key)).distinct()
-    return docs.join(gone, col(id_col) == F.col(key), "left_anti")
+    key, code = fresh(docs, "kept_id", "kept_text")
+    rows = docs.select(col(id_col).alias("id"), col(text_col).alias("body"), F.xxhash64(col(text_col)).alias("code"))
+    gone = _classed(rows, shingle_words, percent).filter("not kept").select(F.col("id").alias(key), F.col("code").alias(code)).distinct()
+    return docs.join(gone, (col(id_col) == F.col(key)) & (F.xxhash64(col(text_col)) == F.col(code)), "left_anti")

@@ -79,3 +79,9 @@ def test_components(spark):
             parent[b] = a
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
     assert got == {k: root(k) for k in parent}
+
+
+def test_a_document_of_each_group_stays(spark):
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(9, a, 1), (12, a, 2), (2, b, 3), (9, b, 4), (9, a, 5), (None, a, 6), (9, None, 7), (12, "other", 8)]
+    assert sorted(r["n"] for r in deduplicated(spark.createDataFrame(rows, SCHEMA)).collect()) == [1, 3, 5, 6, 7, 8]
