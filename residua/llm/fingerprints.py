@@ -4,7 +4,8 @@ Every 64-byte window of a text has an entropy; windows far from the entropy that
 that is the rarest one, leftmost among equals, of at least MIN_WINS of the 64 runs of 64 consecutive windows that it is
 in is selected.  Its bytes' hash sets five bits of a 2048-bit Bloom filter; after PER_FILTER features a new filter
 begins.  Likeness compares each filter of the shorter digest with all of the other: common bits beyond those expected
-by chance, over the most there could be; the best of each, weighed by its bits, are averaged.
+by chance, over the most there could be; the best of each, weighed by its bits, are averaged.  A filter of few features
+beside full ones counts by its few bits, as does what a full filter has in common with it.
 
 Selection looks at 127 windows around a place only, so edits leave far features alone, and pieces of a long text can be
 worked on one by one, with margins, for the same result.
@@ -31,7 +32,7 @@ USUAL = round(WINDOW * (6 - 4.2) * 1024)
 WEAK = WINDOW * 5 * 1024
 FAR = np.iinfo(np.int64).max
 PIECE, GAP = 1 << 17, WINDOW + RUN
-#: Part of the overlap beyond chance that is taken for noise; fewest features of a filter that counts beside others.
+#: Part of the overlap beyond chance that is taken for noise; fewest features of a filter that can stand for all of a full one beside others.
 NOISE, FEW = 0.1, 16
 
 
@@ -155,8 +156,6 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     few = FEW * PROBES * 0.9
     own = np.bitwise_count(a).sum(axis=1).astype(np.float64)
     theirs = y.sum(axis=1, dtype=np.float64)
-    use_a, use_b = (own >= few) | (own.max() < few), (theirs >= few) | (theirs.max() < few)
-    y, theirs, a, own = y[use_b], theirs[use_b], a[use_a], own[use_a]
     total = 0.0
     for s in range(0, len(a), 64):
         x = np.unpackbits(a[s : s + 64], axis=1).astype(np.float32)
@@ -164,7 +163,9 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
         most = np.minimum(own[s : s + 64, None], theirs[None, :])
         chance = own[s : s + 64, None] * theirs[None, :] / BITS
         floor = chance + NOISE * (most - chance)
-        total += float((np.clip((common - floor) / np.maximum(most - floor, 1e-9), 0, 1).max(axis=1) * own[s : s + 64]).sum())
+        beside = (theirs[None, :] < few) & (theirs.max() >= few) & (own[s : s + 64, None] >= few)
+        stands = np.where(beside, most, own[s : s + 64, None])
+        total += float((np.clip((common - floor) / np.maximum(most - floor, 1e-9), 0, 1) * stands).max(axis=1).sum())
     return min(1.0, total / float(own.sum()))
 
 
@@ -219,7 +220,8 @@ def fingerprints(docs: DataFrame, id_col="doc_id", text_col="text", ranges: int
     """Per row: id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     A text's last third (of its code points, rounded down) is replaced by the first as many of the next text's in the
-    edited text.  Null texts are empty; an empty text's digest is empty and like another empty one only.  A single row
+    edited text.  Null texts are empty; the digests of empty texts and of texts of 64 bytes or more without
+    a window of 1 bit of entropy (runs of one character) are empty, and like each other only.  A single row
     is its own next.  Ids are integers; with equal ids rows go by a hash of their text; other columns are not read.
     """
     import pyarrow as pa

@@ -78,3 +78,15 @@ def test_ties_nulls_and_single_rows(spark):
     assert m.fingerprints(spark.createDataFrame([], schema)).count() == 0
     x = m.fingerprints(spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (None, "c"), (None, None)], schema)).collect()
     assert sorted((r["doc_id"] or 0, r["n_chars"]) for r in x) == [(0, 0), (0, 1), (1, 1), (1, 1), (1, 1)]
+
+
+def test_small_last_filters_count():
+    rng = np.random.default_rng(4)
+    h = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    full, few, others = h[:160], h[160:170], h[170:180]
+    a, b = m.digest(np.r_[full, few]), m.digest(np.r_[full, others])
+    assert 0.9 < m.likeness(a, b) < 0.97 and m.likeness(a, b) == m.likeness(b, a)
+    assert m.likeness(a, m.digest(full)) == 1  # the shorter one is all there
+    c = m.digest(np.r_[rng.integers(0, 1 << 63, 160, dtype=np.uint64), few])
+    assert 0.02 < m.likeness(a, c) < 0.15
+    assert m.likeness(m.digest(full[:150]), m.digest(np.r_[rng.integers(0, 1 << 63, 160, dtype=np.uint64), full[:1]])) < 0.1
