@@ -4,14 +4,21 @@ The texts of a batch are cut into words where no merge can reach across; words t
 flat array of symbols.  Each round finds every word's best-ranked adjacent pair by a segmented minimum, merges all its
 occurrences at once, leftmost first where they overlap, and drops the words that have no pair left.
 
-Merging all occurrences at once equals merging one by one as long as the merged piece can't begin a pair of a still
-better rank.  For pieces that can, only the leftmost occurrence is merged in a round.
+Merging all occurrences at once equals merging one by one as long as no merged piece has, with the symbols beside it,
+a pair of a rank as good as its own.  Of a word's occurrences those after the first that has one wait for the next round.
+
+A long word has many ranks, so there a pair is merged as soon as it is the best within ``reach`` symbols on both sides.
+What a merge leads to stays in one piece, so nothing from farther away can get between; waiting, too, ends with a gap
+of ``reach`` symbols.  The rounds then grow with ``reach`` and the logarithm of the length, not with the length.  Where
+pieces wait for each other all along a word (spaces do: their runs have equal ranks), rounds get slow and a queue of
+pairs finishes it.
 """
 
 from __future__ import annotations
 
 import re
 from functools import cached_property
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -23,10 +30,22 @@ from .texts import by_batch, sha256, slices
 
 SPACE = "▁"
 NONE = np.iinfo(np.int32).max
-#: Words whose pieces are remembered by a worker; beyond it the memory starts anew.
-REMEMBERED = 400_000
-#: Longer words are also cut between characters that are adjacent in no piece.
+#: Words, and characters of words, whose pieces are remembered by a worker; beyond either the memory starts anew.
+REMEMBERED, REMEMBERED_CHARS = 400_000, 8 << 20
+#: Longer words are also cut between characters that are adjacent in no piece, and remembered for one batch only.
 LONG_WORD = 256
+#: If this many rounds leave more than this part of long words' symbols, the rest is merged pair by pair.
+ROUNDS, SLOW = 8, 0.98
+
+
+def least_near(rank: np.ndarray, before: int, after: int) -> np.ndarray:
+    """The least of the ranks from ``before`` places before each to ``after`` places after it."""
+    width, step = before + after + 1, 1
+    out = np.concatenate([np.full(before, NONE, rank.dtype), rank, np.full(after, NONE, rank.dtype)])
+    while 2 * step <= width:  # of runs of ``step`` places, by doubling
+        out = np.minimum(out[:-step], out[step:])
+        step *= 2
+    return np.minimum(out[: len(rank)], out[width - step : width - step + len(rank)])
 
 
 class Vocabulary:
@@ -36,6 +55,7 @@ class Vocabulary:
         self.pieces, self.scores, self.byte_ids, self.control = pieces, scores, byte_ids, control
         self.unknown, self.eos, self.dummy_prefix, self.unknown_surface = unknown, eos, dummy_prefix, unknown_surface
         self.memory: dict[str, tuple[int, ...]] = {}
+        self.chars, self.passing = 0, []
 
     @classmethod
     def read(cls, path: str) -> Vocabulary:
@@ -55,7 +75,7 @@ class Vocabulary:
                    next(i for i, p in enumerate(m.pieces) if p.type == 2), m.trainer_spec.eos_id, n.add_dummy_prefix, m.trainer_spec.unk_surface)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k in ("pieces", "scores", "byte_ids", "control", "unknown", "eos", "dummy_prefix", "unknown_surface")} | {"memory": {}}
+        return {k: v for k, v in self.__dict__.items() if k in ("pieces", "scores", "byte_ids", "control", "unknown", "eos", "dummy_prefix", "unknown_surface")} | {"memory": {}, "chars": 0, "passing": []}
 
     @cached_property
     def ids(self) -> dict[str, int]:
@@ -153,8 +173,48 @@ class Vocabulary:
         out[self.unknown] = self.unknown_surface.encode()
         return out
 
-    def merged(self, words: list[str]) -> list[tuple[int, ...]]:
-        """The ids of each word."""
+    @cached_property
+    def reach(self) -> int:
+        """Symbols between two merges that keep whatever they lead to apart."""
+        return 2 * max(map(len, self.ids)) + 2
+
+    def rank_beside(self, left: np.ndarray, right: np.ndarray, there: np.ndarray) -> np.ndarray:
+        """The rank of each pair of symbols that is ``there``."""
+        out = np.full(len(left), NONE, dtype=np.int32)
+        at = np.flatnonzero(there)
+        out[at] = self.rank_of[self.pair(left[at], right[at])]
+        return out
+
+    @cached_property
+    def merges(self) -> dict[int, int]:
+        return dict(zip(self.pairs[0].tolist(), self.pairs[1].tolist(), strict=True))
+
+    def in_turn(self, symbols: list[int]) -> list[int]:
+        """Merge by merge, the best pair first, of equal ones the leftmost, from a queue of rank * 2^32 + place."""
+        n, pair, nothing, ranks = len(symbols), self.merges, len(self.pieces), self.rank_of.tolist()
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        symbols = [*symbols, -1]  # -1: merged into one before it, or the end
+        queue = [ranks[m] << 32 | k for k in range(n - 1) if (m := pair.get(symbols[k] << 32 | symbols[k + 1], nothing)) != nothing]
+        heapify(queue)
+        while queue:
+            key = heappop(queue)
+            k = key & 0xFFFFFFFF
+            m = after[k] if symbols[k] >= 0 else n
+            found = pair.get(symbols[k] << 32 | symbols[m], nothing) if m < n else nothing
+            if found == nothing or ranks[found] != key >> 32:
+                continue  # what stood there is gone
+            symbols[k], symbols[m], after[k] = found, -1, after[m]
+            a, b = before[k], after[k]
+            if a >= 0 and (m := pair.get(symbols[a] << 32 | found, nothing)) != nothing:
+                heappush(queue, ranks[m] << 32 | a)
+            if b < n:
+                before[b] = k
+                if (m := pair.get(found << 32 | symbols[b], nothing)) != nothing:
+                    heappush(queue, ranks[m] << 32 | k)
+        return [s for s in symbols if s >= 0]
+
+    def merged(self, words: list[str], reach: int = 0) -> list[tuple[int, ...]]:
+        """The ids of each word; with ``reach`` pairs are merged that are the best within so many symbols, else the best of words."""
         lens = np.array([len(w) for w in words], dtype=np.int64)
         symbols = self.symbol_of[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
         word = np.repeat(np.arange(len(words), dtype=np.int32), lens)
@@ -165,12 +225,14 @@ class Vocabulary:
         at = np.flatnonzero(~last)
         found[at] = self.pair(symbols[at], symbols[at + 1])
         done: list[tuple[np.ndarray, np.ndarray]] = []
+        rounds, size = 0, 0
         while len(symbols):
             first = np.flatnonzero(np.r_[True, last[:-1]])
             sizes = np.diff(np.r_[first, len(word)])
             rank = self.rank_of[found]
             best = np.minimum.reduceat(rank, first)
             more = best != NONE
+            rounds += 1
             if not more.all():
                 open_ = np.repeat(more, sizes)
                 done.append((word[~open_], symbols[~open_]))
@@ -179,15 +241,22 @@ class Vocabulary:
                 first = np.cumsum(sizes) - sizes
                 if not len(symbols):
                     break
-            hit = rank == np.repeat(best, sizes)
+            slow = reach and rounds % ROUNDS == 0 and len(symbols) > SLOW * size
+            size = size if rounds % ROUNDS else len(symbols)
+            if slow and rounds > ROUNDS:
+                for a, b in zip(first.tolist(), (first + sizes).tolist(), strict=True):
+                    rest = np.array(self.in_turn(symbols[a:b].tolist()), dtype=np.int32)
+                    done.append((np.full(len(rest), word[a], dtype=np.int32), rest))
+                break
+            hit = (rank == least_near(rank, reach, reach)) & (rank != NONE) if reach else rank == np.repeat(best, sizes)
             place = np.flatnonzero(hit)
+            early = least_near(np.where(hit, NONE, rank), reach, 0)[place] == rank[place] if reach else np.zeros(len(place), dtype=bool)
             run = np.r_[True, place[1:] != place[:-1] + 1]
             order = np.arange(len(place))
-            place = place[(order - np.maximum.accumulate(np.where(run, order, 0))) % 2 == 0]  # of overlapping pairs the leftmost, then every second
-            single = self.one_by_one[found[place]]
-            if single.any():
-                of = word[place]
-                place = place[~single | np.r_[True, of[1:] != of[:-1]]]
+            odd = (order - np.maximum.accumulate(np.where(run, order, 0))) % 2 == 0  # of overlapping pairs the leftmost, then every second
+            place, early = place[odd], early[odd]
+            if early.any() or self.one_by_one[found[place]].any():
+                place = place[self.settled(symbols, word, found, rank, place, early, reach)]
             symbols[place] = found[place]
             keep = np.ones(len(symbols), dtype=bool)
             keep[place + 1] = False
@@ -211,6 +280,27 @@ class Vocabulary:
             out[k] = tuple(j for i in out[k] for j in ([i] if i < v else [self.byte_ids[x] for x in chr(i - v).encode("utf-8", "surrogatepass")]))
         return out
 
+    def settled(self, symbols: np.ndarray, word: np.ndarray, found: np.ndarray, rank: np.ndarray, place: np.ndarray, early: np.ndarray, reach: int) -> np.ndarray:
+        """Which of the places can be merged together.
+
+        Of a word, or of places no more than ``reach`` apart, those up to the first whose piece has a pair as good as its
+        own, and before the first that is ``early``: it has an equal pair before it that has to wait.
+        """
+        piece, of, n = found[place], word[place], len(symbols)
+        single = np.flatnonzero(self.one_by_one[piece])
+        p, own = place[single], rank[place[single]]
+        near = np.r_[False, place[1:] == place[:-1] + 2][single] & (single > 0)  # the pair before it is merged first
+        left = np.where(near, piece[np.maximum(single - 1, 0)], symbols[np.maximum(p - 1, 0)])
+        right = symbols[np.minimum(p + 2, n - 1)]
+        beside = np.minimum(self.rank_beside(left, piece[single], (p > 0) & (word[np.maximum(p - 1, 0)] == of[single])),
+                            self.rank_beside(piece[single], right, (p + 2 < n) & (word[np.minimum(p + 2, n - 1)] == of[single])))
+        restless = np.zeros(len(place), dtype=np.int64)
+        restless[single[beside <= own]] = 1
+        begins = np.r_[True, (of[1:] != of[:-1]) | ((place[1:] - place[:-1] > reach) if reach else False)]
+        stop = np.cumsum(restless + early) - restless
+        start = stop[begins] - early[begins]
+        return stop == np.repeat(start, np.diff(np.r_[np.flatnonzero(begins), len(place)]))
+
     def split_long(self, word: str) -> list[str]:
         cuts = [0, *(k + 1 for k in range(len(word) - 1) if word[k : k + 2] not in self.adjacent), len(word)]
         return [word[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True) if a < b]
@@ -224,12 +314,19 @@ class Vocabulary:
         return found
 
     def learn(self, words: set[str]) -> None:
-        """Remember the ids of these words."""
+        """Remember the ids of these words; those of long ones until the next call."""
+        for w in self.passing:
+            self.memory.pop(w, None)
         new = [w for w in words if w not in self.memory]
-        if len(self.memory) + len(new) > REMEMBERED:
+        chars = sum(len(w) for w in new if len(w) <= LONG_WORD)
+        if len(self.memory) + len(new) > REMEMBERED or self.chars + chars > REMEMBERED_CHARS:
             self.memory.clear()
-            new = list(words)
-        self.memory.update(zip(new, self.merged(new), strict=True))
+            self.chars, new = 0, list(words)
+            chars = sum(len(w) for w in new if len(w) <= LONG_WORD)
+        self.chars += chars
+        short, self.passing = [w for w in new if len(w) <= LONG_WORD], [w for w in new if len(w) > LONG_WORD]
+        self.memory.update(zip(short, self.merged(short), strict=True))
+        self.memory.update(zip(self.passing, self.merged(self.passing, self.reach), strict=True))
 
     def encode(self, text: str | None, eos: bool = True) -> list[int]:
         words = self.words(text or "")
