@@ -137,7 +137,7 @@ class Hasher:
 
 
 def signed(docs: DataFrame, size: int, hasher: Hasher) -> DataFrame:
-    """id, n, node, bands, signature of the rows of ``docs`` (id, body); the last three null for empty sets."""
+    """id, code, n, node, bands, signature of the rows of ``docs`` (id, body, code); the last three null for empty sets."""
 
     def work(texts: list) -> list[list]:
         out, known = [], {}
@@ -183,8 +183,9 @@ def components(edges: DataFrame) -> DataFrame:
 class Links:
     """Confirms links of nodes on their whole sets: 100 * common >= percent * union."""
 
-    def __init__(self, docs: DataFrame, nodes: DataFrame, size: int, percent: int):
-        self.docs, self.nodes, self.size, self.percent = docs, nodes, size, percent
+    def __init__(self, docs: DataFrame, nodes: DataFrame, size: int, percent: int, repeated: bool):
+        """``repeated``: some rows have the same id, or none, and the same text."""
+        self.docs, self.nodes, self.size, self.percent, self.repeated = docs, nodes, size, percent, repeated
 
     def nearest(self, pairs: DataFrame) -> DataFrame:
         """u, v: for each v of ``pairs`` the u with the likest signature, if sizes and signatures allow a link."""
@@ -215,15 +216,19 @@ class Links:
         A place holds its hosts' sets, about BLOCK, and gets guests one by one; links within what is already connected
         are left out, so there are fewer than nodes.  Hosts of places named ``main`` are connected beforehand.
         """
-        wanted = cut(meetings.join(self.nodes.select("node", F.coalesce("rep", F.lit(NO_ID)).alias("key")), "node"))
-        small = wanted.count() <= BROADCAST_ROWS
-        rows = self.docs.select(F.coalesce("id", F.lit(NO_ID)).alias("key"), "body").join(F.broadcast(wanted) if small else wanted, "key").drop("key")
+        key = F.coalesce("id", F.lit(NO_ID)).alias("key")
+        wanted = cut(meetings.join(self.nodes.select("node", F.col("row.id").alias("id"), F.col("row.code").alias("code")), "node").select("node", "place", "role", key, "code"))
+        side = F.broadcast if wanted.count() <= BROADCAST_ROWS else lambda x: x
+        rows = self.docs.select(key, "code", "body")
+        if self.repeated:  # one of equal rows stands for its node
+            rows = rows.join(side(wanted.select("key", "code").distinct()), ["key", "code"], "left_semi").groupBy("key", "code").agg(F.first("body").alias("body"))
+        rows = rows.join(side(wanted), ["key", "code"]).drop("key", "code")
         size, percent = self.size, self.percent
 
         def sets(texts: list, nodes: list) -> list[list]:
             known = dict(zip(own := list(dict.fromkeys(texts)), shingle_sets(own, size), strict=True))
             names = {t: node_of(s) for t, s in known.items()}
-            return [[known[t].tobytes() if names[t] == n else None for t, n in zip(texts, nodes, strict=True)]]  # a repeated id has other texts too
+            return [[known[t].tobytes() if names[t] == n else None for t, n in zip(texts, nodes, strict=True)]]  # different texts could have one code
 
         full = append(rows, ["body", "node"], sets, [("shingles", "binary")], drop=("body",)).filter("shingles is not null")
         dealt = full.repartition("place").sortWithinPartitions("place", "role", "node")
@@ -392,14 +397,17 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle_w
 def _classed(docs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
     """id, n_shingles, component_id, kept of the rows of ``docs`` (id, body and other columns, which come last)."""
     more = [c for c in docs.columns if c not in ("id", "body")]
+    docs = docs.withColumn("code", F.xxhash64("body"))
     rows, bands = banding(percent / 100)
     every = written(signed(docs, shingle_words, Hasher(rows, bands)), "signed")
-    nodes = written(every.filter("n > 0").groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "nodes")
+    repeated = bool(every.filter("n > 0").groupBy("id", "code").count().filter("count > 1").take(1))
+    row = F.max(F.struct("id", "code")).alias("row")  # one of the rows with the node's set
+    nodes = written(every.filter("n > 0").groupBy("node").agg(F.min("id").alias("rep"), row, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "nodes")
     spread = nodes.select("node", F.explode("bands").alias("band"))
     pick = F.struct(F.xxhash64("node", F.pmod("band", F.lit(CENTERS))).alias("h"), "node")
     buckets = spread.groupBy("band").agg(F.min(pick).alias("center"), F.count("*").alias("c")).filter("c > 1").select("band", F.col("center.node").alias("center"), "c")
     members = written(join_hot(spread, cut(buckets), "band", "c").select("band", "node", "center"), "members")
-    links = Links(docs, nodes, shingle_words, percent)
+    links = Links(docs, nodes, shingle_words, percent, repeated)
     near = links.nearest(members.filter("node <> center").select(F.col("center").alias("u"), F.col("node").alias("v")).distinct())
     found = cut(components(links.stars(cut(near))))
     rest = cut(links.confirmed(_rest(members, found, nodes, percent)))
@@ -421,6 +429,6 @@ def deduplicated(docs: DataFrame, id_col="doc_id", text_col="text", shingle_word
     so of each group a document stays.  Rows without an id, which can't be told apart, stay.
     """
     key, code = fresh(docs, "kept_id", "kept_text")
-    rows = docs.select(col(id_col).alias("id"), col(text_col).alias("body"), F.xxhash64(col(text_col)).alias("code"))
+    rows = docs.select(col(id_col).alias("id"), col(text_col).alias("body"), F.xxhash64(col(text_col)).alias("code"))  # of the text, as in _classed
     gone = _classed(rows, shingle_words, percent).filter("not kept").select(F.col("id").alias(key), F.col("code").alias(code)).distinct()
     return docs.join(gone, (col(id_col) == F.col(key)) & (F.xxhash64(col(text_col)) == F.col(code)), "left_anti")

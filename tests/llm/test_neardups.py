@@ -85,3 +85,21 @@ def test_a_document_of_each_group_stays(spark):
     a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
     rows = [(9, a, 1), (12, a, 2), (2, b, 3), (9, b, 4), (9, a, 5), (None, a, 6), (9, None, 7), (12, "other", 8)]
     assert sorted(r["n"] for r in deduplicated(spark.createDataFrame(rows, SCHEMA)).collect()) == [1, 3, 5, 6, 7, 8]
+
+
+def test_many_null_and_repeated_ids(spark, monkeypatch):
+    import residua.llm.neardups as m
+
+    rng, joined, append = random.Random(6), [], m.append
+    base = [f"v{k}" for k in range(120)]
+    texts = [" ".join(base)] * 150 + cloud(rng, base, 250, 0, 4) + cloud(rng, [f"u{k}" for k in range(60)], 100, 0, 3)
+    rows = [(None, t) for t in texts] + [(7, t) for t in texts[:120]] + [(k, t) for k, t in enumerate(texts[200:300], 100)]
+
+    def counted(df, inputs, *rest, **more):
+        if inputs == ["body", "node"]:
+            joined.append(df.count())
+        return append(df, inputs, *rest, **more)
+
+    monkeypatch.setattr(m, "append", counted)
+    compare(spark, rows, 3, 85)
+    assert max(joined) < 10 * len(rows)  # null ids don't meet all pairs
