@@ -6,7 +6,7 @@ Network.  FILTERS learned filters see two neighbouring blocks, at every block of
 chunks of CHUNK blocks; since windows reach into the next block, chunks overlap.  Each filter's largest answer in a
 chunk is the chunk's feature; the largest and the mean over all chunks of the text are the text's.  A hidden layer and a
 sigmoid combine them into one probability.
-Training.  Adam on the cross entropy, on a bounded sample: about PER_CLASS rows of each label and of each text PIECES
+Training.  Adam on the cross entropy, on a bounded sample: PER_CLASS rows of each label and of each text PIECES
 chunks spread over it.  The sample has as many rows of either label; the bias is then set back to the real shares.
 """
 
@@ -18,8 +18,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, col, fresh
-from .texts import append, encode, slices
+from .common import bounded_sample, col, cut, fresh
+from .texts import append, encode, give_back, slices
 
 BLOCK, CHUNK, LAGS = 8, 64, 24
 EMBEDDING, FILTERS, HIDDEN = 8, 24, 16
@@ -207,14 +207,21 @@ def spread(data: bytes, pieces: int = PIECES) -> bytes:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="quality", per_class: int = PER_CLASS) -> Network:
-    """Learn from the rows of ``docs`` whose id has a label (the larger of several); at most 2 * per_class * PIECES chunks of a label reach the driver."""
-    kinds = labels.select(col(id_col).alias("id"), col(label_col).cast("int").alias("label")).filter("label in (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
+    """Learn from the rows of ``docs`` whose id has a label (the larger of several); at most per_class * PIECES chunks of a label reach the driver.
+
+    Rows with one id are told apart by their texts; equal rows count once.  A null id has no label.
+    """
+    kinds = labels.select(col(id_col).alias("id"), col(label_col).cast("int").alias("label")).filter("id is not null and label in (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
     shares = {r["label"]: r["count"] for r in kinds.groupBy("label").count().collect()}
-    chosen = bounded_sample(kinds, "label", "id", per_class)
-    x = docs.filter(col(text_col).isNotNull()).select(col(id_col).alias("id"), col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # at most 4 * per_class rows
-    x = append(x, ["text"], lambda texts: [[spread(encode(t)) for t in texts]], [("piece", "binary")], drop=("text",))
+    rows = docs.filter(col(text_col).isNotNull()).select(col(id_col).alias("id"), col(text_col).alias("text"))
+    few = bounded_sample(kinds.join(rows.select("id", F.xxhash64("text").alias("code")), "id"), "label", ["id", "code"], per_class)
+    few = cut(few)  # at most 2 * per_class rows
+    x = rows.withColumn("code", F.xxhash64("text")).join(F.broadcast(few), ["id", "code"]).dropDuplicates(["id", "code"])
+    x = append(x.select("label", "id", "text"), ["text"], lambda texts: [[spread(encode(t)) for t in texts]], [("piece", "binary")], drop=("text",))
     found = sorted((int(r["label"]), str(r["id"]), bytes(r["piece"])) for r in x.collect())
-    return train([p for *_, p in found], np.array([v for v, *_ in found]), shares.get(1, 0) / max(1, sum(shares.values())))
+    net = train([p for *_, p in found], np.array([v for v, *_ in found]), shares.get(1, 0) / max(1, sum(shares.values())))
+    give_back()
+    return net
 
 
 def scored(docs: DataFrame, net: Network, text_col="text") -> tuple[DataFrame, dict]:

@@ -6,10 +6,13 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A key with more than 1/HOT_SHARE of all rows is hot; there are fewer than HOT_SHARE such keys.
 HOT_SHARE = 1024
+#: Classes that a sample for learning has at most.
+CLASSES = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,15 +79,18 @@ def crc_part(column: Column, parts: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(column.cast("string"), F.lit(""))), F.lit(parts))
 
 
-def bounded_sample(df: DataFrame, by: str, key: str, most: int) -> DataFrame:
-    """About ``most`` rows for each value of ``by`` (all, where there are fewer), chosen by a hash of ``key`` and so the same on each run.
+def bounded_sample(df: DataFrame, by: str, keys: list[str], most: int, classes: int = CLASSES) -> DataFrame:
+    """``most`` different rows, by ``keys``, for each value of ``by`` but null (all, where there are fewer): those with the smallest hashes, the same on each run.
 
-    Values of ``by`` are classes to learn: few.  No class gives more than twice ``most`` rows.
+    ``keys`` are what tells rows apart, null or repeated ones too; of equal rows one counts.  Of more than ``classes``
+    values of ``by`` the most frequent ones have a sample, so it never has more than ``classes * most`` rows.  Two scans,
+    whatever the number of values: narrow ones of hashes, then one for the rows that were chosen.
     """
-    counts = {r["v"]: r["n"] for r in df.groupBy(col(by).alias("v")).agg(F.count("*").alias("n")).collect() if r["v"] is not None}
-    u = F.conv(F.substring(F.md5(F.coalesce(col(key).cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long") / F.lit(float(2**32))
-    out = None
-    for v, n in sorted(counts.items()):
-        part = df.filter((col(by) == F.lit(v)) & (u < F.lit(min(1.0, most / n)))).limit(2 * most)
-        out = part if out is None else out.unionByName(part)
-    return df.limit(0) if out is None else out
+    own = [c for c in df.columns]
+    value, hash_, place = fresh(df, "sampled_by", "sampled_hash", "sampled_place")
+    rows = df.filter(col(by).isNotNull()).withColumn(value, col(by)).withColumn(hash_, F.xxhash64(*map(col, keys)))
+    narrow = rows.select(value, hash_).distinct()
+    top = narrow.groupBy(value).count().orderBy(F.col("count").desc(), value).limit(classes).select(value)
+    ranked = narrow.join(F.broadcast(top), value).withColumn(place, F.row_number().over(W.partitionBy(value).orderBy(hash_)))
+    chosen = ranked.filter(F.col(place) <= most).drop(place)
+    return rows.join(F.broadcast(chosen), [value, hash_], "left_semi").dropDuplicates([value, hash_]).select(*map(col, own))

@@ -2,7 +2,7 @@
 
 A text's features are its byte n-grams (2 to 4 bytes of the lower-cased text, a space at both ends), hashed to BUCKETS.
 The embeddings of all of them are averaged and go through a linear softmax.  Both are trained in numpy by stochastic
-gradient descent with momentum on a bounded sample: about PER_CLASS labelled texts of each language, and of each text
+gradient descent with momentum on a bounded sample: PER_CLASS labelled texts of each language, and of each text
 PIECES pieces of PIECE bytes, spread over it.  A fifth of the sample is held back: it sets the temperature that makes
 probabilities honest, and the probability under which a prediction is rejected, so that it loses 1 in 100 right ones.
 """
@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .common import bounded_sample, col, fresh
-from .texts import append, encode, slices
+from .texts import append, encode, give_back, slices
 
 BUCKETS, DIMENSION, GRAMS = 1 << 13, 16, (2, 3, 4)
 #: Bounds of the training sample.
@@ -117,12 +117,17 @@ def train(blobs: list[bytes], labels: list[str], epochs: int = 60, rate: float =
 
 
 def fit(docs: DataFrame, id_col="doc_id", text_col="text", label_col="lang", per_class: int = PER_CLASS) -> Model:
-    """Learn from labelled rows; the sample's pieces are what reaches the driver: at most 2 * per_class * PIECES * PIECE bytes a language."""
+    """Learn from labelled rows; the sample's pieces are what reaches the driver: at most per_class * PIECES * PIECE bytes a language, of CLASSES languages at most.
+
+    Rows with equal ids, or none, are told apart by their texts; equal rows count once.
+    """
     rows = docs.filter(col(label_col).isNotNull() & col(text_col).isNotNull())
-    x = bounded_sample(rows, label_col, id_col, per_class).select(col(id_col).alias("id"), col(label_col).alias("label"), col(text_col).alias("text"))
+    x = bounded_sample(rows, label_col, [id_col, text_col], per_class).select(col(id_col).alias("id"), col(label_col).alias("label"), col(text_col).alias("text"))
     x = append(x, ["text"], lambda texts: [[spread(encode(t.lower())) for t in texts]], [("piece", "binary")], drop=("text",))
     found = sorted((str(r["label"]), str(r["id"]), bytes(r["piece"])) for r in x.collect())
-    return train([p for *_, p in found], [v for v, *_ in found])
+    model = train([p for *_, p in found], [v for v, *_ in found])
+    give_back()
+    return model
 
 
 def identify(docs: DataFrame, model: Model, text_col="text") -> tuple[DataFrame, dict]:
