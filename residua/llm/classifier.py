@@ -3,9 +3,9 @@
 Input.  A text's UTF-8 bytes in blocks of 8.  Each byte has a learned embedding; a block also has, for each lag from 1
 to LAGS, how many of its bytes equal the byte that far before.
 Network.  FILTERS learned filters see two neighbouring blocks, at every block of the whole text.  Windows are taken in
-chunks of CHUNK blocks; since windows reach into the next block, chunks overlap.  Each filter's largest answer in a
-chunk is the chunk's feature; the largest and the mean over all chunks of the text are the text's.  A hidden layer and a
-sigmoid combine them into one probability.
+chunks of CHUNK blocks, one from every STRIDE-th block on, so that chunks overlap by half.  Each filter's largest answer
+in a chunk is the chunk's feature; the largest and the mean over all chunks of the text are the text's.  A hidden layer
+and a sigmoid combine them into one probability.
 Training.  Adam on the cross entropy, on a bounded sample: PER_CLASS rows of each label and of each text PIECES
 chunks spread over it.  The sample has as many rows of either label; the bias is then set back to the real shares.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, col, cut, fresh
 from .texts import append, encode, give_back, slices
 
-BLOCK, CHUNK, LAGS = 8, 64, 24
+BLOCK, CHUNK, STRIDE, LAGS = 8, 64, 32, 24
 EMBEDDING, FILTERS, HIDDEN = 8, 24, 16
 #: Bounds of the training sample.
 PER_CLASS, PIECES = 800, 8
@@ -100,27 +100,34 @@ class Network:
 
     def _part(self, blob: bytes, start: int) -> np.ndarray:
         """The features of the chunks that begin in [start, start + PART), with the bytes around that they and their lags see."""
-        before = min(start, CHUNK * BLOCK)
-        x, lags, _ = blocks([blob[start - before : start + PART + BLOCK]])
-        n = -(-min(PART, len(blob) - start) // BLOCK)
-        answer = self.convolved(x, lags)[before // BLOCK :][:n]
-        return np.maximum(np.maximum.reduceat(answer, np.arange(0, n, CHUNK), axis=0), 0)
+        before, first, n = min(start, CHUNK * BLOCK), start // BLOCK, -(-len(blob) // BLOCK)
+        starts = np.arange(0, min(PART // BLOCK, number(n) * STRIDE - first), STRIDE)
+        if not len(starts):
+            return np.empty((0, FILTERS), np.float32)
+        x, lags, _ = blocks([blob[start - before : start + PART + CHUNK * BLOCK]])
+        answer = self.convolved(x, lags)[before // BLOCK :]
+        return np.maximum(maxima(answer, starts, np.minimum(starts + CHUNK, n - first)), 0)
 
 
-#: Bytes of a part of a long text: whole chunks.
+#: Bytes of a part of a long text: whole strides.
 PART = 1 << 18
 
 
+def number(blocks_of_text):
+    """Of chunks: they begin at every STRIDE-th block and cover all."""
+    return np.maximum(1, -((CHUNK - STRIDE - blocks_of_text) // STRIDE))
+
+
 def chunks(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First and end blocks of all chunks, and each text's first chunk, of texts that begin at the blocks ``first``.
 
     The blocks of filling belong to no chunk; the windows of a text's last block see one of them.
     """
     n = np.diff(first) - 3
-    k = np.maximum(1, -(-n // CHUNK))
+    k = number(n)
     own = np.r_[0, np.cumsum(k)]
     within = np.arange(own[-1]) - np.repeat(own[:-1], k)
-    starts = np.repeat(first[:-1], k) + within * CHUNK
+    starts = np.repeat(first[:-1], k) + within * STRIDE
     return starts, np.minimum(starts + CHUNK, np.repeat(first[:-1] + np.maximum(n, 1), k)), own
 
 
@@ -151,7 +158,8 @@ def gradients(net: Network, blobs: list[bytes], y: np.ndarray) -> list[np.ndarra
     gh = np.outer(g, net.out) * (1 - h * h)
     gp = gh @ net.hidden.T
     doc = np.repeat(np.arange(len(blobs)), counts)
-    gf = gp[doc, FILTERS:] / counts[doc][:, None] + np.where(features >= most[doc], gp[doc, :FILTERS], 0)
+    largest = features >= most[doc]  # chunks overlap, so two can have the largest answer in common
+    gf = gp[doc, FILTERS:] / counts[doc][:, None] + np.where(largest, gp[doc, :FILTERS] / np.add.reduceat(largest, own[:-1], axis=0, dtype=np.float32)[doc], 0)
     gf = np.where(top > 0, gf, 0).astype(np.float32)
     d_embed, d_conv = np.zeros_like(net.embed), np.zeros_like(net.conv)
     for k in (0, 1):

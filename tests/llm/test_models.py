@@ -82,3 +82,80 @@ def test_quality_cases(spark):
     other = c.Network.new(np.random.default_rng(2))
     rows = c.scored(docs, other)[0].collect()
     assert all(0 <= r[names["score"]] <= 1 for r in rows) and len({r[names["score"]] for r in rows if r["doc_id"] < 3}) == 1 and brute.SF
+
+
+def slow_language(model, text):
+    """Probabilities by the definition: counts of hashed n-grams, their average, a linear softmax."""
+    data, n = b" " + text.lower().encode() + b" ", {}
+    for size in g.GRAMS:
+        for k in range(len(data) - size + 1):
+            h = data[k] * 0x9E3779B1 % 2**32
+            for j in range(1, size):
+                h = (h ^ data[k + j]) * 0x85EBCA6B % 2**32
+            code = ((h ^ (h >> 15)) * 0xC2B2AE35 % 2**32 >> 19) % g.BUCKETS
+            n[code] = n.get(code, 0) + 1
+    z = model.bias.astype(float) + sum(v * model.weights[code].astype(float) for code, v in n.items()) / sum(n.values())
+    e = np.exp((z - z.max()) / model.temperature)
+    return e / e.sum()
+
+
+def test_languages_by_definition(spark, small):
+    docs = spark.read.parquet(f"{brute.SF}/documents.parquet")
+    model = g.fit(docs)
+    x, names = g.identify(docs, model)
+    for r in x.limit(80).collect():
+        if r["text"] and g.LETTER.search(r["text"]):
+            p = slow_language(model, r["text"])
+            assert r[names["score"]] == pytest.approx(p.max(), abs=1e-4) and p[model.classes.index(r[names["lang_pred"]])] == pytest.approx(p.max(), abs=1e-4)
+            assert r[names["accepted"]] == (r[names["score"]] >= model.least)
+
+
+def slow_quality(net, text):
+    """The probability by the definition, window by window and chunk by chunk."""
+    data = text.encode()
+    n = max(1, -(-len(data) // c.BLOCK))
+    byte = lambda k: data[k] if 0 <= k < len(data) else 0xFF
+
+    def block(b):
+        own = range(b * c.BLOCK, (b + 1) * c.BLOCK)
+        lags = [sum(byte(k) != 0xFF and k >= lag and byte(k) == byte(k - lag) for k in own) / c.BLOCK for lag in range(1, c.LAGS + 1)]
+        return np.concatenate([*(net.embed[byte(k)] for k in own), lags])
+
+    seen = [block(b) for b in range(n + 1)]
+    answers = [seen[b] @ net.conv[0] + seen[b + 1] @ net.conv[1] + net.conv_bias for b in range(n)]
+    starts = [0] if n <= c.CHUNK else [s for s in range(0, n, c.STRIDE) if s + c.CHUNK - c.STRIDE < n]
+    features = [np.maximum(np.max(answers[s : s + c.CHUNK], axis=0), 0) for s in starts]
+    pooled = np.concatenate([np.max(features, axis=0), np.mean(features, axis=0)])
+    z = np.tanh(pooled @ net.hidden + net.hidden_bias) @ net.out + net.out_bias[0]
+    return 1 / (1 + np.exp(-z))
+
+
+def test_quality_by_definition(spark, monkeypatch):
+    monkeypatch.setattr(c, "PART", 1024)  # long texts go in parts
+    rng = np.random.default_rng(3)
+    net = c.Network.new(rng)
+    texts = ["".join(rng.choice(list("abc de\n")) for _ in range(n)) for n in (1, 7, 8, 9, 255, 256, 511, 512, 513, 768, 769, 1024, 1025, 1300, 2500, 5000)] + ["aé漢" * 300]
+    assert c.sigmoid(net.logits([t.encode() for t in texts])) == pytest.approx([slow_quality(net, t) for t in texts], abs=1e-4)
+
+
+def test_samples_of_null_and_repeated_ids(spark):
+    from residua.llm.common import bounded_sample
+
+    rows = [(None, f"the cat and the dog {k}", "en") for k in range(300)] + [(5, f"le chat et le chien {k}", "fr") for k in range(300)] + [(k, f"der hund und die katze {k}", "de") for k in range(300)]
+    rows += [(9, "una sola", "es")] * 200 + [(None, None, "en"), (1, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(5)
+    assert g.fit(docs, per_class=100).classes == ["de", "en", "es", "fr"]
+    x = bounded_sample(docs.filter("text is not null"), "lang", ["doc_id", "text"], 100)
+    assert {r["lang"]: r["count"] for r in x.groupBy("lang").count().collect()} == {"de": 100, "en": 100, "fr": 100, "es": 1}
+    again = bounded_sample(docs.filter("text is not null").repartition(3), "lang", ["doc_id", "text"], 100)
+    assert sorted(map(str, x.collect())) == sorted(map(str, again.collect())) and x.columns == docs.columns
+    assert {r["lang"] for r in bounded_sample(docs, "lang", ["doc_id", "text"], 100, classes=2).collect()} == {"de", "en"}
+    assert bounded_sample(docs.limit(0), "lang", ["doc_id"], 100).count() == 0
+
+
+def test_classifier_sees_bounded_rows(spark, monkeypatch):
+    seen, train = [], c.train
+    monkeypatch.setattr(c, "train", lambda blobs, labels, share: seen.append((len(blobs), labels.tolist().count(1), share)) or train(blobs, labels, share))
+    docs = spark.createDataFrame([(k % 2, f"text {k}") for k in range(900)] + [(1, "text 1")] * 50 + [(None, "none")] * 50 + [(3, None)], "doc_id bigint, text string")
+    c.fit(docs, spark.createDataFrame([(0, 0), (1, 1), (1, 0), (3, 1), (None, 1), (4, None), (5, 7)], "doc_id bigint, quality int"), per_class=60)
+    assert seen == [(120, 60, 2 / 3)]
