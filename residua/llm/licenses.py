@@ -8,7 +8,8 @@ are ordered by how many documents have them, rarest first, over all documents.
 |T| - o + 1 words of T (prefix filter), at least o template words (length filter), and after the first common word, in
 this order, enough words must follow on both sides (positional filter).  What is left is compared whole.  Of a template
 of fewer than SHORT distinct words a block must also have all words that no template of another label has, since the
-threshold alone would let another license's name pass for it.
+threshold alone would let another license's name pass for it, and these and o words in all must stand in the template's
+order in a stretch of twice its words, since a block has common words anyway.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ SHORT = 10
 #: Phrases whose every place counts, with their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Customary license notices and their labels.
+#: Customary license notices and the texts of short licenses, with their labels.
 TEMPLATES = [
     ("apache", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License"),
     ("apache", "Licensed under the Apache License, Version 2.0"),
@@ -45,6 +46,19 @@ TEMPLATES = [
     ("mit", "Released under the MIT License"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+            "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+            "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+            "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. "
+            "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+            "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+            "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. "
+            "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, "
+            "and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+            "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
+            "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
 ]
 
 #: Bytes of words as they are, A-Z in lower case, all others as spaces.
@@ -77,6 +91,7 @@ class Join:
     prefix: dict[int, list[tuple[int, int]]]
     half: int
     marks: list[frozenset[int]]
+    orders: list[list[int]]
 
     @classmethod
     def build(cls, templates: list[tuple[str, str]], counts: dict[bytes, int], threshold: float, known: list[tuple[str, str]] = ()) -> Join:
@@ -90,7 +105,8 @@ class Join:
             for i, r in enumerate(sorted(s)[: len(s) - need + 1]):
                 prefix.setdefault(r, []).append((k, i))
         marks = [frozenset(rank[w] for w in marks_of(label, t, known)) for label, t in templates]
-        return cls(rank, sets, prefix, max((half_of(t) for _, t in templates), default=HALF), marks)
+        orders = [[rank[w] for w in words_of(t)] for _, t in templates]
+        return cls(rank, sets, prefix, max((half_of(t) for _, t in templates), default=HALF), marks, orders)
 
     def matches(self, block: set[int]) -> list[tuple[int, float]]:
         """Templates that the block, as a set of ranks, contains to the threshold, and how much of them."""
@@ -108,6 +124,27 @@ class Join:
                     out.append((k, common / len(s)))
         return out
 
+    def in_order(self, k: int, at: list[tuple[int, int]]) -> bool:
+        """Whether a stretch of the block, given as places and ranks of template words, has enough of template k in its order, its marks among them."""
+        _, own, need = self.sets[k]
+        marks, order, first = self.marks[k], self.orders[k], 0
+        at = [(p, r) for p, r in at if r in own]
+        weight = {r: len(order) + 1 if r in marks else 1 for r in own}
+        least = len(marks) * (len(order) + 1) + need - len(marks)
+        for last in range(len(at)):
+            while at[last][0] - at[first][0] >= 2 * len(order):
+                first += 1
+            best = [0] * (len(order) + 1)  # of a common subsequence with each beginning of the template
+            for _, r in at[first : last + 1]:
+                for j in range(len(order), 0, -1):
+                    if order[j - 1] == r:
+                        best[j] = max(best[j], best[j - 1] + weight[r])
+                for j in range(1, len(order) + 1):
+                    best[j] = max(best[j], best[j - 1])
+            if best[-1] >= least:
+                return True
+        return False
+
     def scan(self, words: list[bytes]) -> list[tuple[str, int, int, float]]:
         """label, first word, end word, containment: for each label and matching block its best template."""
         at = [(p, self.rank[w]) for p, w in enumerate(words) if w in self.rank]
@@ -117,11 +154,13 @@ class Join:
         for p, r in at:
             halves.setdefault(p // self.half, set()).add(r)
         out = []
-        for h in sorted({h for x in halves for h in (x - 1, x) if h >= 0 or len(words) <= self.half}):
+        for h in sorted({h for x in halves for h in (x - 1, x) if h >= 0}):
             best: dict[str, float] = {}
             for k, c in self.matches(halves.get(h, set()) | halves.get(h + 1, set())):
+                if self.marks[k] and not self.in_order(k, [x for x in at if h <= x[0] // self.half <= h + 1]):
+                    continue
                 best[self.sets[k][0]] = max(c, best.get(self.sets[k][0], 0.0))
-            out += [(label, max(0, h) * self.half, min(len(words), (h + 2) * self.half), c) for label, c in sorted(best.items())]
+            out += [(label, h * self.half, min(len(words), (h + 2) * self.half), c) for label, c in sorted(best.items())]
         return out
 
 

@@ -1,5 +1,6 @@
 import random
 import re
+from itertools import combinations
 from math import ceil
 
 from residua.llm import licenses as m
@@ -68,3 +69,50 @@ def test_short_templates_need_their_own_words(spark):
     x, n = m.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
     assert [r[n["labels"]] for r in x.orderBy("doc_id").collect()] == ["apache", "", "cc-by", "mit", "apache", "cc-by,cc-by-nc"]
     assert [m.marks_of(label, t, m.TEMPLATES) for label, t in m.TEMPLATES if len(set(m.words_of(t))) < m.SHORT] == [{b"apache"}, {b"cc", b"nc"}, {b"mit"}]
+
+
+def ordered(block, template, marks, need):
+    """Whether some words of the template, marks among them, stand in its order in a stretch of the block."""
+    return any(set(chosen) >= marks and any(follows(chosen, block[a : a + 2 * len(template)]) for a in range(len(block)))
+               for n in range(need, len(template) + 1) for chosen in combinations(template, n))
+
+
+def follows(chosen, stretch):
+    rest = iter(stretch)
+    return all(w in rest for w in chosen)
+
+
+def test_blocks_by_brute_force():
+    """Every matching block, no other, of templates of several lengths, with all that the joins do."""
+    rng = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(90)]
+    templates = [(f"l{k % 7}", " ".join(rng.sample(vocabulary, n))) for k, n in enumerate((1, 2, 3, 5, 8, 9, 10, 30, 48, 49, 60, 80))]
+    for _ in range(60):
+        w = [rng.choice([*vocabulary, "x", "y"]) for _ in range(rng.choice([0, 1, 47, 48, 49, 97, 300, 700]))]
+        for _, t in rng.sample(templates, 3):
+            at = rng.randint(0, len(w))
+            w[at:at] = [v for v in t.split() if rng.random() < 0.9]
+        counts = {v.encode(): rng.randint(0, 5) for v in vocabulary}
+        got = [s for j in m.joins(templates, counts, 0.8) for s in j.scan([v.encode() for v in w])]
+        expected = {}
+        for label, t in templates:
+            own, half = set(t.split()), m.half_of(t)
+            marks = {v.decode() for v in m.marks_of(label, t, templates)}
+            for h in range(-(-len(w) // half)):
+                near = w[h * half : (h + 2) * half]
+                block, need = set(near), ceil(0.8 * len(own) - 1e-9)
+                if len(own & block) >= need and marks <= block and (not marks or ordered(near, t.split(), marks, need)):
+                    key = half, label, h * half, min(len(w), (h + 2) * half)
+                    expected[key] = max(expected.get(key, 0), len(own & block) / len(own))
+        assert sorted(got) == sorted((*key[1:], c) for key, c in expected.items())
+
+
+def test_near_misses_and_whole_licenses(spark):
+    near = {"Licensed under CC BY 4.0": "cc-by", "released under the BSD license": "", "Licensed under the Mozilla Public License, Version 2.0": "", "Released under the GNU General Public License": "gpl",
+            "Released under the Apache License": "apache", "mit der Software " * 30 + "released under the license": "", "released under " + "the x " * 12 + "mit license": "mit", "released under the " + "x " * 12 + "mit und license": "", "This program is free software": ""}
+    long = [(label, t) for label, t in m.TEMPLATES if len(m.words_of(t)) > 100]
+    assert {label for label, _ in long} == {"bsd", "isc", "mit"}
+    whole = [("intro " * before + t + " outro" * 500, label) for label, t in long for before in (0, 1, 47, 95, 200, 1000)]
+    cases = [*near.items(), *whole]
+    x, n = m.scan_licenses(spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id bigint, text string"))
+    assert [r[n["labels"]] for r in x.orderBy("doc_id").collect()] == [label for _, label in cases]
