@@ -1,9 +1,10 @@
-"""Line dedup: documents probe a sharded minimal perfect hash of the frequent lines.
+"""Line dedup: documents probe a sharded minimal perfect hash of repeated lines.
 
-A line's identity is the 128-bit hash of its key.  One aggregation counts the documents of each key; those in enough
-documents are dealt to shards by hash, of about ``SHARD_KEYS`` keys.  A shard is a minimal perfect hash (levels of bit
+A line's identity is the 128-bit hash of its key.  One aggregation counts the documents of each key; those that more
+than one document has are dealt to shards by hash, of about ``SHARD_KEYS`` keys.  A shard is a minimal perfect hash (levels of bit
 arrays; a key that is alone at its bit in a level is placed there, the others go on to the next level) whose ranks
-index an array of 64-bit fingerprints and one of counts.  Documents probe these arrays; no line is joined with a line.
+index an array of 64-bit fingerprints and one of 32-bit counts.  Documents probe these arrays: a line goes if its
+fingerprint is there and its count reaches the threshold.  No line is joined with a line.
 
 Up to ``broadcast_bytes`` the arrays go to all executors.  Beyond that the lines' hashes are dealt to the shards,
 each shard as often as its share of the probes asks for, and the hits return to the texts by the texts' hashes.
@@ -91,11 +92,11 @@ class Shard:
         return np.where((at >= 0) & (self.fingerprints[at] == b), self.counts[at], 0)
 
     def row(self, shard: int) -> tuple:
-        return shard, len(self.counts), self.levels, self.bits.tobytes(), self.fingerprints.tobytes(), self.counts.astype(np.int64).tobytes()
+        return shard, len(self.counts), self.levels, self.bits.tobytes(), self.fingerprints.tobytes(), np.minimum(self.counts, np.iinfo(np.int32).max).astype(np.int32).tobytes()
 
     @classmethod
     def of(cls, row) -> Shard:
-        return cls(list(row["levels"]), np.frombuffer(row["bits"], np.uint64), np.frombuffer(row["fingerprints"], np.uint64), np.frombuffer(row["counts"], np.int64))
+        return cls(list(row["levels"]), np.frombuffer(row["bits"], np.uint64), np.frombuffer(row["fingerprints"], np.uint64), np.frombuffer(row["counts"], np.int32))
 
 
 @dataclass
@@ -122,28 +123,48 @@ def keyed(text: str | None) -> tuple[list[bytes], list[bytes]]:
     return lines, [x.strip(b" \t\n\v\f\r").lower() for x in lines]
 
 
-def counted(docs: DataFrame, text_col: str, min_chars: int) -> DataFrame:
-    """a, b, n: each key's hash and the number of documents with it."""
+def counted(docs: DataFrame, text_col: str, min_chars: int, id_col: str | None = None) -> DataFrame:
+    """a, b, n: each key's hash and the number of documents with it.
 
-    def work(x: pd.DataFrame) -> pd.DataFrame:
-        keys = [k for t in x["text"] for k in set(keyed(t)[1]) if (len(k) if min_chars <= 1 else len(k.decode("utf-8", "replace"))) >= min_chars]
-        a, b = hashes(keys)
-        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+    Rows are documents; with ``id_col`` rows of one id are one document, rows without an id are documents of their own.
+    """
 
-    rows = by_batch(docs.select(col(text_col).alias("text")), ["text"], work, "a bigint, b bigint")
-    return rows.groupBy("a", "b").agg(F.count("*").alias("n"))
+    def keys_of(text: str | None) -> list[bytes]:
+        return [k for k in set(keyed(text)[1]) if (len(k) if min_chars <= 1 else len(k.decode("utf-8", "replace"))) >= min_chars]
 
+    def work(x: pd.DataFrame) -> pd.DataFrame:
+        a, b = hashes([k for t in x["text"] for k in keys_of(t)])
+        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-def build_index(docs: DataFrame, text_col="text", min_docs: int = 10, min_chars: int = 1, shard_keys: int = SHARD_KEYS) -> LineIndex:
-    frequent = cut(counted(docs, text_col, max(1, min_chars)).filter(F.col("n") >= min_docs))
-    n = max(1, -(-frequent.count() // shard_keys))
+    def apart(x: pd.DataFrame) -> pd.DataFrame:
+        keys = [keys_of(t) for t in x["text"]]
+        a, b = hashes([k for own in keys for k in own])
+        return pd.DataFrame({"id": x["id"].repeat([len(own) for own in keys]), "a": a.view(np.int64), "b": b.view(np.int64)})
+
+    rows = docs.select(*([col(id_col).alias("id")] if id_col else []), col(text_col).alias("text"))
+    shared = None
+    if id_col:
+        shared = cut(rows.filter("id is not null").groupBy("id").count().filter("count > 1").select("id"))
+        shared = shared if shared.take(1) else None
+    single = rows if shared is None else rows.join(shared, "id", "left_anti")
+    out = by_batch(single, ["text"], work, "a bigint, b bigint")
+    if shared is not None:
+        kind = docs.schema[id_col].dataType.simpleString()
+        out = out.unionByName(by_batch(rows.join(shared, "id", "left_semi"), ["id", "text"], apart, f"id {kind}, a bigint, b bigint").distinct().drop("id"))
+    return out.groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
+def build_index(docs: DataFrame, text_col="text", min_docs: int = 10, min_chars: int = 1, shard_keys: int = SHARD_KEYS, id_col: str | None = None) -> LineIndex:
+    """Of the keys that more than one document has, or of all if one is enough."""
+    repeated = cut(counted(docs, text_col, max(1, min_chars), id_col).filter(F.col("n") >= min(2, min_docs)))
+    n = max(1, -(-repeated.count() // shard_keys))
 
     def build(x: pd.DataFrame) -> pd.DataFrame:
         a, b = (x[c].to_numpy(np.int64).view(np.uint64) for c in "ab")
         return pd.DataFrame([Shard.build(a, b, x["n"].to_numpy(np.int64)).row(int(x["shard"].iloc[0]))], columns=["shard", "keys", "levels", "bits", "fingerprints", "counts"])
 
     shard = F.shiftrightunsigned("a", 24) % n
-    shards = cut(frequent.withColumn("shard", shard).groupBy("shard").applyInPandas(build, SHARD_SCHEMA))
+    shards = cut(repeated.withColumn("shard", shard).groupBy("shard").applyInPandas(build, SHARD_SCHEMA))
     size = shards.agg(F.coalesce(F.sum(F.length("bits") + F.length("fingerprints") + F.length("counts")), F.lit(0)).alias("s")).first()["s"]
     return LineIndex(shards, n, size)
 
@@ -154,27 +175,28 @@ def _kept(lines: list[bytes], drop: list[bool] | np.ndarray, text: str | None, t
     return len(lines), n, sha256(kept), *((None if text is None else kept.decode("utf-8", "surrogatepass"),) if texts else ())
 
 
-def dedup_lines(docs: DataFrame, text_col="text", min_docs: int = 10, min_chars: int = 1, broadcast_bytes: int = BROADCAST_BYTES, shard_keys: int = SHARD_KEYS, texts: bool = True) -> tuple[DataFrame, dict]:
+def dedup_lines(docs: DataFrame, text_col="text", min_docs: int = 10, min_chars: int = 1, broadcast_bytes: int = BROADCAST_BYTES, shard_keys: int = SHARD_KEYS, texts: bool = True, id_col: str | None = None) -> tuple[DataFrame, dict]:
     r"""``docs`` with n_lines, n_dropped, kept_sha256 and, with ``texts``, kept_text; and the names they got, which never clash.
 
     A line's key is the line without white space ``[\x20\x09-\x0D]`` at its ends and with A-Z lower-cased.  Lines whose
     key has ``min_chars`` code points (at least 1) and is in ``min_docs`` documents go, wherever they are; the others
     stay, joined by \n.  A null or empty text is one empty line, which stays; kept_text of null is null.  Repeated rows
-    count as documents of their own.
+    count as documents of their own, but with ``id_col`` those of one id as one document; rows without an id always do.
     """
-    index = build_index(docs, text_col, min_docs, min_chars, shard_keys)
+    index = build_index(docs, text_col, min_docs, min_chars, shard_keys, id_col)
     fields = [("n_lines", "bigint"), ("n_dropped", "bigint"), ("kept_sha256", "string"), *([("kept_text", "string")] if texts else [])]
     names = dict(zip((n for n, _ in fields), fresh(docs, *(n for n, _ in fields)), strict=True))
     fields = [(names[n], kind) for n, kind in fields]
     if index.bytes <= broadcast_bytes:
-        return _probed(docs, index, text_col, fields, texts), names
-    return _sharded(docs, index, text_col, max(1, min_chars), fields, texts), names
+        return _probed(docs, index, text_col, min_docs, fields, texts), names
+    return _sharded(docs, index, text_col, min_docs, max(1, min_chars), fields, texts), names
 
 
-def _probed(docs: DataFrame, index: LineIndex, text_col: str, fields: list, texts: bool) -> DataFrame:
+def _probed(docs: DataFrame, index: LineIndex, text_col: str, min_docs: int, fields: list, texts: bool) -> DataFrame:
     """Documents probe the broadcast arrays."""
     shared, n = docs.sparkSession.sparkContext.broadcast([r.asDict() for r in index.shards.collect()]), index.n
     opened: dict[int, Shard] = {}
+    least = max(1, min_docs)  # a count of 0 says that the key isn't there
 
     def work(values: list) -> list[list]:
         if not opened:
@@ -185,7 +207,7 @@ def _probed(docs: DataFrame, index: LineIndex, text_col: str, fields: list, text
         for s in np.unique(at):
             if int(s) in opened:
                 mine = at == s
-                drop[mine] = opened[int(s)].count(a[mine], b[mine]) > 0
+                drop[mine] = opened[int(s)].count(a[mine], b[mine]) >= least
         ends = np.cumsum([0, *(len(x) for x, _ in split)])
         out = [_kept(x, drop[ends[k] : ends[k + 1]], t, texts) for k, ((x, _), t) in enumerate(zip(split, values, strict=True))]
         return [list(c) for c in zip(*out, strict=True)]
@@ -193,9 +215,9 @@ def _probed(docs: DataFrame, index: LineIndex, text_col: str, fields: list, text
     return append(docs, [text_col], work, fields)
 
 
-def _sharded(docs: DataFrame, index: LineIndex, text_col: str, min_chars: int, fields: list, texts: bool) -> DataFrame:
+def _sharded(docs: DataFrame, index: LineIndex, text_col: str, min_docs: int, min_chars: int, fields: list, texts: bool) -> DataFrame:
     """The hashes of each text's lines go to the shards; equal texts have equal hits, so these return by the text's hash."""
-    n = index.n
+    n, least = index.n, max(1, min_docs)
 
     def lines_of(x: pd.DataFrame) -> pd.DataFrame:
         seen = {encode(t): t for t in x["text"]}
@@ -219,7 +241,7 @@ def _sharded(docs: DataFrame, index: LineIndex, text_col: str, min_chars: int, f
         if not len(x) or not len(y):
             return x[["t", "u", "a", "b"]].iloc[:0]
         a, b = (x[c].to_numpy(np.int64).view(np.uint64) for c in "ab")
-        return x.loc[Shard.of(y.iloc[0]).count(a, b) > 0, ["t", "u", "a", "b"]]
+        return x.loc[Shard.of(y.iloc[0]).count(a, b) >= least, ["t", "u", "a", "b"]]
 
     hits = probes.groupBy("shard", "copy").cogroup(arrays.groupBy("shard", "copy")).applyInPandas(probe, "t bigint, u bigint, a bigint, b bigint")
     hits = cut(hits.dropDuplicates().groupBy("t", "u").agg(F.collect_list(F.struct("a", "b")).alias("hits")))

@@ -12,7 +12,7 @@ NAME = "op5_line_dedup"
 
 def query(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 of every document."""
-    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), texts=False, **options)[0].select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), texts=False, id_col="doc_id", **options)[0].select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
 SQL = r"""

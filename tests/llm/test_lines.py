@@ -36,3 +36,37 @@ def test_against_brute_force(spark, options):
 def test_empty_tables(spark, options):
     assert dedup_lines(spark.createDataFrame([], "doc_id bigint, text string"), **options)[0].count() == 0
     assert dedup_lines(spark.createDataFrame([(1, "a"), (2, None)], "doc_id bigint, text string"), **options)[0].count() == 2
+
+
+def by_sql(rows, sql):
+    import duckdb
+    import pandas as pd
+
+    documents = pd.DataFrame(rows, columns=["doc_id", "text"])  # noqa: F841
+    con = duckdb.connect()
+    con.register("documents", documents)
+    return sorted(con.execute(sql).fetchall())
+
+
+@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": -1, "shard_keys": 3}])
+def test_counts_decide(spark, monkeypatch, options):
+    """Repeated ids count once, as in the query's SQL; the index has all lines of two documents and its counts decide."""
+    from residua.llm import lines, op5
+
+    rows = [(k, "\n".join(f"in {m}" for m in (2, 9, 10, 11) if k < m) + f"\nown {k}") for k in range(12)]
+    rows += [(3, "in 9\nin 2"), (3, "in 9"), (4, "in 9\nother")]  # still in 9 documents
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    index = lines.build_index(docs, id_col="doc_id")
+    counts = sorted(c for r in index.shards.collect() for c in Shard.of(r).counts.tolist())
+    assert counts == [2 + 1, 9, 10, 11]
+    monkeypatch.setattr(op5, "table", lambda *_: docs)
+    got = sorted((r["doc_id"], r["n_lines"], r["n_dropped"]) for r in op5.query(spark, "", **options).collect())
+    total = {}
+    for i, n, d in got:
+        total[i] = (total.get(i, (0, 0))[0] + n, total.get(i, (0, 0))[1] + d)
+    assert {i: v for i, v in total.items()} == {i: (n, d) for i, n, d, _ in by_sql(rows, op5.SQL)}
+    none = spark.createDataFrame([(None, "a")] * 10 + [(None, "b")] * 9 + [(1, "b")] * 5, "doc_id bigint, text string")
+    x, names = dedup_lines(none, id_col="doc_id", **options)
+    assert sorted((r["text"], r[names["n_dropped"]]) for r in x.collect()) == [("a", 1)] * 10 + [("b", 1)] * 14
+    x, names = dedup_lines(none, min_docs=1, **options)
+    assert {r[names["n_dropped"]] for r in x.collect()} == {1}
