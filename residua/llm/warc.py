@@ -3,6 +3,9 @@
 ``write`` makes two tables in a folder.  ``payloads``: sha256, payload, one row per different payload.  ``headers``: the
 exact bytes that precede each record's payload and the sha256 of that payload.  Equal payloads are found by SHA-256,
 which is verified on reading; the WARC header carries the customary SHA-1 in base32.
+
+Writing sends no payload through a shuffle as long as repeated payloads are few enough for a broadcast of their digests;
+``records`` joins each response's header with its payload, and ``index`` reads the records that come out of it.
 """
 
 from __future__ import annotations
@@ -14,12 +17,14 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, join_hot
+from .common import HOT_SHARE, col, join_hot, written
 from .texts import append, encode
 
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
+#: Digests of repeated payloads, with their first record's key, that are broadcast at most: 130 bytes each.
+BROADCAST_DIGESTS = 200_000
 
 
 def digest32(data: bytes) -> str:
@@ -76,7 +81,7 @@ def write(pages: DataFrame, path: str, id_col="page_id", url_col="url", body_col
     spark = pages.sparkSession
     small = f"{path}/digests"
     _digests(pages, id_col, url_col, body_col, False).groupBy("page", "url", "sha256", "sha1", "size", "key").agg(F.count("*").alias("copies")).write.option("compression", "zstd").parquet(small)
-    rows = spark.read.parquet(small)
+    rows = spark.read.parquet(small)  # a row's weight in first counts different rows; equal ones are copies
     order = F.struct(F.col("page").isNull().alias("n"), "page", F.col("url").isNull().alias("m"), "url", "key")
     first = rows.groupBy("sha256").agg(F.min(order).alias("f"), F.count("*").alias("weight")).select(
         "sha256", "weight", F.col("f.page").alias("first"), F.col("f.url").alias("first_url"), F.col("f.key").alias("first_key"))
@@ -94,47 +99,68 @@ def write(pages: DataFrame, path: str, id_col="page_id", url_col="url", body_col
     columns = ["page", "url", "key", "copy", "sha1", "size", "kind", "first", "first_url", "first_key"]
     out = append(records.select(*columns, "sha256"), columns, heads, [("record_id", "string"), ("header", "binary")])
     out.select("record_id", "header", "sha256").write.option("compression", "zstd").parquet(f"{path}/headers")
-    own = first.select(F.col("first_key").alias("key"))
-    bodies = _digests(pages, id_col, url_col, body_col, True).select("key", "sha256", "payload").join(own, "key", "left_semi")
-    bodies.dropDuplicates(["key"]).select("sha256", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
+    bodies = _digests(pages, id_col, url_col, body_col, True).select("key", "sha256", "payload")
+    repeated = first.filter("weight > 1").select("sha256", "first_key")
+    if repeated.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS:  # each row finds by itself whether it is its payload's first
+        bodies = bodies.join(F.broadcast(repeated), "sha256", "left").filter("first_key is null or first_key = key")
+    else:
+        bodies = bodies.join(first.select(F.col("first_key").alias("key")), "key", "left_semi")
+    if rows.filter("copies > 1").take(1):
+        bodies = bodies.dropDuplicates(["key"])
+    bodies.select("sha256", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
+
 
+def _whole(spark: SparkSession, path: str) -> DataFrame:
+    """record_id, sha256, full, record: the bytes of every record; a response without its payload raises.
 
-def verified(spark: SparkSession, path: str) -> DataFrame:
-    """sha256, payload_bytes, payload_digest of each stored payload, recomputed from its bytes; wrong digests raise."""
+    Payloads that over 1/HOT_SHARE of the responses share (there are fewer than HOT_SHARE, all of them short) are broadcast.
+    """
+    heads = spark.read.parquet(f"{path}/headers").withColumn("full", F.expr("decode(header, 'UTF-8')").contains("\r\nWARC-Type: response\r\n"))
+    payloads = spark.read.parquet(f"{path}/payloads")
+    end = F.encode(F.lit("\r\n\r\n"), "UTF-8")
+    responses = heads.filter("full")
+    hot = [r["sha256"] for r in responses.groupBy("sha256").count().filter(F.col("count") > max(1000, heads.count() // HOT_SHARE)).collect()]
+    is_hot = F.col("sha256").isin(hot) if hot else F.lit(False)
+    both = responses.filter(~is_hot).join(payloads, "sha256", "left")
+    if hot:
+        both = both.unionByName(responses.filter(is_hot).join(F.broadcast(payloads.filter(is_hot)), "sha256", "left"))
+    payload = F.coalesce("payload", F.raise_error(F.concat(F.lit("no payload "), F.col("sha256"))).cast("binary"))
+    names = ["record_id", "sha256", "full"]
+    return both.select(*names, F.concat("header", payload, end).alias("record")).unionByName(heads.filter("not full").select(*names, F.concat("header", end).alias("record")))
 
-    def work(names: list, payloads: list) -> list[list]:
-        for name, p in zip(names, payloads, strict=True):
-            if hashlib.sha256(p).hexdigest() != name:
-                raise ValueError(f"payload {name} is damaged")
-        return [[len(p) for p in payloads], [digest32(p) for p in payloads]]
 
-    return append(spark.read.parquet(f"{path}/payloads"), ["sha256", "payload"], work, [("payload_bytes", "bigint"), ("payload_digest", "string")], drop=("payload",))
+def records(spark: SparkSession, path: str) -> DataFrame:
+    """record_id, record: the bytes of every WARC record, reconstructed by joining headers with payloads; revisits have none."""
+    return _whole(spark, path).select("record_id", "record")
 
 
 def index(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record, read from the archive.
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record, read from the reconstructed records.
 
-    Types and ids come from the stored headers, sizes and digests from the stored payloads; where a header says other
-    than its payload, this raises.
+    A response's size and digests are those of the payload that its record has; a revisit's are those of the response
+    with its payload.  A payload that isn't what its name, the SHA-256, or a header says raises.
     """
 
-    def work(headers: list) -> list[list]:
-        fields = [parse(h) for h in headers]
-        return [[f.get("x-page-id") for f in fields], [f["warc-type"] for f in fields], [f.get("x-refers-to-page-id") for f in fields], [f["warc-payload-digest"].removeprefix("sha1:") for f in fields], [int(f["payload-length"]) for f in fields]]
-
-    heads = append(spark.read.parquet(f"{path}/headers").select("sha256", "header"), ["header"], work, [("page", "string"), ("record_type", "string"), ("refers", "string"), ("said", "string"), ("length", "bigint")], drop=("header",))
-    counts = spark.read.parquet(f"{path}/headers").groupBy("sha256").agg(F.count("*").alias("weight"))
-    right = verified(spark, path).join(counts, "sha256", "right")
-    x = join_hot(heads, right, "sha256", "weight")
-    agree = (F.col("said") == F.col("payload_digest")) & (F.col("length") == F.col("payload_bytes"))
-    digest = F.when(F.coalesce(agree, F.lit(False)), F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("no payload as a header says: "), F.col("sha256"))))
-    return x.select(F.col("page").cast(id_type).alias("page_id"), "payload_bytes", digest.alias("payload_digest"), "record_type", F.col("refers").cast(id_type).alias("refers_to"))
-
+    def work(names: list, wholes: list) -> list[list]:
+        out = []
+        for name, record in zip(names, wholes, strict=True):
+            f = parse(record)
+            said, length, size, sha1 = f["warc-payload-digest"].removeprefix("sha1:"), int(f["payload-length"]), None, None
+            if f["warc-type"] == "response":
+                payload = bytes(record).split(b"\r\n\r\n", 2)[2][: -len(b"\r\n\r\n")]
+                size, sha1 = len(payload), digest32(payload)
+                if hashlib.sha256(payload).hexdigest() != name or (sha1, size) != (said, length):
+                    raise ValueError(f"payload {name} is damaged")
+            out.append((f.get("x-page-id"), f["warc-type"], f.get("x-refers-to-page-id"), said, length, sha1, size))
+        return [list(c) for c in zip(*out, strict=True)]
 
-def records(spark: SparkSession, path: str) -> DataFrame:
-    """record_id, record: the bytes of every WARC record, reconstructed by joining headers with payloads; revisits have none."""
-    heads = spark.read.parquet(f"{path}/headers").withColumn("full", F.expr("decode(header, 'UTF-8')").contains("\r\nWARC-Type: response\r\n"))
-    end = F.encode(F.lit("\r\n\r\n"), "UTF-8")
-    whole = heads.filter("full").join(spark.read.parquet(f"{path}/payloads"), "sha256")
-    whole = whole.select("record_id", F.concat("header", "payload", end).alias("record"))
-    return whole.unionByName(heads.filter("not full").select("record_id", F.concat("header", end).alias("record")))
+    fields = [("page", "string"), ("record_type", "string"), ("refers", "string"), ("said", "string"), ("length", "bigint"), ("sha1", "string"), ("size", "bigint")]
+    x = written(append(_whole(spark, path).select("sha256", "full", "record"), ["sha256", "record"], work, fields, drop=("record",)), "records")
+    own = lambda d, size, digest: d.select(F.col("page").cast(id_type).alias("page_id"), F.col(size).alias("payload_bytes"), digest.alias("payload_digest"), "record_type", F.col("refers").cast(id_type).alias("refers_to"))
+    responses, revisits = x.filter("full"), x.filter("not full").drop("sha1", "size")
+    counts = revisits.groupBy("sha256").agg(F.count("*").alias("weight"))
+    found = counts.join(responses.select("sha256", "sha1", "size").dropDuplicates(["sha256"]), "sha256", "left")
+    revisits = join_hot(revisits, found, "sha256", "weight")
+    agree = F.coalesce((F.col("said") == F.col("sha1")) & (F.col("length") == F.col("size")), F.lit(False))
+    digest = F.when(agree, F.col("sha1")).otherwise(F.raise_error(F.concat(F.lit("no payload as a header says: "), F.col("sha256"))))
+    return own(responses, "size", F.col("sha1")).unionByName(own(revisits, "size", digest))

@@ -58,3 +58,32 @@ def test_damage_is_found(spark, tmp_path):
     shutil.move(f"{path}/bad", f"{path}/payloads")
     with pytest.raises(Exception, match="damaged"):
         warc.index(spark, path).collect()
+
+
+def test_both_ways_of_writing(spark, tmp_path, monkeypatch):
+    rows = sorted(map(str, warc.index(spark, archive(spark, tmp_path / "a")).collect()))
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", 0)
+    path = archive(spark, tmp_path / "b")
+    assert sorted(map(str, warc.index(spark, path).collect())) == rows
+    assert spark.read.parquet(f"{path}/payloads").count() == len({h or "" for *_, h in PAGES})
+
+
+def test_hot_payloads_and_clashing_columns(spark, tmp_path):
+    """A short payload that most responses have, and columns named like the archive's own."""
+    pages = [(k, f"u{k}", "hot" if k % 3 else f"page {k}", "x", "y", "z") for k in range(1800)]
+    docs = spark.createDataFrame(pages, "page_id bigint, url string, html string, sha256 string, `key` string, payload string")
+    warc.write(docs, str(tmp_path / "a"), min_bytes=5)
+    got = {r["page_id"]: r for r in warc.index(spark, str(tmp_path / "a")).collect()}
+    assert len(got) == 1800 and {r["record_type"] for r in got.values()} == {"response"}
+    assert all(r["payload_digest"] == warc.digest32(h.encode()) and r["payload_bytes"] == len(h) for k, _, h, *_ in pages for r in [got[k]])
+    assert spark.read.parquet(str(tmp_path / "a/payloads")).count() == 601
+    whole = {warc.parse(r["record"])["x-page-id"]: bytes(r["record"]) for r in warc.records(spark, str(tmp_path / "a")).collect()}
+    assert len(whole) == 1800 and all(whole[str(k)].endswith(b"\r\n\r\n" + h.encode() + b"\r\n\r\n") for k, _, h, *_ in pages)
+
+
+def test_missing_payloads_raise(spark, tmp_path):
+    path = archive(spark, tmp_path / "a")
+    shutil.move(f"{path}/payloads", f"{path}/old")
+    spark.read.parquet(f"{path}/old").limit(0).write.parquet(f"{path}/payloads")
+    with pytest.raises(Exception, match="no payload"):
+        warc.index(spark, path).collect()
