@@ -16,10 +16,11 @@ from __future__ import annotations
 import base64
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import col
+from .common import col, written
 from .texts import append, encode, ready, sha256
 
 WINDOW = RUN = 64
@@ -169,51 +170,88 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return min(1.0, total / float(own.sum()))
 
 
-def apart(spark: SparkSession, n: int) -> list[int]:
-    """n numbers of which Spark's hash partitioning into n deals each to a partition of its own."""
-    numbers = spark.range(n * (16 + 2 * n.bit_length()), numPartitions=1).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("p"))
-    own = {r["p"]: r["id"] for r in numbers.groupBy("p").agg(F.min("id").alias("id")).collect()}
-    spare = iter(range(-1, -n - 1, -1))  # a partition that no number has found gets another's neighbour
-    return [own[p] if p in own else next(spare) for p in range(n)]
+FIELDS = "id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def followed(docs: DataFrame, id_col="doc_id", text_col="text", ranges: int | None = None) -> DataFrame:
-    """part, extra, id, body: all rows, dealt to id ranges, and per range once more, as ``extra``, the row that comes after its last.
+def edited(text: str, after: str) -> str:
+    n = len(text) // 3
+    return text[: len(text) - n] + after[:n]
 
-    Rows go by descending id (null last; equal ids by a hash of the text) and the first comes after the last.
-    """
-    rows = docs.select(col(id_col).cast("bigint").alias("id"), F.coalesce(col(text_col), F.lit("")).alias("body"))
-    n = ranges or max(1, 2 * rows.rdd.getNumPartitions())
-    cuts = np.array(sorted({int(c) for c in rows.approxQuantile("id", [k / n for k in range(1, n)], 0.2 / n)} if n > 1 else ()), dtype=np.int64)
 
-    def part(ids: list) -> list[list]:
-        return [[0 if i is None else 1 + int(np.searchsorted(cuts, i, side="right")) for i in ids]]
+def compared(group: list):
+    """The rows of FIELDS for (id, text, next text)."""
+    import pyarrow as pa
 
-    code = F.xxhash64("body").alias("code")
-    tops = append(rows.select("id", code), ["id"], part, [("part", "bigint")]).groupBy("part").agg(F.max(F.struct("id", "code")).alias("top"))
-    found = sorted((r["part"], r["top"]["id"], r["top"]["code"]) for r in tops.collect())  # one row per range
-    name = apart(docs.sparkSession, n + 1)  # parts are 0 (null ids) to n
-    needed: dict[tuple, list[int]] = {}
-    for k, (p, _, _) in enumerate(found):
-        _, i, c = found[k - 1]  # the next lower range; for the lowest the highest
-        needed.setdefault((i, c), []).append(name[p])
+    texts = [t for _, t, _ in group]
+    edits = [edited(t, a) for _, t, a in group]
+    after = [a for _, _, a in group]
+    blobs = {t: None for t in [*texts, *edits, *after]}
+    made = [digest(h) for h in features([encode(t) for t in blobs])]
+    of = dict(zip(blobs, made, strict=True))
+    columns = [[i for i, _, _ in group], [len(t) for t in texts], [sha256(encode(e)) for e in edits], [text_of(of[t]) for t in texts], [text_of(of[e]) for e in edits],
+               [likeness(of[t], of[e]) for t, e in zip(texts, edits, strict=True)], [likeness(of[t], of[a]) for t, a in zip(texts, after, strict=True)]]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in FIELDS.split(", ")])
+
+
+def groups(rows):
+    """Runs of (id, text, next text) of about 1 MB at most."""
+    group, size = [], 0
+    for r in rows:
+        group.append(r)
+        size += len(r[1]) + len(r[2])
+        if size > 1 << 20 or len(group) >= 256:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
+def in_ranges(docs: DataFrame, id_col: str, text_col: str, ranges: int | None) -> DataFrame:
+    """FIELDS of every row but the last of its range, with role 0; and each range's first row (role 1) and last row (role 2) as part, id, body.
+
+    Rows are range-sorted by descending id (null last; equal ids by a hash of the text); equal rows spread over ranges, too.
+    """
+    import pyarrow as pa
 
-    def parts(ids: list, codes: list) -> list[list]:
-        own = [name[p] for p in part(ids)[0]]
-        return [own, [needed.get((i, c), []) for i, c in zip(ids, codes, strict=True)]]
+    rows = docs.select(col(id_col).cast("bigint").alias("id"), F.coalesce(col(text_col), F.lit("")).alias("body"))
+    order = [F.col("id").desc_nulls_last(), F.col("code").desc(), F.col("copy")]
+    x = rows.withColumns({"code": F.xxhash64("body"), "copy": F.monotonically_increasing_id()})
+    x = x.repartitionByRange(ranges or max(1, 2 * rows.rdd.getNumPartitions()), *order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), "id", "body")
+    width = len(FIELDS.split(", "))
 
-    x = append(rows.select("id", "body", code), ["id", "code"], parts, [("part", "bigint"), ("more", "array<bigint>")])
-    x = x.withColumn("to", F.explode(F.concat(F.array(F.struct("part", F.lit(False).alias("extra"))), F.transform("more", lambda p: F.struct(p.alias("part"), F.lit(True).alias("extra"))))))
-    x = x.select("to.part", "to.extra", "id", "code", "body")
-    return x.repartition(n + 1, "part").sortWithinPartitions("part", "extra", F.col("id").desc_nulls_last(), F.col("code").desc())
+    def edge(part: int, role: int, i: int | None, body: str) -> pa.RecordBatch:
+        values = [i, *[None] * (width - 1), part, role, body]
+        return pa.RecordBatch.from_arrays([pa.array([v], type=k) for v, k in zip(values, kinds(), strict=True)], names=names)
 
+    def kinds() -> list:
+        return [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int32(), pa.string()]
 
-FIELDS = "id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    names = [*(f.split()[0] for f in FIELDS.split(", ")), "part", "role", "body"]
 
+    def run(batches):
+        last = None
+        edges: list = []
+
+        def pairs():
+            nonlocal last
+            for b in batches:
+                for part, i, body in zip(*(b.column(c).to_pylist() for c in ("part", "id", "body")), strict=True):
+                    if last is None:
+                        edges.append(edge(part, 1, i, body))
+                    else:
+                        yield last[1], last[2], body
+                    last = part, i, body
+
+        for group in groups(pairs()):
+            done, n = compared(group), len(group)
+            yield pa.RecordBatch.from_arrays([*done.columns, pa.nulls(n, pa.int64()), pa.array([0] * n, type=pa.int32()), pa.nulls(n, pa.string())], names=names)
+        if last:
+            edges.append(edge(last[0], 2, last[1], last[2]))
+        yield from edges
 
-def edited(text: str, after: str) -> str:
-    n = len(text) // 3
-    return text[: len(text) - n] + after[:n]
+    ready(docs)
+    return x.mapInArrow(run, f"{FIELDS}, part bigint, role int, body string")
 
 
 def fingerprints(docs: DataFrame, id_col="doc_id", text_col="text", ranges: int | None = None) -> DataFrame:
@@ -223,37 +261,21 @@ def fingerprints(docs: DataFrame, id_col="doc_id", text_col="text", ranges: int
     edited text.  Null texts are empty; the digests of empty texts and of texts of 64 bytes or more without
     a window of 1 bit of entropy (runs of one character) are empty, and like each other only.  A single row
     is its own next.  Ids are integers; with equal ids rows go by a hash of their text; other columns are not read.
-    """
-    import pyarrow as pa
 
-    def rows(batches):
-        for b in batches:
-            yield from zip(*(b.column(c).to_pylist() for c in ("part", "extra", "id", "body")), strict=True)
+    One range sort deals the texts; the last row of a range meets the first one of the next range afterwards, in a join
+    of one row per range.
+    """
+    x = written(in_ranges(docs, id_col, text_col, ranges), "fingerprints")
+    fields = [f.split()[0] for f in FIELDS.split(", ")]
+    starts = x.filter("role = 1").select("part", F.col("body").alias("after"))
+    parts = starts.select("part", F.lead("part").over(W.orderBy("part")).alias("next"))  # one narrow row per range
+    follow = parts.withColumn("next", F.coalesce("next", F.min("part").over(W.partitionBy())))
+    ends = x.filter("role = 2").select("part", "id", "body").join(follow, "part").drop("part")
+    ends = ends.join(starts.withColumnRenamed("part", "next"), "next").select("id", "body", "after")
 
     def run(batches):
-        last, group, size = None, [], 0
-        for part, extra, i, body in rows(batches):
-            if last is not None and last[0] == part:
-                group.append((last[1], last[2], body))
-                size += len(body) + len(last[2])
-                if size > 1 << 20 or len(group) >= 256:
-                    yield done(group)
-                    group, size = [], 0
-            last = None if extra else (part, i, body)
-        if group:
-            yield done(group)
-
-    def done(group: list) -> pa.RecordBatch:
-        texts = [t for _, t, _ in group]
-        edits = [edited(t, a) for _, t, a in group]
-        after = [a for _, _, a in group]
-        blobs = {t: None for t in [*texts, *edits, *after]}
-        made = [digest(h) for h in features([encode(t) for t in blobs])]
-        of = dict(zip(blobs, made, strict=True))
-        columns = [[i for i, _, _ in group], [len(t) for t in texts], [sha256(encode(e)) for e in edits], [text_of(of[t]) for t in texts], [text_of(of[e]) for e in edits],
-                   [likeness(of[t], of[e]) for t, e in zip(texts, edits, strict=True)], [likeness(of[t], of[a]) for t, a in zip(texts, after, strict=True)]]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in FIELDS.split(", ")])
+        for b in batches:
+            for group in groups(zip(*(b.column(c).to_pylist() for c in ("id", "body", "after")), strict=True)):
+                yield compared(group)
 
-    ready(docs)
-    return followed(docs, id_col, text_col, ranges).drop("code").mapInArrow(run, FIELDS).withColumnRenamed("id", id_col)
+    return x.filter("role = 0").select(*fields).unionByName(ends.mapInArrow(run, FIELDS)).withColumnRenamed("id", id_col)

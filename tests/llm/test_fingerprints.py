@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from residua.llm import fingerprints as m
 from tests.llm import brute
@@ -90,3 +91,17 @@ def test_small_last_filters_count():
     c = m.digest(np.r_[rng.integers(0, 1 << 63, 160, dtype=np.uint64), few])
     assert 0.02 < m.likeness(a, c) < 0.15
     assert m.likeness(m.digest(full[:150]), m.digest(np.r_[rng.integers(0, 1 << 63, 160, dtype=np.uint64), full[:1]])) < 0.1
+
+
+def test_equal_and_null_ids_spread_over_ranges(spark):
+    rows = [(None, f"text {k % 3} " * 30) for k in range(400)] + [(7, "seven " * 20)] * 300
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    x = m.in_ranges(docs, "doc_id", "text", 8)
+    sizes = {r["part"]: r["n"] for r in x.filter("role = 1").groupBy("part").agg(F.count("*").alias("n")).collect()}
+    assert len(sizes) >= 6 and set(sizes.values()) == {1}
+    got = m.fingerprints(docs, ranges=8).collect()
+    after = {t: {brute.sha(m.edited(t, a)) for _, a in rows} for _, t in rows}
+    assert len(got) == 700 and sum(r["doc_id"] is None for r in got) == 400
+    own = {m.text_of(m.digest(m.features([t.encode()])[0])): t for t in after}
+    assert all(r["edited_sha256"] in after[own[r["fingerprint"]]] for r in got)
+    assert sum(r["near_next"] == 1 for r in got) >= 700 - 4  # equal rows follow each other
