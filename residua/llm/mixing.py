@@ -5,8 +5,10 @@ Every source has a share of the training words (its target) and a weight schedul
 The documents of a source follow each other in the order of md5(doc_id); a document that starts after a fraction u of
 the demand is trained on at the t where the integral reaches u.  Documents are then range-sorted by t.
 
-Cumulative words need a running sum over each source, of which one may hold most rows.  The md5 order is cut into
-``buckets`` ranges per source: their totals give each range's offset, and the running sum is over one range at a time.
+Cumulative words need a running sum over each source, of which one may hold most rows.  The md5 order is cut into ranges
+per source, as many as the number of rows asks for: their totals give each range's offset, and the running sum is over
+one range at a time.  Ids that repeat, or are null, have one md5; a range of more than MOST rows is cut once more, by the
+rest of the order: md5, size, and a hash of the text among equals.
 """
 
 from __future__ import annotations
@@ -18,6 +20,10 @@ from pyspark.sql import functions as F
 from .common import col, cut, fresh
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows that a range is meant to have, and more of which aren't left in one.
+ROWS, MOST = 20_000, 200_000
+#: Parts of the rows with one id and size in a range that is cut once more.
+TIES = 1024
 
 
 def word_count(text):
@@ -46,31 +52,43 @@ def targets(totals: DataFrame, share: float = 1.5, weights=(5, 2, 1), passes: in
     return t.select("key", "source_size", "slope", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(part).alias("target"))
 
 
-def curriculum(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", share=1.5, weights=(5, 2, 1), passes=2, slopes=(-0.5, 0.0, 0.5), buckets=1024) -> tuple[DataFrame, dict]:
+def curriculum(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", share=1.5, weights=(5, 2, 1), passes=2, slopes=(-0.5, 0.0, 0.5), buckets: int | None = None, most: int = MOST) -> tuple[DataFrame, dict]:
     """The rows and columns of ``docs`` with size, source_size, target, taken, position (an array, one per pass, null where not taken).
 
     Returns the frame and the names the new columns got, which never clash.  Null texts have size 0, a null source is a
     source of its own and comes last, null ids count as an empty text, an empty table stays empty.  Rows with equal ids
-    follow each other by size; equal rows are interchangeable.  The last document of a source's demand may be taken in
+    follow each other by size, those of one size by a hash of the text; equal rows are interchangeable.  The last document of a source's demand may be taken in
     part: ``taken`` counts words.
     """
     names = dict(zip(n := ["key", "bucket", "order", "size", "source_size", "target", "taken", "position"], fresh(docs, *n), strict=True))
     key, bucket, order, size = (names[x] for x in n[:4])
     code = F.md5(F.coalesce(col(id_col).cast("string"), F.lit("")))
+    n_buckets = buckets or max(1024, docs.count() // ROWS)
     rows = docs.withColumns({
         key: F.when(col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), col(source_col).cast("string"))),
         order: code,
-        bucket: F.floor(F.conv(F.substring(code, 1, 8), 16, 10).cast("long") * buckets / F.lit(2**32)).cast("int"),
+        bucket: F.floor(F.conv(F.substring(code, 1, 8), 16, 10).cast("long") * n_buckets / F.lit(2**32)).cast("int"),
         size: word_count(col(text_col)),
     })
-    ranges = cut(rows.groupBy(col(key).alias("key"), col(bucket).alias("bucket")).agg(F.sum(col(size)).alias("words")))
+    tie, part = f"{order}?", f"{bucket}?"
+    rows = rows.withColumn(tie, F.pmod(F.xxhash64(col(text_col)), F.lit(TIES)).cast("int"))
+    ranges = cut(rows.groupBy(col(key).alias("key"), col(bucket).alias("bucket")).agg(F.sum(col(size)).alias("words"), F.count("*").alias("rows")))
+    large = ranges.filter(F.col("rows") > most)  # fewer than rows / most
+    if large.take(1):
+        marks = F.broadcast(large.select(F.col("key").alias(key), F.col("bucket").alias(bucket), F.lit(True).alias(part)))
+        place = F.concat(col(order), F.lpad(col(size).cast("string"), 19, "0"), F.lpad(col(tie).cast("string"), 4, "0"))  # sorts as the three do
+        rows = rows.join(marks, [key, bucket], "left").withColumn(part, F.when(col(part), place).otherwise(""))
+        pieces = rows.filter(col(part) != "").groupBy(col(key).alias("key"), col(bucket).alias("bucket"), col(part).alias("part")).agg(F.sum(col(size)).alias("words"))
+        ranges = cut(ranges.filter(F.col("rows") <= most).select("key", "bucket", F.lit("").alias("part"), "words").unionByName(pieces))
+    else:
+        rows, ranges = rows.withColumn(part, F.lit("")), ranges.select("key", "bucket", F.lit("").alias("part"), "words")
     plan = targets(ranges.groupBy("key").agg(F.sum("words").alias("source_size")), share, weights, passes, slopes)
-    ahead = F.coalesce(F.sum("words").over(W.partitionBy("key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    ahead = F.coalesce(F.sum("words").over(W.partitionBy("key").orderBy("bucket", "part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
     small = cut(ranges.withColumn("ahead", ahead).join(plan, "key").select(
-        F.col("key").alias(f"{key}!"), F.col("bucket").alias(f"{bucket}!"), F.struct("ahead", "source_size", "slope", "target").alias(f"{size}!")))
-    x = rows.join(small, (col(key) == col(f"{key}!")) & (col(bucket) == col(f"{bucket}!")))
+        F.col("key").alias(f"{key}!"), F.col("bucket").alias(f"{bucket}!"), F.col("part").alias(f"{part}!"), F.struct("ahead", "source_size", "slope", "target").alias(f"{size}!")))
+    x = rows.join(small, (col(key) == col(f"{key}!")) & (col(bucket) == col(f"{bucket}!")) & (col(part) == col(f"{part}!")))
     plan_of = lambda f: F.col(f"`{size}!`.{f}")
-    within = W.partitionBy(col(key), col(bucket)).orderBy(col(order), col(size)).rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy(col(key), col(bucket), col(part)).orderBy(col(order), col(size), col(tie)).rowsBetween(W.unboundedPreceding, -1)
     start = plan_of("ahead") + F.coalesce(F.sum(col(size)).over(within), F.lit(0).cast("long"))
     x = x.withColumn(f"{order}!", start)
     start, target, a = col(f"{order}!"), plan_of("target"), plan_of("slope")

@@ -50,3 +50,22 @@ def test_clashing_names_and_order(spark):
     places = sorted((p, i) for i, r in taken.items() for p in r[names["position"]] if p is not None)
     assert seen == [i for _, i in places] and all(0 <= p <= 1 for p, _ in places)
     assert seen == [r["doc_id"] for r in mixed(docs.repartition(5)).collect()]  # reruns agree
+
+
+def test_large_ranges_are_cut_once_more(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice([None, None, 5, k]), "w " * rng.choice([0, 1, 4, 9]) + rng.choice("abcdef"), rng.choice(["a", "b"]), k) for k in range(300)]
+    for buckets, most in ((4, 1), (1, 20), (64, 50)):
+        x, names = curriculum(spark.createDataFrame(rows, "doc_id bigint, text string, source string, extra int").repartition(4), buckets=buckets, most=most)
+        got = x.collect()
+        whole, _ = curriculum(spark.createDataFrame(rows, "doc_id bigint, text string, source string, extra int"))
+        key = lambda r: (r["source"], r["doc_id"] is None, r["doc_id"] or 0, r[names["size"]])
+        total = lambda rs: {k: sum(r[names["taken"]] for r in rs if key(r) == k) for k in map(key, rs)}
+        assert total(got) == total(whole.collect()) and len(got) == 300
+        starts = {}
+        for r in got:  # every word of a source has one place
+            starts.setdefault(r["source"], []).append((r[names["position"]][0], r[names["size"]], r[names["taken"]]))
+        for s, own in starts.items():
+            assert abs(sum(t for *_, t in own) - next(r[names["target"]] for r in got if r["source"] == s)) <= 1
+            places = [p for p, n, _ in own if p is not None and n]
+            assert len(set(places)) == len(places)
