@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import col, written
-from .texts import append, encode, ready, sha256
+from .texts import encode, ready, sha256, sliced
 
 WINDOW = RUN = 64
 MIN_WINS = 16
@@ -235,7 +235,7 @@ def in_ranges(docs: DataFrame, id_col: str, text_col: str, ranges: int | None) -
 
         def pairs():
             nonlocal last
-            for b in batches:
+            for b in sliced(batches):
                 for part, i, body in zip(*(b.column(c).to_pylist() for c in ("part", "id", "body")), strict=True):
                     if last is None:
                         edges.append(edge(part, 1, i, body))
@@ -274,7 +274,7 @@ def fingerprints(docs: DataFrame, id_col="doc_id", text_col="text", ranges: int
     ends = ends.join(starts.withColumnRenamed("part", "next"), "next").select("id", "body", "after")
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             for group in groups(zip(*(b.column(c).to_pylist() for c in ("id", "body", "after")), strict=True)):
                 yield compared(group)
 

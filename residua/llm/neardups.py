@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import col, fresh, join_hot, written
-from .texts import LOWER, append, encode, slices
+from .texts import LOWER, append, encode, sliced, slices
 
 MOST_HASHES, MISS = 192, 1e-6
 #: Signature bytes agree by chance in 1 of 256; the sieve lets pass what is this much under the threshold.
@@ -237,7 +237,7 @@ class Links:
             import pyarrow as pa
 
             name, place = None, None
-            for b in batches:
+            for b in sliced(batches):
                 u, v = [], []
                 for p, role, node, data in zip(*(b.column(k).to_pylist() for k in ("place", "role", "node", "shingles")), strict=True):
                     if p != name:

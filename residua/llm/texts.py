@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 
 from ..functions.shipping import ship
 
-#: Rows of a table that Python gets at once; texts of one batch are then worked on in slices of SLICE bytes.
+#: Rows of a table that are worked on at once; their texts go in slices of SLICE bytes.
 BATCH_ROWS = 256
 SLICE = 1 << 20
 
@@ -46,9 +46,15 @@ def joined(blobs: list[bytes], gap: int = 0) -> tuple[np.ndarray, np.ndarray]:
 
 
 def ready(df: DataFrame) -> None:
-    """Python workers have the package and get BATCH_ROWS rows at once, however long their texts are."""
+    """Python workers have the package."""
     ship(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
+def sliced(batches: Iterator) -> Iterator:
+    """Arrow batches, which Spark limits in bytes, as slices of BATCH_ROWS rows, without copies."""
+    for b in batches:
+        for at in range(0, b.num_rows, BATCH_ROWS):
+            yield b.slice(at, BATCH_ROWS)
 
 
 def give_back() -> None:
@@ -63,16 +69,20 @@ def give_back() -> None:
 
 
 def by_batch(df: DataFrame, columns: list[str], work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """``work`` on every Arrow batch of these columns of ``df``."""
+    """``work`` on every BATCH_ROWS rows of these columns of ``df``; integers with nulls among them come as objects."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kinds = to_arrow_schema(T._parse_datatype_string(schema))
 
     def run(batches):
-        for x in batches:
-            for at in range(0, len(x), BATCH_ROWS):
-                yield work(x.iloc[at : at + BATCH_ROWS].reset_index(drop=True))
+        for c in sliced(batches):
+            yield pa.RecordBatch.from_pandas(work(c.to_pandas(integer_object_nulls=True)), schema=kinds, preserve_index=False)
         give_back()
 
     ready(df)
-    return df.select(*columns).mapInPandas(run, schema)
+    return df.select(*columns).mapInArrow(run, schema)
 
 
 def append(df: DataFrame, inputs: list[str], work: Callable[..., list[list]], fields: list[tuple[str, str]], drop: tuple[str, ...] = ()) -> DataFrame:
@@ -92,12 +102,10 @@ def append(df: DataFrame, inputs: list[str], work: Callable[..., list[list]], fi
     names = schema.names
 
     def run(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, BATCH_ROWS):
-                c = b.slice(at, BATCH_ROWS)
-                got = work(*(c.column(k).to_pylist() for k in places))
-                arrays = [pa.array(v, type=kind) for v, kind in zip(got, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(c.column(k) for k in left), *arrays], names=names)
+        for c in sliced(batches):
+            got = work(*(c.column(k).to_pylist() for k in places))
+            arrays = [pa.array(v, type=kind) for v, kind in zip(got, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(c.column(k) for k in left), *arrays], names=names)
         give_back()
 
     ready(df)
