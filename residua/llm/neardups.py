@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, fresh, join_hot, written
+from .common import col, discard, fresh, join_hot, written
 from .texts import LOWER, append, encode, sliced, slices
 
 MOST_HASHES, MISS = 192, 1e-6
@@ -166,17 +166,19 @@ def components(edges: DataFrame) -> DataFrame:
         r = e.agg(F.count("*").alias("n"), F.sum(F.shiftright(F.xxhash64("u", "v"), 16)).alias("s")).first()
         return r["n"], r["s"]
 
-    e = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    last, now = None, state(e)
+    table = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    last, now = None, state(table)
     parts = 1 + now[0] // EDGES  # there are never more than twice the edges, so few files each round
-    e = e.coalesce(parts)
     while now != last:
+        e = table.coalesce(parts)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = stars(both.filter("v > u"), both, 2 * now[0]).select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         large = cut(large.coalesce(parts))
         small = stars(large, large, now[0])
-        e = cut(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct().coalesce(parts))
-        last, now = now, state(e)
+        new = cut(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct().coalesce(parts))
+        discard(table, large)
+        table, last, now = new, now, state(new)
+    e = table.coalesce(parts)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
@@ -413,6 +415,7 @@ def _classed(docs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
     rest = cut(links.confirmed(_rest(members, found, nodes, percent)))
     stars = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
     found = components(stars.unionByName(rest)) if rest.take(1) else found
+    discard(members)
     named = cut(nodes.select("node", "rep", "copies").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("w"))
     named = join_hot(named, least, "component", "w").select("node", "copies", "component_id")

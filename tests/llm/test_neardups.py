@@ -103,3 +103,17 @@ def test_many_null_and_repeated_ids(spark, monkeypatch):
     monkeypatch.setattr(m, "append", counted)
     compare(spark, rows, 3, 85)
     assert max(joined) < 10 * len(rows)  # null ids don't meet all pairs
+
+
+def test_a_cluster_must_name_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from residua.llm.common import shared_dir
+
+    made = []
+    session = lambda master, path: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: path), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: made[-1] if made else None, setCheckpointDir=made.append))
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(session("spark://host:7077", None))
+    assert shared_dir(session("spark://host:7077", "/shared")) == "/shared"
+    made.clear()
+    assert "residua-" in shared_dir(session("local[2]", None))
