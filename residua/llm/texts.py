@@ -14,6 +14,8 @@ from ..functions.shipping import ship
 #: Rows of a table that are worked on at once; their texts go in slices of SLICE bytes.
 BATCH_ROWS = 256
 SLICE = 1 << 20
+#: Bytes that Python gets at once, or one longer row.
+BATCH_BYTES = 4 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -46,8 +48,15 @@ def joined(blobs: list[bytes], gap: int = 0) -> tuple[np.ndarray, np.ndarray]:
 
 
 def ready(df: DataFrame) -> None:
-    """Python workers have the package."""
+    """Python workers have the package and get BATCH_BYTES at once, however many rows these are.
+
+    Spark's own limit of 64 MB is too much beside several tasks on small executors.  It is the session's, so other plans
+    have it, too; rows of numbers stay under it.
+    """
     ship(df.sparkSession)
+    spark, limit = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(limit)) <= BATCH_BYTES:
+        spark.conf.set(limit, BATCH_BYTES)
 
 
 def sliced(batches: Iterator) -> Iterator:
