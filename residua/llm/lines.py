@@ -1,7 +1,8 @@
 """Line dedup: documents probe a sharded minimal perfect hash of repeated lines.
 
 A line's identity is the 128-bit hash of its key.  One aggregation counts the documents of each key; those that more
-than one document has are dealt to shards by hash, of about ``SHARD_KEYS`` keys.  A shard is a minimal perfect hash (levels of bit
+than one document has (or, if they are too many to broadcast, enough documents) are dealt to shards by hash, of about
+``SHARD_KEYS`` keys.  A shard is a minimal perfect hash (levels of bit
 arrays; a key that is alone at its bit in a level is placed there, the others go on to the next level) whose ranks
 index an array of 64-bit fingerprints and one of 32-bit counts.  Documents probe these arrays: a line goes if its
 fingerprint is there and its count reaches the threshold.  No line is joined with a line.
@@ -29,6 +30,8 @@ SHARD_KEYS = 1_000_000
 TASK_PROBES = 2_000_000
 BROADCAST_BYTES = 32 << 20
 LEVELS, GAMMA = 64, 1.6
+#: Of a fingerprint, a count and their part of the bits.
+KEY_BYTES = 12.5
 SHARD_SCHEMA = "shard bigint, keys bigint, levels array<bigint>, bits binary, fingerprints binary, counts binary"
 
 
@@ -154,10 +157,14 @@ def counted(docs: DataFrame, text_col: str, min_chars: int, id_col: str | None =
     return out.groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
-def build_index(docs: DataFrame, text_col="text", min_docs: int = 10, min_chars: int = 1, shard_keys: int = SHARD_KEYS, id_col: str | None = None) -> LineIndex:
-    """Of the keys that more than one document has, or of all if one is enough."""
+def build_index(docs: DataFrame, text_col="text", min_docs: int = 10, min_chars: int = 1, shard_keys: int = SHARD_KEYS, id_col: str | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> LineIndex:
+    """Of the keys that more than one document has, or of all if one is enough; of those in ``min_docs`` documents where more would be too many to broadcast."""
     repeated = cut(counted(docs, text_col, max(1, min_chars), id_col).filter(F.col("n") >= min(2, min_docs)))
-    n = max(1, -(-repeated.count() // shard_keys))
+    keys = repeated.count()
+    if keys * KEY_BYTES > broadcast_bytes:
+        repeated = repeated.filter(F.col("n") >= min_docs)
+        keys = repeated.count()
+    n = max(1, -(-keys // shard_keys))
 
     def build(x: pd.DataFrame) -> pd.DataFrame:
         a, b = (x[c].to_numpy(np.int64).view(np.uint64) for c in "ab")
@@ -183,7 +190,7 @@ def dedup_lines(docs: DataFrame, text_col="text", min_docs: int = 10, min_chars:
     stay, joined by \n.  A null or empty text is one empty line, which stays; kept_text of null is null.  Repeated rows
     count as documents of their own, but with ``id_col`` those of one id as one document; rows without an id always do.
     """
-    index = build_index(docs, text_col, min_docs, min_chars, shard_keys, id_col)
+    index = build_index(docs, text_col, min_docs, min_chars, shard_keys, id_col, broadcast_bytes)
     fields = [("n_lines", "bigint"), ("n_dropped", "bigint"), ("kept_sha256", "string"), *([("kept_text", "string")] if texts else [])]
     names = dict(zip((n for n, _ in fields), fresh(docs, *(n for n, _ in fields)), strict=True))
     fields = [(names[n], kind) for n, kind in fields]
