@@ -7,7 +7,8 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from .api import ContactMap, Trajectory
+from .api import ContactMap, Trajectory, smooth
+from .sources.sinks import smoothed_path
 
 
 def parser() -> argparse.ArgumentParser:
@@ -24,15 +25,17 @@ def parser() -> argparse.ArgumentParser:
         return p
 
     read = ("contacts", "cutoff-distance", "max-frames")
-    command(trajectory, "parse", *read, "window-size", "cutoff", "animate")
-    command(trajectory, "read", *read)
-    command(trajectory, "draw", *read, "csv", "smoothing")
-    command(trajectory, "summarize", *read, "csv", "window-size", "maybe-cutoff", "output-csv", "plot")
-    command(trajectory, "plot-summary", *read, "csv", "summary-csv", "window-size", "maybe-cutoff")
+    drawing = ("output-format", "no-show")
+    command(trajectory, "parse", *read, "window-size", "cutoff", "animate", "output-format")
+    command(trajectory, "read", *read, "output")
+    command(trajectory, "draw", *read, "csv", "smoothing", *drawing)
+    command(trajectory, "smooth", "smoothing", "output")
+    command(trajectory, "summarize", *read, "csv", "window-size", "maybe-cutoff", "output-csv", "plot", *drawing)
+    command(trajectory, "plot-summary", *read, "csv", "summary-csv", "window-size", "maybe-cutoff", *drawing)
     command(trajectory, "classify", *read, "csv", "summary-csv", "window-size", "cutoff", "output")
     command(trajectory, "animate", *read, "csv", "interval", "animation-format", "fps")
-    command(contacts, "parse", "clusters", "cutoff-size", "output-name", "no-draw")
-    command(contacts, "draw", "output-name")
+    command(contacts, "parse", "clusters", "cutoff-size", "output-name", "no-draw", *drawing)
+    command(contacts, "draw", "output-name", *drawing)
     return top
 
 
@@ -50,6 +53,8 @@ OPTIONS = {
     "output-csv": (["--output-csv"], {}),
     "output": (["--output", "-o"], {}),
     "plot": (["--plot"], {"action": argparse.BooleanOptionalAction, "default": False}),
+    "output-format": (["--output-format"], {"choices": ["png", "svg"], "default": "png", "type": str.lower}),
+    "no-show": (["--no-show"], {"action": "store_true", "help": "accepted for scripts that say so: drawings go to files and are never shown"}),
     "interval": (["--interval"], {"type": int, "default": 50}),
     "animation-format": (["--output-format"], {"choices": ["gif", "mp4"], "default": "gif"}),
     "fps": (["--fps"], {"type": int, "default": 20}),
@@ -65,30 +70,37 @@ def run(a: argparse.Namespace, spark: SparkSession) -> None:
         m = ContactMap(spark, a.file, a.clusters, a.cutoff_size) if a.command == "parse" else ContactMap.of_csv(spark, a.file)
         if a.command == "parse":
             print(m.save(a.output_name))
+            m.contacts.orderBy("ord").select("i", "j", "r6", "r12", "r", "cluster").show(5)
         print(m.stats())
         if a.command == "draw" or not a.no_draw:
-            print(m.draw(a.output_name)[1])
+            print(m.draw(a.output_name, output_format=a.output_format)[1])
+        return
+    if a.command == "smooth":  # of a parsed CSV
+        out = a.output or smoothed_path(a.file, a.window_size)
+        print(f"{len(smooth(spark, a.file, a.window_size, out, a.file))} frames in {out}")
         return
     t = Trajectory(spark, a.file, a.contacts)
     if a.command == "parse":
-        print(",".join(map(str, t.parse(a.cutoff_distance, a.max_frames, a.window_size, a.cutoff, a.animate))))
+        print(",".join(map(str, t.parse(a.cutoff_distance, a.max_frames, a.window_size, a.cutoff, a.animate, a.output_format))))
         return
     if a.command == "read":
-        out = t.read_trajectory(a.cutoff_distance, a.max_frames)
+        out = t.read_trajectory(a.cutoff_distance, a.max_frames, output=a.output)
         print(t.stats(out))
         out.orderBy("frame").show(5, truncate=80)
         return
     t.parsed(a.cutoff_distance, a.max_frames, a.csv)
     if a.command == "draw":
-        print(t.draw(a.window_size, a.csv)[1])
+        print(t.draw(a.window_size, a.csv, output_format=a.output_format)[1])
     elif a.command == "summarize":
         t.summarize_trajectory(a.window_size, a.cutoff, a.csv, a.output_csv).orderBy("frame", "cluster").show(5)
         if a.plot:
-            print(t.plot_summary(a.output_csv, a.cutoff)[1])
+            print(t.plot_summary(a.output_csv, a.cutoff, a.output_format)[1])
     elif a.command == "plot-summary":
         if not a.summary_csv:
             t.summarize_trajectory(a.window_size, a.cutoff, a.csv)
-        print(t.plot_summary(a.summary_csv, a.cutoff)[1])
+        print(t.plot_summary(a.summary_csv, a.cutoff, a.output_format)[1])
+        if a.cutoff is not None:
+            t.summary_counts(a.summary_csv or t.file(f"_summary_binary_{a.cutoff}.csv"), a.cutoff).orderBy("cluster").show()
     elif a.command == "classify":
         summary = a.summary_csv or t.summarize_trajectory(a.window_size, a.cutoff, a.csv)
         print(",".join(map(str, t.classify(summary, a.cutoff, a.output))))

@@ -46,11 +46,11 @@ class Trajectory:
     def frames(self, max_frames: int | None = None) -> DataFrame:
         return read_pdb(self.spark, _there(self.path), max_frames)
 
-    def read_trajectory(self, cutoff_distance: float = 1.2, max_frames: int | None = None, write: bool = True) -> DataFrame:
-        """The parsed table; also as {stem}_parsed.csv, with its header alone if there are no frames."""
+    def read_trajectory(self, cutoff_distance: float = 1.2, max_frames: int | None = None, write: bool = True, output: str | None = None) -> DataFrame:
+        """The parsed table; also as {stem}_parsed.csv or ``output``, with its header alone if there are no frames."""
         out = formation.frame_results(formation.evaluated(self.frames(max_frames), self.contacts, cutoff_distance))
         if write:
-            sinks.write_parsed(out, self.file("_parsed.csv"))
+            sinks.write_parsed(out, output or self.file("_parsed.csv"))
         return out
 
     def parsed(self, cutoff_distance: float = 1.2, max_frames: int | None = None, csv: str | None = None) -> DataFrame:
@@ -86,45 +86,46 @@ class Trajectory:
         sinks.write_order(found, output or self.file("_class.txt"))
         return found
 
-    def draw(self, window_size: int = 100, csv: str | None = None, raw_values: bool = False) -> tuple[DataFrame, str]:
-        """The series of both panels, and the SVG they are drawn to."""
+    def draw(self, window_size: int = 100, csv: str | None = None, raw_values: bool = False, output_format: str = "svg") -> tuple[DataFrame, str]:
+        """The series of both panels, and the SVG or PNG they are drawn to."""
         own = _not_empty(self.parsed(csv=csv), "the parsed trajectory")
         raw = formation.filling_long(own)
         if window_size > 1:
             self.smooth(window_size, csv)
             s = read_smoothed(self.spark, self.file(f"_{window_size}_smoothed.csv"))
-            known = self.contacts.select("cluster").distinct()
-            lines = views.trajectory_series(s.select("traj_id", "frame", "q_smooth").distinct(), s.join(F.broadcast(known), "cluster", "left_semi"), own if raw_values else None, raw if raw_values else None)
+            lines = views.trajectory_series(s.select("traj_id", "frame", "q_smooth").distinct(), views.of_contacts(s, self.contacts), own if raw_values else None, raw if raw_values else None)
         else:
             lines = views.trajectory_series(own, raw)
-        return lines, figures.lines(lines, self.file("_trajectory_analysis.svg"), "Native contact formation")
+        return lines, figures.lines(lines, self.file(f"_trajectory.{output_format}"), "Native contact formation")
 
-    def plot_summary(self, summary: str | None = None, cutoff: float | None = None) -> tuple[DataFrame, str]:
-        """The lines of a summary CSV, the given one or the trajectory's own, and the SVG they are drawn to."""
+    def plot_summary(self, summary: str | None = None, cutoff: float | None = None, output_format: str = "svg") -> tuple[DataFrame, str]:
+        """The lines of a summary CSV, the given one or the trajectory's own, with a cutoff as 0 and 1, and the SVG or PNG they are drawn to."""
         name = "_summary" if cutoff is None else f"_summary_binary_{cutoff}"
-        x = views.summary_series(_not_empty(read_summary(self.spark, _there(summary or self.file(f"{name}.csv"))).withColumn("widx", F.lit(0)), "the summary"))
-        lines = x.select("traj_id", "frame", F.lit("cluster").alias("panel"), "cluster", F.lit("line").alias("kind"), "value")
-        return lines, figures.lines(lines, self.file(f"{name}.svg"), "Cluster formation", (-0.1, 1.1) if cutoff is not None else None)
+        lines = views.summary_series(_not_empty(read_summary(self.spark, _there(summary or self.file(f"{name}.csv"))), "the summary"), cutoff)
+        return lines, figures.lines(lines, self.file(f"{name}.{output_format}"), "Cluster formation", (-0.1, 1.1) if cutoff is not None else None)
+
+    def summary_counts(self, summary: str | None = None, cutoff: float = 0.5) -> DataFrame:
+        """cluster, windows, formed of a summary CSV: in how many windows each cluster reaches the cutoff."""
+        return series.summary_counts(read_summary(self.spark, _there(summary or self.file("_summary.csv"))), cutoff)
 
     def animate(self, csv: str | None = None, output_format: str = "gif", interval: int = 50, fps: int = 20) -> tuple[DataFrame, DataFrame, str]:
-        """Points and titles of every frame, and the GIF they are drawn to. MP4 needs an encoder that isn't part of this package."""
+        """Points and titles of every frame, and the GIF or MP4 they are drawn to; an MP4 holds PNG images, since no video encoder is part of this package."""
         if output_format not in ("gif", "mp4"):
             raise ValueError(f"unknown format {output_format}")
-        if output_format == "mp4":
-            raise ValueError(f"no MP4 encoder at hand; the points and titles of each frame are in views.animation_points and views.animation_titles (fps {fps})")
         own = _not_empty(self.parsed(csv=csv), "the parsed trajectory")
         points, titles = views.animation_points(own, self.contacts), views.animation_titles(own)
         size = self.contacts.agg(F.max(F.greatest("i", "j"))).first()[0] or 100
-        return points, titles, figures.animation(points, own.select("frame"), size, self.file("_animation.gif"), interval)
+        path, frames = self.file(f"_animation.{output_format}"), own.select("frame")
+        return points, titles, figures.animation(points, frames, size, path, interval) if output_format == "gif" else figures.movie(points, frames, size, path, fps)
 
-    def parse(self, cutoff_distance: float = 1.2, max_frames: int | None = None, window_size: int = 10_000, cutoff: float = 0.5, animate: bool = False) -> list[int]:
+    def parse(self, cutoff_distance: float = 1.2, max_frames: int | None = None, window_size: int = 10_000, cutoff: float = 0.5, animate: bool = False, output_format: str = "svg") -> list[int]:
         """All steps: parsed table, running means, float and binary summaries, drawings, formation order, animation on demand."""
         self.read_trajectory(cutoff_distance, max_frames)
-        self.draw()
+        self.draw(output_format=output_format)
         self.summarize_trajectory(window_size)
-        self.plot_summary()
+        self.plot_summary(output_format=output_format)
         binary = self.summarize_trajectory(window_size, cutoff)
-        self.plot_summary(cutoff=cutoff)
+        self.plot_summary(cutoff=cutoff, output_format=output_format)
         order = self.classify(binary)
         if animate:
             self.animate()
@@ -168,14 +169,14 @@ class ContactMap:
         sinks.write_contacts(self.contacts, path)
         return path
 
-    def draw(self, name: str | None = None, directory: str = "results/plots") -> tuple[DataFrame, str]:
-        """The squares below the diagonal, and the SVG they are drawn to."""
+    def draw(self, name: str | None = None, directory: str = "results/plots", output_format: str = "svg") -> tuple[DataFrame, str]:
+        """The squares below the diagonal, and the SVG or PNG they are drawn to."""
         if "cluster" not in self.contacts.columns:
             raise ValueError("contacts have no clusters")
         _not_empty(self.contacts, "the contact list")
         points = views.contact_map_points(self.contacts)
         stem = name or f"{os.path.splitext(os.path.basename(self.path))[0]}_contact_map"
-        return points, figures.contact_map(points, self.stats(), os.path.join(directory, f"{stem}.svg"))
+        return points, figures.contact_map(points, self.stats(), os.path.join(directory, f"{stem}.{output_format}"))
 
 
 def _rows(df: DataFrame, key: str, suffix: str, extra: tuple[str, ...] = ()) -> list[dict]:
@@ -200,8 +201,8 @@ def summarize_trajectory(spark: SparkSession, trajectory_file: str, window_size:
     return _rows(x, "cluster_means", "")
 
 
-def smooth(spark: SparkSession, trajectory_file: str, window_size: int = 100, output_csv: str | None = None) -> list[dict]:
-    own = _not_empty(read_parsed(spark, _there(sinks.parsed_path(trajectory_file))), "the parsed trajectory")
+def smooth(spark: SparkSession, trajectory_file: str, window_size: int = 100, output_csv: str | None = None, parsed_csv: str | None = None) -> list[dict]:
+    own = _not_empty(read_parsed(spark, _there(parsed_csv or sinks.parsed_path(trajectory_file))), "the parsed trajectory")
     q = series.smooth_values(own.select("traj_id", "frame", F.col("q").alias("q_smooth")), window_size, "q_smooth", ("traj_id",))
     x = series.smooth_values(formation.filling_long(own), window_size)
     sinks.write_smoothed(q, x, output_csv or sinks.smoothed_path(trajectory_file, window_size))

@@ -98,6 +98,11 @@ def summary_shape(summary: DataFrame) -> DataFrame:
     return summary.agg(F.countDistinct("traj_id", "widx").alias("windows"), F.countDistinct("cluster").alias("clusters"))
 
 
+def summary_counts(summary: DataFrame, cutoff: float) -> DataFrame:
+    """cluster, windows, formed: of a summary, floats or not, the windows of each cluster and those that reach the cutoff."""
+    return summary.groupBy("cluster").agg(F.count("*").alias("windows"), F.count_if(F.col("value") >= F.lit(float(cutoff))).alias("formed"))
+
+
 def wide(series: DataFrame, keys: list[str], clusters: list[int], suffix: str = "") -> DataFrame:
     """One column cluster_<n><suffix> per cluster, in the given order; for sinks."""
     x = series.groupBy(*keys).pivot("cluster", clusters).agg(F.first("value"))

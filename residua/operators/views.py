@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import binary
+
 
 def contact_map_points(contacts: DataFrame) -> DataFrame:
     """x (= j), y (= i), cluster of the contacts below the diagonal, i < j; one square per row."""
@@ -34,8 +36,15 @@ def trajectory_series(q: DataFrame, clusters: DataFrame, raw_q: DataFrame | None
     return out
 
 
-def summary_series(summary: DataFrame) -> DataFrame:
-    return summary.select("traj_id", "frame", "cluster", "value")
+def of_contacts(series: DataFrame, contacts: DataFrame) -> DataFrame:
+    """The rows of a series whose cluster the contacts have."""
+    return series.join(contacts.select("cluster").distinct(), "cluster", "left_semi")
+
+
+def summary_series(summary: DataFrame, cutoff: float | None = None) -> DataFrame:
+    """traj_id, frame, panel, cluster, kind, value of a summary's lines; with a cutoff as 0 and 1."""
+    value = F.col("value") if cutoff is None else binary(F.col("value"), cutoff)
+    return summary.select("traj_id", "frame", F.lit("cluster").alias("panel"), "cluster", F.lit("line").alias("kind"), value.alias("value"))
 
 
 def animation_points(results: DataFrame, contacts: DataFrame) -> DataFrame:

@@ -1,29 +1,122 @@
-"""Drawings of the views as SVG and GIF, without a plotting library.
+"""Drawings of the views as SVG, PNG, GIF and MP4, without a plotting library.
 
 A drawing holds what fits on a page: series are thinned to as many points as it is wide before they reach the driver.
+Animations are written frame by frame, however many there are.
 """
 
 from __future__ import annotations
 
 import os
 import struct
+import zlib
+from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WIDTH, HEIGHT, MARGIN = 900, 360, 50
 #: Black for cluster 0, then ten colours that repeat.
 COLOURS = ["#000000", "#1f77b4", "#ff7f0e", "#2ca02c", "#d62728", "#9467bd", "#8c564b", "#e377c2", "#7f7f7f", "#bcbd22", "#17becf"]
+#: A font of 3 x 5 dots for pixel drawings, row by row.
+FONT = dict(zip("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ.-:|", (
+    "111101101101111 010110010010111 111001111100111 111001111001111 101101111001001 111100111001111 111100111101111 111001001001001 111101111101111 111101111001111 "
+    "010101111101101 110101110101110 011100100100011 110101101101110 111100110100111 111100110100100 011100101101011 101101111101101 111010010010111 001001001101010 "
+    "101101110101101 100100100100111 101111111101101 110101101101101 010101101101010 110101110100100 010101101110011 110101110101101 011100010001110 111010010010010 "
+    "101101101101111 101101101101010 101101111111101 101101010101101 101101010010010 111001010100111 000000000000010 000000111000000 000010000010000 010010010010010").split(), strict=True))
+
+
+def index_of(cluster: int | None) -> int:
+    """The place of a cluster's colour among COLOURS."""
+    return 1 if cluster is None else 0 if cluster == 0 else 1 + (cluster - 1) % 10
 
 
 def colour(cluster: int | None) -> str:
-    return COLOURS[1] if cluster is None else COLOURS[0] if cluster == 0 else COLOURS[1 + (cluster - 1) % 10]
+    return COLOURS[index_of(cluster)]
+
+
+def rgb(text: str) -> np.ndarray:
+    return np.frombuffer(bytes.fromhex(text[1:]), dtype=np.uint8)
+
+
+class Vector:
+    """A page as SVG."""
+
+    def __init__(self, width: int, height: int):
+        self.width, self.height, self.body = width, height, []
+
+    def text(self, x: float, y: float, text: str) -> None:
+        self.body.append(f'<text x="{x:.0f}" y="{y:.0f}">{text}</text>')
+
+    def box(self, x: float, y: float, width: float, height: float) -> None:
+        self.body.append(f'<rect x="{x}" y="{y}" width="{width}" height="{height}" fill="none" stroke="#999"/>')
+
+    def square(self, x: float, y: float, side: float, tint: str) -> None:
+        self.body.append(f'<rect x="{x:.1f}" y="{y:.1f}" width="{side}" height="{side}" fill="{tint}"/>')
+
+    def line(self, points: list[tuple[float, float]], tint: str, strength: float = 1.0) -> None:
+        self.body.append(f'<polyline fill="none" stroke="{tint}" stroke-width="1.5" opacity="{strength}" points="' + " ".join(f"{x:.1f},{y:.1f}" for x, y in points) + '"/>')
+
+    def data(self) -> bytes:
+        head = f'<svg xmlns="http://www.w3.org/2000/svg" width="{self.width}" height="{self.height}" font-family="sans-serif" font-size="12"><rect width="100%" height="100%" fill="white"/>'
+        return (head + "".join(self.body) + "</svg>\n").encode()
+
+
+class Pixels:
+    """A page as PNG."""
+
+    def __init__(self, width: int, height: int):
+        self.image = np.full((height, width, 3), 255, dtype=np.uint8)
+
+    def text(self, x: float, y: float, text: str) -> None:
+        for k, c in enumerate(text.upper()):
+            dots = np.array(list(FONT.get(c, "0" * 15))) == "1"
+            for row, col in zip(*np.nonzero(dots.reshape(5, 3)), strict=True):
+                self.square(x + 8 * k + 2 * col, y - 10 + 2 * row, 2, "#000000")
+
+    def box(self, x: float, y: float, width: float, height: float) -> None:
+        self.line([(x, y), (x + width, y), (x + width, y + height), (x, y + height), (x, y)], "#999999")
+
+    def square(self, x: float, y: float, side: float, tint: str) -> None:
+        a, b = max(0, round(x)), max(0, round(y))
+        self.image[b : max(0, round(y + side)), a : max(0, round(x + side))] = rgb(tint)
+
+    def line(self, points: list[tuple[float, float]], tint: str, strength: float = 1.0) -> None:
+        shade = (255 - strength * (255 - rgb(tint).astype(float))).astype(np.uint8)
+        for (x, y), (v, w) in zip(points, points[1:] or points, strict=False):
+            n = int(max(abs(v - x), abs(w - y))) + 1
+            rows, cols = np.linspace(y, w, n + 1).round().astype(int), np.linspace(x, v, n + 1).round().astype(int)
+            inside = (rows >= 0) & (rows < self.image.shape[0]) & (cols >= 0) & (cols < self.image.shape[1])
+            self.image[rows[inside], cols[inside]] = shade
+
+    def data(self) -> bytes:
+        return png(self.image)
+
+
+def png(image: np.ndarray, palette: bytes = b"") -> bytes:
+    """An image of rows of RGB, or of places in a palette of RGB."""
+    chunk = lambda name, data: struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+    height, width = image.shape[:2]
+    rows = np.concatenate([np.zeros((height, 1), np.uint8), image.reshape(height, -1)], axis=1)  # each row begins with its filter, none
+    head = struct.pack(">IIBBBBB", width, height, 8, 3 if palette else 2, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + (chunk(b"PLTE", palette) if palette else b"") + chunk(b"IDAT", zlib.compress(rows.tobytes(), 6)) + chunk(b"IEND", b"")
+
 
+PAGES = {"svg": Vector, "png": Pixels}
 
-def _write(path: str, body: list[str], width: int, height: int) -> str:
+
+def page(path: str, width: int, height: int) -> Vector | Pixels:
+    """An empty page of the kind that the file's name says."""
+    kind = os.path.splitext(path)[1].lstrip(".").lower()
+    if kind not in PAGES:
+        raise ValueError(f"unknown format {kind}")
+    return PAGES[kind](width, height)
+
+
+def _write(path: str, on: Vector | Pixels) -> str:
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w") as f:
-        f.write(f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}" font-family="sans-serif" font-size="12"><rect width="100%" height="100%" fill="white"/>' + "".join(body) + "</svg>\n")
+    with open(path, "wb") as f:
+        f.write(on.data())
     return path
 
 
@@ -39,7 +132,8 @@ def lines(series: DataFrame, path: str, title: str, limits: tuple[float, float]
     """One panel per value of ``panel``, one line per cluster; raw lines are pale."""
     rows = thinned(series).orderBy("panel", "kind", "cluster", "frame").collect()
     panels = sorted({r["panel"] for r in rows}, reverse=True)
-    body = [f'<text x="{MARGIN}" y="20" font-size="16">{title}</text>']
+    on = page(path, WIDTH, 60 + HEIGHT * len(panels))
+    on.text(MARGIN, 20, title)
     for k, panel in enumerate(panels):
         own = [r for r in rows if r["panel"] == panel]
         low, high = limits or (min(0.0, *(r["value"] for r in own)), max(1.0, *(r["value"] for r in own)))
@@ -47,63 +141,100 @@ def lines(series: DataFrame, path: str, title: str, limits: tuple[float, float]
         top = 40 + k * HEIGHT
         x = lambda f, a=a, b=b: MARGIN + (f - a) / max(1, b - a) * (WIDTH - 2 * MARGIN)
         y = lambda v, low=low, high=high, top=top: top + (HEIGHT - MARGIN) * (1 - (v - low) / (high - low))
-        body.append(f'<rect x="{MARGIN}" y="{top}" width="{WIDTH - 2 * MARGIN}" height="{HEIGHT - MARGIN}" fill="none" stroke="#999"/>')
-        body += [f'<text x="5" y="{y(v):.0f}">{v:.2f}</text>' for v in (low, high)] + [f'<text x="{x(f):.0f}" y="{top + HEIGHT - MARGIN + 15}">{f}</text>' for f in {a, b}]
+        on.box(MARGIN, top, WIDTH - 2 * MARGIN, HEIGHT - MARGIN)
+        for v in (low, high):
+            on.text(5, y(v), f"{v:.2f}")
+        for f in sorted({a, b}):
+            on.text(x(f), top + HEIGHT - MARGIN + 15, str(f))
         for key in sorted({(r["kind"], -1 if r["cluster"] is None else r["cluster"]) for r in own}, reverse=True):
             mine = [r for r in own if (r["kind"], -1 if r["cluster"] is None else r["cluster"]) == key]
-            points = " ".join(f"{x(r['frame']):.1f},{y(r['value']):.1f}" for r in mine)
-            body.append(f'<polyline fill="none" stroke="{colour(mine[0]["cluster"])}" stroke-width="1.5" opacity="{1 if key[0] == "line" else 0.3}" points="{points}"/>')
-    return _write(path, body, WIDTH, 60 + HEIGHT * len(panels))
+            on.line([(x(r["frame"]), y(r["value"])) for r in mine], colour(mine[0]["cluster"]), 1 if key[0] == "line" else 0.3)
+    return _write(path, on)
 
 
 def contact_map(points: DataFrame, stats: dict, path: str) -> str:
     """A square per contact below the diagonal, with the map's numbers."""
-    n, cell = stats["max_residue"], max(2, 700 // (stats["max_residue"] + 1))
-    side = cell * (n + 1)
-    body = [f'<line x1="0" y1="{side}" x2="{side}" y2="0" stroke="#999" stroke-dasharray="4"/>']
-    body += [f'<rect x="{r["x"] * cell - cell / 2:.1f}" y="{side - r["y"] * cell - cell / 2:.1f}" width="{cell}" height="{cell}" fill="{colour(r["cluster"])}"/>' for r in points.orderBy("x", "y").toLocalIterator()]
-    texts = [f"Total contacts: {stats['total']}", f"Clustered: {stats['clustered']}", f"Unassigned: {stats['unassigned']}", f"Below diagonal: {stats['below_diagonal']}", f"Clusters: {stats['clusters']}"]
-    return _write(path, body + [f'<text x="8" y="{18 + 16 * k}">{t}</text>' for k, t in enumerate(texts)], side, side)
+    cell = max(2, 700 // (stats["max_residue"] + 1))
+    side = cell * (stats["max_residue"] + 1)
+    on = page(path, side, side)
+    on.line([(0, side), (side, 0)], "#999999", 0.5)
+    for r in points.orderBy("x", "y").toLocalIterator():
+        on.square(r["x"] * cell - cell / 2, side - r["y"] * cell - cell / 2, cell, colour(r["cluster"]))
+    for k, text in enumerate([f"Total contacts: {stats['total']}", f"Clustered: {stats['clustered']}", f"Unassigned: {stats['unassigned']}", f"Below diagonal: {stats['below_diagonal']}", f"Clusters: {stats['clusters']}"]):
+        on.text(8, 18 + 16 * k, text)
+    return _write(path, on)
 
 
-def _lzw(pixels: bytes, bits: int = 4) -> bytes:
-    """GIF's image code with a table that is cleared before it grows: literal codes only."""
-    clear, end, width = 1 << bits, (1 << bits) + 1, bits + 1
-    out, acc, n = bytearray(), 0, 0
-    codes = []
-    for k in range(0, len(pixels), (1 << bits) - 2):
-        codes += [clear, *pixels[k : k + (1 << bits) - 2]]
-    for c in [*codes, end]:
-        acc |= c << n
-        n += width
-        while n >= 8:
-            out.append(acc & 255)
-            acc >>= 8
-            n -= 8
-    if n:
-        out.append(acc)
-    return bytes(out)
+#: White, then the clusters' colours.
+PALETTE = b"\xff\xff\xff" + b"".join(bytes(rgb(c)) for c in COLOURS) + bytes(3 * (16 - 1 - len(COLOURS)))
 
 
-def animation(points: DataFrame, frames: DataFrame, size: int, path: str, interval: int = 50) -> str:
-    """A GIF with an image per frame, of all frames; they come one after the other, so only one is held at a time."""
+def images(points: DataFrame, frames: DataFrame, size: int) -> Iterator[np.ndarray]:
+    """An image of places in PALETTE per frame, in order, one at a time."""
     cell = max(1, 400 // (size + 1))
     side = cell * (size + 1)
     drawn = frames.join(points.groupBy("frame").agg(F.collect_list(F.struct("x", "y", "cluster")).alias("points")), "frame", "left").orderBy("frame")
-    palette = b"\xff\xff\xff" + b"".join(bytes.fromhex(c[1:]) for c in COLOURS) + bytes(3 * (16 - 1 - len(COLOURS)))
+    for r in drawn.toLocalIterator():
+        image = np.zeros((side, side), dtype=np.uint8)
+        for x, y, c in r["points"] or ():
+            image[side - y * cell - cell : side - y * cell, x * cell : x * cell + cell] = 1 + index_of(c)
+        yield image
+
+
+def _lzw(pixels: np.ndarray, bits: int = 4) -> bytes:
+    """GIF's image code with a table that is cleared before it grows: literal codes only."""
+    run = (1 << bits) - 2
+    codes = np.append(np.insert(pixels.ravel(), np.arange(0, pixels.size, run), 1 << bits), (1 << bits) + 1)
+    return np.packbits((codes[:, None] >> np.arange(bits + 1, dtype=np.uint8)) & 1, bitorder="little").tobytes()
+
+
+def animation(points: DataFrame, frames: DataFrame, size: int, path: str, interval: int = 50) -> str:
+    """A GIF with an image per frame, of all frames; they come one after the other, so only one is held at a time."""
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     with open(path, "wb") as f:
-        f.write(b"GIF89a" + struct.pack("<HHBBB", side, side, 0xF3, 0, 0) + palette + b"\x21\xff\x0bNETSCAPE2.0\x03\x01\x00\x00\x00")
-        for r in drawn.toLocalIterator():
-            image = bytearray(side * side)
-            for x, y, c in r["points"] or ():
-                index = 1 if c == 0 else 2 + (c - 1) % 10
-                for row in range(side - y * cell - cell, side - y * cell):
-                    image[row * side + x * cell : row * side + x * cell + cell] = bytes([index]) * cell
-            code = _lzw(bytes(image))
+        for k, image in enumerate(images(points, frames, size)):
+            side = len(image)
+            if not k:
+                f.write(b"GIF89a" + struct.pack("<HHBBB", side, side, 0xF3, 0, 0) + PALETTE + b"\x21\xff\x0bNETSCAPE2.0\x03\x01\x00\x00\x00")
+            code = _lzw(image)
             f.write(b"\x21\xf9\x04\x00" + struct.pack("<H", max(2, interval // 10)) + b"\x00\x00,\x00\x00\x00\x00" + struct.pack("<HHB", side, side, 0) + b"\x04")
             for k in range(0, len(code), 255):
                 f.write(bytes([len(code[k : k + 255])]) + code[k : k + 255])
             f.write(b"\x00")
         f.write(b";")
     return path
+
+
+def _atom(name: bytes, *parts: bytes) -> bytes:
+    data = b"".join(parts)
+    return struct.pack(">I", len(data) + 8) + name + data
+
+
+def movie(points: DataFrame, frames: DataFrame, size: int, path: str, fps: int = 20) -> str:
+    """An MP4 with an image per frame, of all frames, each a PNG: a stream kind that MP4 has a number for (0x6D) and that needs no video encoder.
+
+    What is held beside one image is the size of each.
+    """
+    sizes, side = [], 1
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    kind = _atom(b"ftyp", b"isom", struct.pack(">I", 512), b"isomiso2mp41")
+    with open(path, "wb") as f:
+        f.write(kind + struct.pack(">I4sQ", 1, b"mdat", 0))
+        for image in images(points, frames, size):
+            side = len(image)
+            data = png(image, PALETTE)
+            sizes.append(len(data))
+            f.write(data)
+        f.seek(len(kind) + 8)
+        f.write(struct.pack(">Q", 16 + sum(sizes)))
+        f.seek(0, os.SEEK_END)
+        n, zeros, unit = len(sizes), bytes, struct.pack(">9i", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
+        stream = b"\x03\x15\x00\x01\x00" + b"\x04\x0d\x6d\x11" + zeros(11)  # of one elementary stream: PNG images, visual
+        entry = _atom(b"mp4v", zeros(6), struct.pack(">H", 1), zeros(16), struct.pack(">HHIIIH", side, side, 0x480000, 0x480000, 0, 1), zeros(32), struct.pack(">Hh", 24, -1), _atom(b"esds", zeros(4), stream))
+        table = _atom(b"stbl", _atom(b"stsd", zeros(4), struct.pack(">I", 1), entry), _atom(b"stts", zeros(4), struct.pack(">III", 1, n, 1)), _atom(b"stsc", zeros(4), struct.pack(">IIII", 1, 1, max(1, n), 1)),
+                      _atom(b"stsz", zeros(4), struct.pack(">II", 0, n), struct.pack(f">{n}I", *sizes)), _atom(b"co64", zeros(4), struct.pack(">IQ", 1, len(kind) + 16)))
+        where = _atom(b"dinf", _atom(b"dref", zeros(4), struct.pack(">I", 1), _atom(b"url ", b"\x00\x00\x00\x01")))
+        media = _atom(b"mdia", _atom(b"mdhd", zeros(12), struct.pack(">IIHH", fps, n, 0x55C4, 0)), _atom(b"hdlr", zeros(8), b"vide", zeros(13)), _atom(b"minf", _atom(b"vmhd", b"\x00\x00\x00\x01", zeros(8)), where, table))
+        track = _atom(b"trak", _atom(b"tkhd", b"\x00\x00\x00\x03", zeros(8), struct.pack(">III", 1, 0, n), zeros(16), unit, struct.pack(">II", side << 16, side << 16)), media)
+        f.write(_atom(b"moov", _atom(b"mvhd", zeros(12), struct.pack(">IIIH", fps, n, 0x10000, 0x100), zeros(10), unit, zeros(24), struct.pack(">I", 2)), track))
+    return path

@@ -1,5 +1,8 @@
 """Files in, files out: the classes, functions and commands; and the registered queries."""
 
+import struct
+import zlib
+
 import pytest
 
 from residua import api
@@ -29,7 +32,7 @@ def test_trajectory(spark, files):
     assert order == [1] and (files / "t_class.txt").read_text() == "1\n"
     assert (files / "t_summary.csv").read_text() == "frame,cluster_0,cluster_1,cluster_2\n1,0,1,0\n2,1,0.5,0\n3,0,0,0\n"
     assert (files / "t_100_smoothed.csv").read_text().startswith("frame,q_smooth,cluster_0_smooth,cluster_1_smooth,cluster_2_smooth\n1,0.333")
-    assert (files / "t_animation.gif").read_bytes()[:6] == b"GIF89a" and (files / "t_trajectory_analysis.svg").exists()
+    assert (files / "t_animation.gif").read_bytes()[:6] == b"GIF89a" and (files / "t_trajectory.svg").exists()
     with pytest.raises(ValueError):
         t.animate(output_format="avi")
     with pytest.raises(FileNotFoundError):
@@ -91,3 +94,71 @@ def test_animation_has_all_frames(spark, tmp_path):
         images += [data[start:at]] * (data[start] == 0x2C)
     assert len(images) == 1203 and at == len(data) - 1
     assert len({images[0], images[1], images[-1]}) == 3 and set(images[1:-1]) == {images[1]}
+
+
+def png_size(path):
+    data, at, size = open(path, "rb").read(), 8, None
+    assert data[:8] == b"\x89PNG\r\n\x1a\n"
+    while at < len(data):
+        n, name = struct.unpack(">I4s", data[at : at + 8])
+        body = data[at + 8 : at + 8 + n]
+        assert zlib.crc32(name + body) == struct.unpack(">I", data[at + 8 + n : at + 12 + n])[0]
+        size = struct.unpack(">II", body[:8]) if name == b"IHDR" else size
+        if name == b"IDAT":
+            assert len(zlib.decompress(body)) % size[1] == 0
+        at += 12 + n
+    return size
+
+
+def test_png_drawings_and_options(spark, files, monkeypatch, capsys):
+    monkeypatch.chdir(files)
+    own = ["t.pdb", "--contacts", "c.csv"]
+    assert main(["trajectory", "parse", *own, "--window-size", "1", "--output-format", "png"], spark) == 0
+    assert png_size("t_trajectory.png") == (900, 780) and png_size("t_summary.png") == (900, 420)
+    assert main(["trajectory", "read", *own, "-o", "out/other.csv"], spark) == 0 and open("out/other.csv").read() == open("t_parsed.csv").read()
+    assert main(["trajectory", "draw", *own, "--output-format", "svg", "--no-show"], spark) == 0
+    assert main(["trajectory", "smooth", "t_parsed.csv", "-w", "1", "-o", "out/s.csv"], spark) == 0
+    assert open("out/s.csv").read().splitlines()[:2] == ["frame,q_smooth,cluster_0_smooth,cluster_1_smooth,cluster_2_smooth", "1,0.5,0,1,0"]
+    assert main(["trajectory", "smooth", "t_parsed.csv", "-w", "2"], spark) == 0 and (files / "t_parsed_2_smoothed.csv").exists()
+    assert main(["trajectory", "plot-summary", *own, "--summary-csv", "t_summary.csv", "--cutoff", "0.5", "--no-show"], spark) == 0
+    assert "|      1|      3|     2|" in capsys.readouterr().out  # cluster 1 is formed in 2 of 3 windows
+    assert main(["contacts", "parse", "raw.cont", "--output-name", "x", "--no-show", "--output-format", "PNG"], spark) == 0
+    assert png_size("results/plots/x.png")[0] > 600
+    assert main(["trajectory", "animate", *own, "--output-format", "mp4", "--fps", "5"], spark) == 0 and (files / "t_animation.mp4").exists()
+
+
+def atoms_in(data):
+    at, out = 0, {}
+    while at < len(data):
+        n, name = struct.unpack(">I4s", data[at : at + 8])
+        head = 8
+        if n == 1:
+            n, head = struct.unpack(">Q", data[at + 8 : at + 16])[0], 16
+        out[name] = data[at + head : at + n]
+        at += n
+    assert at == len(data)
+    return out
+
+
+def test_movie_has_all_frames(spark, tmp_path):
+    from residua.plans import figures
+
+    frames = spark.range(1, 31).selectExpr("cast(id as int) as frame").repartition(5)
+    points = spark.createDataFrame([(1, 200, 100, 0), (30, 200, 100, 0), (30, 3, 1, 2)], "frame int, x int, y int, cluster int")
+    top = atoms_in(open(figures.movie(points, frames, 200, str(tmp_path / "a.mp4"), 10), "rb").read())
+    assert list(top) == [b"ftyp", b"mdat", b"moov"]
+    tables = top[b"moov"]
+    for name in (b"trak", b"mdia", b"minf", b"stbl"):
+        tables = atoms_in(tables)[name]
+    tables = atoms_in(tables)
+    n = struct.unpack(">I", tables[b"stsz"][8:12])[0]
+    sizes = struct.unpack(f">{n}I", tables[b"stsz"][12:])
+    assert n == 30 and sum(sizes) == len(top[b"mdat"]) and struct.unpack(">III", tables[b"stts"][4:]) == (1, 30, 1)
+    assert struct.unpack(">Q", tables[b"co64"][8:])[0] == 8 + len(top[b"ftyp"]) + 16
+    at, pictures = 0, []
+    for k, size in enumerate(sizes):
+        (tmp_path / "one.png").write_bytes(top[b"mdat"][at : at + size])
+        pictures.append((tmp_path / "one.png").read_bytes())
+        assert png_size(tmp_path / "one.png") == (201, 201), k
+        at += size
+    assert len({pictures[0], pictures[1], pictures[29]}) == 3 and set(pictures[1:29]) == {pictures[1]}
