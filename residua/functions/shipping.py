@@ -1,4 +1,4 @@
-"""Python workers need this package: it is sent to them once per session, wherever the driver started."""
+"""What driver and workers share: this package, sent to the workers once per session, and a folder."""
 
 from __future__ import annotations
 
@@ -23,3 +23,13 @@ def ship(spark: SparkSession) -> None:
                     z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), os.path.dirname(root)))
     sc.addPyFile(path)
     sc._residua_sent = True
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a local session that names none gets one of its own, on a cluster that is an error."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if path is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(path or tempfile.mkdtemp(prefix="residua-"))
+    return spark.sparkContext.getCheckpointDir()

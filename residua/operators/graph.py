@@ -1,7 +1,7 @@
 """The contact graph: adjacency, connected components, size filter and two-way splits into clusters.
 
 One contact map has 10^2 to 10^3 contacts, so a map is one group of a grouped pandas function and maps run in parallel.
-``components_wide`` is for graphs beyond that: it finds components by joins alone.
+Maps beyond ``GROUP_CELLS`` go through ``components_wide``, which finds components by joins alone.
 """
 
 from __future__ import annotations
@@ -11,8 +11,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.shipping import ship
+from ..functions.shipping import shared_folder, ship
 
+#: Cells of a map that is one group at most.
+GROUP_CELLS = 100_000
 #: The eight cells around a cell.
 AROUND = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]
 
@@ -50,8 +52,32 @@ def _first_cells(g: pd.DataFrame) -> list[tuple[int, int]]:
     return list(dict.fromkeys(zip(g["i"].tolist(), g["j"].tolist(), strict=True)))
 
 
-def components(cells: DataFrame) -> DataFrame:
+def _large(cells: DataFrame, most: int) -> DataFrame | None:
+    """map_id of the maps with more than ``most`` rows, if there are any; fewer than rows / most."""
+    x = cells.groupBy("map_id").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("map_id")
+    return x if x.take(1) else None
+
+
+def components(cells: DataFrame, most: int = GROUP_CELLS) -> DataFrame:
     """map_id, i, j, component (from 1, in order of each component's first contact) of the distinct cells of (map_id, ord, i, j)."""
+    if (large := _large(cells, most)) is not None:
+        small = cells.join(large, "map_id", "left_anti")
+        return _grouped_components(small).unionByName(_numbered(cells.join(large, "map_id", "left_semi")))
+    return _grouped_components(cells)
+
+
+def _numbered(cells: DataFrame) -> DataFrame:
+    """The same by joins: components_wide finds the roots, their first contacts the numbers."""
+    from pyspark.sql import Window as W
+
+    first = cells.groupBy("map_id", "i", "j").agg(F.min("ord").alias("ord"))
+    x = first.join(components_wide(cells), ["map_id", "i", "j"])
+    roots = x.groupBy("map_id", "root_i", "root_j").agg(F.min("ord").alias("first"))
+    roots = roots.withColumn("component", F.row_number().over(W.partitionBy("map_id").orderBy("first")).cast("int"))
+    return x.join(roots, ["map_id", "root_i", "root_j"]).select("map_id", "i", "j", "component")
+
+
+def _grouped_components(cells: DataFrame) -> DataFrame:
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         own = _first_cells(g.sort_values("ord"))
@@ -70,11 +96,7 @@ def components_wide(cells: DataFrame) -> DataFrame:
     roots; the number of rounds grows with the logarithm of a component's size.  Lineage is cut each round by a
     checkpoint in the session's checkpoint folder.
     """
-    spark = cells.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="residua-"))
+    shared_folder(cells.sparkSession)
     key = ["map_id", "a"]
     e = adjacency_edges(cells).select("map_id", F.struct("i", "j").alias("a"), F.struct(F.col("i2").alias("i"), F.col("j2").alias("j")).alias("b")).filter("a > b").checkpoint()
     last, now = None, _state(e)
@@ -150,11 +172,29 @@ def split_to(cells: list[tuple[int, int]], clusters: list[list[int]], target: in
     return out
 
 
-def cluster_contacts(contacts: DataFrame, clusters: int = 10, min_size: int = 5) -> DataFrame:
+def cluster_contacts(contacts: DataFrame, clusters: int = 10, min_size: int = 5, most: int = GROUP_CELLS) -> DataFrame:
     """``contacts`` (map_id, ord, i, j, …) with ``cluster``: components of at least ``min_size`` contacts, halved or cut to ``clusters``, numbered from 1; 0 for the rest.
 
-    Repeated contacts count once for sizes and share a cluster.  Halves may be smaller than ``min_size``.
+    Repeated contacts count once for sizes and share a cluster.  Halves may be smaller than ``min_size``.  Maps of more
+    than ``most`` rows with enough components are numbered by joins; of those with fewer, whose components have to be
+    halved, a map is one group.
     """
+    if (large := _large(contacts, most)) is not None:
+        own = contacts.join(large, "map_id", "left_semi")
+        parts = _numbered(own)
+        sizes = parts.groupBy("map_id", "component").agg(F.count("*").alias("size")).filter(F.col("size") >= min_size)
+        enough = sizes.groupBy("map_id").agg(F.count("*").alias("n")).filter(F.col("n") >= clusters).select("map_id")
+        if enough.take(1):
+            top = top_clusters(sizes.join(enough, "map_id", "left_semi"), clusters).select("map_id", "component", F.col("place").alias("cluster"))
+            numbers = parts.join(top, ["map_id", "component"]).select("map_id", "i", "j", "cluster")
+            numbered = contacts.drop("cluster").join(enough, "map_id", "left_semi").join(numbers, ["map_id", "i", "j"], "left")
+            columns = [F.col(f"`{c}`") for c in contacts.columns if c != "cluster"]
+            numbered = numbered.select(*columns, F.coalesce("cluster", F.lit(0)).cast("int").alias("cluster"))
+            return numbered.unionByName(_grouped_clusters(contacts.join(enough, "map_id", "left_anti"), clusters, min_size))
+    return _grouped_clusters(contacts, clusters, min_size)
+
+
+def _grouped_clusters(contacts: DataFrame, clusters: int, min_size: int) -> DataFrame:
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         own = _first_cells(g.sort_values("ord"))

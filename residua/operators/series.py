@@ -64,11 +64,33 @@ def smooth_q(q: DataFrame, window: int = 100, width: int = RANGE) -> DataFrame:
     return x.select("traj_id", "frame", F.coalesce(F.col("_sum").cast("double") / F.nullif(F.col("total") * F.col("rows"), F.lit(0)), F.lit(0.0)).alias("q_smooth"))
 
 
-def smooth_values(series: DataFrame, window: int = 100, value: str = "value", by: tuple[str, ...] = ("traj_id", "cluster")) -> DataFrame:
-    """The running mean of float values, for series read back from text; rows beside each other are averaged in order."""
+def smooth_values(series: DataFrame, window: int = 100, value: str = "value", by: tuple[str, ...] = ("traj_id", "cluster"), width: int = RANGE) -> DataFrame:
+    """The running mean of float values, for series read back from text.
+
+    A window is the end of one run of as many rows as it has and the beginning of the next run, so its sum is that of two
+    short sums, as exact as adding its rows, whatever the window; each row is looked at a fixed number of times.
+    """
     h = max(0, window) // 2
-    w = W.partitionBy(*by).orderBy("frame").rowsBetween(-h, h)
-    return series.withColumn(value, F.avg(value).over(w))
+    if not h:
+        return series
+    own, run = [*by], 2 * h + 1
+    x = positioned(series, own, width=width)
+    block = max(width, 4 * h)
+    low, high = F.floor(F.greatest(F.lit(0).cast("bigint"), F.col("pos") - h) / block), F.floor((F.col("pos") + h) / block)
+    x = x.withColumns({"_block": F.explode(F.sequence(low, high)), "_run": F.floor(F.col("pos") / run)})
+    runs = W.partitionBy(*own, "_block", "_run").orderBy("pos")
+    x = x.withColumns({"_upto": F.sum(value).over(runs.rowsBetween(W.unboundedPreceding, W.currentRow)), "_from": F.sum(value).over(runs.rowsBetween(W.currentRow, W.unboundedFollowing))})
+    w = W.partitionBy(*own, "_block").orderBy("pos")
+    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    last = F.last(F.struct("_upto", "_run", "pos")).over(whole)
+    end = F.coalesce(F.lead(F.struct("_upto", "_run", "pos"), h).over(w), last)
+    begin = F.lag(F.struct("_from", "_run", "pos"), h).over(w)  # null: the window begins with the series
+    x = x.withColumns({"_end": end, "_begin": begin})
+    same = F.col("_begin._run") == F.col("_end._run")
+    total = F.when(F.col("_begin").isNull(), F.col("_end._upto")).when(same, F.col("_begin._from")).otherwise(F.col("_begin._from") + F.col("_end._upto"))
+    n = F.col("_end.pos") - F.coalesce(F.col("_begin.pos"), F.lit(0)) + 1
+    x = x.filter(F.floor(F.col("pos") / block) == F.col("_block")).withColumn(value, total / n)
+    return x.select(*series.columns)
 
 
 def summarize(fill: DataFrame, window_size: int = 10_000, cutoff: float | None = None, width: int = RANGE) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import distance
+from ..functions.shipping import shared_folder
 
 RESIDUES = 21
 #: The event types in order of their cluster number are found by name; clusters are 0 to 4.
@@ -54,9 +54,8 @@ def events_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    """A path in the folder that all executors share; in tests one of our own."""
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="residua-")
-    return f"{shared}/{label}-{uuid.uuid4().hex}"
+    """A path in the folder that all executors share."""
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def pdb_text(spark: SparkSession, sf_dir: str, files: int | None = None) -> str:

@@ -195,3 +195,27 @@ def test_streams(spark, frames, contacts, tmp_path):
         q.stop()
     got = spark.sql("select widx, frame, cluster, value from windows").collect()
     assert {r["widx"] for r in got} == {0, 1, 2} and len(got) == 9
+
+
+def test_smooth_values_in_ranges(spark):
+    rng = random.Random(8)
+    for n in (2, 60, 333):
+        values, at = [rng.random() for _ in range(n)], sorted(rng.sample(range(1, 3000), n))
+        x = spark.createDataFrame([("t", f, 1, v, "x") for f, v in zip(at, values, strict=True)] + [("t", 5, 2, 0.5, "y")], "traj_id string, frame int, cluster int, value double, more string").repartition(3)
+        for w, widths in ((1, [16]), (2, [16]), (7, [16, series.RANGE]), (64, [16, series.RANGE]), (1000, [16])):
+            h = w // 2
+            expected = [sum(values[max(0, k - h) : k + h + 1]) / len(values[max(0, k - h) : k + h + 1]) for k in range(n)]
+            for width in widths:
+                got = series.smooth_values(x, w, width=width)
+                assert got.columns == x.columns and [r["value"] for r in got.filter("cluster = 1").orderBy("frame").collect()] == pytest.approx(expected, abs=1e-14), (n, w, width)
+                assert [tuple(r) for r in got.filter("cluster = 2").collect()] == [("t", 5, 2, 0.5, "y")]
+
+
+def test_large_maps_go_by_joins(spark):
+    rng = random.Random(2)
+    rows = [(m, k, rng.randint(1, 22), rng.randint(30, 52)) for m, n in (("a", 150), ("b", 90), ("c", 6)) for k in range(n)]
+    x = spark.createDataFrame(rows, CELLS)
+    own = lambda d: sorted(map(tuple, d.collect()))
+    assert own(graph.components(x, most=50)) == own(graph.components(x))
+    for k, least in ((2, 3), (40, 1)):
+        assert own(graph.cluster_contacts(x, k, least, most=50).select("map_id", "ord", "i", "j", "cluster")) == own(graph.cluster_contacts(x, k, least).select("map_id", "ord", "i", "j", "cluster"))
