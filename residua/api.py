@@ -48,7 +48,7 @@ class Trajectory:
 
     def read_trajectory(self, cutoff_distance: float = 1.2, max_frames: int | None = None, write: bool = True, output: str | None = None) -> DataFrame:
         """The parsed table; also as {stem}_parsed.csv or ``output``, with its header alone if there are no frames."""
-        out = formation.frame_results(formation.evaluated(self.frames(max_frames), self.contacts, cutoff_distance))
+        out = formation.analyzed(self.frames(max_frames), self.contacts, cutoff_distance)[0]
         if write:
             sinks.write_parsed(out, output or self.file("_parsed.csv"))
         return out

@@ -21,25 +21,60 @@ def unpack(frames: DataFrame) -> DataFrame:
     return frames.select("traj_id", "frame", F.explode("coords").alias("residue", "p")).select("traj_id", "frame", "residue", "p.x", "p.y", "p.z")
 
 
+def is_small(contacts: DataFrame, most: int = BROADCAST_CONTACTS) -> bool:
+    return contacts.select("cluster").limit(most + 1).count() <= most
+
+
 def evaluated(frames: DataFrame, contacts: DataFrame, cutoff: float = 1.2, broadcast_contacts: int = BROADCAST_CONTACTS) -> DataFrame:
     """traj_id, frame, ord, i, j, cluster, formed: every contact in every frame; one row with null contact where there are none.
 
-    A contact with an absent residue isn't formed.  The contact side is broadcast after a look at its size.
+    A contact with an absent residue isn't formed.  The contact side is broadcast after a look at its size.  Of larger
+    maps this is frames times contacts rows; ``analyzed`` has the tables made of them without that.
     """
     c = contacts.select("ord", "i", "j", "r", "cluster")
-    if c.limit(broadcast_contacts + 1).count() <= broadcast_contacts:
+    if is_small(c, broadcast_contacts):
         low, high = F.array_min(F.map_keys("coords")), F.array_max(F.map_keys("coords"))
         x = once(frames, low=low, places=F.transform(F.sequence(low, high), lambda r: F.try_element_at("coords", r)))  # by residue, so that contacts needn't search
         x = x.select("traj_id", "frame", "low", "places").join(F.broadcast(c), F.lit(True), "left")
         x = x.withColumns({"a": F.get("places", F.col("i") - F.col("low")), "b": F.get("places", F.col("j") - F.col("low"))})
         d = distance(F.col("a"), F.col("b"))
         return x.select("traj_id", "frame", "ord", "i", "j", "cluster", is_formed(d, F.col("r"), cutoff).alias("formed"))
+    near = by_residue(frames, c, cutoff).select("traj_id", "frame", "ord", F.lit(True).alias("hit"))
+    every = frames.select("traj_id", "frame").withColumn("part", F.lit(0)).join(c.withColumn("part", F.lit(0)), "part", "left").drop("part")
+    return every.join(near, ["traj_id", "frame", "ord"], "left").select("traj_id", "frame", "ord", "i", "j", "cluster", F.coalesce("hit", F.lit(False)).alias("formed"))
+
+
+def by_residue(frames: DataFrame, contacts: DataFrame, cutoff: float = 1.2) -> DataFrame:
+    """traj_id, frame, ord, i, j, cluster of the formed contacts, by joins on residues: for maps too large to broadcast."""
     points = unpack(frames).select("traj_id", "frame", "residue", F.struct("x", "y", "z").alias("p"))
-    a = points.select("traj_id", "frame", F.col("residue").alias("i"), F.col("p").alias("a")).join(c, "i")
+    a = points.select("traj_id", "frame", F.col("residue").alias("i"), F.col("p").alias("a")).join(contacts, "i")
     b = points.select("traj_id", "frame", F.col("residue").alias("j"), F.col("p").alias("b"))
-    near = a.join(b, ["traj_id", "frame", "j"]).filter(is_formed(distance(F.col("a"), F.col("b")), F.col("r"), cutoff)).select("traj_id", "frame", "ord", F.lit(True).alias("hit"))
-    every = frames.select("traj_id", "frame").join(c, F.lit(True), "left")
-    return every.join(near, ["traj_id", "frame", "ord"], "left").select("traj_id", "frame", "ord", "i", "j", "cluster", F.coalesce("hit", F.lit(False)).alias("formed"))
+    near = a.join(b, ["traj_id", "frame", "j"]).filter(is_formed(distance(F.col("a"), F.col("b")), F.col("r"), cutoff))
+    return near.select("traj_id", "frame", "ord", "i", "j", "cluster")
+
+
+def analyzed(frames: DataFrame, contacts: DataFrame, cutoff: float = 1.2, broadcast_contacts: int = BROADCAST_CONTACTS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """frame_results, fill and frame_q of the frames.
+
+    A map too large to broadcast is never multiplied with the frames: formed contacts are counted per frame and cluster,
+    and the frames get the clusters' sizes, one array for all.
+    """
+    if is_small(contacts, broadcast_contacts):
+        e = evaluated(frames, contacts, cutoff, broadcast_contacts)
+        return frame_results(e), fill(e), frame_q(e)
+    hits = by_residue(frames, contacts.select("ord", "i", "j", "r", "cluster"), cutoff)
+    own = frames.select("traj_id", "frame")
+    sizes = cluster_sizes(contacts).agg(F.collect_list(F.struct("cluster", "size")).alias("sizes"))  # one row
+    every = own.join(F.broadcast(sizes), F.lit(True)).select("traj_id", "frame", F.inline("sizes"))
+    counts = hits.groupBy("traj_id", "frame", "cluster").agg(F.count("*").alias("n"))
+    filled = every.join(counts, ["traj_id", "frame", "cluster"], "left").select("traj_id", "frame", "cluster", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"), "size")
+    q = filled.groupBy("traj_id", "frame").agg(F.sum("n").alias("contacts"), F.sum("size").alias("total"))
+    q = q.withColumn("q", F.coalesce(F.col("contacts") / F.nullif("total", F.lit(0)), F.lit(0.0)))
+    lists = hits.groupBy("traj_id", "frame").agg(F.array_sort(F.collect_list(F.struct("ord", "i", "j"))).alias("hits"))
+    maps = filled.groupBy("traj_id", "frame").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("cluster", (F.col("n") / F.col("size")).alias("v"))))).alias("clusters_filling"))
+    x = q.join(lists, ["traj_id", "frame"], "left").join(maps, ["traj_id", "frame"])
+    listed = F.coalesce(F.transform("hits", lambda h: F.struct(h["i"].alias("i"), h["j"].alias("j"))), F.expr("cast(array() as array<struct<i:int,j:int>>)"))
+    return x.select("traj_id", "frame", "contacts", "q", listed.alias("contact_list"), "clusters_filling"), filled, q
 
 
 def formed(frames: DataFrame, contacts: DataFrame, cutoff: float = 1.2) -> DataFrame:
@@ -77,8 +112,8 @@ def frame_results(evaluated_contacts: DataFrame) -> DataFrame:
 def filling_long(results: DataFrame) -> DataFrame:
     """traj_id, frame, cluster, value of a parsed table; clusters that only other frames name are 0."""
     long = results.select("traj_id", "frame", F.explode_outer("clusters_filling").alias("cluster", "value"))
-    clusters = long.filter("cluster is not null").select("cluster").distinct()
-    every = results.select("traj_id", "frame").join(F.broadcast(clusters), F.lit(True))
+    known = long.filter("cluster is not null").agg(F.array_sort(F.collect_set("cluster")).alias("known"))  # one row
+    every = results.select("traj_id", "frame").join(F.broadcast(known), F.lit(True)).select("traj_id", "frame", F.explode("known").alias("cluster"))
     return every.join(long, ["traj_id", "frame", "cluster"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
 
 

@@ -29,8 +29,7 @@ def analyze(frames: DataFrame, contacts: DataFrame, cutoff_distance: float = 1.2
 
     The counts per frame and cluster, small beside the coordinates, have several readers and are kept, on disk if need be.
     """
-    e = formation.evaluated(frames, contacts, cutoff_distance)
-    fill = formation.fill(e).persist(StorageLevel.MEMORY_AND_DISK)
-    q = formation.frame_q(e)
+    results, fill, q = formation.analyzed(frames, contacts, cutoff_distance)
+    fill = fill.persist(StorageLevel.MEMORY_AND_DISK)
     binary = series.summarize(fill, window_size, cutoff)
-    return Analysis(formation.frame_results(e), fill, q, series.smooth(fill, smooth_window), series.smooth_q(q, smooth_window), series.summarize(fill, window_size), binary, ordering.formation_order(binary, strict))
+    return Analysis(results, fill, q, series.smooth(fill, smooth_window), series.smooth_q(q, smooth_window), series.summarize(fill, window_size), binary, ordering.formation_order(binary, strict))

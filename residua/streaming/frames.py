@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -36,30 +37,45 @@ def stream_fill(frames: DataFrame, contacts: list[Row], cutoff: float = 1.2) ->
     return x.select("traj_id", "frame", n.alias("contacts"), F.lit(len(contacts)).cast("bigint").alias("total"), (n / F.lit(max(1, len(contacts)))).alias("q"), clusters.alias("clusters"))
 
 
-def stream_windows(fill: DataFrame, window_size: int) -> DataFrame:
-    """traj_id, widx, frame, cluster, value of each full window of ``window_size`` frames in order of arrival."""
+def stream_windows(fill: DataFrame, window_size: int, idle: str | None = None) -> DataFrame:
+    """traj_id, widx, frame, cluster, value of each full window of ``window_size`` frames in order of arrival.
+
+    With ``idle``, say "10 minutes", a trajectory without new frames for that long ends: its last, short window is averaged
+    over its real length, as in batch, and its state goes.  Without it a stream's trajectories never end, and state, a few
+    counts for each, stays.
+    """
     if window_size <= 0:
         raise ValueError("window_size must be positive")
+    names = ["traj_id", "widx", "frame", "cluster", "value"]
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else 0
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        widx, count, first, sums = state.get if state.exists else (0, 0, 0, "{}")
-        import json
+    def closed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        """The means of whole windows (widx, frame, cluster, n, size)."""
+        x = rows.groupby(["widx", "cluster"], as_index=False).agg(n=("n", "sum"), size=("size", "sum"))
+        x = x.merge(rows.groupby("widx", as_index=False).agg(frame=("frame", "min")), on="widx")
+        return x.assign(traj_id=key[0], value=x["n"] / x["size"])[names]
 
-        total, out = {int(k): v for k, v in json.loads(sums).items()}, []
-        rows = sorted((r for b in batches for r in b.itertuples(index=False)), key=lambda r: r.frame)
-        for r in rows:
-            if not count:
-                first, total = int(r.frame), {}
-            count += 1
-            for c in r.clusters:
-                n, size = total.get(int(c["cluster"]), (0, 0))
-                total[int(c["cluster"])] = (n + int(c["n"]), size + int(c["size"]))
-            if count == window_size:
-                out += [(key[0], widx, first, c, n / s) for c, (n, s) in sorted(total.items())]
-                widx, count = widx + 1, 0
-        state.update((widx, count, first, json.dumps(total)))
-        yield pd.DataFrame(out, columns=["traj_id", "widx", "frame", "cluster", "value"])
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        widx, count, first, clusters, n, size = state.get if state.exists else (0, 0, 0, [], [], [])
+        open_ = pd.DataFrame({"widx": widx, "frame": first, "cluster": clusters, "n": n, "size": size})
+        if state.hasTimedOut:
+            state.remove()
+            yield closed(key, open_)
+            return
+        x = pd.concat(list(batches), ignore_index=True).sort_values("frame", kind="stable")
+        x["widx"] = widx + (count + np.arange(len(x))) // window_size
+        total, x = count + len(x), x.explode("clusters", ignore_index=True)
+        x = pd.concat([x[["widx", "frame"]], pd.DataFrame(x["clusters"].tolist(), columns=["cluster", "n", "size"])], axis=1)
+        rows = pd.concat([open_, x], ignore_index=True) if len(open_) else x
+        now = widx + total // window_size
+        left = rows[rows["widx"] == now]
+        sums = left.groupby("cluster", as_index=False)[["n", "size"]].sum()
+        state.update((int(now), int(total % window_size), int(left["frame"].min()) if len(left) else 0, *(sums[c].astype(int).tolist() for c in ("cluster", "n", "size"))))
+        if wait:
+            state.setTimeoutDuration(wait)
+        yield closed(key, rows[rows["widx"] < now])
 
     ship(fill.sparkSession)
+    kind = fill.schema["traj_id"].dataType.simpleString()
     return fill.select("traj_id", "frame", "clusters").groupBy("traj_id").applyInPandasWithState(
-        update, "traj_id string, widx bigint, frame int, cluster int, value double", "widx bigint, count bigint, first int, sums string", "append", "NoTimeout")
+        update, f"traj_id {kind}, widx bigint, frame int, cluster int, value double", "widx bigint, count bigint, first int, clusters array<int>, n array<bigint>, size array<bigint>", "append", "ProcessingTimeTimeout" if idle else "NoTimeout")

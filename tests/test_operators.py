@@ -1,6 +1,7 @@
 """Hand-made fixtures, step-by-step walks and invariants of the operators."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -219,3 +220,33 @@ def test_large_maps_go_by_joins(spark):
     assert own(graph.components(x, most=50)) == own(graph.components(x))
     for k, least in ((2, 3), (40, 1)):
         assert own(graph.cluster_contacts(x, k, least, most=50).select("map_id", "ord", "i", "j", "cluster")) == own(graph.cluster_contacts(x, k, least).select("map_id", "ord", "i", "j", "cluster"))
+
+
+def test_large_contact_lists_are_not_multiplied(frames, contacts):
+    small, large = formation.analyzed(frames, contacts), formation.analyzed(frames, contacts, broadcast_contacts=0)
+    for a, b in zip(small, large, strict=True):
+        assert sorted(a.columns) == sorted(b.columns)
+        assert sorted(map(str, a.select(sorted(a.columns)).collect())) == sorted(map(str, b.select(sorted(a.columns)).collect()))
+    plan = large[1]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Inner, true" not in plan.replace("Join Inner, true", "", 1)  # the one row of sizes alone
+
+
+def test_streams_end(spark, frames, contacts, tmp_path):
+    """Three windows of two frames in order of arrival; the last frame, alone in its window, comes out when the trajectory is idle."""
+    for k in range(2):
+        frames.filter(F.col("frame") <= 4 - k).withColumn("frame", F.col("frame") + 3 * k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    frames.filter("frame = 1").withColumn("frame", F.lit(9)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    x = stream_windows(stream_fill(stream, contacts.collect()), 2, idle="2 seconds")
+    q = x.writeStream.format("memory").queryName("ends").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="1 second").start()
+    try:
+        for _ in range(60):
+            if spark.sql("select * from ends where widx = 3").count():
+                break
+            time.sleep(1)
+    finally:
+        q.stop()
+    whole = formation.fill(formation.evaluated(spark.read.parquet(str(tmp_path / "in")), contacts))
+    batch = {(r["widx"], r["frame"], r["cluster"], r["value"]) for r in series.summarize(whole, 2).collect()}
+    got = [(r["widx"], r["frame"], r["cluster"], r["value"]) for r in spark.sql("select * from ends").collect()]
+    assert set(got) == batch and len(got) == len(batch) == 12
