@@ -38,3 +38,28 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         x = stage(spark, x, brute.SF)
         assert x.count() == 0
+
+
+def test_unusual_rows_and_clashing_columns(spark):
+    """Nulls in every column, empty, repeated and very long rows, and columns named like those that operators add."""
+    docs = spark.read.parquet(f"{brute.SF}/documents.parquet").limit(60)
+    rows = [(*r, 1.5, "k", 7) for r in docs.collect()]
+    first = rows[0]
+    rows += [first, first, (None, *first[1:]), (None, *first[1:]), (first[0], "another text " * 40, *first[2:])]
+    rows += [(900, None, "en", None, None, None, None, None), (901, "", None, "web", 0, None, None, None), (None, None, None, None, None, None, None, None), (902, "  \n\n", "de", "web", 4, 0.0, "", 0), (903, "word " * 60_000 + "x" * 20_000, "en", "web", 320_000, 0.1, "z", 1)]
+    schema = f"{brute.DOCS}, score double, `key` string, n_tokens int"
+    x = spark.createDataFrame(rows, schema).repartition(3)
+    n = len(rows)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = corpus_pipeline.written(stage(spark, x, brute.SF), name)
+        assert out.columns == x.columns and out.dtypes == x.dtypes, name
+        got = [tuple(r) for r in out.collect()]
+        if name == "line_dedup":
+            assert len(got) == n and sum(r[1] is None for r in got) == sum(r["text"] is None for r in x.collect())
+        elif name == "mix_sources":
+            assert all(r[1] and r[1].split() for r in got) and max(map(got.count, got)) <= 2 * max(map(rows.count, rows))
+        else:
+            assert len(got) <= n and len({r[1] for r in got if r[1]}) >= 30
+        x, n = out, len(got)
+    ids = corpus_pipeline.STAGES[-1][1](spark, x, brute.SF)
+    assert ids.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and ids.count() == n
