@@ -4,10 +4,12 @@ The texts of a batch are cut into words where no merge can reach across; words t
 flat array of symbols.  Each round finds every word's best-ranked adjacent pair by a segmented minimum, merges all its
 occurrences at once, leftmost first where they overlap, and drops the words that have no pair left.
 
-Merging all occurrences at once equals merging one by one as long as no merged piece has, with the symbols beside it,
-a pair of a rank as good as its own.  Of a word's occurrences those after the first that has one wait for the next round.
+Merging all occurrences at once equals merging one by one as long as the merged piece can't begin a pair of a still
+better rank.  For pieces that can, only the leftmost occurrence of a word is merged in a round.
 
-A long word has many ranks, so there a pair is merged as soon as it is the best within ``reach`` symbols on both sides.
+A long word has many ranks and occurrences, so there a pair is merged as soon as it is the best within ``reach`` symbols
+on both sides, and of equal ones those after the first whose piece has a pair as good as its own, with the symbols that
+stand beside it, wait for the next round.
 What a merge leads to stays in one piece, so nothing from farther away can get between; waiting, too, ends with a gap
 of ``reach`` symbols.  The rounds then grow with ``reach`` and the logarithm of the length, not with the length.  Where
 pieces wait for each other all along a word (spaces do: their runs have equal ranks), rounds get slow and a queue of
@@ -255,8 +257,12 @@ class Vocabulary:
             order = np.arange(len(place))
             odd = (order - np.maximum.accumulate(np.where(run, order, 0))) % 2 == 0  # of overlapping pairs the leftmost, then every second
             place, early = place[odd], early[odd]
-            if early.any() or self.one_by_one[found[place]].any():
+            single = self.one_by_one[found[place]]
+            if reach and (early.any() or single.any()):
                 place = place[self.settled(symbols, word, found, rank, place, early, reach)]
+            elif single.any():  # in short words one such piece a round
+                of = word[place]
+                place = place[~single | np.r_[True, of[1:] != of[:-1]]]
             symbols[place] = found[place]
             keep = np.ones(len(symbols), dtype=bool)
             keep[place + 1] = False
@@ -281,9 +287,9 @@ class Vocabulary:
         return out
 
     def settled(self, symbols: np.ndarray, word: np.ndarray, found: np.ndarray, rank: np.ndarray, place: np.ndarray, early: np.ndarray, reach: int) -> np.ndarray:
-        """Which of the places can be merged together.
+        """Which of the places in long words can be merged together.
 
-        Of a word, or of places no more than ``reach`` apart, those up to the first whose piece has a pair as good as its
+        Of places of a word no more than ``reach`` apart, those up to the first whose piece has a pair as good as its
         own, and before the first that is ``early``: it has an equal pair before it that has to wait.
         """
         piece, of, n = found[place], word[place], len(symbols)
@@ -296,7 +302,7 @@ class Vocabulary:
                             self.rank_beside(piece[single], right, (p + 2 < n) & (word[np.minimum(p + 2, n - 1)] == of[single])))
         restless = np.zeros(len(place), dtype=np.int64)
         restless[single[beside <= own]] = 1
-        begins = np.r_[True, (of[1:] != of[:-1]) | ((place[1:] - place[:-1] > reach) if reach else False)]
+        begins = np.r_[True, (of[1:] != of[:-1]) | (place[1:] - place[:-1] > reach)]
         stop = np.cumsum(restless + early) - restless
         start = stop[begins] - early[begins]
         return stop == np.repeat(start, np.diff(np.r_[np.flatnonzero(begins), len(place)]))
