@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import op1, op2, op3, op4, op5, op6, op7, op8, op9, op10
+from . import op1, op2, op3, op4, op5, op6, op7, op8, op9, op10, op11, op12
 
-MODULES = (op1, op2, op3, op4, op5, op6, op7, op8, op9, op10)
+MODULES = (op1, op2, op3, op4, op5, op6, op7, op8, op9, op10, op11, op12)
 
 
 def queries() -> dict:
