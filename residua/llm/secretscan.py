@@ -5,8 +5,9 @@ stands (after "password:", "api-key =", "passphrase is" and the like, quoted or
 those that a guesser needs ``least`` guesses for or more are secrets of the kind ``guess``; placeholders, words, dates
 and keyboard walks cost less.  The default, 1e10, is where published strength meters call a password very hard to guess.
 
-The words that a guesser tries first are those of the corpus: counted over all texts, the ``most`` commonest, which is
-all that reaches the driver; the few best-known password words come before them.
+The words that a guesser tries first are those of the corpus, counted over all texts; the few best-known password words
+come before them.  What reaches the driver is a histogram of how common words are, some hundred cells, and the ``most``
+commonest words.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from math import log2
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, fresh
+from .common import col, discard, fresh, written
 from .guesses import LONGEST_WORD, PASSWORDS, SHORTEST, Guesses
 from .texts import append, encode, give_back, ready, sliced
 
@@ -27,6 +28,8 @@ KINDS = ("assign", "access", "hex", "guess")
 LEAST_GUESSES, MOST_WORDS = 1e10, 20_000
 #: Different words that a task counts before it passes them on.
 HELD = 200_000
+#: Steps of commonness between a count and its double.
+STEPS = 8
 SECRETS = "array<struct<kind:string,start:bigint,end:bigint,bits:double>>"
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -99,9 +102,10 @@ def found(text: str | None, guesses: Guesses, least: float) -> list[tuple[str, i
 
 
 def common_words(docs: DataFrame, text_col="text", most: int = MOST_WORDS) -> list[str]:
-    """The ``most`` commonest words of A-Z letters, lower-cased, of all texts; equally common ones by the alphabet.
+    """The commonest words of A-Z letters, lower-cased, of all texts, at most ``most``; equally common ones by the alphabet.
 
-    A word stands between spaces; one sign of punctuation may follow it.
+    A word stands between spaces; one sign of punctuation may follow it.  Words are as common if their counts lie in one
+    of the STEPS steps from a power of two to the next; such words are taken all or none.
     """
     import pyarrow as pa
 
@@ -127,8 +131,17 @@ def common_words(docs: DataFrame, text_col="text", most: int = MOST_WORDS) -> li
         give_back()
 
     ready(docs)
-    counts = docs.select(col(text_col)).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counts.orderBy(F.col("n").desc(), "word").limit(most).collect()]
+    step = F.floor(F.log2("n") * STEPS).cast("int").alias("step")
+    counts = docs.select(col(text_col)).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).select("word", "n", step)
+    table = written(counts, "words")
+    least, room = None, most
+    for r in sorted(table.groupBy("step").count().collect(), key=lambda r: -r["step"]):  # some hundred rows
+        if r["count"] > room:
+            break
+        least, room = r["step"], room - r["count"]
+    rows = [] if least is None else table.filter(F.col("step") >= least).collect()
+    discard(table)
+    return [r["word"] for r in sorted(rows, key=lambda r: (-r["n"], r["word"]))]
 
 
 def ranks(words: list[str]) -> dict[str, int]:
