@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import distance, is_formed, once
+from .blocks import met
 
-#: Contact maps up to this size are broadcast to the frames; larger ones are joined by residue.
+#: Contact maps up to this size are broadcast to the frames; larger ones meet them block by block.
 BROADCAST_CONTACTS = 50_000
 
 
@@ -39,18 +40,7 @@ def evaluated(frames: DataFrame, contacts: DataFrame, cutoff: float = 1.2, broad
         x = x.withColumns({"a": F.get("places", F.col("i") - F.col("low")), "b": F.get("places", F.col("j") - F.col("low"))})
         d = distance(F.col("a"), F.col("b"))
         return x.select("traj_id", "frame", "ord", "i", "j", "cluster", is_formed(d, F.col("r"), cutoff).alias("formed"))
-    near = by_residue(frames, c, cutoff).select("traj_id", "frame", "ord", F.lit(True).alias("hit"))
-    every = frames.select("traj_id", "frame").withColumn("part", F.lit(0)).join(c.withColumn("part", F.lit(0)), "part", "left").drop("part")
-    return every.join(near, ["traj_id", "frame", "ord"], "left").select("traj_id", "frame", "ord", "i", "j", "cluster", F.coalesce("hit", F.lit(False)).alias("formed"))
-
-
-def by_residue(frames: DataFrame, contacts: DataFrame, cutoff: float = 1.2) -> DataFrame:
-    """traj_id, frame, ord, i, j, cluster of the formed contacts, by joins on residues: for maps too large to broadcast."""
-    points = unpack(frames).select("traj_id", "frame", "residue", F.struct("x", "y", "z").alias("p"))
-    a = points.select("traj_id", "frame", F.col("residue").alias("i"), F.col("p").alias("a")).join(contacts, "i")
-    b = points.select("traj_id", "frame", F.col("residue").alias("j"), F.col("p").alias("b"))
-    near = a.join(b, ["traj_id", "frame", "j"]).filter(is_formed(distance(F.col("a"), F.col("b")), F.col("r"), cutoff))
-    return near.select("traj_id", "frame", "ord", "i", "j", "cluster")
+    return met(frames, c, cutoff, every=True)
 
 
 def analyzed(frames: DataFrame, contacts: DataFrame, cutoff: float = 1.2, broadcast_contacts: int = BROADCAST_CONTACTS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -62,7 +52,7 @@ def analyzed(frames: DataFrame, contacts: DataFrame, cutoff: float = 1.2, broadc
     if is_small(contacts, broadcast_contacts):
         e = evaluated(frames, contacts, cutoff, broadcast_contacts)
         return frame_results(e), fill(e), frame_q(e)
-    hits = by_residue(frames, contacts.select("ord", "i", "j", "r", "cluster"), cutoff)
+    hits = met(frames, contacts, cutoff)
     own = frames.select("traj_id", "frame")
     sizes = cluster_sizes(contacts).agg(F.collect_list(F.struct("cluster", "size")).alias("sizes"))  # one row
     every = own.join(F.broadcast(sizes), F.lit(True)).select("traj_id", "frame", F.inline("sizes"))
@@ -77,9 +67,11 @@ def analyzed(frames: DataFrame, contacts: DataFrame, cutoff: float = 1.2, broadc
     return x.select("traj_id", "frame", "contacts", "q", listed.alias("contact_list"), "clusters_filling"), filled, q
 
 
-def formed(frames: DataFrame, contacts: DataFrame, cutoff: float = 1.2) -> DataFrame:
+def formed(frames: DataFrame, contacts: DataFrame, cutoff: float = 1.2, broadcast_contacts: int = BROADCAST_CONTACTS) -> DataFrame:
     """traj_id, frame, ord, i, j, cluster of the formed contacts."""
-    return evaluated(frames, contacts, cutoff).filter("formed").drop("formed")
+    if not is_small(contacts, broadcast_contacts):
+        return met(frames, contacts, cutoff)
+    return evaluated(frames, contacts, cutoff, broadcast_contacts).filter("formed").drop("formed")
 
 
 def fill(evaluated_contacts: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import formation
+from ..operators import blocks, formation
 from ..sources.formats import read_frames
 from ..sources.pdb import index_pdb, read_pdb
 from . import inputs
@@ -36,8 +36,22 @@ def _points(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
     return formation.unpack(read_frames(spark, path, max_frames=100)).select("traj_id", "frame", "residue", "x", "y", "z")
 
 
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formed contacts by blocks of five residues, pairs of blocks in chunks of about ten contacts."""
+    x = blocks.met(inputs.frames(spark, sf_dir), inputs.contacts(spark, sf_dir), residues=5, chunk=10, salts=3)
+    return x.select("frame", "i", "j", "cluster")
+
+
+def _every_contact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each contact is formed, of all frames, by blocks."""
+    x = formation.evaluated(inputs.frames(spark, sf_dir), inputs.contacts(spark, sf_dir), broadcast_contacts=0)
+    return x.groupBy("i", "j").agg(F.count("*").alias("frames"), F.count_if("formed").alias("n"))
+
+
 def queries() -> dict:
     return {
+        "formed_blocks": _blocks,
+        "evaluated_blocks": _every_contact,
         "pdb_ranges": _ranges,
         "pdb_indexed": _indexed,
         "points_parquet": lambda s, d: _points(s, d, "parquet"),
@@ -48,6 +62,8 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     first = f"with {ATOMS} select 'embeddings' as traj_id, frame, residue, x, y, z from coords where frame <= 100"
     return {
+        "formed_blocks": f"with {ATOMS} select frame, i, j, cluster from hit",
+        "evaluated_blocks": f"with {ATOMS}, n as (select i, j, count(*) as n from hit group by i, j) select c.i, c.j, (select count(*) from frames) as frames, coalesce(n.n, 0) as n from contacts c left join n on n.i = c.i and n.j = c.j",
         "pdb_ranges": f"with {ROUNDED} select frame, residue, x, y, z from near",
         "pdb_indexed": f"with {ATOMS} select frame, count(*) as atoms, cast(sum(residue) as bigint) as residues from coords where frame <= (select count(*) // 10 from embeddings) group by frame",
         "points_parquet": first,
