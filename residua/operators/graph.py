@@ -1,11 +1,14 @@
 """The contact graph: adjacency, connected components, size filter and two-way splits into clusters.
 
 One contact map has 10^2 to 10^3 contacts, so a map is one group of a grouped pandas function and maps run in parallel.
-Maps beyond ``GROUP_CELLS`` go through ``components_wide``, which finds components by joins alone.
+Maps beyond ``GROUP_CELLS`` go through ``components_wide``, which finds components by joins alone, and ``halves``, which
+splits clusters of all such maps at once by aggregates; both ways give the same.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,6 +18,11 @@ from ..functions.shipping import shared_folder, ship
 
 #: Cells of a map that is one group at most.
 GROUP_CELLS = 100_000
+#: Along which the runs of a two-way split begin, and how many steps a run has at most.
+DIRECTIONS = [(1, 0), (0, 1), (1, 1), (1, -1), (2, 1), (1, 2), (2, -1), (1, -2), (3, 1), (1, -3)]
+ROUNDS = 300
+#: Steps of all runs at once that go between two looks at whether centers still move.
+STEPS = 4
 #: The eight cells around a cell.
 AROUND = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]
 
@@ -118,27 +126,31 @@ def _state(edges: DataFrame) -> tuple:
     return r["n"], r["s"]
 
 
-def two_means(points: np.ndarray, starts: int = 10, seed: int = 42) -> np.ndarray:
-    """Labels 0 and 1 of the best of ``starts`` runs of Lloyd's algorithm from spread seeds; the first point has label 0."""
-    rng, best, labels = np.random.default_rng(seed), np.inf, np.zeros(len(points), dtype=int)
-    for _ in range(starts):
-        a = points[rng.integers(len(points))]
-        d = ((points - a) ** 2).sum(axis=1)
-        if not d.sum():
-            break
-        centers = np.stack([a, points[rng.choice(len(points), p=d / d.sum())]]).astype(float)
+def two_means(points: np.ndarray) -> np.ndarray:
+    """Labels 0 and 1 of the best of several runs of Lloyd's algorithm; the first point has label 0.
+
+    A run begins with the points before and beyond the mean along one of DIRECTIONS.  Sums are whole numbers, so runs
+    come out alike in any order of the points, and as ``halves`` has them.
+    """
+    x, n, best, labels = points.astype(np.int64), len(points), -1.0, np.zeros(len(points), dtype=int)
+    for d in DIRECTIONS:
+        along = x @ np.array(d)
         own = None
-        for _ in range(300):
-            new = ((points[:, None] - centers[None]) ** 2).sum(axis=2).argmin(axis=1)
+        new = along * n > along.sum()
+        if not new.any():
+            continue
+        centers = [x[~new].sum(axis=0) / (~new).sum(), x[new].sum(axis=0) / new.sum()]
+        for _ in range(ROUNDS):
+            far = [(x[:, 0] - c[0]) * (x[:, 0] - c[0]) + (x[:, 1] - c[1]) * (x[:, 1] - c[1]) for c in centers]
+            new = far[1] < far[0]
             if own is not None and (new == own).all():
                 break
             own = new
-            for k in (0, 1):
-                if (own == k).any():
-                    centers[k] = points[own == k].mean(axis=0)
-        cost = ((points - centers[own]) ** 2).sum()
-        if cost < best - 1e-9:
-            best, labels = cost, own
+            centers = [x[side].sum(axis=0) / side.sum() if side.any() else c for side, c in zip((~own, own), centers, strict=True)]
+        sums = [(x[side].sum(axis=0).astype(float), float(side.sum())) for side in (~own, own) if side.any()]
+        gain = sum((t[0] * t[0] + t[1] * t[1]) / k for t, k in sums)  # the larger, the closer the points to their centers
+        if gain > best:
+            best, labels = gain, own.astype(int)
     return labels ^ labels[0]
 
 
@@ -146,7 +158,7 @@ def split(cells: list[tuple[int, int]], members: list[int]) -> list[list[int]]:
     """Two halves with at least two contacts each, that with the earliest contact first; or the cluster as it is."""
     if len(members) < 4:
         return [members]
-    label = two_means(np.array([cells[m] for m in members], dtype=float))
+    label = two_means(np.array([cells[m] for m in members]))
     halves = [[m for m, v in zip(members, label, strict=True) if v == k] for k in (0, 1)]
     return halves if min(map(len, halves)) >= 2 else [members]
 
@@ -176,22 +188,125 @@ def cluster_contacts(contacts: DataFrame, clusters: int = 10, min_size: int = 5,
     """``contacts`` (map_id, ord, i, j, …) with ``cluster``: components of at least ``min_size`` contacts, halved or cut to ``clusters``, numbered from 1; 0 for the rest.
 
     Repeated contacts count once for sizes and share a cluster.  Halves may be smaller than ``min_size``.  Maps of more
-    than ``most`` rows with enough components are numbered by joins; of those with fewer, whose components have to be
-    halved, a map is one group.
+    than ``most`` rows are numbered and halved by joins and aggregates, all maps in the same rounds.
+    """
+    if (large := _large(contacts, most)) is None:
+        return _grouped_clusters(contacts, clusters, min_size)
+    own = contacts.join(large, "map_id", "left_semi")
+    first = own.groupBy("map_id", "i", "j").agg(F.min("ord").alias("ord"))
+    parts = _numbered(own).join(first, ["map_id", "i", "j"])
+    sizes = parts.groupBy("map_id", "component").agg(F.count("*").alias("size")).filter(F.col("size") >= min_size)
+    enough = sizes.groupBy("map_id").agg(F.count("*").alias("n")).filter(F.col("n") >= clusters).select("map_id")
+    top = top_clusters(sizes.join(enough, "map_id", "left_semi"), clusters).select("map_id", "component", F.col("place").alias("cluster"))
+    numbers = parts.join(top, ["map_id", "component"]).select("map_id", "i", "j", "cluster")
+    few = parts.join(sizes.join(enough, "map_id", "left_anti").select("map_id", "component"), ["map_id", "component"])
+    numbers = numbers.unionByName(_halved(few.withColumnRenamed("component", "rank"), clusters))
+    columns = [F.col(f"`{c}`") for c in contacts.columns if c != "cluster"]
+    numbered = contacts.drop("cluster").join(large, "map_id", "left_semi").join(numbers, ["map_id", "i", "j"], "left")
+    numbered = numbered.select(*columns, F.coalesce("cluster", F.lit(0)).cast("int").alias("cluster"))
+    return numbered.unionByName(_grouped_clusters(contacts.join(large, "map_id", "left_anti"), clusters, min_size))
+
+
+def kept_table(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the folder that all share, read back; cuts lineage, survives lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/graph-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _replayed(sizes: dict[str, int], states: dict[str, str], roots: list[str], target: int) -> list[str] | None:
+    """split_to over the known splits: the clusters in their order; None if it needs a split that hasn't been tried."""
+    out = list(roots)
+    while len(out) < target:
+        able = [k for k in out if sizes[k] >= 4 and states[k] != "whole"]
+        if not able:
+            break
+        k = max(able, key=lambda k: sizes[k])
+        if states[k] == "open":
+            return None
+        at = out.index(k)
+        out = out[:at] + out[at + 1 :] + [k + "0", k + "1"]
+    return out
+
+
+def _halved(cells: DataFrame, target: int) -> DataFrame:
+    """map_id, i, j, cluster of cells (map_id, i, j, ord, rank): as split_to, for all maps at once.
+
+    Each round tries to halve all clusters of the maps that still need a split, so there are about as many rounds as
+    splits lie one within the other.  A cluster's node is its component's rank and which halves lead to it; which splits
+    are used, largest first, is found from the nodes' sizes alone.
+    """
+    shared_folder(cells.sparkSession)
+    ship(cells.sparkSession)
+    kind = cells.schema["map_id"].dataType.simpleString()
+    by = ["map_id", "node"]
+    cells = cells.select("map_id", "i", "j", "ord", F.concat(F.col("rank").cast("string"), F.lit(".")).alias("node"), F.lit("open").alias("state"))
+    cells = kept_table(cells)
+    done = None  # nodes that were cut
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        sizes, states = dict(zip(g["node"], g["size"], strict=True)), dict(zip(g["node"], g["state"], strict=True))
+        chosen = _replayed(sizes, states, sorted((n for n in sizes if n.endswith(".")), key=lambda n: int(n[:-1])), target)
+        leaves = [n for n in sizes if states[n] != "cut"]
+        number = {n: k for k, n in enumerate(chosen or [], 1)}
+        of = lambda n: next(number[n[:k]] for k in range(len(n), 0, -1) if n[:k] in number) if number else 0
+        return pd.DataFrame({"map_id": g["map_id"].iloc[0], "node": leaves, "cluster": [of(n) for n in leaves]})
+
+    for _ in range(target + 1):
+        nodes = cells.groupBy(*by, "state").agg(F.count("*").alias("size"))
+        nodes = nodes if done is None else nodes.unionByName(done)
+        plan = kept_table(nodes.groupBy("map_id").applyInPandas(run, f"map_id {kind}, node string, cluster int"))
+        wanting = plan.filter("cluster = 0").select("map_id").distinct()
+        if not wanting.take(1):
+            break
+        able = nodes.filter("state = 'open' and size >= 4").join(wanting, "map_id", "left_semi").select(*by, "size")
+        labels = halves(cells.join(able.select(*by), by, "left_semi").select(*by, "i", "j", "ord"), by)
+        both = labels.groupBy(*by).agg(F.count_if(F.col("label") == 0).alias("a"), F.count_if(F.col("label") == 1).alias("b"))
+        both = kept_table(both.select(*by, (F.least("a", "b") >= 2).alias("cut"), (F.col("a") + F.col("b")).alias("size")))
+        cut = both.filter("cut").select(*by, F.lit("cut").alias("state"), "size")
+        done = kept_table(cut if done is None else done.unionByName(cut))
+        x = cells.join(both.select(*by, "cut"), by, "left").join(labels, [*by, "i", "j"], "left")
+        node = F.when(F.col("cut"), F.concat("node", F.col("label").cast("string"))).otherwise(F.col("node"))
+        cells = kept_table(x.select("map_id", "i", "j", "ord", node.alias("node"), F.when(~F.col("cut"), F.lit("whole")).otherwise(F.col("state")).alias("state")))
+    return cells.join(plan, by).select("map_id", "i", "j", "cluster")
+
+
+def halves(cells: DataFrame, by: list[str]) -> DataFrame:
+    """by, i, j, label: two_means of the cells (by, i, j, ord) of each group, by aggregates.
+
+    A step of all runs of all groups is one aggregate of the cells, to ten rows a group; steps end when no center moves.
     """
-    if (large := _large(contacts, most)) is not None:
-        own = contacts.join(large, "map_id", "left_semi")
-        parts = _numbered(own)
-        sizes = parts.groupBy("map_id", "component").agg(F.count("*").alias("size")).filter(F.col("size") >= min_size)
-        enough = sizes.groupBy("map_id").agg(F.count("*").alias("n")).filter(F.col("n") >= clusters).select("map_id")
-        if enough.take(1):
-            top = top_clusters(sizes.join(enough, "map_id", "left_semi"), clusters).select("map_id", "component", F.col("place").alias("cluster"))
-            numbers = parts.join(top, ["map_id", "component"]).select("map_id", "i", "j", "cluster")
-            numbered = contacts.drop("cluster").join(enough, "map_id", "left_semi").join(numbers, ["map_id", "i", "j"], "left")
-            columns = [F.col(f"`{c}`") for c in contacts.columns if c != "cluster"]
-            numbered = numbered.select(*columns, F.coalesce("cluster", F.lit(0)).cast("int").alias("cluster"))
-            return numbered.unionByName(_grouped_clusters(contacts.join(enough, "map_id", "left_anti"), clusters, min_size))
-    return _grouped_clusters(contacts, clusters, min_size)
+    runs = F.array(*(F.struct(F.lit(k).alias("run"), F.lit(a).alias("di"), F.lit(b).alias("dj")) for k, (a, b) in enumerate(DIRECTIONS)))
+    along = (F.col("i") * F.col("d.di") + F.col("j") * F.col("d.dj")).cast("bigint")
+    x = cells.withColumn("d", F.explode(runs)).select(*by, "i", "j", F.col("d.run").alias("run"), along.alias("along"))
+    means = x.groupBy(*by, "run").agg(F.count("*").alias("n"), F.sum("along").alias("total"))
+    far = F.col("along") * F.col("n") > F.col("total")
+    names = [f"c{c}{k}" for k in (0, 1) for c in "ij"]
+
+    def sums(labelled: DataFrame, *keep: str) -> DataFrame:
+        return labelled.groupBy(*by, "run", *keep).agg(*(f(F.when(F.col("side") == k, F.col(c))).alias(f"{s}{k}") for k in (0, 1) for f, c, s in ((F.count, "i", "n"), (F.sum, "i", "i"), (F.sum, "j", "j"))))
+
+    def centers(s: DataFrame, *old: str) -> DataFrame:
+        mean = lambda c, k: F.coalesce(F.col(f"{c}{k}") / F.nullif(F.col(f"n{k}"), F.lit(0)), *([F.col(f"c{c}{k}")] if old else []))
+        return s.select(*by, "run", *(mean(n[1], n[2]).alias(n) for n in names), *(F.col(n).alias(f"o{n[1:]}") for n in old))
+
+    def sided(now: DataFrame) -> DataFrame:
+        d = [(F.col("i") - F.col(f"ci{k}")) * (F.col("i") - F.col(f"ci{k}")) + (F.col("j") - F.col(f"cj{k}")) * (F.col("j") - F.col(f"cj{k}")) for k in (0, 1)]
+        return cells.join(now.select(*by, "run", *names), by).withColumn("side", F.when(d[1] < d[0], 1).otherwise(0))
+
+    now = kept_table(centers(sums(x.join(means, [*by, "run"]).withColumn("side", F.when(far, 1).otherwise(0))).filter("n1 > 0")))
+    for _ in range(ROUNDS // STEPS):
+        for _ in range(STEPS):
+            now = centers(sums(sided(now), *names), *names)
+        now = kept_table(now)
+        if not now.filter(" or ".join(f"{n} <> o{n[1:]}" for n in names)).take(1):
+            break
+    s = sums(sided(now), *names)
+    part = lambda k: F.coalesce((F.col(f"i{k}").cast("double") * F.col(f"i{k}").cast("double") + F.col(f"j{k}").cast("double") * F.col(f"j{k}").cast("double")) / F.nullif(F.col(f"n{k}"), F.lit(0)).cast("double"), F.lit(0.0))
+    best = s.groupBy(*by).agg(F.max(F.struct((part(0) + part(1)).alias("gain"), (-F.col("run")).alias("least"))).alias("best")).select(*by, (-F.col("best.least")).alias("run"))
+    chosen = sided(now.join(best, [*by, "run"]))
+    first = chosen.groupBy(*by).agg(F.min_by("side", "ord").alias("zero"))
+    return kept_table(chosen.join(first, by).select(*by, "i", "j", (F.col("side") != F.col("zero")).cast("int").alias("label")))
 
 
 def _grouped_clusters(contacts: DataFrame, clusters: int, min_size: int) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import blocks, formation
+from ..operators import blocks, formation, graph
 from ..sources.formats import read_frames
 from ..sources.pdb import index_pdb, read_pdb
-from . import inputs
+from . import catalog_files, inputs
 from .catalog import ATOMS
 from .catalog_files import ROUNDED
 
@@ -52,6 +52,7 @@ def queries() -> dict:
     return {
         "formed_blocks": _blocks,
         "evaluated_blocks": _every_contact,
+        "cluster_split_joins": lambda s, d: graph.cluster_contacts(catalog_files._lines_map(s, d), 3, 4, most=0).select("map_id", "i", "j", "cluster"),
         "pdb_ranges": _ranges,
         "pdb_indexed": _indexed,
         "points_parquet": lambda s, d: _points(s, d, "parquet"),
@@ -64,6 +65,7 @@ def oracle_sql() -> dict:
     return {
         "formed_blocks": f"with {ATOMS} select frame, i, j, cluster from hit",
         "evaluated_blocks": f"with {ATOMS}, n as (select i, j, count(*) as n from hit group by i, j) select c.i, c.j, (select count(*) from frames) as frames, coalesce(n.n, 0) as n from contacts c left join n on n.i = c.i and n.j = c.j",
+        "cluster_split_joins": catalog_files.oracle_sql()["cluster_split"],
         "pdb_ranges": f"with {ROUNDED} select frame, residue, x, y, z from near",
         "pdb_indexed": f"with {ATOMS} select frame, count(*) as atoms, cast(sum(residue) as bigint) as residues from coords where frame <= (select count(*) // 10 from embeddings) group by frame",
         "points_parquet": first,
