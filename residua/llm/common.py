@@ -96,12 +96,16 @@ def bounded_sample(df: DataFrame, by: str, keys: list[str], most: int, classes:
     ``keys`` are what tells rows apart, null or repeated ones too; of equal rows one counts.  Of more than ``classes``
     values of ``by`` the most frequent ones have a sample, so it never has more than ``classes * most`` rows.  Two scans,
     whatever the number of values: narrow ones of hashes, then one for the rows that were chosen.
+
+    Hashes are spread evenly, so of a value's n rows about 4 * most + 200 lie in that share of the hashes' range from
+    below; only these are ranked.  That fewer than ``most`` do has a probability below 1e-60.
     """
     own = [c for c in df.columns]
     value, hash_, place = fresh(df, "sampled_by", "sampled_hash", "sampled_place")
     rows = df.filter(col(by).isNotNull()).withColumn(value, col(by)).withColumn(hash_, F.xxhash64(*map(col, keys)))
     narrow = rows.select(value, hash_).distinct()
-    top = narrow.groupBy(value).count().orderBy(F.col("count").desc(), value).limit(classes).select(value)
-    ranked = narrow.join(F.broadcast(top), value).withColumn(place, F.row_number().over(W.partitionBy(value).orderBy(hash_)))
+    top = narrow.groupBy(value).count().orderBy(F.col("count").desc(), value).limit(classes)
+    low = F.col(hash_).cast("double") <= ((4 * most + 200) / F.col("count") - 0.5) * 2.0**64
+    ranked = narrow.join(F.broadcast(top), value).filter(low).drop("count").withColumn(place, F.row_number().over(W.partitionBy(value).orderBy(hash_)))
     chosen = ranked.filter(F.col(place) <= most).drop(place)
     return rows.join(F.broadcast(chosen), [value, hash_], "left_semi").dropDuplicates([value, hash_]).select(*map(col, own))

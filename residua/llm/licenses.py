@@ -10,6 +10,10 @@ this order, enough words must follow on both sides (positional filter).  What is
 of fewer than SHORT distinct words a block must also have all words that no template of another label has, since the
 threshold alone would let another license's name pass for it, and these and o words in all must stand in the template's
 order in a stretch of twice its words, since a block has common words anyway.
+
+Notices of kindred licenses differ in a word or two: each template is told from those of other labels that share the
+threshold of its words or their own.  A match stands only if the block has all words that tell its template from such a
+neighbour; where a template has none because the neighbour only adds words, it stands unless the block has those.
 """
 
 from __future__ import annotations
@@ -38,9 +42,20 @@ TEMPLATES = [
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("cc-by-nc-nd", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
+    ("cc-by-nc-sa", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    ("cc-by-nd", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
     ("gpl", "This work is licensed under the GNU General Public License, version 3"),
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
+    ("agpl", "This work is licensed under the GNU Affero General Public License, version 3"),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("lgpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("lgpl", "This work is licensed under the GNU Lesser General Public License, version 3"),
+    ("hpnd", "Permission to use, copy, modify, and distribute this software and its documentation for any purpose and without fee is hereby granted"),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
     ("mit", "Released under the MIT License"),
@@ -82,6 +97,16 @@ def marks_of(label: str, template: str, known: list[tuple[str, str]]) -> set[byt
     return own.difference(*(words_of(t) for other, t in known if other != label)) if known and len(own) < SHORT else set()
 
 
+def told_by(templates: list[tuple[str, str]], threshold: float) -> list[tuple[list[frozenset[bytes]], list[frozenset[bytes]]]]:
+    """For each template what a block must have, all words of each set, and what it must not, to be no neighbour's."""
+    sets = [(label, frozenset(words_of(t))) for label, t in templates]
+    out = []
+    for label, s in sets:
+        near = [t for other, t in sets if other != label and s and t and len(s & t) >= threshold * min(len(s), len(t)) - 1e-9]
+        out.append(([s - t for t in near if s - t], [t - s for t in near if not s - t and t - s]))
+    return out
+
+
 @dataclass
 class Join:
     """The template side of the join: word sets as ranks in the global order, required overlaps, an index of the prefixes, half of a block, and words that must not lack."""
@@ -205,12 +230,20 @@ def scan_licenses(docs: DataFrame, text_col="text", templates: list[tuple[str, s
     templates = TEMPLATES if templates is None else templates
     counts = document_counts(docs, {w for _, t in templates for w in words_of(t)}, text_col) if templates else {}
     sides = joins(templates, counts, threshold)
+    rules: dict[tuple[str, int], list] = {}
+    for (label, t), told in zip(templates, told_by(templates, threshold), strict=True):
+        rules.setdefault((label, half_of(t)), []).append((frozenset(words_of(t)), marks_of(label, t, templates), *told))
+
+    def stands(words: list[bytes], span: tuple, half: int) -> bool:
+        """Whether a template of the span's label that the block matches is told from its neighbours there."""
+        block = set(words[span[1] : span[2]])
+        return any(len(s & block) >= ceil(threshold * len(s) - 1e-9) and marks <= block and all(n <= block for n in needs) and not any(n <= block for n in bars) for s, marks, needs, bars in rules[span[0], half])
 
     def work(texts: list) -> list[list]:
         out = []
         for t in texts:
             words = words_of(t)
-            base, spans = places(words), [s for j in sides for s in j.scan(words)]
+            base, spans = places(words), [s for j in sides for s in j.scan(words) if stands(words, s, j.half)]
             own = sorted({label for _, label in base})
             score = max([1.0 if base else 0.0, *(c for *_, c in spans)])
             out.append((len(words), len(base), min((k for k, _ in base), default=None), max((k for k, _ in base), default=None), ",".join(own), ",".join(sorted({*own, *(s[0] for s in spans)})), score,

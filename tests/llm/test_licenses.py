@@ -116,3 +116,23 @@ def test_near_misses_and_whole_licenses(spark):
     cases = [*near.items(), *whole]
     x, n = m.scan_licenses(spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id bigint, text string"))
     assert [r[n["labels"]] for r in x.orderBy("doc_id").collect()] == [label for _, label in cases]
+
+
+def test_kindred_notices_have_only_their_own_labels(spark):
+    gnu = "{} is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    cc = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
+    cases = [(gnu.format("This program", ""), "gpl"), (gnu.format("This program", "Affero "), "agpl"), (gnu.format("This library", "Lesser "), "lgpl"), (gnu.format("This program", "Lesser "), "lgpl")]
+    cases += [(f"This work is licensed under the GNU {x}General Public License, version 3", label) for x, label in (("", "gpl"), ("Affero ", "agpl"), ("Lesser ", "lgpl"))]
+    cases += [(cc.format(x), label) for x, label in (("", "cc-by"), ("-ShareAlike", "cc-by-sa"), ("-NonCommercial", "cc-by-nc"), ("-NoDerivatives", "cc-by-nd"), ("-NonCommercial-ShareAlike", "cc-by-nc-sa"), ("-NonCommercial-NoDerivatives", "cc-by-nc-nd"))]
+    cases += [("Permission to use, copy, modify, and distribute this software and its documentation for any purpose and without fee is hereby granted, provided that the above copyright notice appear in all copies and that both that copyright notice and this permission notice appear in supporting documentation.", "hpnd"),
+              ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "isc")]
+    rows = [(f"{'intro ' * n}{t} {'outro ' * 150}", label) for t, label in cases for n in (0, 30, 60, 200)]
+    x, n = m.scan_licenses(spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)], "doc_id bigint, text string"))
+    assert [r[n["labels"]] for r in x.orderBy("doc_id").collect()] == [label for _, label in rows]
+
+
+def test_what_tells_templates_apart():
+    t = [("a", "one two three four five"), ("b", "one two three four five six"), ("c", "one two three four seven"), ("a", "one two three four five six eight"), ("d", "nine ten")]
+    told = m.told_by(t, 0.8)
+    words = lambda sets: sorted(sorted(w.decode() for w in s) for s in sets)
+    assert [tuple(map(words, x)) for x in told] == [([["five"]], [["six"]]), ([["five", "six"], ["six"]], [["eight"]]), ([["seven"], ["seven"], ["seven"]], []), ([["eight"], ["eight", "five", "six"]], []), ([], [])]

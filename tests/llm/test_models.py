@@ -159,3 +159,18 @@ def test_classifier_sees_bounded_rows(spark, monkeypatch):
     docs = spark.createDataFrame([(k % 2, f"text {k}") for k in range(900)] + [(1, "text 1")] * 50 + [(None, "none")] * 50 + [(3, None)], "doc_id bigint, text string")
     c.fit(docs, spark.createDataFrame([(0, 0), (1, 1), (1, 0), (3, 1), (None, 1), (4, None), (5, 7)], "doc_id bigint, quality int"), per_class=60)
     assert seen == [(120, 60, 2 / 3)]
+
+
+def test_few_rows_of_a_class_are_ranked(spark):
+    """Of a class of any size the window gets a few times the sample, and the sample is that of the smallest hashes."""
+    from pyspark.sql import functions as F
+
+    from residua.llm.common import bounded_sample
+
+    docs = spark.range(40_000).select("id", F.when(F.col("id") < 20_000, "a").when(F.col("id") < 39_000, "b").otherwise("c").alias("kind"))
+    x = bounded_sample(docs, "kind", ["id"], 20)
+    hashed = docs.withColumn("h", F.xxhash64("id")).collect()
+    want = {r["id"] for k in "abc" for r in sorted((r for r in hashed if r["kind"] == k), key=lambda r: r["h"])[:20]}
+    assert {r["id"] for r in x.collect()} == want
+    near = [r for r in hashed if r["h"] / 2**64 + 0.5 <= (4 * 20 + 200) / {"a": 20_000, "b": 19_000, "c": 1_000}[r["kind"]]]
+    assert 3 * 200 < len(near) < 3 * 400
