@@ -1,6 +1,7 @@
 """Row-count windows over ordered frames: centered running means and tumbling means.
 
-Series carry counts (n of size); means are sums of integers divided once, so they don't depend on the order of summing.
+Series carry counts (n of size); means are sums of integers, or of decimals where values are floats, divided once, so they
+don't depend on the order of summing.
 Positions and running sums of one long trajectory are found in ranges of frames, so that no series is one task.
 """
 
@@ -64,33 +65,34 @@ def smooth_q(q: DataFrame, window: int = 100, width: int = RANGE) -> DataFrame:
     return x.select("traj_id", "frame", F.coalesce(F.col("_sum").cast("double") / F.nullif(F.col("total") * F.col("rows"), F.lit(0)), F.lit(0.0)).alias("q_smooth"))
 
 
+#: Digits of a float that sums of floats keep: 20 before the point and 18 after it.
+EXACT = "decimal(38,18)"
+
+
+def exact_parts(value: Column) -> dict[str, Column]:
+    """What is summed of a float column so that its sum is the same in any order: its decimal, and how often it is none."""
+    finite = ~(F.isnan(value) | (F.abs(value) == F.lit(float("inf"))))
+    bad = F.raise_error(F.concat(F.lit("too large to sum: "), value.cast("string"))).cast("double")
+    digits = F.when(finite, F.when(F.abs(value) < 1e19, value).otherwise(bad)).otherwise(F.lit(0.0)).cast(EXACT)
+    one = lambda c: F.when(c, F.lit(1).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    return {"_sum": digits, "_nan": one(F.isnan(value)), "_up": one(value == F.lit(float("inf"))), "_down": one(value == F.lit(float("-inf")))}
+
+
+def exact_mean(rows: Column) -> Column:
+    """The mean of the sums of exact_parts: one division of a sum without rounding; not a number, or infinite, as any order of summing has it."""
+    inf = F.lit(float("inf"))
+    return F.when((F.col("_nan") > 0) | ((F.col("_up") > 0) & (F.col("_down") > 0)), F.lit(float("nan"))).when(F.col("_up") > 0, inf).when(F.col("_down") > 0, -inf).otherwise(F.col("_sum").cast("double") / rows)
+
+
 def smooth_values(series: DataFrame, window: int = 100, value: str = "value", by: tuple[str, ...] = ("traj_id", "cluster"), width: int = RANGE) -> DataFrame:
-    """The running mean of float values, for series read back from text.
+    """The running mean of float values, for series read back from text; values have no nulls.
 
-    A window is the end of one run of as many rows as it has and the beginning of the next run, so its sum is that of two
-    short sums, as exact as adding its rows, whatever the window; each row is looked at a fixed number of times.
+    Sums are of decimals, so a mean has the same bits however the rows are dealt; digits beyond EXACT are rounded first.
     """
-    h = max(0, window) // 2
-    if not h:
+    if not max(0, window) // 2:
         return series
-    own, run = [*by], 2 * h + 1
-    x = positioned(series, own, width=width)
-    block = max(width, 4 * h)
-    low, high = F.floor(F.greatest(F.lit(0).cast("bigint"), F.col("pos") - h) / block), F.floor((F.col("pos") + h) / block)
-    x = x.withColumns({"_block": F.explode(F.sequence(low, high)), "_run": F.floor(F.col("pos") / run)})
-    runs = W.partitionBy(*own, "_block", "_run").orderBy("pos")
-    x = x.withColumns({"_upto": F.sum(value).over(runs.rowsBetween(W.unboundedPreceding, W.currentRow)), "_from": F.sum(value).over(runs.rowsBetween(W.currentRow, W.unboundedFollowing))})
-    w = W.partitionBy(*own, "_block").orderBy("pos")
-    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    last = F.last(F.struct("_upto", "_run", "pos")).over(whole)
-    end = F.coalesce(F.lead(F.struct("_upto", "_run", "pos"), h).over(w), last)
-    begin = F.lag(F.struct("_from", "_run", "pos"), h).over(w)  # null: the window begins with the series
-    x = x.withColumns({"_end": end, "_begin": begin})
-    same = F.col("_begin._run") == F.col("_end._run")
-    total = F.when(F.col("_begin").isNull(), F.col("_end._upto")).when(same, F.col("_begin._from")).otherwise(F.col("_begin._from") + F.col("_end._upto"))
-    n = F.col("_end.pos") - F.coalesce(F.col("_begin.pos"), F.lit(0)) + 1
-    x = x.filter(F.floor(F.col("pos") / block) == F.col("_block")).withColumn(value, total / n)
-    return x.select(*series.columns)
+    x = centered(positioned(series, [*by], width=width), [*by], exact_parts(F.col(value)), window, width)
+    return x.withColumn(value, exact_mean(F.col("rows"))).select(*series.columns)
 
 
 def summarize(fill: DataFrame, window_size: int = 10_000, cutoff: float | None = None, width: int = RANGE) -> DataFrame:
@@ -108,11 +110,12 @@ def summarize(fill: DataFrame, window_size: int = 10_000, cutoff: float | None =
 
 
 def summarize_values(series: DataFrame, window_size: int = 10_000, cutoff: float | None = None) -> DataFrame:
-    """The same of float values (traj_id, frame, cluster, value)."""
+    """The same of float values (traj_id, frame, cluster, value), in the same bits however the rows are dealt."""
     if window_size <= 0:
         raise ValueError("window_size must be positive")
     x = positioned(series, ["traj_id", "cluster"]).withColumn("widx", F.floor(F.col("pos") / window_size).cast("bigint"))
-    x = x.groupBy("traj_id", "widx", "cluster").agg(F.min("frame").alias("frame"), F.avg("value").alias("value"))
+    parts = [F.sum(c).alias(k) for k, c in exact_parts(F.col("value")).items()]
+    x = x.groupBy("traj_id", "widx", "cluster").agg(F.min("frame").alias("frame"), F.count("*").alias("rows"), *parts).withColumn("value", exact_mean(F.col("rows")))
     return x.select("traj_id", "widx", "frame", "cluster", (F.col("value") if cutoff is None else binary(F.col("value"), cutoff)).alias("value"))
 
 

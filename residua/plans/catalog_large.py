@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import blocks, formation, graph
+from ..operators import blocks, formation, graph, series
 from ..sources.formats import read_frames
 from ..sources.pdb import index_pdb, read_pdb
+from ..sources.tables import read_smoothed
 from . import catalog_files, inputs
-from .catalog import ATOMS
+from .catalog import ATOMS, EVENTS
 from .catalog_files import ROUNDED
 
 
@@ -48,8 +49,23 @@ def _every_contact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.groupBy("i", "j").agg(F.count("*").alias("frames"), F.count_if("formed").alias("n"))
 
 
+def _fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as many series of fractional values."""
+    return inputs.events_fill(spark, sf_dir).select("traj_id", "frame", "cluster", (F.col("n") / 100).alias("value"))
+
+
+def _smoothed_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The running means, over 101 rows, that the class writes from its own parsed text, read back."""
+    t = catalog_files.trajectory(spark, sf_dir)
+    t.smooth(100)
+    return read_smoothed(spark, t.file("_100_smoothed.csv")).select("frame", "cluster", F.round("q_smooth", 9).alias("q_smooth"), F.round("value", 9).alias("value"))
+
+
 def queries() -> dict:
     return {
+        "smooth_fractions": lambda s, d: series.smooth_values(_fractions(s, d), 7),
+        "summarize_fractions": lambda s, d: series.summarize_values(_fractions(s, d), 7),
+        "smoothed_file": _smoothed_file,
         "formed_blocks": _blocks,
         "evaluated_blocks": _every_contact,
         "cluster_split_joins": lambda s, d: graph.cluster_contacts(catalog_files._lines_map(s, d), 3, 4, most=0).select("map_id", "i", "j", "cluster"),
@@ -62,7 +78,12 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     first = f"with {ATOMS} select 'embeddings' as traj_id, frame, residue, x, y, z from coords where frame <= 100"
+    over = "(partition by cluster order by frame rows between 50 preceding and 50 following)"
     return {
+        "smooth_fractions": f"with {EVENTS} select traj_id, frame, cluster, cast(sum(n) over w as double) / 100 / count(*) over w as value from ep window w as (partition by traj_id, cluster order by frame rows between 3 preceding and 3 following)",
+        "summarize_fractions": f"with {EVENTS} select traj_id, cast(p // 7 as bigint) as widx, min(frame) as frame, cluster, cast(sum(n) as double) / 100 / count(*) as value from ep group by traj_id, cluster, cast(p // 7 as bigint)",
+        "smoothed_file": f"with {ROUNDED}, qs as (select frame, round(cast(sum(contacts) over w as double) / (total * count(*) over w), 9) as q_smooth from q window w as (order by frame rows between 50 preceding and 50 following)), "
+                         f"fs as (select frame, cluster, round(cast(sum(n) over {over} as double) / (size * count(*) over {over}), 9) as value from fill) select fs.frame, cluster, q_smooth, value from fs join qs on qs.frame = fs.frame",
         "formed_blocks": f"with {ATOMS} select frame, i, j, cluster from hit",
         "evaluated_blocks": f"with {ATOMS}, n as (select i, j, count(*) as n from hit group by i, j) select c.i, c.j, (select count(*) from frames) as frames, coalesce(n.n, 0) as n from contacts c left join n on n.i = c.i and n.j = c.j",
         "cluster_split_joins": catalog_files.oracle_sql()["cluster_split"],

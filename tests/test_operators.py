@@ -250,3 +250,26 @@ def test_streams_end(spark, frames, contacts, tmp_path):
     batch = {(r["widx"], r["frame"], r["cluster"], r["value"]) for r in series.summarize(whole, 2).collect()}
     got = [(r["widx"], r["frame"], r["cluster"], r["value"]) for r in spark.sql("select * from ends").collect()]
     assert set(got) == batch and len(got) == len(batch) == 12
+
+
+def test_means_of_fractions_are_the_same_in_any_order(spark):
+    import math
+    import random
+    from fractions import Fraction
+
+    rng = random.Random(6)
+    rows = [("t", f, c, rng.choice([rng.random(), rng.random() * 1e-9, rng.randint(0, 10**6) / 7, 0.1])) for c in (1, 2) for f in range(400)]
+    df = spark.createDataFrame(rows, "traj_id string, frame int, cluster int, value double")
+    found = []
+    for x in (df.coalesce(1), df.repartition(7), df.orderBy(F.rand(3)).repartition(3)):
+        found.append((sorted(map(tuple, series.smooth_values(x, 9, width=64).collect())), sorted(map(tuple, series.summarize_values(x, 9).collect()))))
+    assert found[0] == found[1] == found[2]
+    digits = lambda v: Fraction(str(v)).limit_denominator(10**18) if v < 1e-3 else Fraction(str(v))
+    for _, f, c, v in found[0][0]:
+        own = [digits(r[3]) for r in rows if r[2] == c and abs(r[1] - f) <= 4]
+        assert v == pytest.approx(float(sum(own) / len(own)), rel=1e-15, abs=1e-17)
+    odd = [("t", k, 1, v) for k, v in enumerate([1.0, math.inf, 2.0, 3.0, math.nan, 5.0, -math.inf, math.inf, 8.0, 8.0])]
+    got = [r["value"] for r in series.smooth_values(spark.createDataFrame(odd, df.schema), 2).orderBy("frame").collect()]
+    assert [str(v) for v in got] == ["inf", "inf", "inf", "nan", "nan", "nan", "nan", "nan", "inf", "8.0"]
+    with pytest.raises(Exception, match="too large to sum"):
+        series.summarize_values(spark.createDataFrame([("t", 1, 1, 1e30)], df.schema), 2).collect()
