@@ -9,8 +9,9 @@ from ..operators import blocks, formation, graph, series
 from ..sources.formats import read_frames
 from ..sources.pdb import index_pdb, read_pdb
 from ..sources.tables import read_smoothed
-from . import catalog_files, inputs
-from .catalog import ATOMS, EVENTS
+from ..streaming.order import stream_order
+from . import catalog, catalog_files, inputs
+from .catalog import ATOMS, CUTOFF, EVENTS, WINDOW
 from .catalog_files import ROUNDED
 
 
@@ -61,8 +62,27 @@ def _smoothed_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_smoothed(spark, t.file("_100_smoothed.csv")).select("frame", "cluster", F.round("q_smooth", 9).alias("q_smooth"), F.round("value", 9).alias("value"))
 
 
+def _stream_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order of formation on a stream of windows that is stopped and started anew between its files."""
+    source, sink, state = (inputs.new_folder(spark, n) for n in ("windows", "orders", "state"))
+    windows = series.summarize(inputs.events_fill(spark, sf_dir), WINDOW, CUTOFF * 100).select("traj_id", "widx", "cluster", "value").persist()
+
+    def save(rows: DataFrame, batch: int) -> None:
+        rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(sink)
+
+    for part in ("widx = 0", "widx in (1, 2)", "widx > 2"):
+        windows.filter(part).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(windows.schema).parquet(source)
+        stream_order(stream).writeStream.foreachBatch(save).outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    windows.unpersist()
+    found = spark.read.schema("traj_id bigint, widx bigint, rank int, cluster int, batch int").parquet(sink)
+    last = found.groupBy("traj_id").agg(F.max("batch").alias("batch"))
+    return found.join(last, ["traj_id", "batch"]).select("traj_id", "rank", "cluster")
+
+
 def queries() -> dict:
     return {
+        "stream_order": _stream_order,
         "smooth_fractions": lambda s, d: series.smooth_values(_fractions(s, d), 7),
         "summarize_fractions": lambda s, d: series.summarize_values(_fractions(s, d), 7),
         "smoothed_file": _smoothed_file,
@@ -80,6 +100,7 @@ def oracle_sql() -> dict:
     first = f"with {ATOMS} select 'embeddings' as traj_id, frame, residue, x, y, z from coords where frame <= 100"
     over = "(partition by cluster order by frame rows between 50 preceding and 50 following)"
     return {
+        "stream_order": catalog.oracle_sql()["formation_order_multi"],
         "smooth_fractions": f"with {EVENTS} select traj_id, frame, cluster, cast(sum(n) over w as double) / 100 / count(*) over w as value from ep window w as (partition by traj_id, cluster order by frame rows between 3 preceding and 3 following)",
         "summarize_fractions": f"with {EVENTS} select traj_id, cast(p // 7 as bigint) as widx, min(frame) as frame, cluster, cast(sum(n) as double) / 100 / count(*) as value from ep group by traj_id, cluster, cast(p // 7 as bigint)",
         "smoothed_file": f"with {ROUNDED}, qs as (select frame, round(cast(sum(contacts) over w as double) / (total * count(*) over w), 9) as q_smooth from q window w as (order by frame rows between 50 preceding and 50 following)), "

@@ -1,4 +1,4 @@
-"""Streams of frames: contacts, q and filling per frame, and running order of cluster formation.
+"""Streams of frames: contacts, q and filling per frame, and means of full windows; their running order is in ``order``.
 
 A stream has one row per frame (traj_id, frame, coords).  Evaluation holds no state: contacts, a small list, are looked
 up in the row itself.  ``stream_windows`` is stateful: it closes a window after ``window_size`` rows of a trajectory.
