@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from ..operators import blocks, formation, graph, series
 from ..sources.formats import read_frames
 from ..sources.pdb import index_pdb, read_pdb
-from ..sources.tables import read_smoothed
+from ..sources.sinks import write_parsed, write_smoothed
+from ..sources.tables import read_parsed, read_smoothed
 from ..streaming.order import stream_order
 from . import catalog, catalog_files, inputs
-from .catalog import ATOMS, CUTOFF, EVENTS, WINDOW
+from .catalog import ATOMS, CUTOFF, EVENTS, SMOOTH, WINDOW
 from .catalog_files import ROUNDED
 
 
@@ -80,8 +81,26 @@ def _stream_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(last, ["traj_id", "batch"]).select("traj_id", "rank", "cluster")
 
 
+def _parsed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parsed table as ordered part files, written by executors, read back."""
+    path = inputs.new_folder(spark, "parsed")
+    write_parsed(catalog.results(spark, sf_dir), path, parts=True)
+    back = read_parsed(spark, path)
+    return back.select("frame", "contacts", "q", F.size("contact_list").alias("listed"), F.explode("clusters_filling").alias("cluster", "value"))
+
+
+def _smoothed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running means over 101 rows as ordered part files, read back."""
+    path = inputs.new_folder(spark, "smoothed")
+    q, fill = formation.frame_q(catalog.evaluated(spark, sf_dir)), catalog.fill(spark, sf_dir)
+    write_smoothed(series.smooth_q(q, SMOOTH), series.smooth(fill, SMOOTH), path, parts=True)
+    return read_smoothed(spark, path).select("frame", "q_smooth", "cluster", "value")
+
+
 def queries() -> dict:
     return {
+        "parsed_parts": _parsed_parts,
+        "smoothed_parts": _smoothed_parts,
         "stream_order": _stream_order,
         "smooth_fractions": lambda s, d: series.smooth_values(_fractions(s, d), 7),
         "summarize_fractions": lambda s, d: series.summarize_values(_fractions(s, d), 7),
@@ -100,6 +119,8 @@ def oracle_sql() -> dict:
     first = f"with {ATOMS} select 'embeddings' as traj_id, frame, residue, x, y, z from coords where frame <= 100"
     over = "(partition by cluster order by frame rows between 50 preceding and 50 following)"
     return {
+        "parsed_parts": catalog.oracle_sql()["parsed_csv"],
+        "smoothed_parts": catalog.oracle_sql()["smoothed_csv"],
         "stream_order": catalog.oracle_sql()["formation_order_multi"],
         "smooth_fractions": f"with {EVENTS} select traj_id, frame, cluster, cast(sum(n) over w as double) / 100 / count(*) over w as value from ep window w as (partition by traj_id, cluster order by frame rows between 3 preceding and 3 following)",
         "summarize_fractions": f"with {EVENTS} select traj_id, cast(p // 7 as bigint) as widx, min(frame) as frame, cluster, cast(sum(n) as double) / 100 / count(*) as value from ep group by traj_id, cluster, cast(p // 7 as bigint)",

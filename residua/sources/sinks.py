@@ -1,6 +1,7 @@
 """Writers of the text formats that other tools read, and their file names.
 
-Each writes one file: a trajectory's frames in order.  Parquet is the format for everything else.
+Each writes one file: a trajectory's frames in order.  With ``parts`` it writes a folder instead: executors write ordered
+ranges of frames as part files of the same lines, and no row passes the driver.  Parquet is the format for everything else.
 """
 
 from __future__ import annotations
@@ -48,8 +49,18 @@ def _one_file(df: DataFrame, path: str) -> None:
             out.writerow(["" if v is None else v for v in row])
 
 
-def write_parsed(results: DataFrame, path: str) -> None:
-    _one_file(results.orderBy("frame").select("frame", "contacts", number_text(F.col("q")).alias("q"), list_text(F.col("contact_list")).alias("contact_list"), map_text(F.col("clusters_filling")).alias("clusters_filling")), path)
+def _write(df: DataFrame, order: str, columns: list, path: str, parts: bool) -> None:
+    """These columns of ``df``, by the column ``order``, as one CSV or as a folder of ordered ones."""
+    if parts:
+        x = df.repartitionByRange(order).sortWithinPartitions(order).select(*columns)
+        x.write.options(header=True, escape='"', emptyValue="", nullValue="").csv(path)
+    else:
+        _one_file(df.orderBy(order).select(*columns), path)
+
+
+def write_parsed(results: DataFrame, path: str, parts: bool = False) -> None:
+    columns = ["frame", "contacts", number_text(F.col("q")).alias("q"), list_text(F.col("contact_list")).alias("contact_list"), map_text(F.col("clusters_filling")).alias("clusters_filling")]
+    _write(results, "frame", columns, path, parts)
 
 
 def clusters_of(series: DataFrame) -> list[int]:
@@ -57,16 +68,15 @@ def clusters_of(series: DataFrame) -> list[int]:
     return [r["cluster"] for r in series.select("cluster").distinct().orderBy("cluster").collect()]
 
 
-def write_summary(summary: DataFrame, path: str) -> None:
+def write_summary(summary: DataFrame, path: str, parts: bool = False) -> None:
     own = clusters_of(summary)
-    x = wide(summary, ["frame"], own).orderBy("frame")
-    _one_file(x.select("frame", *(number_text(F.col(f"cluster_{c}")).alias(f"cluster_{c}") for c in own)), path)
+    _write(wide(summary, ["frame"], own), "frame", ["frame", *(number_text(F.col(f"cluster_{c}")).alias(f"cluster_{c}") for c in own)], path, parts)
 
 
-def write_smoothed(q: DataFrame, smoothed: DataFrame, path: str) -> None:
+def write_smoothed(q: DataFrame, smoothed: DataFrame, path: str, parts: bool = False) -> None:
     own = clusters_of(smoothed)
-    x = q.select("frame", "q_smooth").join(wide(smoothed, ["frame"], own, "_smooth"), "frame", "left").orderBy("frame")
-    _one_file(x.select("frame", *(number_text(F.col(c)).alias(c) for c in ("q_smooth", *(f"cluster_{c}_smooth" for c in own)))), path)
+    x = q.select("frame", "q_smooth").join(wide(smoothed, ["frame"], own, "_smooth"), "frame", "left")
+    _write(x, "frame", ["frame", *(number_text(F.col(c)).alias(c) for c in ("q_smooth", *(f"cluster_{c}_smooth" for c in own)))], path, parts)
 
 
 def write_order(order: list[int], path: str) -> None:
@@ -75,5 +85,5 @@ def write_order(order: list[int], path: str) -> None:
         f.write(",".join(map(str, order)) + "\n")
 
 
-def write_contacts(contacts: DataFrame, path: str) -> None:
-    _one_file(contacts.orderBy("ord").select("i", "j", *(number_text(F.col(c)).alias(c) for c in ("r6", "r12", "r")), "cluster"), path)
+def write_contacts(contacts: DataFrame, path: str, parts: bool = False) -> None:
+    _write(contacts, "ord", ["i", "j", *(number_text(F.col(c)).alias(c) for c in ("r6", "r12", "r")), "cluster"], path, parts)

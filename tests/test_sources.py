@@ -141,3 +141,21 @@ def test_texts(spark):
         with pytest.raises(Exception, match="not a map"):
             spark.createDataFrame([(bad,)], "t string").select(parse_map(F.col("t"))).collect()
     assert [r[0] for r in spark.createDataFrame([(v,) for v in ("1.0f", "1e3", " inf ", ".5", "x")], "t string").select(strict_double(F.col("t"))).collect()] == [None, 1000.0, float("inf"), 0.5, None]
+
+
+def test_parts_hold_the_lines_of_the_single_file(spark, tmp_path):
+    from residua.sources import sinks
+
+    rows = [(k, k % 3, k / 7, [(1, k), (2, 3)][: k % 3], {0: 0.5, 1: float(k % 2)} if k % 2 else {2: 1.0}) for k in random.Random(1).sample(range(200), 200)]
+    x = spark.createDataFrame(rows, "frame int, contacts bigint, q double, contact_list array<struct<i:int,j:int>>, clusters_filling map<int,double>")
+    sinks.write_parsed(x, str(tmp_path / "one.csv"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # few rows would make one part
+    try:
+        sinks.write_parsed(x.repartition(5), str(tmp_path / "parts"), parts=True)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = [p.read_text().splitlines() for p in sorted((tmp_path / "parts").glob("part-*"))]
+    one = (tmp_path / "one.csv").read_text().splitlines()
+    assert len(parts) > 1 and all(p[0] == one[0] for p in parts) and [v for p in parts for v in p[1:]] == one[1:]
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        sinks.write_parsed(x, str(tmp_path / "parts"), parts=True)
