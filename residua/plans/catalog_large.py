@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import blocks, formation, graph, series
+from ..operators import blocks, formation, graph, series, views
 from ..sources.formats import read_frames
 from ..sources.pdb import index_pdb, read_pdb
 from ..sources.sinks import write_parsed, write_smoothed
 from ..sources.tables import read_parsed, read_smoothed
 from ..streaming.order import stream_order
-from . import catalog, catalog_files, inputs
+from . import catalog, catalog_files, figures, inputs
 from .catalog import ATOMS, CUTOFF, EVENTS, SMOOTH, WINDOW
 from .catalog_files import ROUNDED
 
@@ -97,8 +97,16 @@ def _smoothed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_smoothed(spark, path).select("frame", "q_smooth", "cluster", "value")
 
 
+def _outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a drawing 20 places wide has of the trajectory's lines."""
+    q, c = formation.frame_q(catalog.evaluated(spark, sf_dir)), catalog.fill(spark, sf_dir).withColumn("value", F.col("n") / F.col("size"))
+    x = figures.outlined(views.trajectory_series(q, c), points=20)
+    return x.select("panel", F.coalesce("cluster", F.lit(-1)).alias("cluster"), "frame", "value")
+
+
 def queries() -> dict:
     return {
+        "line_outline": _outline,
         "parsed_parts": _parsed_parts,
         "smoothed_parts": _smoothed_parts,
         "stream_order": _stream_order,
@@ -118,7 +126,11 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     first = f"with {ATOMS} select 'embeddings' as traj_id, frame, residue, x, y, z from coords where frame <= 100"
     over = "(partition by cluster order by frame rows between 50 preceding and 50 following)"
+    lines = "s as (select 'q' as panel, cast(-1 as int) as cluster, frame, q as value from q union all select 'cluster', cluster, frame, cast(n as double) / cast(size as double) from fill)"
+    places = "k as (select *, (frame - (select min(frame) from s)) // ((select (max(frame) - min(frame)) // 20 + 1 from s)) as k from s)"
+    ranks = ", ".join(f"row_number() over (partition by panel, cluster, k order by {o}) as r{n}" for n, o in enumerate(("frame", "frame desc", "value, frame", "value desc, frame desc")))
     return {
+        "line_outline": f"with {ATOMS}, {lines}, {places}, r as (select *, {ranks} from k) select panel, cluster, frame, value from r where r0 = 1 or r1 = 1 or r2 = 1 or r3 = 1",
         "parsed_parts": catalog.oracle_sql()["parsed_csv"],
         "smoothed_parts": catalog.oracle_sql()["smoothed_csv"],
         "stream_order": catalog.oracle_sql()["formation_order_multi"],
