@@ -236,7 +236,8 @@ def scored(docs: DataFrame, net: Network, text_col="text") -> tuple[DataFrame, d
     """``docs`` with score (probability of label 1) and predicted (1 from 0.5 on); and the names they got.
 
     The whole text counts; null texts and empty ones have no chunks, features of 0 and the score that follows from
-    them.  Without labels of both kinds all texts have one score.  Repeated rows give repeated results.
+    them.  Without labels of both kinds all texts have one score.  Repeated rows give repeated results.  Columns
+    of ``docs`` that have one of the new names keep it: the new column gets another.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)
 

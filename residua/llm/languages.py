@@ -135,7 +135,8 @@ def identify(docs: DataFrame, model: Model, text_col="text") -> tuple[DataFrame,
 
     The whole text counts.  Null texts and those without a letter are ``und`` with score 0, and so is every text if
     the model has learned no language; score is the probability of lang_pred, accepted whether it reaches the model's
-    least one.  Repeated rows give repeated results.
+    least one.  Repeated rows give repeated results.  Columns of ``docs`` that have one of the new names
+    keep it: the new column gets another.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -225,7 +225,8 @@ def scan_licenses(docs: DataFrame, text_col="text", templates: list[tuple[str, s
     Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased.  Base: all places of PHRASES, the
     smallest and largest first word among them, and their labels.  spans: label, first word, end word and containment of
     every matching block, shorter blocks first.  labels: base labels and those of spans.  score: the largest containment, 1 for a phrase, 0
-    for nothing.  Null texts are empty ones, without words or labels; repeated rows give repeated results.
+    for nothing.  Null texts are empty ones, without words or labels; repeated rows give repeated results.  Columns of
+    ``docs`` that have one of the new names keep it: the new column gets another.
     """
     templates = TEMPLATES if templates is None else templates
     counts = document_counts(docs, {w for _, t in templates for w in words_of(t)}, text_col) if templates else {}

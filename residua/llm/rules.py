@@ -155,7 +155,8 @@ def verdicts(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text
     """id and stratum columns of ``docs`` with COUNTS, base_failed, failed_rules, kept; and the new columns' names.
 
     Base: fewer than 50 words, or over half of them in repeated 3-word windows.  Null and empty texts have no words and
-    fail.  Without labels no rule has a cutoff.  A null stratum is one of its own; repeated rows give repeated results.
+    fail.  Without labels no rule has a cutoff.  A null stratum counts as an empty one; repeated rows give repeated results.
+    Columns of ``docs`` beside id, stratum and text are not read; where these have one of the new names they keep it.
     """
     small = docs.select(*dict.fromkeys([id_col, stratum_col, text_col]))
     x, names = measured(small, text_col)

@@ -97,3 +97,66 @@ def test_strata_with_few_labels(spark):
     got = {r["doc_id"]: (r[names["kept"]], r[names["failed_rules"]]) for r in x.collect()}
     assert all(got[1000 + k] == (False, "symbols") for k in range(4)), got
     assert got[2000] == (True, "") and sum(not kept for i, (kept, _) in got.items() if i < 1000) <= 5
+
+
+def slow_verdicts(rows, good_ids, alpha, delta):
+    """failed rules of each row (id, text, stratum), in plain Python: measures, strata, places dealt one by one, cutoffs by sorting."""
+    import math
+
+    kinds = ["symbols", "repeats", "dup_lines", "upper", "bangs", "long_words"]
+
+    def cells(text):
+        t = text or ""
+        n, chars, symbols, dup, repeats = plain(t)
+        share = lambda a, b: min(1.0, a / b) if b else 0.0
+        v = [share(symbols, chars), share(repeats, n), share(dup, len(t.split("\n"))), share(sum("A" <= c <= "Z" for c in t), chars), share(t.count("!"), n), share(chars, n * 40)]
+        return {k: math.floor(x * 200) for k, x in zip(kinds, v, strict=True)}
+
+    def bound(n, limit):
+        k = 0
+        while k < n and sum(math.comb(n, i) * alpha**i * (1 - alpha) ** (n - i) for i in range(k + 1)) <= limit:
+            k += 1
+        return k
+
+    def cuts(good, k):
+        down = {r: sorted((g[r] for g in good), reverse=True) for r in kinds}
+        own = dict.fromkeys(kinds, 0)
+        able = lambda r: own[r] < len(good) and not (own[r] and down[r][own[r] - 1] == 0)
+        while k and any(map(able, kinds)):
+            for r in kinds:
+                if k and able(r):
+                    own[r], k = own[r] + 1, k - 1
+        return {r: down[r][j - 1] for r, j in own.items() if j}
+
+    strata = {}
+    for i, text, s in {(text, s): (i, text, s) for i, text, s in rows if i in good_ids}.values():
+        strata.setdefault(s or "", []).append(cells(text))
+    order = sorted(strata, key=lambda s: (-len(strata[s]), s))
+    k = 0
+    while k < len(order) and bound(len(strata[order[k]]), delta / (k + 2)):
+        k += 1
+    pool = order[k:]
+    if not bound(sum(len(strata[s]) for s in pool), delta / (k + 1)):
+        pool = order
+    together = [g for s in pool for g in strata[s]]
+    found = {s: cuts(strata[s], bound(len(strata[s]), delta / (k + 1))) for s in order[:k]}
+    rest = cuts(together, bound(len(together), delta / (k + 1)))
+    return [[r for r in kinds if cells(t)[r] > found.get(s or "", rest).get(r, 200)] for _, t, s in rows]
+
+
+@pytest.mark.parametrize("sizes", [(400, 300, 20, 15), (30, 20, 10, 5), (500, 0, 0, 3)])
+def test_verdicts_by_brute_force(spark, sizes):
+    rng = random.Random(sum(sizes))
+    word = lambda: "".join(rng.choice("abcdefghABC!") for _ in range(rng.choice([3, 4, 9])))
+    text = lambda: "".join(rng.choice([" ", " ", " ", "\n"]) + rng.choice([word(), "#", "the same"] if rng.random() < 0.2 else [word()]) for _ in range(rng.randint(50, 70)))
+    rows = [(k, text(), s) for k, s in enumerate(s for s, n in zip(("en", "de", None, ""), sizes, strict=True) for _ in range(n))]
+    rows += [(10_000 + k, rng.choice([text(), text().replace(" ", " # "), text() * 3, text().upper(), ""]), rng.choice(["en", "de", "fr", None])) for k in range(150)] + [(20_000, rows[0][1], "en"), (20_001, None, "en")]
+    good = {r[0] for r in rows if r[0] < 10_000 or r[0] == 20_000}
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in good] + [(i, 0) for i in range(10_000, 10_050)], "doc_id bigint, quality int")
+    x, names = verdicts(docs, labels, alpha=0.05, delta=0.2)
+    got = {r["doc_id"]: (r[names["failed_rules"]], r[names["kept"]]) for r in x.collect()}
+    for (i, t, _), failed in zip(rows, slow_verdicts(rows, good, 0.05, 0.2), strict=True):
+        n, _, _, _, repeats = plain(t or "")
+        assert got[i] == (",".join(failed), not failed and n >= 50 and 100 * repeats <= 50 * n), i
+    assert any(f for f, _ in got.values())
