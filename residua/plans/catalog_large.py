@@ -11,6 +11,7 @@ from ..sources.pdb import index_pdb, read_pdb
 from ..sources.sinks import write_parsed, write_smoothed
 from ..sources.tables import read_parsed, read_smoothed
 from ..streaming.order import stream_order
+from ..streaming.smooth import stream_smooth
 from . import catalog, catalog_files, figures, inputs
 from .catalog import ATOMS, CUTOFF, EVENTS, SMOOTH, WINDOW
 from .catalog_files import ROUNDED
@@ -63,22 +64,35 @@ def _smoothed_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_smoothed(spark, t.file("_100_smoothed.csv")).select("frame", "cluster", F.round("q_smooth", 9).alias("q_smooth"), F.round("value", 9).alias("value"))
 
 
+def _streamed(rows: DataFrame, parts: list[str], work, keys: list[str]) -> DataFrame:
+    """What ``work`` gives of a stream of ``rows`` that is stopped and started anew between its parts: of each key the last batch's rows."""
+    spark = rows.sparkSession
+    source, sink, state = (inputs.new_folder(spark, n) for n in ("stream-in", "stream-out", "stream-state"))
+    rows = rows.persist()
+
+    def save(found: DataFrame, batch: int) -> None:
+        found.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(sink)
+
+    for part in parts:
+        rows.filter(part).coalesce(1).write.mode("append").parquet(source)
+        x = work(spark.readStream.schema(rows.schema).parquet(source))
+        x.writeStream.foreachBatch(save).outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    rows.unpersist()
+    found = spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in x.schema)}, batch int").parquet(sink)
+    last = found.groupBy(*keys).agg(F.max("batch").alias("batch"))
+    return found.join(last, [*keys, "batch"])
+
+
 def _stream_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The order of formation on a stream of windows that is stopped and started anew between its files."""
-    source, sink, state = (inputs.new_folder(spark, n) for n in ("windows", "orders", "state"))
-    windows = series.summarize(inputs.events_fill(spark, sf_dir), WINDOW, CUTOFF * 100).select("traj_id", "widx", "cluster", "value").persist()
+    """The order of formation on a stream of windows."""
+    windows = series.summarize(inputs.events_fill(spark, sf_dir), WINDOW, CUTOFF * 100).select("traj_id", "widx", "cluster", "value")
+    return _streamed(windows, ["widx = 0", "widx in (1, 2)", "widx > 2"], stream_order, ["traj_id"]).select("traj_id", "rank", "cluster")
 
-    def save(rows: DataFrame, batch: int) -> None:
-        rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(sink)
 
-    for part in ("widx = 0", "widx in (1, 2)", "widx > 2"):
-        windows.filter(part).coalesce(1).write.mode("append").parquet(source)
-        stream = spark.readStream.schema(windows.schema).parquet(source)
-        stream_order(stream).writeStream.foreachBatch(save).outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    windows.unpersist()
-    found = spark.read.schema("traj_id bigint, widx bigint, rank int, cluster int, batch int").parquet(sink)
-    last = found.groupBy("traj_id").agg(F.max("batch").alias("batch"))
-    return found.join(last, ["traj_id", "batch"]).select("traj_id", "rank", "cluster")
+def _stream_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running means over 101 rows on a stream of counts."""
+    fill = inputs.events_fill(spark, sf_dir)
+    return _streamed(fill, ["frame <= 30", "frame > 30 and frame <= 45", "frame > 45"], lambda x: stream_smooth(x, SMOOTH), ["traj_id", "cluster", "frame"]).select("traj_id", "frame", "cluster", "value")
 
 
 def _parsed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,6 +124,7 @@ def queries() -> dict:
         "parsed_parts": _parsed_parts,
         "smoothed_parts": _smoothed_parts,
         "stream_order": _stream_order,
+        "stream_smooth": _stream_smooth,
         "smooth_fractions": lambda s, d: series.smooth_values(_fractions(s, d), 7),
         "summarize_fractions": lambda s, d: series.summarize_values(_fractions(s, d), 7),
         "smoothed_file": _smoothed_file,
@@ -133,6 +148,7 @@ def oracle_sql() -> dict:
         "line_outline": f"with {ATOMS}, {lines}, {places}, r as (select *, {ranks} from k) select panel, cluster, frame, value from r where r0 = 1 or r1 = 1 or r2 = 1 or r3 = 1",
         "parsed_parts": catalog.oracle_sql()["parsed_csv"],
         "smoothed_parts": catalog.oracle_sql()["smoothed_csv"],
+        "stream_smooth": catalog.oracle_sql()["smooth_multi"],
         "stream_order": catalog.oracle_sql()["formation_order_multi"],
         "smooth_fractions": f"with {EVENTS} select traj_id, frame, cluster, cast(sum(n) over w as double) / 100 / count(*) over w as value from ep window w as (partition by traj_id, cluster order by frame rows between 3 preceding and 3 following)",
         "summarize_fractions": f"with {EVENTS} select traj_id, cast(p // 7 as bigint) as widx, min(frame) as frame, cluster, cast(sum(n) as double) / 100 / count(*) as value from ep group by traj_id, cluster, cast(p // 7 as bigint)",
