@@ -81,9 +81,8 @@ def follow_windows(spark: SparkSession, events: str, output: str, checkpoint: st
     query = windows.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     done["events"] = sum(p["numInputRows"] for p in query.recentProgress)
-    # every trajectory's order is read from here on; without a window yet both tables are empty, but there
-    spark.createDataFrame([], WINDOWS).write.mode("append").parquet(f"{output}/windows")
-    spark.createDataFrame([], ORDERS).write.mode("append").parquet(f"{output}/orders")
+    for name, schema, keys in (("windows", WINDOWS, ["batch", "bucket"]), ("orders", ORDERS, ["bucket"])):  # without a window yet both tables are empty, but there; no file is written
+        spark.createDataFrame([], schema).write.mode("append").partitionBy(*keys).parquet(f"{output}/{name}")
     done["orders"] = tables(spark, output)[1].count()
     log.info("read %d new events from %s; wrote %d windows in %d batches; %d order rows stand in %s/orders", done["events"], events, done["windows"], done["batches"], done["orders"], output)
     return done
