@@ -8,6 +8,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from .api import ContactMap, Trajectory, smooth
+from .sources.formats import formats
 from .sources.sinks import smoothed_path
 
 
@@ -24,7 +25,7 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument(*OPTIONS[o][0], **OPTIONS[o][1])
         return p
 
-    read = ("contacts", "cutoff-distance", "max-frames")
+    read = ("contacts", "cutoff-distance", "max-frames", "format")
     drawing = ("output-format", "no-show")
     command(trajectory, "parse", *read, "window-size", "cutoff", "animate", "output-format")
     command(trajectory, "read", *read, "output")
@@ -43,6 +44,7 @@ OPTIONS = {
     "contacts": (["--contacts", "-c"], {"required": True}),
     "cutoff-distance": (["--cutoff-distance"], {"type": float, "default": 1.2}),
     "max-frames": (["--max-frames"], {"type": int}),
+    "format": (["--format"], {"choices": formats(), "default": "pdb", "help": "of the trajectory"}),
     "window-size": (["--window-size", "-w"], {"type": int, "default": 10_000}),
     "smoothing": (["--window-size", "-w"], {"type": int, "default": 100}),
     "cutoff": (["--cutoff"], {"type": float, "default": 0.5}),
@@ -79,7 +81,7 @@ def run(a: argparse.Namespace, spark: SparkSession) -> None:
         out = a.output or smoothed_path(a.file, a.window_size)
         print(f"{len(smooth(spark, a.file, a.window_size, out, a.file))} frames in {out}")
         return
-    t = Trajectory(spark, a.file, a.contacts)
+    t = Trajectory(spark, a.file, a.contacts, format=a.format)
     if a.command == "parse":
         print(",".join(map(str, t.parse(a.cutoff_distance, a.max_frames, a.window_size, a.cutoff, a.animate, a.output_format))))
         return

@@ -14,7 +14,7 @@ from .operators import formation, graph, ordering, series, views
 from .plans import figures
 from .plans.pipeline import Analysis, analyze
 from .sources import sinks
-from .sources.pdb import read_pdb
+from .sources.formats import read_frames
 from .sources.tables import read_contacts, read_contacts_raw, read_parsed, read_smoothed, read_summary, require_columns
 
 
@@ -32,10 +32,10 @@ def _not_empty(df: DataFrame, what: str) -> DataFrame:
 
 
 class Trajectory:
-    """One PDB file with its clustered contacts."""
+    """One trajectory, a PDB file or another of the registered formats, with its clustered contacts."""
 
-    def __init__(self, spark: SparkSession, path: str, contacts: str, directory: str | None = None):
-        self.spark, self.path = spark, os.path.abspath(path)
+    def __init__(self, spark: SparkSession, path: str, contacts: str, directory: str | None = None, format: str = "pdb"):
+        self.spark, self.path, self.format = spark, os.path.abspath(path), format
         self.directory = os.path.abspath(directory or os.path.dirname(path))
         self.contacts = read_contacts(spark, _there(contacts))
         require_columns(self.contacts, ("i", "j", "r", "cluster"))
@@ -44,7 +44,7 @@ class Trajectory:
         return sinks.output_path(self.path, suffix, self.directory)
 
     def frames(self, max_frames: int | None = None) -> DataFrame:
-        return read_pdb(self.spark, _there(self.path), max_frames)
+        return read_frames(self.spark, _there(self.path), self.format, max_frames)
 
     def read_trajectory(self, cutoff_distance: float = 1.2, max_frames: int | None = None, write: bool = True, output: str | None = None) -> DataFrame:
         """The parsed table; also as {stem}_parsed.csv or ``output``, with its header alone if there are no frames."""

@@ -162,3 +162,13 @@ def test_movie_has_all_frames(spark, tmp_path):
         assert png_size(tmp_path / "one.png") == (201, 201), k
         at += size
     assert len({pictures[0], pictures[1], pictures[29]}) == 3 and set(pictures[1:29]) == {pictures[1]}
+
+
+def test_commands_read_other_formats(spark, files, monkeypatch):
+    monkeypatch.chdir(files)
+    (files / "points.csv").write_text("frame,residue,x,y,z\n" + "".join(f"{f},{r},{x:.3f},{y:.3f},{z:.3f}\n" for f, coords in P.items() for r, (x, y, z) in coords.items()))
+    own = ["--contacts", "c.csv", "-o"]
+    assert main(["trajectory", "read", "t.pdb", *own, "a.csv"], spark) == 0 and main(["trajectory", "read", "points.csv", "--format", "csv", *own, "b.csv"], spark) == 0
+    frames = [f for f, coords in P.items() if coords]  # a table has no row for a frame without points
+    a, b = (files / "a.csv").read_text().splitlines(), (files / "b.csv").read_text().splitlines()
+    assert b == [a[0], *(line for line in a[1:] if int(line.split(",")[0]) in frames)] and len(b) > 2
