@@ -10,6 +10,13 @@ nodes of the bucket's main component stay, in blocks; those of other components
 signature allows a link with one of their own, so every pair of nodes in different components is looked at.  Links are
 confirmed on the full sets: a block's sets form an inverted index, and guests come one by one.  So a group of n near
 copies sends about n sets, and of nodes that are linked with none one set per block, never a pair of texts each.
+
+A bucket with more than WIDE nodes outside its main component (texts with a common passage, under the threshold) is
+wide: its nodes meet by their rarest shingles instead.  In any one order of all shingles, two linked sets have a shingle
+in common that is among the first n - ceil(t * n) + 1 of the larger one and, since a link needs 2 * t / (1 + t) of the
+smaller one, among the first n - ceil(2 * t * n / (1 + t)) + 1 of that (``prefixes``).  With frequent shingles last, a
+passage of unlinked texts is not in the second prefix, so such texts don't meet.  Nothing is lost by this, whatever the
+order; so frequencies may be counted in CELLS cells of hashes, of fixed size.
 """
 
 from __future__ import annotations
@@ -27,6 +34,10 @@ MOST_HASHES, MISS = 192, 1e-6
 #: Signature bytes agree by chance in 1 of 256; the sieve lets pass what is this much under the threshold.
 MARGIN = 0.16
 BLOCK, SLICE_ROWS = 512, 4096
+#: Nodes outside the main component that a bucket compares with all of its nodes; beyond, they meet by rare shingles.
+WIDE = 64
+#: Cells in which frequencies of shingles are counted.
+CELLS = 1 << 20
 #: Edges of a partition in the rounds of the stars.
 EDGES = 500_000
 #: How many nodes of a group the buckets of the group have as centers, about.
@@ -212,27 +223,74 @@ class Links:
         hosts = sides.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select(F.col("u").alias("node"), place(F.col("u"), F.col("slice")), F.lit(0).alias("role"))
         return self.confirmed(hosts.unionByName(guests))
 
-    def confirmed(self, meetings: DataFrame) -> DataFrame:
-        """u, v: links that connect what meets at a place, as far as links of its guests (role 1) with its hosts (role 0) do.
-
-        A place holds its hosts' sets, about BLOCK, and gets guests one by one; links within what is already connected
-        are left out, so there are fewer than nodes.  Hosts of places named ``main`` are connected beforehand.
-        """
-        key = F.coalesce("id", F.lit(NO_ID)).alias("key")
-        wanted = cut(meetings.join(self.nodes.select("node", F.col("row.id").alias("id"), F.col("row.code").alias("code")), "node").select("node", "place", "role", key, "code"))
+    def with_sets(self, wanted: DataFrame) -> DataFrame:
+        """``wanted``, which has a column node, with the nodes' sets in a column shingles."""
+        key, own = F.coalesce("id", F.lit(NO_ID)).alias("key"), wanted.columns
+        wanted = cut(wanted.join(self.nodes.select("node", F.col("row.id").alias("id"), F.col("row.code").alias("code")), "node").select(*own, key, "code"))
         side = F.broadcast if wanted.count() <= BROADCAST_ROWS else lambda x: x
         rows = self.docs.select(key, "code", "body")
         if self.repeated:  # one of equal rows stands for its node
             rows = rows.join(side(wanted.select("key", "code").distinct()), ["key", "code"], "left_semi").groupBy("key", "code").agg(F.first("body").alias("body"))
         rows = rows.join(side(wanted), ["key", "code"]).drop("key", "code")
-        size, percent = self.size, self.percent
+        size = self.size
 
         def sets(texts: list, nodes: list) -> list[list]:
             known = dict(zip(own := list(dict.fromkeys(texts)), shingle_sets(own, size), strict=True))
             names = {t: node_of(s) for t, s in known.items()}
             return [[known[t].tobytes() if names[t] == n else None for t, n in zip(texts, nodes, strict=True)]]  # different texts could have one code
 
-        full = append(rows, ["body", "node"], sets, [("shingles", "binary")], drop=("body",)).filter("shingles is not null")
+        return append(rows, ["body", "node"], sets, [("shingles", "binary")], drop=("body",)).filter("shingles is not null")
+
+    def prefixes(self, wide: DataFrame) -> DataFrame:
+        """shingle, node, component, short: the rarest shingles of the nodes of ``wide`` (node, component), without those of one node only.
+
+        ``short``: also in the prefix that counts where the node is the smaller one of two.  The cells' counts are all
+        that reaches the driver, at most CELLS numbers.
+        """
+        sets, cells, percent = cut(self.with_sets(wide)), CELLS, self.percent
+
+        def tally(batches):
+            import pyarrow as pa
+
+            n = np.zeros(cells, dtype=np.int64)
+            for b in sliced(batches):
+                for data in b.column("shingles").to_pylist():
+                    np.add.at(n, np.frombuffer(data, np.uint64) % np.uint64(cells), 1)
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["cell", "n"])
+
+        counts = np.zeros(cells, dtype=np.int64)
+        found = sets.select("shingles").mapInArrow(tally, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        counts[found["cell"].to_numpy()] = found["n"].to_numpy()
+        shared = wide.sparkSession.sparkContext.broadcast(np.minimum(counts, np.iinfo(np.int32).max).astype(np.int32))
+
+        def rarest(batches):
+            import pyarrow as pa
+
+            for b in sliced(batches):
+                out = [[], [], [], []]
+                for node, component, data in zip(*(b.column(k).to_pylist() for k in ("node", "component", "shingles")), strict=True):
+                    s = np.frombuffer(data, np.uint64)
+                    n, often = len(s), shared.value[s % np.uint64(cells)]
+                    first = np.lexsort((s, often))[: n - -(-percent * n // 100) + 1]
+                    short = np.arange(len(first)) < n - -(-2 * percent * n // (100 + percent)) + 1
+                    use = often[first] > 1
+                    k = int(use.sum())
+                    for o, v in zip(out, (s[first[use]].view(np.int64), np.full(k, node), np.full(k, component), short[use]), strict=True):
+                        o.append(v)
+                kinds = (np.int64, np.int64, np.int64, bool)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, t), *o]).astype(t)) for o, t in zip(out, kinds, strict=True)], names=["shingle", "node", "component", "short"])
+
+        return sets.select("node", "component", "shingles").mapInArrow(rarest, "shingle bigint, node bigint, component bigint, short boolean")
+
+    def confirmed(self, meetings: DataFrame) -> DataFrame:
+        """u, v: links that connect what meets at a place, as far as links of its guests (role 1) with its hosts (role 0) do.
+
+        A place holds its hosts' sets, about BLOCK, and gets guests one by one; links within what is already connected
+        are left out, so there are fewer than nodes.  Hosts of places named ``main`` are connected beforehand.
+        """
+        percent = self.percent
+        full = self.with_sets(meetings.select("node", "place", "role"))
         dealt = full.repartition("place").sortWithinPartitions("place", "role", "node")
 
         def meet(batches):
@@ -302,17 +360,12 @@ class Place:
         return out
 
 
-def equal_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """In how many columns each row of a equals each row of b; fewer than 256 columns."""
-    if len(a) * len(b) <= 256:
-        return np.count_nonzero(a[:, None, :] == b[None, :, :], axis=2)
-    out = np.zeros((len(a), len(b)), dtype=np.uint8)
-    for x, y in zip(np.ascontiguousarray(a.T), np.ascontiguousarray(b.T), strict=True):
-        out += x[:, None] == y[None, :]
-    return out
+def _power(c):
+    """The power of two from c on, at least 1."""
+    return F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(1.0), c)))).cast("int")
 
 
-def _rest(members: DataFrame, found: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def _rest(members: DataFrame, found: DataFrame, links: Links) -> DataFrame:
     """node, place, role: where the nodes of unsettled buckets meet those of other components.
 
     Hosts are nodes with a guest whose sizes and signatures allow a link.  Those of a bucket's main component meet
@@ -322,43 +375,86 @@ def _rest(members: DataFrame, found: DataFrame, nodes: DataFrame, percent: int)
     x = members.select("band", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     by = x.groupBy("band", "component").agg(F.count("*").alias("c"))
     open_ = by.groupBy("band").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("all"), F.count("*").alias("parts")).filter("parts > 1")
-    open_ = open_.join(sizes.withColumnRenamed("component", "main"), "main", "left")
-    others = F.col("all") - F.col("most")
-    power = lambda c: F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(1.0), c / BLOCK)))).cast("int")
-    open_ = cut(open_.select("band", "main", "all", F.ceil(F.col("all") / SLICE_ROWS).cast("int").alias("blocks"), power(others / (SLICE_ROWS / BLOCK)).alias("slices"), power(F.coalesce("nodes", F.lit(1))).alias("k0"), power(others).alias("k1")))
-    x = join_hot(x, open_, "band", "all").join(nodes.select("node", "n", "signature"), "node")
-    h = F.hash("node")
+    open_ = cut(open_.join(sizes.withColumnRenamed("component", "main"), "main", "left").withColumn("others", F.col("all") - F.col("most")))
+    narrow = open_.filter(F.col("others") <= WIDE).select("band", "main", "all", F.ceil(F.col("all") / SLICE_ROWS).cast("int").alias("blocks"), F.lit(1).alias("slices"), _power(F.coalesce("nodes", F.lit(1)) / BLOCK).alias("k0"))
+    y = join_hot(x, narrow, "band", "all")
     own = F.col("component") == F.col("main")
-    host = F.when(own, F.concat_ws(":", F.lit("main"), "main", "k0", F.pmod(h, F.col("k0")))).otherwise(F.concat_ws(":", F.lit("rest"), "main", "k1", F.pmod(h, F.col("k1"))))
-    x = x.withColumns({"host": host, "block": F.pmod(F.hash("node", F.lit(1)), F.col("blocks")), "part": F.pmod(F.hash("node", F.lit(2)), F.col("slices"))})
+    host = F.when(own, F.concat_ws(":", F.lit("main"), "main", "k0", F.pmod(F.hash("node"), F.col("k0")))).otherwise(F.concat_ws(":", F.lit("rest"), "main", "k0", F.pmod(F.hash("node"), F.col("k0"))))
+    y = y.withColumns({"place": host, "hosts": F.lit(True), "guest": ~own, "short": F.lit(True)})
+    out = _met(y.withColumnRenamed("band", "bucket"), links.nodes, links.percent)
+    wide = open_.filter(F.col("others") > WIDE).select("band", "all")
+    if wide.take(1):
+        wide = cut(join_hot(x, wide, "band", "all").select("node", "component").distinct())
+        out = out.unionByName(_by_shingles(wide, links))
+    return out
+
+
+def _by_shingles(wide: DataFrame, links: Links) -> DataFrame:
+    """node, place, role: where nodes of ``wide`` (node, component) meet those of other components with a rare shingle in common.
+
+    One of two has to be ``short`` at the shingle, so it has two buckets: all nodes with the short ones as guests, and
+    the short ones with all others as guests.  Places are the hosts' own, so a pair meets once whatever it has in common.
+    """
+    x = cut(links.prefixes(wide))
+    by = x.groupBy("shingle", "component").agg(F.count("*").alias("c"), F.count_if("short").alias("s"))
+    total = lambda c: F.sum(c).alias(c)
+    open_ = by.groupBy("shingle").agg(F.max_by("component", F.struct("c", "component")).alias("main"), total("c"), total("s"), F.max_by("s", F.struct("c", "component")).alias("own_s"), F.max("c").alias("own"), F.count("*").alias("parts"))
+    open_ = open_.filter("parts > 1 and s > 0").withColumnsRenamed({"c": "all"})
+    short_guests, long_guests = F.col("s") - F.col("own_s"), F.col("all") - F.col("s") - F.col("own") + F.col("own_s")
+    pieces = lambda hosts, guests: (F.ceil(hosts / SLICE_ROWS).cast("int"), _power(guests / SLICE_ROWS))
+    (b0, s0), (b1, s1) = pieces(F.col("all"), short_guests), pieces(F.col("s"), long_guests)
+    open_ = cut(open_.select("shingle", "main", "all", b0.alias("b0"), s0.alias("s0"), b1.alias("b1"), s1.alias("s1"), (short_guests > 0).alias("use0"), (long_guests > 0).alias("use1")))
+    x = join_hot(x, open_, "shingle", "all").withColumn("other", F.col("component") != F.col("main"))
+    two = F.array(
+        F.struct(F.xxhash64("shingle", F.lit(0)).alias("bucket"), F.col("b0").alias("blocks"), F.col("s0").alias("slices"), F.lit(True).alias("hosts"), (F.col("other") & F.col("short")).alias("guest"), F.col("use0").alias("use")),
+        F.struct(F.xxhash64("shingle", F.lit(1)).alias("bucket"), F.col("b1").alias("blocks"), F.col("s1").alias("slices"), F.col("short").alias("hosts"), (F.col("other") & ~F.col("short")).alias("guest"), F.col("use1").alias("use")))
+    x = x.select("node", "component", "short", F.explode(two).alias("b")).filter("b.use and (b.hosts or b.guest)").select("node", "component", "short", "b.*")
+    total = wide.count()
+    place = F.concat_ws(":", F.lit("wide"), F.pmod(F.hash("node"), F.lit(1 + total // BLOCK)))
+    return _met(x.withColumn("place", place), links.nodes, links.percent, 1 + total // (16 * SLICE_ROWS))
+
+
+def _met(x: DataFrame, nodes: DataFrame, percent: int, parts: int | None = None) -> DataFrame:
+    """node, place, role: the hosts and guests of a bucket that may be linked, of ``x`` (bucket, node, component, place, hosts, guest, short, blocks, slices).
+
+    Hosts are dealt to the bucket's ``blocks``, with a copy for each of its ``slices``; a guest goes to all blocks of
+    its slice.  The smaller one of two has to be ``short``.  A place has a part for each slice, or ``parts`` by its guests.
+    """
+    x = x.join(nodes.select("node", "n", "signature"), "node")
     span = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
-    keep = ["band", "node", "component", "n", "signature", "host"]
-    stay = x.select(*keep, "block", F.explode(span("slices")).alias("slice"), "slices", F.lit(0).alias("role"))
-    go = x.filter(~own).select(*keep, F.explode(span("blocks")).alias("block"), F.col("part").alias("slice"), "slices", F.lit(1).alias("role"))
+    keep = ["bucket", "node", "component", "n", "signature", "place", "short"]
+    stay = x.filter("hosts").select(*keep, F.pmod(F.hash("node", F.lit(1)), F.col("blocks")).alias("block"), F.explode(span("slices")).alias("slice"), "slices", F.lit(0).alias("role"))
+    go = x.filter("guest").select(*keep, F.explode(span("blocks")).alias("block"), F.pmod(F.hash("node", F.lit(2)), F.col("slices")).alias("slice"), "slices", F.lit(1).alias("role"))
     least = percent / 100 - MARGIN
 
     def meet(rows) -> set[tuple]:
-        """Hosts and guests of one band, block and slice that may be linked."""
+        """Hosts and guests of one bucket, block and slice that may be linked."""
         roles = rows.column("role").to_numpy()
-        first, hosts = int((roles == 0).sum()), rows.column("host").to_pylist()
+        first, places = int((roles == 0).sum()), rows.column("place").to_pylist()
         if not 0 < first < len(roles):
             return set()
         node, component, n = (rows.column(c).to_numpy() for c in ("node", "component", "n"))
+        short = rows.column("short").to_numpy()
         signature = np.frombuffer(b"".join(rows.column("signature").to_pylist()), dtype=np.uint8).reshape(len(roles), -1)
-        tail, out = f":{rows.column('slices')[0]}:{rows.column('slice')[0]}", set()
+        slice_, out = f":{rows.column('slices')[0]}:{rows.column('slice')[0]}", set()
         for k in range(first, len(roles), 64):
-            g = slice(k, k + 64)
-            ok = (component[:first, None] != component[None, g]) & (100 * np.minimum(n[:first, None], n[None, g]) >= percent * np.maximum(n[:first, None], n[None, g]))
+            a, b = n[:first, None], n[None, k : k + 64]
+            ok = (component[:first, None] != component[None, k : k + 64]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+            ok &= ((a <= b) & short[:first, None]) | ((b <= a) & short[None, k : k + 64])
             if ok.any():
-                ok &= equal_bytes(signature[:first], signature[g]) >= least * signature.shape[1]
-            for i, j in zip(*(x.tolist() for x in np.nonzero(ok)), strict=True):
-                out |= {(int(node[i]), hosts[i] + tail, 0), (int(node[k + j]), hosts[i] + tail, 1)}
+                i, j = np.nonzero(ok)
+                for s in range(0, len(i), 1 << 16):
+                    u, v = i[s : s + (1 << 16)], j[s : s + (1 << 16)] + k
+                    alike = np.count_nonzero(signature[u] == signature[v], axis=1) >= least * signature.shape[1]
+                    for p, q in zip(u[alike].tolist(), v[alike].tolist(), strict=True):
+                        place = places[p] + (f":{node[q] % parts}" if parts else slice_)
+                        out |= {(int(node[p]), place, 0), (int(node[q]), place, 1)}
         return out
 
     def run(batches):
         import pyarrow as pa
 
-        keys, held, found = ["band", "block", "slice"], [], set()
+        keys, held, found = ["bucket", "block", "slice"], [], set()
         for b in batches:
             at = np.stack([b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in keys])
             cuts = [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
@@ -378,7 +474,7 @@ def _rest(members: DataFrame, found: DataFrame, nodes: DataFrame, percent: int)
         columns = [list(c) for c in zip(*rows, strict=True)] if rows else [[], [], []]
         return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int32()), strict=True)], names=["node", "place", "role"])
 
-    dealt = stay.unionByName(go).repartition("band", "block", "slice").sortWithinPartitions("band", "block", "slice", "role")
+    dealt = stay.unionByName(go).repartition("bucket", "block", "slice").sortWithinPartitions("bucket", "block", "slice", "role")
     return dealt.mapInArrow(run, "node bigint, place string, role int").distinct()
 
 
@@ -412,7 +508,7 @@ def _classed(docs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
     links = Links(docs, nodes, shingle_words, percent, repeated)
     near = links.nearest(members.filter("node <> center").select(F.col("center").alias("u"), F.col("node").alias("v")).distinct())
     found = cut(components(links.stars(cut(near))))
-    rest = cut(links.confirmed(_rest(members, found, nodes, percent)))
+    rest = cut(links.confirmed(_rest(members, found, links)))
     stars = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
     found = components(stars.unionByName(rest)) if rest.take(1) else found
     discard(members)

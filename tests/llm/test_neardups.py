@@ -54,6 +54,53 @@ def test_large_group_in_blocks(spark, monkeypatch):
     compare(spark, rows, 3, 85)
 
 
+@pytest.mark.parametrize("size,percent", [(3, 85), (5, 80)])
+def test_wide_buckets(spark, monkeypatch, size, percent):
+    import residua.llm.neardups as m
+
+    for name, value in (("BLOCK", 8), ("SLICE_ROWS", 16), ("WIDE", 1), ("CELLS", 512)):
+        monkeypatch.setattr(m, name, value)
+    rng = random.Random(size)
+    word = lambda: f"u{rng.randint(0, 10**6)}"
+    passage = [f"p{k}" for k in range(120)]
+    rows = [" ".join(passage + [word() for _ in range(rng.randint(0, 24))]) for _ in range(90)]
+    rows += [" ".join([word() for _ in range(n)] + passage[n:]) for n in range(0, 40, 3)]
+    own = [word() for _ in range(16)]
+    rows += cloud(rng, passage + own, 40, 1, 5) + cloud(rng, passage[:80] + own[:3], 30, 0, 4)
+    met, keep = [], m._by_shingles
+
+    def seen(*args):
+        out = keep(*args)
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(m, "_by_shingles", seen)
+    compare(spark, list(enumerate(rows)), size, percent)
+    assert met
+
+
+def test_texts_with_a_common_passage_meet_in_linear_number(spark, monkeypatch):
+    import residua.llm.neardups as m
+
+    met, keep = [], m._rest
+
+    def seen(*args):
+        out = m.cut(keep(*args))
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(m, "_rest", seen)
+    rng = random.Random(8)
+    passage = [f"p{k}" for k in range(170)]
+    for n in (500, 1500, 4500):
+        texts = [" ".join(passage + [f"u{rng.randint(0, 10**9)}" for _ in range(20)]) for _ in range(n)]
+        texts += [t + " more" for t in texts[: n // 10]]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+        found = near_duplicates(docs, shingle_words=3, percent=85).collect()
+        assert all(r["component_id"] == (r["doc_id"] if r["doc_id"] < n else r["doc_id"] - n) for r in found)
+    assert met[1] <= 4 * met[0] + 1000 and met[2] <= 4 * met[1] + 1000
+
+
 def test_empty_tables_and_columns(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert near_duplicates(empty).count() == 0 and deduplicated(empty).columns == ["doc_id", "text", "n"]
