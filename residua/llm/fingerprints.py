@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -83,7 +84,7 @@ def _piece(buffer: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def features(blobs: list[bytes]) -> list[np.ndarray]:
-    """The hashes of each text's features, in order."""
+    """The hashes of each text's features, in order; a text of which no window is selected has one, of all its bytes."""
     out: list[np.ndarray] = [np.empty(0, np.uint64)] * len(blobs)
     small, size = [], 0
 
@@ -122,7 +123,7 @@ def features(blobs: list[bytes]) -> list[np.ndarray]:
             small.append(k)
             size += len(blob) + GAP
     flush()
-    return out
+    return [h if len(h) or not blob else np.array([xxhash.xxh3_64_intdigest(blob)], dtype=np.uint64) for h, blob in zip(out, blobs, strict=True)]
 
 
 def digest(hashes: np.ndarray) -> np.ndarray:
@@ -258,9 +259,8 @@ def fingerprints(docs: DataFrame, id_col="doc_id", text_col="text", ranges: int
     """Per row: id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     A text's last third (of its code points, rounded down) is replaced by the first as many of the next text's in the
-    edited text.  Null texts are empty; the digests of empty texts and of texts of 64 bytes or more without
-    a window of 1 bit of entropy (runs of one character) are empty, and like each other only.  A single row
-    is its own next.  Ids are integers; with equal ids rows go by a hash of their text; other columns are not read.
+    edited text.  Null texts are empty; the digests of empty texts are empty, and like each other only.  Texts without a
+    window of 1 bit of entropy (runs of one character) are like equal texts only.  A single row is its own next.  Ids are integers; with equal ids rows go by a hash of their text; other columns are not read.
 
     One range sort deals the texts; the last row of a range meets the first one of the next range afterwards, in a join
     of one row per range.

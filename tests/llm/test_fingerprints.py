@@ -34,7 +34,14 @@ def test_features_by_definition():
     blobs = [*texts(1, 40), b"a" * 300, b"ab" * 200, "é".encode() * 100]
     for blob, got in zip(blobs, m.features(blobs), strict=True):
         if (p := slow(blob)) is not None:
-            assert got.tolist() == (m._hash(np.frombuffer(b"".join(blob[i : i + 64] for i in p), np.uint8).reshape(-1, 64)).tolist() if p else [])
+            assert len(got) == 1 if not p else got.tolist() == m._hash(np.frombuffer(b"".join(blob[i : i + 64] for i in p), np.uint8).reshape(-1, 64)).tolist()
+
+
+def test_texts_without_a_selected_window_differ():
+    blobs = [b"a" * 1000, b"b" * 5000, b"a" * 999, b"z" * 300_000, b"", b"a" * 1000]
+    d = [m.digest(f) for f in m.features(blobs)]
+    assert len({m.text_of(x) for x in d}) == 5 and m.likeness(d[0], d[5]) == 1
+    assert all(m.likeness(d[i], d[j]) < 0.5 for i in range(5) for j in range(i))
 
 
 def test_long_texts_in_pieces(monkeypatch):
