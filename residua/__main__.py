@@ -35,7 +35,7 @@ def parser() -> argparse.ArgumentParser:
     command(trajectory, "plot-summary", *read, "csv", "summary-csv", "window-size", "maybe-cutoff", *drawing)
     command(trajectory, "classify", *read, "csv", "summary-csv", "window-size", "cutoff", "output")
     command(trajectory, "animate", *read, "csv", "interval", "animation-format", "fps")
-    command(contacts, "parse", "clusters", "cutoff-size", "output-name", "no-draw", *drawing)
+    command(contacts, "parse", "clusters", "cutoff-size", "no-halves", "output-name", "no-draw", *drawing)
     command(contacts, "draw", "output-name", *drawing)
     return top
 
@@ -62,6 +62,7 @@ OPTIONS = {
     "fps": (["--fps"], {"type": int, "default": 20}),
     "clusters": (["--clusters"], {"type": int, "default": 10}),
     "cutoff-size": (["--cutoff-size"], {"type": int, "default": 5}),
+    "no-halves": (["--no-halves"], {"action": "store_true", "help": "clusters are connected parts only; too few of them are not halved"}),
     "output-name": (["--output-name"], {}),
     "no-draw": (["--no-draw"], {"action": "store_true"}),
 }
@@ -69,7 +70,7 @@ OPTIONS = {
 
 def run(a: argparse.Namespace, spark: SparkSession) -> None:
     if a.kind == "contacts":
-        m = ContactMap(spark, a.file, a.clusters, a.cutoff_size) if a.command == "parse" else ContactMap.of_csv(spark, a.file)
+        m = ContactMap(spark, a.file, a.clusters, a.cutoff_size, not a.no_halves) if a.command == "parse" else ContactMap.of_csv(spark, a.file)
         if a.command == "parse":
             print(m.save(a.output_name))
             m.contacts.orderBy("ord").select("i", "j", "r6", "r12", "r", "cluster").show(5)
