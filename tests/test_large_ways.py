@@ -25,3 +25,44 @@ def test_small_maps_share_a_task(spark):
     found = graph.components(cells)
     assert found.count() == 3000 and found.filter("component <> 1").count() == 0
     assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()
+
+
+@pytest.fixture
+def nothing_fetched(monkeypatch):
+    def no(*_):
+        raise AssertionError("rows pass through the driver")
+
+    monkeypatch.setattr(DataFrame, "toLocalIterator", no)
+
+
+def unpacked(data, bits=4):
+    clear, at, width, out, prev, table = 1 << bits, 0, bits + 1, [], None, []
+    while True:
+        code = int.from_bytes(data[at >> 3 : (at >> 3) + 4], "little") >> (at & 7) & ((1 << width) - 1)
+        at += width
+        if code == clear:
+            table, width, prev = [bytes([k]) for k in range(clear)] + [b"", b""], bits + 1, None
+            continue
+        if code == clear + 1:
+            return b"".join(out)
+        own = table[code] if code < len(table) else prev + prev[:1]
+        if prev is not None and len(table) < 4096:
+            table.append(prev + own[:1])
+        width += len(table) == 1 << width and width < 12
+        out.append(own)
+        prev = own
+
+
+def test_gif_images_are_compressed():
+    rng = np.random.default_rng(7)
+    drawn = np.kron(rng.integers(0, 6, (22, 22)), np.ones((18, 18))).astype(np.uint8)
+    for image in (drawn, rng.integers(0, 12, (396, 396)).astype(np.uint8), np.zeros((1, 1), np.uint8)):
+        assert unpacked(figures._lzw(image)) == image.tobytes()
+    assert len(figures._lzw(drawn)) < 12_000  # 105,000 as literal codes
+
+
+def test_animations_are_coded_by_executors(spark, tmp_path, nothing_fetched):
+    frames = spark.range(1, 40).selectExpr("cast(id as int) as frame").repartition(5)
+    points = spark.createDataFrame([(1, 20, 10, 0), (39, 3, 1, 2)], "frame int, x int, y int, cluster int")
+    assert figures.images_in(figures.animation(points, frames, 21, str(tmp_path / "a.gif"))) == (39, 396)
+    assert figures.images_in(figures.movie(points, frames, 21, str(tmp_path / "a.mp4"))) == (39, 396)
