@@ -66,3 +66,10 @@ def test_animations_are_coded_by_executors(spark, tmp_path, nothing_fetched):
     points = spark.createDataFrame([(1, 20, 10, 0), (39, 3, 1, 2)], "frame int, x int, y int, cluster int")
     assert figures.images_in(figures.animation(points, frames, 21, str(tmp_path / "a.gif"))) == (39, 396)
     assert figures.images_in(figures.movie(points, frames, 21, str(tmp_path / "a.mp4"))) == (39, 396)
+
+
+def test_text_is_written_by_executors(spark, tmp_path, nothing_fetched):
+    rows = [(f, 'a,"b"' if f % 2 else "plain", None if f == 3 else f / 2) for f in range(9, 0, -1)]
+    sinks._write(spark.createDataFrame(rows, "frame int, text string, value double").repartition(4), "frame", ["frame", "text", "value"], str(tmp_path / "new" / "t.csv"), False)
+    lines = (tmp_path / "new" / "t.csv").read_text().split("\n")
+    assert lines[:4] == ["frame,text,value", '1,"a,""b""",0.5', "2,plain,1.0", '3,"a,""b""",'] and len(lines) == 11 and lines[-1] == ""
