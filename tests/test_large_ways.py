@@ -73,3 +73,12 @@ def test_text_is_written_by_executors(spark, tmp_path, nothing_fetched):
     sinks._write(spark.createDataFrame(rows, "frame int, text string, value double").repartition(4), "frame", ["frame", "text", "value"], str(tmp_path / "new" / "t.csv"), False)
     lines = (tmp_path / "new" / "t.csv").read_text().split("\n")
     assert lines[:4] == ["frame,text,value", '1,"a,""b""",0.5', "2,plain,1.0", '3,"a,""b""",'] and len(lines) == 11 and lines[-1] == ""
+
+
+def test_rows_come_when_looked_at(spark):
+    x = spark.createDataFrame([(f, {2: 0.5, 1: 1.0}) for f in range(5, 0, -1)], "frame int, clusters_filling map<int,double>")
+    rows = api.Rows(x)
+    assert len(rows) == 5 and rows[0] == {"frame": 1, "clusters_filling": {1: 1.0, 2: 0.5}} and rows[-1]["frame"] == 5
+    assert [r["frame"] for r in rows] == [1, 2, 3, 4, 5] and rows == list(rows) and rows[1:3] == list(rows)[1:3]
+    with pytest.raises(IndexError):
+        rows[5]
