@@ -82,3 +82,18 @@ def test_rows_come_when_looked_at(spark):
     assert [r["frame"] for r in rows] == [1, 2, 3, 4, 5] and rows == list(rows) and rows[1:3] == list(rows)[1:3]
     with pytest.raises(IndexError):
         rows[5]
+
+
+def test_short_ranges_read_little():
+    text = b"".join(b"MODEL %d\nATOM\nENDMDL\n" % k for k in range(200_000))
+
+    class File:
+        read = 0
+
+        def read_at(self, n, at):
+            self.read += n
+            return text[at : at + n]
+
+    file = File()
+    assert len(list(pdb.models(file, len(text), 100_000, 105_000))) > 100
+    assert file.read < 20_000  # over a million before
