@@ -74,7 +74,7 @@ def _streamed(rows: DataFrame, parts: list[str], work, keys: list[str]) -> DataF
         found.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(sink)
 
     for part in parts:
-        rows.filter(part).coalesce(1).write.mode("append").parquet(source)
+        rows.filter(part).write.mode("append").parquet(source)
         x = work(spark.readStream.schema(rows.schema).parquet(source))
         x.writeStream.foreachBatch(save).outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     rows.unpersist()

@@ -79,8 +79,8 @@ def stream_order(windows: DataFrame) -> DataFrame:
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         now = Running.of(state.get) if state.exists else Running()
-        x = pd.concat(list(batches), ignore_index=True).sort_values(["widx", "cluster"], kind="stable")
-        for widx, cluster, value in zip(x["widx"].tolist(), x["cluster"].tolist(), x["value"].tolist(), strict=True):
+        rows = [r for b in batches for r in zip(b["widx"].tolist(), b["cluster"].tolist(), b["value"].tolist(), strict=True)]
+        for widx, cluster, value in sorted(rows, key=lambda r: r[:2]):  # few rows a trajectory: no data frame is sorted for them
             now.add(widx, cluster, value >= 1.0)
         state.update(now.row())
         order = now.order()

@@ -35,15 +35,18 @@ def stream_smooth(fill: DataFrame, window: int = 100) -> DataFrame:
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         frame, n, size = (np.array(v, dtype=np.int64) for v in (state.get if state.exists else ([], [], [])))
-        x = pd.concat(list(batches), ignore_index=True).sort_values(["frame", "n"], kind="stable")
-        if len(frame) and x["frame"].iloc[0] < frame[-1]:
-            raise ValueError(f"frame {x['frame'].iloc[0]} comes after frame {frame[-1]}")
+        parts = [[b[c].to_numpy(dtype=np.int64) for c in ("frame", "n", "size")] for b in batches]
+        x = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        order = np.lexsort((x[1], x[0]))  # many series have few rows each: no data frame is sorted for them
+        x = [c[order] for c in x]
+        if len(frame) and x[0][0] < frame[-1]:
+            raise ValueError(f"frame {x[0][0]} comes after frame {frame[-1]}")
         first = max(0, len(frame) - half)
-        frame, n, size = (np.r_[old, x[c].to_numpy(dtype=np.int64)] for old, c in ((frame, "frame"), (n, "n"), (size, "size")))
+        frame, n, size = (np.concatenate([old, c]) for old, c in zip((frame, n, size), x, strict=True))
         keep = max(1, 2 * half)  # the last frame's number at least
         state.update(tuple(v[-keep:].tolist() for v in (frame, n, size)))
         if not half:  # nothing changes of what came before
-            first = len(frame) - len(x)
+            first = len(frame) - len(x[0])
         yield pd.DataFrame({"traj_id": key[0], "frame": frame[first:], "cluster": key[1], "value": means(n, size, half, first)})
 
     ship(fill.sparkSession)

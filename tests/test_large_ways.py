@@ -97,3 +97,12 @@ def test_short_ranges_read_little():
     file = File()
     assert len(list(pdb.models(file, len(text), 100_000, 105_000))) > 100
     assert file.read < 20_000  # over a million before
+
+
+def test_streams_sources_are_no_single_task(spark, monkeypatch):
+    def no(*_):
+        raise AssertionError("one task writes the source")
+
+    monkeypatch.setattr(DataFrame, "coalesce", no)
+    windows = series.summarize(catalog_large.inputs.events_fill(spark, SF), 10, 62.0).select("traj_id", "widx", "cluster", "value")
+    assert catalog_large._streamed(windows, ["widx = 0", "widx > 0"], catalog_large.stream_order, ["traj_id"]).columns[0] == "traj_id"
