@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -49,31 +48,34 @@ def stream_windows(fill: DataFrame, window_size: int, idle: str | None = None) -
     names = ["traj_id", "widx", "frame", "cluster", "value"]
     wait = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else 0
 
-    def closed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        """The means of whole windows (widx, frame, cluster, n, size)."""
-        x = rows.groupby(["widx", "cluster"], as_index=False).agg(n=("n", "sum"), size=("size", "sum"))
-        x = x.merge(rows.groupby("widx", as_index=False).agg(frame=("frame", "min")), on="widx")
-        return x.assign(traj_id=key[0], value=x["n"] / x["size"])[names]
+    def closed(key: tuple, rows: list[tuple]) -> pd.DataFrame:
+        """Whole windows' means, of rows (widx, frame, cluster, n, size)."""
+        return pd.DataFrame([(key[0], widx, frame, cluster, n / size if size else float("nan")) for widx, frame, cluster, n, size in rows], columns=names)
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         widx, count, first, clusters, n, size = state.get if state.exists else (0, 0, 0, [], [], [])
-        open_ = pd.DataFrame({"widx": widx, "frame": first, "cluster": clusters, "n": n, "size": size})
+        sums = {c: [a, b] for c, a, b in zip(clusters, n, size, strict=True)}
         if state.hasTimedOut:
             state.remove()
-            yield closed(key, open_)
+            yield closed(key, [(widx, first, c, *v) for c, v in sorted(sums.items())])
             return
-        x = pd.concat(list(batches), ignore_index=True).sort_values("frame", kind="stable")
-        x["widx"] = widx + (count + np.arange(len(x))) // window_size
-        total, x = count + len(x), x.explode("clusters", ignore_index=True)
-        x = pd.concat([x[["widx", "frame"]], pd.DataFrame(x["clusters"].tolist(), columns=["cluster", "n", "size"])], axis=1)
-        rows = pd.concat([open_, x], ignore_index=True) if len(open_) else x
-        now = widx + total // window_size
-        left = rows[rows["widx"] == now]
-        sums = left.groupby("cluster", as_index=False)[["n", "size"]].sum()
-        state.update((int(now), int(total % window_size), int(left["frame"].min()) if len(left) else 0, *(sums[c].astype(int).tolist() for c in ("cluster", "n", "size"))))
+        done = []
+        rows = [r for b in batches for r in zip(b["frame"].tolist(), b["clusters"], strict=True)]
+        for frame, own in sorted(rows, key=lambda r: r[0]):  # many trajectories have few rows each: no data frame is made for them
+            first = min(first, frame) if count and sums else frame
+            for c in own:
+                s = sums.setdefault(c["cluster"], [0, 0])
+                s[0] += c["n"]
+                s[1] += c["size"]
+            count += 1
+            if count == window_size:
+                done += [(widx, first, c, *v) for c, v in sorted(sums.items())]
+                widx, count, first, sums = widx + 1, 0, 0, {}
+        own = sorted(sums)
+        state.update((int(widx), int(count), int(first), own, [int(sums[c][0]) for c in own], [int(sums[c][1]) for c in own]))
         if wait:
             state.setTimeoutDuration(wait)
-        yield closed(key, rows[rows["widx"] < now])
+        yield closed(key, done)
 
     ship(fill.sparkSession)
     kind = fill.schema["traj_id"].dataType.simpleString()
