@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from .api import ContactMap, Trajectory, smooth
+from .operators.ordering import with_index
 from .sources.formats import formats
-from .sources.sinks import smoothed_path
+from .sources.sinks import smoothed_path, summary_path
+from .sources.tables import read_parsed, read_summary
 
 
 def parser() -> argparse.ArgumentParser:
@@ -80,22 +84,28 @@ def run(a: argparse.Namespace, spark: SparkSession) -> None:
         return
     if a.command == "smooth":  # of a parsed CSV
         out = a.output or smoothed_path(a.file, a.window_size)
-        print(f"{len(smooth(spark, a.file, a.window_size, out, a.file))} frames in {out}")
+        smooth(spark, a.file, a.window_size, out, a.file)
+        print(f"{spark.read.csv(os.path.abspath(out), header=True).count()} frames in {out}")
         return
     t = Trajectory(spark, a.file, a.contacts, format=a.format)
     if a.command == "parse":
         print(",".join(map(str, t.parse(a.cutoff_distance, a.max_frames, a.window_size, a.cutoff, a.animate, a.output_format))))
         return
     if a.command == "read":
-        out = t.read_trajectory(a.cutoff_distance, a.max_frames, output=a.output)
-        print(t.stats(out))
-        out.orderBy("frame").show(5, truncate=80)
+        t.read_trajectory(a.cutoff_distance, a.max_frames, output=a.output)
+        own = read_parsed(spark, os.path.abspath(a.output or t.file("_parsed.csv")))  # what was written, so that nothing is found out twice
+        print(t.stats(own))
+        first = [r["frame"] for r in own.select("frame").orderBy("frame").limit(5).collect()]
+        own.filter(F.col("frame").isin(first)).orderBy("frame").show(5, truncate=80)
         return
-    t.parsed(a.cutoff_distance, a.max_frames, a.csv)
+    if not getattr(a, "summary_csv", None):  # a summary has all that is drawn or ordered
+        t.parsed(a.cutoff_distance, a.max_frames, a.csv)
     if a.command == "draw":
         print(t.draw(a.window_size, a.csv, output_format=a.output_format)[1])
     elif a.command == "summarize":
-        t.summarize_trajectory(a.window_size, a.cutoff, a.csv, a.output_csv).orderBy("frame", "cluster").show(5)
+        t.summarize_trajectory(a.window_size, a.cutoff, a.csv, a.output_csv)
+        written = os.path.abspath(a.output_csv or summary_path(t.path, a.cutoff))
+        with_index(read_summary(spark, written)).select("traj_id", "widx", "frame", "cluster", "value").orderBy("frame", "cluster").show(5)
         if a.plot:
             print(t.plot_summary(a.output_csv, a.cutoff, a.output_format)[1])
     elif a.command == "plot-summary":
@@ -105,8 +115,9 @@ def run(a: argparse.Namespace, spark: SparkSession) -> None:
         if a.cutoff is not None:
             t.summary_counts(a.summary_csv or t.file(f"_summary_binary_{a.cutoff}.csv"), a.cutoff).orderBy("cluster").show()
     elif a.command == "classify":
-        summary = a.summary_csv or t.summarize_trajectory(a.window_size, a.cutoff, a.csv)
-        print(",".join(map(str, t.classify(summary, a.cutoff, a.output))))
+        if not a.summary_csv:
+            t.summarize_trajectory(a.window_size, a.cutoff, a.csv)
+        print(",".join(map(str, t.classify(a.summary_csv, a.cutoff, a.output))))
     else:
         print(t.animate(a.csv, a.output_format, a.interval, a.fps)[2])
 

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from residua import api
-from residua.operators import graph, series
-from residua.plans import catalog_large, figures
+from residua.__main__ import main
+from residua.operators import formation, graph, series
+from residua.plans import catalog_large, figures, inputs
 from residua.sources import pdb, sinks
 
 SF = "/root/testdata/sf0.001"
@@ -106,3 +107,38 @@ def test_streams_sources_are_no_single_task(spark, monkeypatch):
     monkeypatch.setattr(DataFrame, "coalesce", no)
     windows = series.summarize(catalog_large.inputs.events_fill(spark, SF), 10, 62.0).select("traj_id", "widx", "cluster", "value")
     assert catalog_large._streamed(windows, ["widx = 0", "widx > 0"], catalog_large.stream_order, ["traj_id"]).columns[0] == "traj_id"
+
+
+def test_equal_stretches_of_images_are_coded_once():
+    rng = np.random.default_rng(5)
+    cells = rng.integers(0, 6, (40, 22)).astype(np.uint8)
+    before = figures._band.cache_info().misses
+    for k in range(30):
+        image = np.kron(cells[rng.permutation(40)[:22]], np.ones((18, 18), np.uint8))
+        assert unpacked(figures._lzw(image)) == image.tobytes()
+    assert figures._band.cache_info().misses - before <= 40
+    for shape in ((1, 1), (1, 9), (7, 3), (3, 5000)):  # one row, many rows, a table that gets full
+        for top in (1, 2, 12):
+            image = rng.integers(0, top, shape).astype(np.uint8)
+            assert unpacked(figures._lzw(image)) == image.tobytes()
+
+
+def test_frames_are_analyzed_without_rows_of_contacts(spark):
+    frames, contacts = inputs.frames(spark, SF).filter("frame <= 40"), inputs.contacts(spark, SF)
+    some = frames.withColumn("coords", F.when(F.col("frame") % 7 == 0, F.map_filter("coords", lambda k, _: k % 3 == 1)).when(F.col("frame") == 5, F.map_filter("coords", lambda k, _: k < 0)).otherwise(F.col("coords")))
+    odd = contacts.withColumn("r", F.when(F.col("ord") % 11 == 0, F.lit(float("nan"))).otherwise(F.col("r")))
+    for c in (odd, odd.limit(0)):
+        found = formation.analyzed(some, c)[0]
+        wanted = formation.frame_results(formation.evaluated(some, c))
+        assert found.schema.simpleString() == wanted.schema.simpleString()
+        assert found.orderBy("frame").collect() == wanted.orderBy("frame").collect()
+        assert "collect_list(CASE" not in found._jdf.queryExecution().toString() and "hashpartitioning(traj_id" not in found._jdf.queryExecution().toString()
+
+
+def test_a_given_summary_needs_no_trajectory(spark, tmp_path):
+    (tmp_path / "t.pdb").write_text("MODEL 1\nENDMDL\n")
+    (tmp_path / "c.csv").write_text("i,j,r,cluster\n1,4,5.0,1\n")
+    (tmp_path / "s.csv").write_text("frame,cluster_1\n1,0\n3,1\n")
+    own = (str(tmp_path / "t.pdb"), "-c", str(tmp_path / "c.csv"), "--summary-csv", str(tmp_path / "s.csv"))
+    assert main(["trajectory", "plot-summary", *own], spark) == 0 and main(["trajectory", "classify", *own], spark) == 0
+    assert not (tmp_path / "t_parsed.csv").exists() and (tmp_path / "t_class.txt").read_text() == "1\n"
