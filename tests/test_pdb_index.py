@@ -5,10 +5,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.errors import AnalysisException, PythonException
 from pyspark.sql import functions as F
 
 from residua.operators.formation import pack, unpack
-from residua.sources import formats, pdb
+from residua.sources import files, formats, pdb
 from tests.test_sources import ca, walk
 
 
@@ -96,6 +97,29 @@ def test_paths_with_unusual_names(spark, tmp_path):
     assert r["frame"] == 1 and r["coords"][1]["x"] == 4.0 and r["traj_id"].startswith("file:///")
 
 
+def test_many_files_are_listed_and_written_by_executors(spark, tmp_path):
+    """The same files as Spark's own listing has, but not by one task a folder, nor kept by the driver."""
+    rows = spark.range(90).selectExpr("concat('k=', cast(id % 45 as string)) as folder", "concat('a %é#', cast(id as string), '.pdb') as name", "concat('x', cast(id as string)) as value")
+    assert files.write_files(rows, f"file://{tmp_path}") == files.write_files(rows, f"file://{tmp_path}") == 90
+    assert sorted(p.read_text() for p in tmp_path.rglob("*.pdb")) == sorted(f"x{k}" for k in range(90))
+    for name in ("k=1/.hidden.pdb", "k=1/_hidden.pdb", "_k/x.pdb", "plain/x.pdb"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("y")
+    with pytest.raises(PythonException, match="folder beside folders named column=value"):
+        pdb.listed(spark, str(tmp_path))
+    (tmp_path / "plain/x.pdb").unlink()
+    (tmp_path / "k=2/b").mkdir()
+    (tmp_path / "k=2/b/c.pdb").write_text("y")
+    name = F.regexp_replace("_metadata.file_path", "^file:/(?!/)", "file:///")
+    own = spark.read.format("binaryFile").load(str(tmp_path)).select(name.alias("traj_id"), "path", F.col("length").alias("size"))
+    got = pdb.listed(spark, str(tmp_path))
+    assert "binaryFile" not in got._jdf.queryExecution().toString()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, own.collect())) and got.count() == 91
+    assert "binaryFile" in pdb.listed(spark, f"{tmp_path}/k=[34]")._jdf.queryExecution().toString() and pdb.listed(spark, f"{tmp_path}/k=[34]").count() == 4
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        pdb.listed(spark, f"{tmp_path}/none").count()
+
+
 def test_formats(spark, tmp_path):
     rows = [("t", f, r, f * 1.0, r * 1.0, 0.5) for f in (1, 2, 5) for r in (1, 2, 3)]
     points = spark.createDataFrame(rows, "traj_id string, frame int, residue int, x double, y double, z double")
