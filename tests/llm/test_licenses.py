@@ -136,3 +136,14 @@ def test_what_tells_templates_apart():
     told = m.told_by(t, 0.8)
     words = lambda sets: sorted(sorted(w.decode() for w in s) for s in sets)
     assert [tuple(map(words, x)) for x in told] == [([["five"]], [["six"]]), ([["five", "six"], ["six"]], [["eight"]]), ([["seven"], ["seven"], ["seven"]], []), ([["eight"], ["eight", "five", "six"]], []), ([], [])]
+
+
+def test_batches_without_template_words(spark):
+    """Rows that go to Python together may have none of the templates' words; the counts of such a batch have no rows."""
+    rows = [(1, None), (2, ""), (3, "zzz qqq"), (4, "Released under the MIT License")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(4, "doc_id")
+    for part, labels in ((docs.filter("doc_id < 4"), {1: "", 2: "", 3: ""}), (docs, {1: "", 2: "", 3: "", 4: "mit"})):
+        out, names = m.scan_licenses(part)
+        assert {r["doc_id"]: r[names["labels"]] for r in out.collect()} == labels
+    assert m.document_counts(docs.filter("doc_id < 4"), {b"license", b"mit"}) == {}
+    assert m.document_counts(docs, {b"license", b"mit"}) == {b"license": 1, b"mit": 1}
